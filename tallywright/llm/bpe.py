@@ -16,9 +16,9 @@ from pyspark.sql import types as T
 
 
 #: A worker remembers the ids of so many pieces of text of at most so many characters.
-CACHE, PIECE = 600_000, 40
+CACHE, PIECE = 400_000, 40
 #: Texts are encoded together up to so many characters.
-TOGETHER = 12 << 20
+TOGETHER = 6 << 20
 
 #: A single space between two other characters that are not white space begins a
 #: match of the pattern whatever surrounds it, so texts can be cut there first.
@@ -219,41 +219,34 @@ def runs(texts: list, most: int = TOGETHER) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
-def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """docs with a column token_ids, the ids as decimals joined by single spaces.
+def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text", decoded: bool = False) -> DataFrame:
+    """docs with a column token_ids, the ids as decimals joined by single spaces, in place of the texts.
+
+    With `decoded`, a binary column of that name has the bytes that the ids
+    decode to, made in the same pass, so a task needs one Python worker.
 
     Each match of `pattern` is encoded separately, without special tokens; a
     word that is a token is that token, others are merged from bytes in rank
     order. Null and empty texts have no ids (an empty string). Rows and other
-    columns stay as they are; a column token_ids is replaced.
+    columns stay as they are; columns token_ids and decoded are replaced.
 
-    The corpus is encoded where it lies: each run of about 12 million characters
+    The corpus is encoded where it lies: each run of about 6 million characters
     of a partition is cut into its distinct words, whose merges are replayed
     together; a worker keeps the words it knows for later tasks, up to a bound
     past which words are just encoded again. No word list is gathered or sent,
     so nothing is shuffled and no memory grows with the corpus.
     """
-    docs = docs.drop("token_ids")
-    schema = T.StructType([*docs.schema.fields, T.StructField("token_ids", T.StringType())])
+    docs = docs.drop("token_ids", "decoded")
+    kept = [f for f in docs.schema.fields if f.name != text]
+    schema = T.StructType([*kept, T.StructField("token_ids", T.StringType()), *[T.StructField("decoded", T.BinaryType())] * decoded])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e = encoder(path, pattern)
         for batch in batches:
-            texts = batch[text].tolist()
+            texts = batch.pop(text).tolist()
             for a, b in runs(texts):
-                yield batch.iloc[a:b].assign(token_ids=e.encode([t if isinstance(t, str) else "" for t in texts[a:b]]))
+                out = batch.iloc[a:b].assign(token_ids=e.encode([t if isinstance(t, str) else "" for t in texts[a:b]]))
+                texts[a:b] = [None] * (b - a)
+                yield out.assign(decoded=[e.decode(i) for i in out["token_ids"]]) if decoded else out
 
     return docs.mapInPandas(run, schema)
-
-
-def decode_ids(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """encoded with a binary column decoded, from token_ids."""
-    encoded = encoded.drop("decoded")
-    schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        e = encoder(path, pattern)
-        for batch in batches:
-            yield batch.assign(decoded=[e.decode(i) for i in batch["token_ids"]])
-
-    return encoded.mapInPandas(run, schema)

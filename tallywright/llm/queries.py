@@ -43,7 +43,7 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    decoded = bpe.decode_ids(bpe.encode_texts(docs, path, pattern).drop("text"), path, pattern)
+    decoded = bpe.encode_texts(docs, path, pattern, decoded=True)
     ids = F.col("token_ids")
     return decoded.select(
         "doc_id",
