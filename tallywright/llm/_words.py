@@ -26,10 +26,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(texts: list[bytes], gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, A-Z lower-cased, text after text, and each text's count of words."""
+def word_hashes(texts: list[bytes], gaps: np.ndarray, stems: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """Hashes of all words, A-Z lower-cased, text after text, and each text's count of words; then hashes of the words' first bytes, for each length in `stems`."""
     if not texts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), *[np.zeros(0, np.uint64) for _ in stems]
     joined = (b" ".join(texts) + b" ").translate(_LOWER)
     buf = np.frombuffer(joined, np.uint8)
     gap = gaps[buf]
@@ -41,16 +41,20 @@ def word_hashes(texts: list[bytes], gaps: np.ndarray) -> tuple[np.ndarray, np.nd
     order = np.argsort(-length, kind="stable")
     at, size = start[order], length[order]
     h = np.full(len(at), _SEED, np.uint64)
+    short: dict[int, np.ndarray] = {}
     for j in range(min(int(size[0]), _LONG) if len(size) else 0):
         m = np.searchsorted(-size, -j)  # words longer than j come first
         h[:m] = (h[:m] ^ _RANDOM[buf[at[:m] + j]]) * _PRIME
+        if j + 1 in stems:
+            short[j + 1] = h.copy()
     for i in range(int(np.searchsorted(-size, -_LONG))):
         word = joined[at[i] : at[i] + size[i]]
         h[i] = np.uint64(int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little"))
-    out = np.empty_like(h)
-    out[order] = mix(h)
+    out, *stem = hashes = [np.empty_like(h) for _ in range(1 + len(stems))]
+    for x, into in zip([h, *[short.get(k, h) ^ np.uint64(k) for k in stems]], hashes, strict=True):
+        into[order] = mix(x)
     stop = np.cumsum([len(t) + 1 for t in texts])
-    return out, np.bincount(np.searchsorted(stop, start, "right"), minlength=len(texts))
+    return out, np.bincount(np.searchsorted(stop, start, "right"), minlength=len(texts)), *stem
 
 
 def in_blocks(texts: Iterable[str | None], most: int = 4 << 20) -> Iterator[tuple[int, list[bytes]]]:

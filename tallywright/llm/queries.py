@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywright.llm import bpe, chat, covertree, media, minhash, packing, pii, tokens, toxicity, warc
+from tallywright.shipping import ship
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.tiktoken", "word_bpe_49k.json"
 CONTEXT = 4096
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

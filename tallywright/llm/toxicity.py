@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallywright.llm._store import materialize
 from tallywright.llm._words import NOT_ALNUM, in_blocks, mix, word_hashes
 
 #: Labelled rows that the models are fitted on, of each class: those of the
@@ -18,26 +19,32 @@ from tallywright.llm._words import NOT_ALNUM, in_blocks, mix, word_hashes
 PER_CLASS = 6000
 #: What Kneser-Ney smoothing takes off each count.
 DISCOUNT = 0.75
+#: How many counts of the shared model stand against an expression's own.
+BACKOFF = 8.0
 #: Expressions seen in fewer sampled documents back off to the shared counts.
 LEAST_DOCS = 2
 
+#: Rare words back off to their first bytes, these many, the longer ones first.
+STEMS = (6, 4)
+
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 
+class Level(NamedTuple):
+    """Sorted hashes of expressions, their counts by class (ordinary, toxic) and shared share; the last row is the unseen one."""
+
+    keys: np.ndarray
+    count: np.ndarray
+    shared: np.ndarray
+    total: np.ndarray
+
+
 class Model(NamedTuple):
-    """Sorted hashes of words and word pairs with counts by class; the last row of each is the unseen one."""
+    """Words, their two stems, and pairs of words; a logistic curve at the end."""
 
-    words: np.ndarray  # uint64
-    count: np.ndarray  # words x 2, ordinary and toxic
-    after: np.ndarray  # words x 2, pairs that begin with the word
-    kinds: np.ndarray  # words x 2, different ones of those
-    shared: np.ndarray  # words, share of the different words that stand before it, both classes together
-    pairs: np.ndarray  # uint64
-    pair_count: np.ndarray  # pairs x 2
-    total: np.ndarray  # 2
-    types: np.ndarray  # 2
-    slope: float
-    offset: float
+    levels: tuple[Level, ...]
+    pairs: Level
+    curve: np.ndarray  # weights of features(), then the offset
 
 
 def held_out(doc_id: Column) -> Column:
@@ -45,117 +52,130 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def _tokens(texts) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each run of texts: its first place, the words' hashes, the pairs', whether a word follows another, and the text of each word."""
+def _tokens(texts) -> Iterator[tuple[int, int, list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Of each run of texts: its first place, its length, and of the different word pairs of each text: words, stems and pairs, whether a word stands before, the text.
+
+    A pair that a text repeats counts once, so that a repeated line doesn't outvote the rest.
+    """
     for first, block in in_blocks(texts):
-        w, n = word_hashes(block, NOT_ALNUM)
+        w, n, *stems = word_hashes(block, NOT_ALNUM, STEMS)
         of = np.repeat(np.arange(len(block)), n)
         follows = np.zeros(len(w), bool)
         follows[1:] = of[1:] == of[:-1]
-        pair = np.zeros(len(w), np.uint64)
-        pair[1:] = mix(w[:-1] * _PAIR + w[1:])
-        yield first, w, pair, follows, of
+        before = np.zeros(len(w), np.uint64)
+        before[1:] = np.where(follows[1:], w[:-1], np.uint64(0))
+        pair = mix(before * _PAIR + w)
+        order = np.lexsort((pair, of))
+        new = np.ones(len(w), bool)
+        new[1:] = (pair[order][1:] != pair[order][:-1]) | (of[order][1:] != of[order][:-1])
+        at = np.sort(order[new])
+        yield first, len(block), [x[at] for x in (w, *stems, pair, before)], follows[at], of[at]
 
 
 def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of words and pairs of labelled texts, summed over each run of them."""
+    """Counts of the expressions of labelled texts, summed over each run of them; level 3 are pairs, with their words."""
     for batch in batches:
         toxic = batch["toxic"].to_numpy(np.int64)
-        for first, w, pair, follows, of in _tokens(batch["text"].tolist()):
+        for first, _, (w, *stems, pair, before), follows, of in _tokens(batch["text"].tolist()):
             label = toxic[first + of]
-            yield _summed(w, np.zeros_like(w), np.zeros_like(w), label, of, False)
-            at = np.flatnonzero(follows)
-            if len(at):
-                yield _summed(pair[at], w[at - 1], w[at], label[at], of[at], True)
+            none = np.zeros_like(w)
+            for level, gram in enumerate((w, *stems)):
+                yield _summed(level, gram, none, none, label, of)
+            yield _summed(3, pair[follows], before[follows], w[follows], label[follows], of[follows])
 
 
-def _summed(gram, first, last, label, of, is_pair) -> pd.DataFrame:
+def _summed(level, gram, first, last, label, of) -> pd.DataFrame:
     frame = pd.DataFrame({"gram": gram.view(np.int64), "first": first.view(np.int64), "last": last.view(np.int64), "toxic": label, "of": of})
     out = frame.groupby(["gram", "first", "last", "toxic"], sort=False)["of"].agg(["size", "nunique"]).reset_index()
-    return out.rename(columns={"size": "n", "nunique": "docs"}).assign(is_pair=is_pair)
+    return out.rename(columns={"size": "n", "nunique": "docs"}).assign(level=level)
 
 
 def sample_labels(labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """(doc_id, toxic, calibrate): at most per_class labelled rows of each class, those of the smallest hashes of their ids."""
-    known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    known = known.where(~held_out(F.col("doc_id"))).withColumn("at", F.xxhash64("doc_id"))
+    known = _known(labels).withColumn("at", F.xxhash64("doc_id"))
     top = [known.where(F.col("toxic") == c).orderBy("at", "doc_id").limit(per_class) for c in (0, 1)]
     return top[0].unionByName(top[1]).select("doc_id", "toxic", (F.shiftright("at", 20) % 4 == 0).alias("calibrate"))
 
 
+def _known(labels: DataFrame) -> DataFrame:
+    known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    return known.where(~held_out(F.col("doc_id")))
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model | None:
     """The models of documents (doc_id, text) and labels (doc_id, toxic); None if a class has no text to learn from.
 
     Counts are made by the executors over the whole texts of the sample, whose
     bound is per_class; what reaches the driver are the counts of expressions in
-    at least LEAST_DOCS of its documents, and one number for each document that
-    sets the scale. Null labels and ids are ignored; of several labels of one
-    document the higher counts.
+    at least LEAST_DOCS of its documents, and three numbers for each document
+    that sets the curve. Null labels and ids are ignored; of several labels of
+    one document the higher counts.
     """
-    spark = docs.sparkSession
-    chosen = sample_labels(labels, per_class)
-    share = dict(
-        labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("toxic").count().collect()
-    )
+    chosen = materialize(sample_labels(labels, per_class), "sample")
+    share = dict(_known(labels).groupBy("toxic").count().collect())
     texts = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    grams = texts.where("not calibrate").select("text", "toxic").mapInPandas(
-        _grams, "gram long, first long, last long, toxic long, n long, docs long, is_pair boolean"
-    )
     by_class = lambda c, what: F.sum(F.when(F.col("toxic") == c, F.col(what)).otherwise(0)).alias(f"{what}{c}")
-    grams = grams.groupBy("is_pair", "gram", "first", "last").agg(by_class(0, "n"), by_class(1, "n"), F.sum("docs").alias("docs"))
-    grams = grams.persist()
-    try:
-        pairs = grams.where("is_pair")
-        some = lambda c: F.sum((F.col(f"n{c}") > 0).cast("long")).alias(f"kinds{c}")
-        after = pairs.groupBy(F.col("first").alias("gram")).agg(F.sum("n0").alias("after0"), F.sum("n1").alias("after1"), some(0), some(1))
-        before = pairs.groupBy(F.col("last").alias("gram")).agg(F.count("*").alias("before"))
-        words = (
-            grams.where(~F.col("is_pair") & (F.col("docs") >= LEAST_DOCS)).select("gram", "n0", "n1").join(after, "gram", "left").join(before, "gram", "left")
-        )
-        w = words.fillna(0).toPandas()
-        p = pairs.where(F.col("docs") >= LEAST_DOCS).select("gram", "n0", "n1").toPandas()
-        sums = grams.groupBy("is_pair").agg(F.sum("n0"), F.sum("n1"), some(0), some(1), F.count("*")).collect()
-    finally:
-        grams.unpersist()
-    sums = {r[0]: r[1:] for r in sums}
-    if False not in sums or min(sums[False][:2]) == 0:
-        return None
-    total, types = np.array(sums[False][:2], float), np.array(sums[False][2:4], float)
-    w, key = _sorted(w)
-    p, pair_key = _sorted(p)
-    table = lambda f, a: np.vstack([f[[f"{a}0", f"{a}1"]].to_numpy(float), np.zeros((1, 2))])
-    before = np.append(w["before"].to_numpy(float), 0) + 0.5
-    model = Model(
-        key, table(w, "n"), table(w, "after"), table(w, "kinds"), before / (sums.get(True, (0,) * 5)[4] + 0.5 * (sums[False][4] + 1)), pair_key, table(p, "n"), total, types, 1.0, 0.0,
+    grams = materialize(
+        texts.where("not calibrate")
+        .select("text", "toxic")
+        .mapInPandas(_grams, "gram long, first long, last long, toxic long, n long, docs long, level int")
+        .groupBy("level", "gram", "first", "last")
+        .agg(by_class(0, "n"), by_class(1, "n"), F.sum("docs").alias("docs")),
+        "grams",
     )
-    seen = ratios(texts.where("calibrate").select("doc_id", "text", "toxic"), model).select("toxic", "ratio").toPandas()
-    weight = np.where(seen["toxic"] == 1, share.get(1, 0) / max(1, (seen["toxic"] == 1).sum()), share.get(0, 0) / max(1, (seen["toxic"] == 0).sum()))
-    slope, offset = _scale(seen["ratio"].to_numpy(float), seen["toxic"].to_numpy(float), weight)
-    return model._replace(slope=slope, offset=offset)
-
-
-def _sorted(frame: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
-    key = frame["gram"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(key)
-    return frame.iloc[order], key[order]
-
-
-def _scale(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve through (x, y), by Newton's method with a slight pull to 0."""
+    some = lambda c: F.sum((F.col(f"n{c}") > 0).cast("long")).alias(f"kinds{c}")
+    sums = grams.groupBy("level").agg(F.sum("n0"), F.sum("n1"), some(0), some(1), F.count("*")).collect()
+    sums = {r[0]: np.array(r[1:], float) for r in sums}
+    if 0 not in sums or min(sums[0][:2]) == 0:
+        return None
+    pairs = grams.where("level = 3")
+    before = pairs.groupBy(F.col("last").alias("gram")).agg(F.count("*").alias("before"))
+    often = grams.where(F.col("docs") >= LEAST_DOCS).select("level", "gram", "n0", "n1")
+    words = often.where("level = 0").join(before, "gram", "left").fillna(0).toPandas()
+    words = words.sort_values("gram", key=lambda x: x.to_numpy(np.int64).view(np.uint64))
+    rest = often.where("level > 0").toPandas()
+    model = _model(words, rest, sums)
+    seen = features_of(texts.where("calibrate").select("toxic", "text"), model).toPandas()
+    y = seen["toxic"].to_numpy(float)
+    size = np.array([max(1, (y == c).sum()) for c in (0, 1)])
+    weight = np.array([share.get(c, 0) for c in (0, 1)])[y.astype(int)] / size[y.astype(int)]
+    return model._replace(curve=_curve(np.array(seen["features"].tolist(), float).reshape(-1, 2), y, weight))
+
+
+def _model(words: pd.DataFrame, rest: pd.DataFrame, sums: dict[int, np.ndarray]) -> Model:
+    """The model of collected counts: words with the number of different ones before them, stems and pairs, and the sums of each level."""
+    none = np.zeros((1, 2))
+    table = lambda f, a: np.vstack([f[[f"{a}0", f"{a}1"]].to_numpy(float), none])
+
+    def level(k: int, frame: pd.DataFrame, share: np.ndarray | None = None) -> Level:
+        frame = frame.sort_values("gram", key=lambda x: x.to_numpy(np.int64).view(np.uint64))
+        count, all_of = table(frame, "n"), sums.get(k, np.zeros(5))
+        if share is None:
+            share = (count.sum(axis=1) + 0.5) / (all_of[:2].sum() + 0.5 * (all_of[4] + 1))
+        return Level(frame["gram"].to_numpy(np.int64).view(np.uint64), count, share, np.maximum(all_of[:2], 1))
+
+    # A word's shared share is that of the different words which it follows, in either class.
+    follows = (np.append(words["before"].to_numpy(float), 0) + 0.5) / (sums.get(3, np.zeros(5))[4] + 0.5 * (sums[0][4] + 1))
+    levels = (level(0, words, follows), *[level(k, rest[rest["level"] == k]) for k in (1, 2)])
+    return Model(levels, level(3, rest[rest["level"] == 3]), np.array([1.0, 0.0, 0.0]))
+
+
+def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """A logistic curve through the features, by Newton's method with a slight pull to 0."""
     if len(x) == 0 or len(set(y.tolist())) < 2:
-        return 10.0, -1.0
+        return np.array([10.0, 0.0, -1.0])
     weight = weight * len(x) / weight.sum()
-    spread = x.std() or 1.0
+    spread = np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
     a = np.column_stack([x / spread, np.ones(len(x))])
-    pull = np.diag([0.05, 0.0])
-    beta = np.zeros(2)
-    for _ in range(50):
+    pull = np.diag([0.05, 0.05, 0.0])
+    beta = np.zeros(3)
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a @ beta, -30, 30)))
-        step = np.linalg.solve(a.T @ (a * (weight * p * (1 - p))[:, None]) + pull + 1e-9 * np.eye(2), a.T @ (weight * (y - p)) - pull @ beta)
+        step = np.linalg.solve(a.T @ (a * (weight * p * (1 - p))[:, None]) + pull + 1e-9 * np.eye(3), a.T @ (weight * (y - p)) - pull @ beta)
         beta += np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-8:
             break
-    return float(beta[0] / spread), float(beta[1])
+    return np.append(beta[:2] / spread, beta[2])
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -166,42 +186,68 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[np.minimum(at, len(keys) - 1)] == wanted, at, len(keys))
 
 
-def mean_ratios(texts, m: Model) -> np.ndarray:
-    """Of each text, the mean over its words of toxic less ordinary log-likelihood; 0 without words."""
-    out = np.zeros(len(texts))
-    unigram = np.maximum(m.count - DISCOUNT, 0) / m.total + (DISCOUNT * m.types / m.total) * m.shared[:, None]
-    for first, w, pair, follows, of in _tokens(texts):
+def _relative(level: Level, at: np.ndarray, tilt: np.ndarray | float) -> np.ndarray:
+    """Kneser-Ney likelihood of each class over the shared one.
+
+    Counts are discounted; what is taken off, and BACKOFF counts more, go to the
+    shared share, tilted by what the next shorter expression says.
+    """
+    n, expected = level.count[at], level.shared[at][:, None] * level.total
+    return (np.maximum(n - DISCOUNT, 0) + (np.minimum(n, DISCOUNT) + BACKOFF) * tilt) / (expected + BACKOFF)
+
+
+def features(texts, m: Model) -> np.ndarray:
+    """Of each text, toxic less ordinary log-likelihood by number of expressions, and by its root; 0 without words."""
+    out = np.zeros((len(texts), 2))
+    for first, n, (w, long_stem, short_stem, pair, before), follows, of in _tokens(texts):
         if not len(w):
             continue
-        at = _find(m.words, w)
-        chance = unigram[at]
-        prev = np.concatenate(([len(m.words)], at[:-1]))
-        prev[~follows] = len(m.words)
-        known = (m.after[prev] > 0).all(axis=1)
-        i, v = np.flatnonzero(known), prev[known]
-        both = _find(m.pairs, pair[i])
-        backoff = DISCOUNT * m.kinds[v] / m.after[v]
-        chance[i] = np.maximum(m.pair_count[both] - DISCOUNT, 0) / m.after[v] + backoff * chance[i]
-        ratio = np.log(chance[:, 1]) - np.log(chance[:, 0])
-        n = int(of[-1]) + 1
-        sums, words = np.bincount(of, ratio, n), np.bincount(of, minlength=n)
-        out[first : first + n] = sums / np.maximum(words, 1)
+        ratios: np.ndarray | float = 1.0
+        for level, keys in zip((*m.levels[::-1], m.pairs), (short_stem, long_stem, w, pair), strict=True):
+            ratios = _relative(level, _find(level.keys, keys), ratios)
+        ratio = np.log(ratios[:, 1]) - np.log(ratios[:, 0])
+        words = np.bincount(of, minlength=n)
+        some = np.flatnonzero(words)
+        middle = (np.cumsum(words) - words + words // 2)[some]
+        # What most words of a text have in common is its language or its subject.
+        usual = np.zeros(n)
+        usual[some] = ratio[np.lexsort((ratio, of))[middle]]
+        total, words = np.bincount(of, ratio, n) - usual * words, np.maximum(words, 1)
+        out[first : first + n] = np.column_stack([total / words, total / np.sqrt(words)])
     return out
 
 
-def ratios(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (with a column text) and a column ratio in its place."""
+def features_of(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with a column features in place of text."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("ratio")
-    schema = T.StructType([*docs.drop("text").schema.fields, T.StructField("ratio", T.DoubleType())])
+    schema = T.StructType([*docs.drop("text").schema.fields, T.StructField("features", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.drop(columns="text").assign(ratio=mean_ratios(batch["text"].tolist(), held.value))
+            yield batch.drop(columns="text").assign(features=list(features(batch["text"].tolist(), held.value)))
 
     return docs.mapInPandas(run, schema)
 
 
+def score_of(docs: DataFrame, model: Model | None, text: str = "text") -> Column:
+    """The score of each row's text, 0 to 1, as a column of docs."""
+    if model is None:
+        return F.lit(0.0)
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        z = features(texts.tolist(), held.value) @ held.value.curve[:2] + held.value.curve[2]
+        return pd.Series(1 / (1 + np.exp(-np.clip(z, -700, 700))))
+
+    return score(F.col(f"`{text}`").cast("string"))
+
+
+def flag(docs: DataFrame, model: Model | None, text: str = "text") -> Column:
+    """1 where the score is 0.5 or more, else 0."""
+    return (score_of(docs, model, text) >= 0.5).cast("int")
+
+
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, score, predicted) of documents (doc_id, text), from the text alone.
 
@@ -209,10 +255,5 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     and empty texts score what a text without evidence does. Without a model
     every score is 0. Whole texts count, however long; every row stays.
     """
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    if model is None:
-        scored = docs.select("doc_id", F.lit(0.0).alias("score"))
-    else:
-        z = F.greatest(F.least(F.col("ratio") * model.slope + model.offset, F.lit(700.0)), F.lit(-700.0))
-        scored = ratios(docs, model).select("doc_id", (1 / (1 + F.exp(-z))).alias("score"))
+    scored = docs.select("doc_id", score_of(docs, model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
