@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,21 +50,21 @@ def best_paths(nodes: DataFrame, top: int = 1) -> DataFrame:
         links.select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("up"), F.col("score").alias("gain"), F.lit(1).cast("long").alias("depth")),
         "jump0",
     )
-    jumps = []
-    while state.where("up is not null").limit(1).count():
+    jumps, done, active = [], [state.where("up is null")], state.where("up is not null")
+    while active.limit(1).count():
         if len(jumps) == STEPS:
             raise ValueError("parents form a circle, or a path is too long")
-        jumps.append(state.select("tree", "node", "up").where("up is not null"))
+        jumps.append(active.select("tree", "node", "up"))
+        state = active.unionByName(reduce(DataFrame.unionByName, done))
         above = state.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("gain").alias("gain2"), F.col("depth").alias("depth2"))
-        state = materialize(
-            state.join(above, ["tree", "up"], "left").select(
-                *keys,
-                F.col("up2").alias("up"),
-                (F.col("gain") + F.coalesce("gain2", F.lit(0.0))).alias("gain"),
-                (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"),
-            ),
-            f"jump{len(jumps)}",
+        # Only nodes that haven't reached their root look further.
+        further = active.join(above, ["tree", "up"]).select(
+            *keys, F.col("up2").alias("up"), (F.col("gain") + F.col("gain2")).alias("gain"), (F.col("depth") + F.col("depth2")).alias("depth")
         )
+        further = materialize(further, f"jump{len(jumps)}")
+        done.append(further.where("up is null"))
+        active = further.where("up is not null")
+    state = reduce(DataFrame.unionByName, done)
     inner = nodes.select("tree", F.col("parent").alias("node")).where("node is not null").distinct()
     best = Window.partitionBy("tree").orderBy(F.desc("gain"), F.desc("depth"), "node")
     chosen = (
