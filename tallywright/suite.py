@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallywright.plans import scans
+
 #: Modules that each have QUERIES: name -> (function of (spark, sf_dir), SQL or None).
-MODULES: tuple = ()
+MODULES: tuple = (scans,)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
