@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,7 @@ COLLISION = 0.169919487159739 * 2.0**-MANTISSA
 #: hashes of their sets instead, which lose no link; so do sets of up to SMALL / 0.75.
 SMALL = 12
 #: A bucket of documents is compared in blocks of so many.
-BLOCK = 2048
+BLOCK = 512
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
@@ -120,17 +121,22 @@ def sketch(docs: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "doc_id long, d1 long, d2 long, n_shingles long, registers binary, least array<long>")
 
 
+def _band_keys(regs: np.ndarray) -> np.ndarray:
+    """A hash of each band of each sketch."""
+    r = regs.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    band = r[..., 0] | r[..., 1] << np.uint64(16) | r[..., 2] << np.uint64(32) | r[..., 3] << np.uint64(48)
+    return mix(mix(band) ^ mix(np.arange(1, BANDS + 1, dtype=np.uint64)))
+
+
 def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(key, id): one for each band that isn't empty, and for each of the least hashes of a small set."""
-    salt = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
     for batch in batches:
         large = batch[batch["n_shingles"] > SMALL]
         if len(large):
-            regs = np.frombuffer(b"".join(large["registers"]), np.uint16).reshape(-1, BANDS, ROWS).astype(np.uint64)
-            band = regs[..., 0] | regs[..., 1] << np.uint64(16) | regs[..., 2] << np.uint64(32) | regs[..., 3] << np.uint64(48)
-            filled = band != np.uint64(0xFFFFFFFFFFFFFFFF)
+            regs = np.frombuffer(b"".join(large["registers"]), np.uint16).reshape(-1, BUCKETS)
+            filled = (regs != EMPTY).reshape(-1, BANDS, ROWS).any(axis=2)
             ids = np.broadcast_to(large["id"].to_numpy(np.int64)[:, None], filled.shape)
-            yield pd.DataFrame({"key": mix(mix(band) ^ salt)[filled].view(np.int64), "id": ids[filled]})
+            yield pd.DataFrame({"key": _band_keys(regs)[filled].view(np.int64), "id": ids[filled]})
         few = batch[batch["least"].notna()]
         if len(few):
             yield pd.DataFrame({"key": few["least"], "id": few["id"]}).explode("key").astype({"key": "int64"})
@@ -146,10 +152,7 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, block in in_blocks(list(texts)):
             s, owner, _, _ = shingle_sets(block)
             sets += np.split(s, np.cumsum(np.bincount(owner, minlength=len(block)))[:-1])
-        good = []
-        for i, j in zip(a, b, strict=True):
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            good.append(both > 0 and 100 * both >= PERCENT * (len(sets[i]) + len(sets[j]) - both))
+        good = [_links(sets[i], sets[j]) for i, j in zip(a, b, strict=True)]
         yield batch.loc[good, ["a", "b"]]
 
 
@@ -167,39 +170,96 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return joined.select("a", "b", "text_a", "text_b").mapInPandas(_verify, "a long, b long")
 
 
-def _cross(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of rows sorted by (key, lo, hi), the pairs of different components in each group whose sketches may link."""
+def _grouped(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[tuple[int, int]]]]:
+    """Rows sorted by (key, lo, hi), with the ranges of whole groups of more than one row."""
     held: pd.DataFrame | None = None
-    for batch in batches:
-        if held is not None:
-            batch = pd.concat([held, batch], ignore_index=True)
-        group = batch[["key", "lo", "hi"]].to_numpy()
-        cuts = np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1
-        if not len(cuts):
-            held = batch
+    for batch in chain(batches, [None]):
+        rows = held if batch is None else batch if held is None else pd.concat([held, batch], ignore_index=True)
+        if rows is None or not len(rows):
             continue
-        held = batch.iloc[cuts[-1] :]
-        yield _cross_groups(batch.iloc[: cuts[-1]], cuts[:-1])
-    if held is not None and len(held):
-        yield _cross_groups(held, np.zeros(0, np.int64))
-
-
-def _cross_groups(rows: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
-    regs = np.frombuffer(b"".join(rows["registers"]), np.uint16).reshape(-1, BUCKETS)
-    ids, comp, own, lo, hi = (rows[c].to_numpy() for c in ("id", "comp", "own", "lo", "hi"))
-    out = []
-    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(rows)], strict=True):
-        if b - a < 2:
-            continue
-        inside = lo[a] == hi[a]
-        names, size = np.unique(comp[a:b], return_counts=True)
-        main = names[size.argmax()]
-        # Every pair across components has a row outside the largest one.
-        for i in a + np.flatnonzero(comp[a:b] != main):
-            other = a + np.flatnonzero((comp[a:b] != comp[i]) & ((comp[a:b] == main) | (np.arange(a, b) > i)) & (inside | (own[a:b] != own[i])))
-            other = other[may_link(regs[i], regs[other])] if len(other) else other
-            out += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in other]
-    return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+        group = rows[["key", "lo", "hi"]].to_numpy()
+        cuts = (np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1).tolist()
+        if batch is not None:
+            held = rows.iloc[cuts[-1] if cuts else 0 :].reset_index(drop=True)
+            rows = rows.iloc[: cuts[-1] if cuts else 0]
+            cuts = cuts[:-1]
+        if len(rows):
+            yield rows, [(x, y) for x, y in zip([0, *cuts], [*cuts, len(rows)], strict=True) if y - x > 1]
+
+
+def _candidates(rows: pd.DataFrame, a: int, b: int, regs: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Of a group, rows and those others of different components that they may link with.
+
+    A pair meets in every band that it shares; only the first one counts.
+    """
+    comp, own = rows["comp"].to_numpy()[a:b], rows["own"].to_numpy()[a:b]
+    inside = rows["lo"].iat[a] == rows["hi"].iat[a]
+    names, size = np.unique(comp, return_counts=True)
+    main = comp == names[size.argmax()]
+    part = regs[a:b]
+    mine = np.flatnonzero(_band_keys(part[:1])[0].view(np.int64) == rows["key"].iat[a])
+    # Every pair across components has a row outside the largest one.
+    for i in np.flatnonzero(~main):
+        other = (comp != comp[i]) & (main | (np.arange(b - a) > i)) & (inside | (own != own[i]))
+        at = np.flatnonzero(other)
+        if len(at):
+            at = at[may_link(part[i], part[at])]
+        if len(at) and len(mine):
+            same = (part[i] == part[at]).reshape(len(at), BANDS, ROWS).all(axis=2) & (part[i] != EMPTY).reshape(BANDS, ROWS).any(axis=1)
+            at = at[same.argmax(axis=1) == mine[0]]
+        if len(at):
+            yield a + int(i), a + at
+
+
+def _involved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of each group that have a candidate."""
+    for rows, groups in _grouped(batches):
+        regs = np.frombuffer(b"".join(rows["registers"]), np.uint16).reshape(-1, BUCKETS)
+        some = np.zeros(len(rows), bool)
+        for a, b in groups:
+            for i, at in _candidates(rows, a, b, regs):
+                some[i] = some[at] = True
+        yield rows.loc[some, ["key", "lo", "hi", "own", "id", "comp"]]
+
+
+def _joining(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of the involved rows with texts, links that join components: each candidate pair whose sets link, unless it is joined already."""
+    for rows, groups in _grouped(batches):
+        sets: list[np.ndarray] = []
+        regs = np.zeros((len(rows), BUCKETS), np.uint16)
+        for first, block in in_blocks(rows["text"].tolist()):
+            s, owner, _, _ = shingle_sets(block)
+            regs[first : first + len(block)] = registers(s, owner, len(block))
+            sets += np.split(s, np.cumsum(np.bincount(owner, minlength=len(block)))[:-1])
+        ids, comp = rows["id"].tolist(), rows["comp"].tolist()
+        out = []
+        for a, b in groups:
+            root: dict[int, int] = {}
+
+            def find(c: int, root: dict[int, int] = root) -> int:
+                while c in root:
+                    c = root[c]
+                return c
+
+            pairs = [(i, j) for i, at in _candidates(rows, a, b, regs) for j in at.tolist()]
+            if not pairs:
+                continue
+            x, y = np.array(pairs).T
+            likely = np.concatenate([similarity_of(regs[x[k : k + 4096]], regs[y[k : k + 4096]])[0] for k in range(0, len(x), 4096)])
+            for k in np.argsort(-likely, kind="stable"):
+                i, j = pairs[k]
+                ci, cj = find(comp[i]), find(comp[j])
+                if ci != cj and _links(sets[i], sets[j]):
+                    root[max(ci, cj)] = min(ci, cj)
+                    out.append((ids[i], ids[j]))
+        yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+
+def _links(x: np.ndarray, y: np.ndarray) -> bool:
+    if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)) or not len(x):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -216,10 +276,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Equal word sequences collapse to one representative first. Sketches meet in
     buckets, one for each band (sets too small for bands meet in their least
     hashes). Each member of a bucket is first confirmed against the bucket's
-    smallest id alone, which joins most copies; after that only pairs of
-    different components in a bucket are left, which sketches compare in blocks,
-    and what may link is confirmed. So a bucket of copies costs its members, not
-    their pairs, and no pair across components is left out.
+    center, the document that meets the most others, which joins most copies; after that only pairs of
+    different components in a bucket are left. Sketches compare these in blocks of
+    BLOCK documents, and what may link is confirmed on its full sets where it
+    lies, so that a task emits the links that join components and no pairs. No
+    pair across components is left out.
     """
     sig = materialize(sketch(docs), "sketches")
     real = sig.where("doc_id is not null and d1 is not null")
@@ -228,26 +289,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "representatives",
     )
     keys = materialize(reps.select("id", "n_shingles", "registers", "least").mapInPandas(_keys, "key long, id long"), "keys")
-    shared = materialize(keys.groupBy("key").agg(F.min("id").alias("center"), F.max("id").alias("last")).where("center < last").drop("last"), "shared")
+    shared = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     members = materialize(keys.join(small_side(shared), "key"), "members")
     discard(keys, shared)
-    star = members.where("id <> center").groupBy("id", "center").agg(F.count("*").alias("n"))
-    star = star.groupBy(F.col("id").alias("a")).agg(F.max_by("center", F.struct("n", -F.col("center"))).alias("b"))
+    # What most others resemble meets them in the most buckets, and becomes the center of its buckets.
+    central = members.groupBy("id").agg(F.sum("n").alias("weight"))
+    center = members.join(central, "id").groupBy("key").agg(F.max_by(F.struct("id", "weight"), F.struct("weight", -F.col("id"))).alias("c"))
+    star = members.join(center.select("key", F.col("c.id").alias("center"), "c.weight"), "key").where("id <> center")
+    star = star.groupBy("id", "center").agg(F.count("*").alias("n"), F.max("weight").alias("weight"))
+    star = star.groupBy(F.col("id").alias("a")).agg(F.max_by("center", F.struct("n", "weight", -F.col("center"))).alias("b"))
     links = materialize(verified(materialize(star, "stars"), docs), "links")
     joined = materialize(connected_components(links), "joined")
     members = members.select("key", "id").join(small_side(joined.withColumnRenamed("node", "id")), "id", "left")
     members = materialize(members.select("key", "id", F.coalesce("component", "id").alias("comp")), "members")
     open_keys = materialize(
-        members.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "open"
+        members.groupBy("key")
+        .agg(F.count("*").alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+        .where("c0 < c1")
+        .select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")),
+        "open",
     )
     left = members.join(small_side(open_keys), "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left = left.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "comp")
-    left = left.join(reps.select("id", "registers"), "id")
-    left = left.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    pairs = materialize(left.mapInPandas(_cross, "a long, b long").distinct(), "pairs")
-    more = materialize(verified(pairs, docs), "links")
-    found = connected_components(links.unionByName(more))
+    group = ["key", "lo", "hi"]
+    left = left.join(reps.select("id", "registers"), "id").repartition(*group).sortWithinPartitions(*group)
+    involved = materialize(left.mapInPandas(_involved, "key long, lo int, hi int, own int, id long, comp long"), "involved")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(small_side(materialize(involved.select("id").distinct(), "ids")), "id", "left_semi")
+    left = involved.join(texts, "id").select(*group, "own", "id", "comp", "text").repartition(*group).sortWithinPartitions(*group)
+    found = connected_components(links.unionByName(left.mapInPandas(_joining, "a long, b long")))
     rows = sig.select("doc_id", "d1", "d2", "n_shingles").join(reps.select("d1", "d2", "id"), ["d1", "d2"], "left")
     rows = rows.join(found.withColumnRenamed("node", "id"), "id", "left")
     component = F.coalesce("component", "id", "doc_id")
