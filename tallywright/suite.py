@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallywright.plans import joins, scans
+from tallywright.plans import aggregates, joins, scans
 
 #: Modules that each have QUERIES: name -> (function of (spark, sf_dir), SQL or None).
-MODULES: tuple = (scans, joins)
+MODULES: tuple = (scans, joins, aggregates)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
