@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallywright.plans import aggregates, joins, ranks, scans, scores
+from tallywright.plans import aggregates, joins, ranks, scans, scores, similarity
 
 #: Modules that each have QUERIES: name -> (function of (spark, sf_dir), SQL or None).
-MODULES: tuple = (scans, joins, aggregates, ranks, scores)
+MODULES: tuple = (scans, joins, aggregates, ranks, scores, similarity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
