@@ -83,8 +83,8 @@ def find_pii(docs: DataFrame, text: str = "text", least: float = 0.5) -> DataFra
 
     Offsets are code points, the end exclusive. Patterns propose spans, leftmost
     and not overlapping within a kind; checksums (Luhn, modulo 97) and digit
-    counts confirm them; words within 40 characters before or 20 after raise the
-    score by 0.2 or lower it by 0.2. Spans of the base kinds stay whatever their
+    counts confirm them; a word of the kind within 40 characters before or 20 after
+    raises the score by 0.2, one of AGAINST before it lowers it by 0.2. Spans of the base kinds stay whatever their
     score, those of other kinds from `least` on. Null and empty texts give an
     empty array; every row stays, repeated ones too; a column named pii is
     replaced, other columns pass through. Nothing is shuffled.
@@ -108,8 +108,9 @@ def _spans(kind: Kind, least: float) -> Column:
 
     def look(m: Column, i: Column) -> Column:
         before, after = F.get(pieces, i), F.get(pieces, i + 1)
-        around = F.lower(F.concat(F.right(before, F.lit(40)), F.lit(" "), F.substring(after, 1, 20)))
-        score = F.lit(kind.score) + F.when(around.rlike(kind.near), 0.2).otherwise(0.0) - F.when(around.rlike(AGAINST), 0.2).otherwise(0.0)
+        ahead = F.lower(F.right(before, F.lit(40)))
+        around = F.concat(ahead, F.lit(" "), F.lower(F.substring(after, 1, 20)))
+        score = F.lit(kind.score) + F.when(around.rlike(kind.near), 0.2).otherwise(0.0) - F.when(ahead.rlike(AGAINST), 0.2).otherwise(0.0)
         score = F.round(F.least(F.lit(1.0), score), 2)
         good = kind.confirm(m) if kind.confirm else F.lit(True)
         return F.struct(
@@ -139,18 +140,18 @@ def told(spans: Column) -> Column:
 
 
 def mask_pii(found: DataFrame, text: str = "text", pii: str = "pii") -> DataFrame:
-    """Replace the spans of find_pii() by <KIND>; overlapping spans become one mark, of the one that begins first.
+    """Replace the spans of find_pii() by <KIND>; overlapping spans become one mark, of the one that begins first, the longer one of those.
 
     The column of spans is dropped. Null texts stay null.
     """
-    order = F.array_sort(F.transform(F.col(pii), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    order = F.array_sort(F.transform(F.col(pii), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("till"), s["kind"].alias("kind"))))
     body = F.col(f"`{text}`")
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.substring(body, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
         mark = F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))
         return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
+            F.greatest(acc["at"], -s["till"]).alias("at"),
             F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, mark)).otherwise(acc["out"]).alias("out"),
         )
 

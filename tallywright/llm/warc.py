@@ -161,7 +161,7 @@ def write_archives(pages: DataFrame, folder: str, rotate: int = 64 << 20) -> Dat
             for page, url, html, refers in zip(batch.page_id, batch.url, batch.html, batch.refers_to, strict=True):
                 if out is None:
                     name = f"{base}/part-{task.partitionId():05d}-{task.attemptNumber()}-{uuid.uuid4().hex}.warc.gz"
-                    out, count, size = store.open_output_stream(name), 0, 0
+                    out, count, size = store.open_output_stream(name, compression=None), 0, 0
                 data = encode_record(
                     int(page),
                     url if isinstance(url, str) else None,
@@ -189,7 +189,7 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for path, want in zip(batch.path, batch.records, strict=True):
                 rows, seen = [], 0
-                with store.open_input_stream(path) as source:
+                with store.open_input_stream(path, compression=None) as source:
                     for record in read_records(source):
                         rows.append(record)
                         seen += 1
