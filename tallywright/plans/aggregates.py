@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallywright.plans.joins import split_of
 from tallywright.registry import Registry
-from tallywright.sources.tables import EVIDENCE, NEGATIVE, POSITIVE, TRAIN_END, evidence, read
+from tallywright.sources.tables import EVIDENCE, NEGATIVE, POSITIVE, TIE, TRAIN_END, evidence, read
 
 QUERIES = Registry()
 query = QUERIES.query
@@ -171,11 +171,11 @@ def robust_zscore(spark, d):
     return e.where("qty > 45").join(s, "target").select("target", "ligand", "pub", "line", R((F.col("p") - F.col("m")) / F.col("s"), 5).alias("z"))
 
 
-@query(f"WITH {EVIDENCE} SELECT ligand, pub, line, source, round((sum(p) OVER (PARTITION BY ligand) - p) / (count(*) OVER (PARTITION BY ligand) - 1), 6) AS others FROM e QUALIFY count(*) OVER (PARTITION BY ligand) > 5")
+@query(f"WITH {EVIDENCE} SELECT ligand, pub, line, source, round((sum(p) OVER (PARTITION BY ligand) - p) / (count(*) OVER (PARTITION BY ligand) - 1) + 1e-9, 6) AS others FROM e QUALIFY count(*) OVER (PARTITION BY ligand) > 5")
 def leave_one_out_background(spark, d):
     g = Window.partitionBy("ligand")
     e = evidence(spark, d).withColumns({"s": F.sum("p").over(g), "n": F.count("*").over(g)}).where("n > 5")
-    return e.select("ligand", "pub", "line", "source", R((F.col("s") - F.col("p")) / (F.col("n") - 1)).alias("others"))
+    return e.select("ligand", "pub", "line", "source", R((F.col("s") - F.col("p")) / (F.col("n") - 1) + TIE).alias("others"))
 
 
 @query("SELECT user_id, CASE WHEN bool_or(event_type = 'error') AND bool_or(event_type = 'purchase') AND bool_or(event_type = 'signup') THEN 'conflict' WHEN bool_or(event_type = 'error') AND bool_or(event_type = 'purchase') THEN 'mixed' WHEN bool_or(event_type = 'error') THEN 'opposes' WHEN bool_or(event_type = 'purchase') THEN 'supports' ELSE 'unknown' END AS direction FROM events WHERE value > 60 GROUP BY 1")
@@ -233,9 +233,9 @@ def agg_activity_strata(spark, d):
     return evidence(spark, d).groupBy("family", "source").agg(R(F.median("p")).alias("median_p"), F.count("*").alias("n"))
 
 
-@query(f"WITH {EVIDENCE} SELECT ligand, count(*) AS n FROM e WHERE p >= 6 GROUP BY 1 HAVING count(*) <= 3")
+@query(f"WITH {EVIDENCE} SELECT ligand, count(*) AS n FROM e WHERE p >= 6 GROUP BY 1 HAVING count(*) <= 12")
 def cold_start_groups(spark, d):
-    return evidence(spark, d).where(F.col("p") >= POSITIVE).groupBy("ligand").agg(F.count("*").alias("n")).where("n <= 3")
+    return evidence(spark, d).where(F.col("p") >= POSITIVE).groupBy("ligand").agg(F.count("*").alias("n")).where("n <= 12")
 
 
 @query(f"WITH {EVIDENCE} SELECT source, string_agg(DISTINCT family, ';' ORDER BY family) AS families, count(DISTINCT target) AS n_targets, min(day) AS since FROM e GROUP BY 1")
@@ -243,10 +243,10 @@ def source_rollup(spark, d):
     return evidence(spark, d).groupBy("source").agg(F.array_join(F.array_sort(F.collect_set("family")), ";").alias("families"), F.countDistinct("target").alias("n_targets"), F.min("day").alias("since"))
 
 
-@query("SELECT l_partkey, round(avg(m), 4) AS mean, round(stddev_samp(m), 4) AS spread, count(*) AS n FROM (SELECT l_partkey, l_linenumber, avg(l_extendedprice) AS m FROM lineitem GROUP BY 1, 2) GROUP BY 1 HAVING count(*) > 1")
+@query("SELECT l_partkey, round(avg(m) + 1e-9, 4) AS mean, round(stddev_samp(m), 4) AS spread, count(*) AS n FROM (SELECT l_partkey, l_linenumber, avg(l_extendedprice) AS m FROM lineitem GROUP BY 1, 2) GROUP BY 1 HAVING count(*) > 1")
 def replica_mean(spark, d):
     r = read(spark, d, "lineitem").groupBy("l_partkey", "l_linenumber").agg(F.avg("l_extendedprice").alias("m"))
-    return r.groupBy("l_partkey").agg(R(F.avg("m"), 4).alias("mean"), R(F.stddev_samp("m"), 4).alias("spread"), F.count("*").alias("n")).where("n > 1")
+    return r.groupBy("l_partkey").agg(R(F.avg("m") + TIE, 4).alias("mean"), R(F.stddev_samp("m"), 4).alias("spread"), F.count("*").alias("n")).where("n > 1")
 
 
 @query("WITH w AS (SELECT l_partkey AS k, max(l_quantity) FILTER (WHERE l_returnflag = 'A') AS a, max(l_quantity) FILTER (WHERE l_returnflag = 'R') AS b FROM lineitem GROUP BY 1) SELECT count(*) FILTER (WHERE a >= 45 AND b < 45) AS only_a, count(*) FILTER (WHERE a < 45 AND b >= 45) AS only_b, count(*) FILTER (WHERE a >= 45 AND b >= 45) AS both_hit, count(*) AS n FROM w WHERE a IS NOT NULL AND b IS NOT NULL")

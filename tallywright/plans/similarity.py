@@ -12,7 +12,7 @@ from tallywright.operators.similar import dot, jaccard_of, pack_signs, tanimoto,
 from tallywright.plans.aggregates import _TRUTH, truth
 from tallywright.plans.joins import split_of
 from tallywright.registry import Registry
-from tallywright.sources.tables import EVIDENCE, TRAIN_END, evidence, read
+from tallywright.sources.tables import EVIDENCE, TIE, TRAIN_END, evidence, read
 
 QUERIES = Registry()
 query = QUERIES.query
@@ -263,9 +263,9 @@ def prior_with_fallback_gate(spark, d):
     return m.groupBy("c_custkey").agg(F.max("w").alias("prior"), F.count("*").alias("n_cases"), F.min("how").alias("how"), F.array_join(F.array_sort(F.collect_list("s_suppkey")), ";").alias("cases"))
 
 
-@query(f"WITH {EVIDENCE}, g AS (SELECT ligand, target, max(round(p / 7, 4)) AS w FROM e GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY ligand ORDER BY w DESC, target) AS r FROM g QUALIFY row_number() OVER (PARTITION BY ligand ORDER BY w DESC, target) <= 4) SELECT ligand, string_agg(target::VARCHAR, ';' ORDER BY r) AS targets, string_agg(printf('%.4f', w), ';' ORDER BY r) AS weights, max(w) AS best FROM r GROUP BY 1")
+@query(f"WITH {EVIDENCE}, g AS (SELECT ligand, target, max(round(p / 7 + 1e-9, 4)) AS w FROM e GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY ligand ORDER BY w DESC, target) AS r FROM g QUALIFY row_number() OVER (PARTITION BY ligand ORDER BY w DESC, target) <= 4) SELECT ligand, string_agg(target::VARCHAR, ';' ORDER BY r) AS targets, string_agg(printf('%.4f', w), ';' ORDER BY r) AS weights, max(w) AS best FROM r GROUP BY 1")
 def panel_parallel_lists(spark, d):
-    g = evidence(spark, d).groupBy("ligand", "target").agg(F.max(F.round(F.col("p") / 7, 4)).alias("w"))
+    g = evidence(spark, d).groupBy("ligand", "target").agg(F.max(F.round(F.col("p") / 7 + TIE, 4)).alias("w"))
     r = top_per_group(g, ["ligand"], [F.desc("w"), "target"], 4, "r")
     x = r.groupBy("ligand").agg(F.array_sort(F.collect_list(F.struct("r", "target", "w"))).alias("x"), F.max("w").alias("best"))
     joined = lambda f: F.array_join(F.transform("x", f), ";")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Activity at or above is positive, at or below negative, between them gray.
 POSITIVE, NEGATIVE = 6.0, 5.0
+#: Added before rounding where means of rounded values end in exact halves, so these round up whatever the order of summing.
+TIE = 1e-9
 TRAIN_END, DEV_END = "1998-12-31", "1999-12-31"
 
 
