@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import tiktoken
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywright.llm.bpe import CACHE, PIECE, pieces, read_ranks
@@ -83,16 +83,20 @@ def length_histogram(counts: DataFrame) -> DataFrame:
 
 
 def truncated_at(histogram: DataFrame, limits: list[int]) -> DataFrame:
-    """For each context limit: documents that fit, their tokens, documents cut, tokens kept in all."""
-    spark = histogram.sparkSession
-    wanted = spark.createDataFrame([(int(x),) for x in limits], "context_limit long")
-    fits = F.col("n_tokens") <= F.col("context_limit")
-    sums = wanted.join(histogram.select("n_tokens", "n_docs"), how="cross").groupBy("context_limit").agg(
-        F.sum(F.when(fits, F.col("n_docs")).otherwise(0)).alias("docs_whole"),
-        F.sum(F.when(fits, F.col("n_docs") * F.col("n_tokens")).otherwise(0)).alias("tokens_whole"),
-        F.sum(F.when(~fits, F.col("n_docs")).otherwise(0)).alias("docs_cut"),
-    )
-    return sums.withColumn("truncated_total", F.col("tokens_whole") + F.col("docs_cut") * F.col("context_limit"))
+    """For each context limit: documents that fit, their tokens, documents cut, tokens kept in all; 0 over an empty histogram."""
+
+    def sums(limit: int) -> Column:
+        fits = F.col("n_tokens") <= limit
+        total = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("long")
+        return F.struct(
+            F.lit(limit).cast("long").alias("context_limit"),
+            total(F.when(fits, F.col("n_docs"))).alias("docs_whole"),
+            total(F.when(fits, F.col("n_docs") * F.col("n_tokens"))).alias("tokens_whole"),
+            total(F.when(~fits, F.col("n_docs"))).alias("docs_cut"),
+        )
+
+    got = histogram.agg(F.array(*map(sums, limits)).alias("x")).select(F.inline("x"))
+    return got.withColumn("truncated_total", F.col("tokens_whole") + F.col("docs_cut") * F.col("context_limit"))
 
 
 def length_quantiles(histogram: DataFrame, shares: list[float]) -> DataFrame:

@@ -26,11 +26,11 @@ def digest(sha1: bytes) -> str:
     return base64.b32encode(sha1).decode()
 
 
-def record_uri(page_id: int) -> str:
-    return f"<urn:page:{page_id}>"
+def record_uri(page_id: int | None) -> str:
+    return "<urn:page:none>" if page_id is None else f"<urn:page:{page_id}>"
 
 
-def encode_record(page_id: int, url: str | None, payload: bytes, refers_to: int | None, level: int = 6) -> bytes:
+def encode_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, level: int = 6) -> bytes:
     """One gzip member: a response, or a revisit that keeps the HTTP headers only."""
     told = digest(hashlib.sha1(payload).digest())
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
@@ -163,7 +163,7 @@ def write_archives(pages: DataFrame, folder: str, rotate: int = 64 << 20) -> Dat
                     name = f"{base}/part-{task.partitionId():05d}-{task.attemptNumber()}-{uuid.uuid4().hex}.warc.gz"
                     out, count, size = store.open_output_stream(name, compression=None), 0, 0
                 data = encode_record(
-                    int(page),
+                    None if pd.isna(page) else int(page),
                     url if isinstance(url, str) else None,
                     html.encode() if isinstance(html, str) else b"",
                     None if pd.isna(refers) else int(refers),
@@ -178,7 +178,9 @@ def write_archives(pages: DataFrame, folder: str, rotate: int = 64 << 20) -> Dat
             out.close()
             yield pd.DataFrame({"path": [name], "records": [count]})
 
-    return pages.select("page_id", "url", "html", "refers_to").mapInPandas(write, "path string, records long")
+    # As strings: beside a null, pandas would turn whole numbers to floats.
+    ids = [F.col(c).cast("string").alias(c) for c in ("page_id", "refers_to")]
+    return pages.select("url", "html", *ids).mapInPandas(write, "path string, records long")
 
 
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
@@ -205,7 +207,7 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
         read,
         "record_type string, page_id string, url string, payload_digest string, payload_bytes long, refers_to string",
     )
-    number = lambda c: F.regexp_extract(c, "<urn:page:(-?[0-9]+)>", 1).cast("long")
+    number = lambda c: F.regexp_extract(c, "<urn:page:(-?[0-9]+)>", 1).try_cast("long")
     return got.withColumn("page_id", number("page_id")).withColumn(
         "refers_to", F.when(F.col("refers_to").isNotNull(), number("refers_to"))
     )
@@ -217,8 +219,9 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     Of pages with equal payloads the one with the largest page_id is the
     response and the rest are revisits of it. Null html is the empty payload;
     rows with the same page_id as their response are responses too (a repeated
-    row is a repeated record); rows with a null page_id can't be named and
-    raise. Other columns are ignored. An empty table gives an empty result.
+    row is a repeated record). A row without page_id comes back without one: a
+    revisit where a page with an id has its payload, else a response. Other
+    columns are ignored. An empty table gives an empty result.
 
     The first pass reads html for its SHA-1 only and keeps the digests that
     occur more than once; the second hands each task its rows in place, so html
@@ -235,7 +238,7 @@ def archive_pages(pages: DataFrame) -> DataFrame:
         "copies",
     )
     planned = pages.join(small_side(copies, 200_000), "sha", "left").withColumn(
-        "refers_to", F.when(F.col("response") != F.col("page_id"), F.col("response"))
+        "refers_to", F.when(~F.col("response").eqNullSafe(F.col("page_id")), F.col("response"))
     )
     folder = new_path(spark, "warc")
     manifest = materialize(write_archives(planned, folder), "manifest")

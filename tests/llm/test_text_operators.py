@@ -188,6 +188,14 @@ def test_warc_round_trip(spark):
     assert warc.archive_pages(df.where("false")).count() == 0
 
 
+def test_warc_without_page_id(spark):
+    big = 2**60 + 1
+    df = spark.createDataFrame([(big, "u", "x"), (None, "u", "x"), (None, None, "y"), (None, None, None)], "page_id long, url string, html string")
+    got = warc.archive_pages(df).select("payload_bytes", "page_id", "record_type", "refers_to").collect()
+    want = [(0, None, "response", None), (1, None, "response", None), (1, None, "revisit", big), (1, big, "response", None)]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
 def test_warc_keeps_payloads(spark):
     df = spark.createDataFrame(PAGES, "page_id long, url string, html string").withColumn("refers_to", F.when(F.col("page_id") == 1, F.lit(6)).cast("long"))
     folder = new_path(spark, "warc")
