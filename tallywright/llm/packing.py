@@ -19,7 +19,10 @@ from tallywright.llm._store import materialize
 #: Pieces that one task packs together. Every group ends in at most a few bins
 #: that are not full, so larger groups waste less; this many take some 50 MB.
 GROUP = 100_000
-CACHE, WORD = 400_000, 40
+#: A worker remembers the ids of so many words of at most so many characters.
+CACHE, WORD = 300_000, 40
+#: Words that the tokenizer encodes at a time, and characters of texts that are cut at a time.
+AT_ONCE, TOGETHER = 4096, 4 << 20
 
 #: White space as the tokenizer's patterns have it; no match reaches across it.
 _SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
@@ -42,7 +45,10 @@ def token_ids(texts: list[str], path: str) -> list[bytes]:
     t, known = _tokenizer(path)
     cut = [_SPACE.split(x) if _ODD.search(x) else x.split() for x in texts]
     new = list({w for one in cut for w in one} - known.keys())
-    fresh = {w: np.asarray(e.ids, "<u4").tobytes() for w, e in zip(new, t.encode_batch(new, add_special_tokens=False), strict=True)}
+    fresh: dict[str, bytes] = {}
+    for k in range(0, len(new), AT_ONCE):
+        part = new[k : k + AT_ONCE]
+        fresh.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(part, t.encode_batch_fast(part, add_special_tokens=False), strict=True))
     out = [b"".join([known[w] if w in known else fresh[w] for w in one]) for one in cut]
     if len(known) < CACHE:
         known.update((w, i) for w, i in fresh.items() if len(w) <= WORD)
@@ -64,7 +70,7 @@ def cut_pieces(docs: DataFrame, path: str, end: int = 1, limit: int = 4096) -> D
             at = 0
             while at < len(texts):
                 stop, size = at, 0
-                while stop < len(texts) and size < 4 << 20:
+                while stop < len(texts) and size < TOGETHER:
                     size += len(texts[stop] or "")
                     stop += 1
                 rows = []
