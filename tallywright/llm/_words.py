@@ -57,7 +57,7 @@ def word_hashes(texts: list[bytes], gaps: np.ndarray, stems: tuple[int, ...] = (
     return out, np.bincount(np.searchsorted(stop, start, "right"), minlength=len(texts)), *stem
 
 
-def in_blocks(texts: Iterable[str | None], most: int = 4 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def in_blocks(texts: Iterable[str | None], most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of texts of about `most` bytes, each with the place of its first; null is empty."""
     block: list[bytes] = []
     first = total = 0

@@ -20,7 +20,7 @@ from tallywright.llm._store import materialize
 #: that are not full, so larger groups waste less; this many take some 50 MB.
 GROUP = 100_000
 #: A worker remembers the ids of so many words of at most so many characters.
-CACHE, WORD = 300_000, 40
+CACHE, WORD = 150_000, 40
 #: Words that the tokenizer encodes at a time, and characters of texts that are cut at a time.
 AT_ONCE, TOGETHER = 4096, 4 << 20
 

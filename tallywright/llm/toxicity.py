@@ -52,12 +52,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def _tokens(texts) -> Iterator[tuple[int, int, list[np.ndarray], np.ndarray, np.ndarray]]:
+def _tokens(texts, most: int = 1 << 20) -> Iterator[tuple[int, int, list[np.ndarray], np.ndarray, np.ndarray]]:
     """Of each run of texts: its first place, its length, and of the different word pairs of each text: words, stems and pairs, whether a word stands before, the text.
 
     A pair that a text repeats counts once, so that a repeated line doesn't outvote the rest.
     """
-    for first, block in in_blocks(texts):
+    for first, block in in_blocks(texts, most):
         w, n, *stems = word_hashes(block, NOT_ALNUM, STEMS)
         of = np.repeat(np.arange(len(block)), n)
         follows = np.zeros(len(w), bool)
@@ -76,7 +76,7 @@ def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Counts of the expressions of labelled texts, summed over each run of them; level 3 are pairs, with their words."""
     for batch in batches:
         toxic = batch["toxic"].to_numpy(np.int64)
-        for first, _, (w, *stems, pair, before), follows, of in _tokens(batch["text"].tolist()):
+        for first, _, (w, *stems, pair, before), follows, of in _tokens(batch["text"].tolist(), 4 << 20):
             label = toxic[first + of]
             none = np.zeros_like(w)
             for level, gram in enumerate((w, *stems)):
