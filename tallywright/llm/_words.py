@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 #: Space and \t \n \v \f \r.
 WHITE = np.zeros(256, bool)
@@ -69,3 +71,11 @@ def in_blocks(texts: Iterable[str | None], most: int = 1 << 20) -> Iterator[tupl
         total += len(block[-1])
     if block:
         yield first, block
+
+
+def give_back() -> None:
+    """Return freed memory to the system at a task's end; idle workers would hold it while others need it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallywright.llm._components import connected_components
 from tallywright.llm._store import discard, materialize, small_side
-from tallywright.llm._words import WHITE, in_blocks, mix, word_hashes
+from tallywright.llm._words import WHITE, give_back, in_blocks, mix, word_hashes
 
 WORDS = 5
 #: Sets link when 100 * intersection >= PERCENT * union.
@@ -116,6 +116,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                         "least": least,
                     }
                 )
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInPandas(run, "doc_id long, d1 long, d2 long, n_shingles long, registers binary, least array<long>")
@@ -140,6 +141,7 @@ def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         few = batch[batch["least"].notna()]
         if len(few):
             yield pd.DataFrame({"key": few["least"], "id": few["id"]}).explode("key").astype({"key": "int64"})
+    give_back()
 
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -154,6 +156,7 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sets += np.split(s, np.cumsum(np.bincount(owner, minlength=len(block)))[:-1])
         good = [_links(sets[i], sets[j]) for i, j in zip(a, b, strict=True)]
         yield batch.loc[good, ["a", "b"]]
+    give_back()
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -220,6 +223,7 @@ def _involved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for i, at in _candidates(rows, a, b, regs):
                 some[i] = some[at] = True
         yield rows.loc[some, ["key", "lo", "hi", "own", "id", "comp"]]
+    give_back()
 
 
 def _joining(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -253,6 +257,7 @@ def _joining(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     root[max(ci, cj)] = min(ci, cj)
                     out.append((ids[i], ids[j]))
         yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+    give_back()
 
 
 def _links(x: np.ndarray, y: np.ndarray) -> bool:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tallywright.llm._store import materialize
+from tallywright.llm._words import give_back
 
 #: Pieces that one task packs together. Every group ends in at most a few bins
 #: that are not full, so larger groups waste less; this many take some 50 MB.
@@ -81,6 +82,7 @@ def cut_pieces(docs: DataFrame, path: str, end: int = 1, limit: int = 4096) -> D
                         rows.append((key, k // (4 * limit), k // 4, len(part) // 4, zlib.crc32(part)))
                 yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
                 at = stop
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(
         run, "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -229,5 +231,6 @@ def pack_pieces(pieces: DataFrame, limit: int = 4096, group: int = GROUP) -> Dat
         out["sequence_id"] = (TaskContext.get().partitionId() << 32) + np.repeat(np.arange(len(bins)), sizes)
         out["offset"] = begins - begins[first]
         yield out
+        give_back()
 
     return pieces.repartition(groups).mapInPandas(run, schema)

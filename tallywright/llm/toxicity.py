@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallywright.llm._store import materialize
-from tallywright.llm._words import NOT_ALNUM, in_blocks, mix, word_hashes
+from tallywright.llm._words import NOT_ALNUM, give_back, in_blocks, mix, word_hashes
 
 #: Labelled rows that the models are fitted on, of each class: those of the
 #: smallest hashes. A quarter of them sets the two numbers of the final scale.
@@ -82,6 +82,7 @@ def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for level, gram in enumerate((w, *stems)):
                 yield _summed(level, gram, none, none, label, of)
             yield _summed(3, pair[follows], before[follows], w[follows], label[follows], of[follows])
+    give_back()
 
 
 def _summed(level, gram, first, last, label, of) -> pd.DataFrame:
@@ -236,9 +237,11 @@ def score_of(docs: DataFrame, model: Model | None, text: str = "text") -> Column
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        z = features(texts.tolist(), held.value) @ held.value.curve[:2] + held.value.curve[2]
-        return pd.Series(1 / (1 + np.exp(-np.clip(z, -700, 700))))
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            z = features(texts.tolist(), held.value) @ held.value.curve[:2] + held.value.curve[2]
+            yield pd.Series(1 / (1 + np.exp(-np.clip(z, -700, 700))))
+        give_back()
 
     return score(F.col(f"`{text}`").cast("string"))
 
