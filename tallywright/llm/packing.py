@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections import defaultdict
@@ -23,7 +24,7 @@ GROUP = 100_000
 #: A worker remembers the ids of so many words of at most so many characters.
 CACHE, WORD = 150_000, 40
 #: Words that the tokenizer encodes at a time, and characters of texts that are cut at a time.
-AT_ONCE, TOGETHER = 4096, 4 << 20
+AT_ONCE, TOGETHER = 4096, 2 << 20
 
 #: White space as the tokenizer's patterns have it; no match reaches across it.
 _SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
@@ -35,6 +36,7 @@ _tokenizers: dict[str, tuple] = {}
 def _tokenizer(path: str) -> tuple:
     if path not in _tokenizers:
         _tokenizers.clear()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
         _tokenizers[path] = t, {}
