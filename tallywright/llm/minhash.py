@@ -326,5 +326,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = connected_components(links.unionByName(left.mapInPandas(_joining, "a long, b long")))
     rows = sig.select("doc_id", "d1", "d2", "n_shingles").join(reps.select("d1", "d2", "id"), ["d1", "d2"], "left")
     rows = rows.join(found.withColumnRenamed("node", "id"), "id", "left")
-    component = F.coalesce("component", "id", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id", "doc_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
