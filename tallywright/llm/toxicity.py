@@ -23,6 +23,10 @@ DISCOUNT = 0.75
 BACKOFF = 8.0
 #: Expressions seen in fewer sampled documents back off to the shared counts.
 LEAST_DOCS = 2
+#: What most word pairs of a text say counts as its language or subject; so many
+#: pairs of a prior that says nothing stand against it, and it is at most so much
+#: towards toxic. Evidence that a short or densely toxic text repeats thus stays.
+USUAL_PRIOR, USUAL_MOST = 20.0, 0.5
 
 #: Rare words back off to their first bytes, these many, the longer ones first.
 STEMS = (6, 4)
@@ -162,21 +166,37 @@ def _model(words: pd.DataFrame, rest: pd.DataFrame, sums: dict[int, np.ndarray])
 
 
 def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """A logistic curve through the features, by Newton's method with a slight pull to 0."""
+    """A logistic curve through the features, by Newton's method with a slight pull to 0.
+
+    More evidence never lowers a score: a feature whose weight would be negative is left out.
+    """
     if len(x) == 0 or len(set(y.tolist())) < 2:
         return np.array([10.0, 0.0, -1.0])
     weight = weight * len(x) / weight.sum()
     spread = np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
-    a = np.column_stack([x / spread, np.ones(len(x))])
-    pull = np.diag([0.05, 0.05, 0.0])
-    beta = np.zeros(3)
+    used = [0, 1]
+    while True:
+        beta = _newton(np.column_stack([x[:, used] / spread[used], np.ones(len(x))]), y, weight)
+        if not used or beta[:-1].min() >= 0:
+            break
+        del used[int(beta[:-1].argmin())]
+    out = np.zeros(3)
+    out[used], out[2] = beta[:-1] / spread[used], beta[-1]
+    return out
+
+
+def _newton(a: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weights of the columns of a; the last column is the offset, which isn't pulled."""
+    n = a.shape[1]
+    pull = np.diag([0.05] * (n - 1) + [0.0])
+    beta = np.zeros(n)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a @ beta, -30, 30)))
-        step = np.linalg.solve(a.T @ (a * (weight * p * (1 - p))[:, None]) + pull + 1e-9 * np.eye(3), a.T @ (weight * (y - p)) - pull @ beta)
+        step = np.linalg.solve(a.T @ (a * (weight * p * (1 - p))[:, None]) + pull + 1e-9 * np.eye(n), a.T @ (weight * (y - p)) - pull @ beta)
         beta += np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-8:
             break
-    return np.append(beta[:2] / spread, beta[2])
+    return beta
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -209,10 +229,12 @@ def features(texts, m: Model) -> np.ndarray:
         ratio = np.log(ratios[:, 1]) - np.log(ratios[:, 0])
         words = np.bincount(of, minlength=n)
         some = np.flatnonzero(words)
-        middle = (np.cumsum(words) - words + words // 2)[some]
-        # What most words of a text have in common is its language or its subject.
+        first_of, n_of = (np.cumsum(words) - words)[some], words[some]
+        # What most words of a text have in common is its language or its subject, as far as they are enough to tell.
+        ranked = ratio[np.lexsort((ratio, of))]
+        median = (ranked[first_of + (n_of - 1) // 2] + ranked[first_of + n_of // 2]) / 2
         usual = np.zeros(n)
-        usual[some] = ratio[np.lexsort((ratio, of))[middle]]
+        usual[some] = np.minimum(median * n_of / (n_of + USUAL_PRIOR), USUAL_MOST)
         total, words = np.bincount(of, ratio, n) - usual * words, np.maximum(words, 1)
         out[first : first + n] = np.column_stack([total / words, total / np.sqrt(words)])
     return out

@@ -174,6 +174,26 @@ def test_toxicity_odd_input(spark):
     assert all(0 <= r["score"] <= 1 for r in toxicity.score(docs, model).collect())
 
 
+def test_toxicity_of_short_and_dense_texts(spark):
+    rng = np.random.default_rng(4)
+    plain, insults = [f"word{i}" for i in range(60)], ["idiot", "moron", "scum", "loser", "clown"]
+    text = lambda toxic: " ".join([*rng.choice(plain, 30), *(rng.choice(insults, 6) if toxic else rng.choice(plain, 6))])
+    docs = spark.createDataFrame([(i, text(i % 2)) for i in range(400)], "doc_id long, text string")
+    model = toxicity.fit(docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")))
+    short = ["idiot", "idiot idiot idiot", "moron scum", "Word1 scum loser", "loser clown idiot scum", "word2 idiot moron scum clown", "idiot moron loser clown scum", " ".join(rng.choice(insults, 300))]
+    asked = spark.createDataFrame(list(enumerate(["", *plain[:5], *short])), "doc_id int, text string")
+    got = [r["score"] for r in toxicity.score(asked, model).orderBy("doc_id").collect()]
+    assert min(got[6:]) >= 0.5 > max(got[:6])
+
+
+def test_toxicity_curve_never_falls():
+    rng = np.random.default_rng(6)
+    root = np.concatenate([rng.normal(0, 1, 60), rng.normal(1.5, 1, 60)])
+    x = np.column_stack([root / 10 + np.concatenate([rng.normal(0.2, 0.1, 60), rng.normal(-0.2, 0.1, 60)]), root])
+    curve = toxicity._curve(x, np.repeat([0.0, 1.0], 60), np.ones(120))
+    assert curve[0] == 0 and curve[1] > 0
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_pack_fills_bins(seed):
     rng = np.random.default_rng(seed)
