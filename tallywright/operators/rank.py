@@ -44,6 +44,25 @@ def global_ranks(df: DataFrame, value: str, descending: bool = True) -> DataFram
     return df.join(n, df[value].eqNullSafe(n["__v"]), "left").drop("__v")
 
 
+def global_row_numbers(df: DataFrame, value: str, key: str, descending: bool = True, out: str = "rank") -> DataFrame:
+    """df with its row numbers over the whole table by value, nulls last, then key.
+
+    Rows before a value come from global_ranks(); rows of one value are dealt
+    in ranges of the key and numbered there, so no task sorts the table, nor
+    all rows of a frequent value.
+    """
+    totals = df.agg(F.count(value).alias("__known"), F.percentile_approx(key, [i / RANGES for i in range(1, RANGES)], 1000).alias("__cuts"))
+    rows = global_ranks(df, value, descending).drop("rank_avg", "rank_dense", "n_values", "k_values").join(F.broadcast(totals))
+    rows = rows.withColumn("__part", F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col(key))), F.lit(-1))).drop("__cuts")
+    before = Window.partitionBy(value).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy(value, "__part").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    parts = parts.select(F.col(value).alias("__v"), F.col("__part").alias("__p"), "__before")
+    rows = rows.join(parts, rows[value].eqNullSafe(parts["__v"]) & (rows["__part"] == parts["__p"]))
+    inside = F.row_number().over(Window.partitionBy(value, "__part").orderBy(key))
+    number = F.coalesce("rank_min", F.col("__known") + 1) - 1 + F.col("__before") + inside
+    return rows.withColumn(out, number.cast("long")).drop("rank_min", "__known", "__part", "__v", "__p", "__before")
+
+
 def average_rank(by: list[str], value: str, descending: bool = True) -> Column:
     """Average rank of value among the rows of equal `by`."""
     order = F.col(value).desc() if descending else F.col(value).asc()

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tallywright.operators.pareto import dominance_counts
 from tallywright.operators.rank import (
-    average_rank, band_rerank, first_per_group, global_ranks, largest_remainder, stable_hash, top_per_group,
+    average_rank, band_rerank, first_per_group, global_ranks, global_row_numbers, largest_remainder, stable_hash, top_per_group,
 )
 from tallywright.plans.aggregates import _TRUTH, truth
 from tallywright.plans.joins import split_of
 from tallywright.registry import Registry
+from tallywright.shipping import ship
 from tallywright.sources.tables import EVIDENCE, TRAIN_END, evidence, read
 
 QUERIES = Registry()
@@ -120,7 +122,7 @@ def derive_rank_fallback(spark, d):
     check = s.agg(F.min("declared").alias("a"), F.max("declared").alias("b"), F.countDistinct("declared").alias("c"), F.count("*").alias("n")).first()
     if (check["a"], check["b"], check["c"]) == (1, check["n"], check["n"]):
         return s.select("s_suppkey", F.col("declared").alias("rank"))
-    return s.select("s_suppkey", L(F.row_number().over(Window.orderBy(F.coalesce("score", "other").desc(), "s_suppkey"))).alias("rank"))
+    return global_row_numbers(s.select("s_suppkey", F.coalesce("score", "other").alias("by")), "by", "s_suppkey").select("s_suppkey", "rank")
 
 
 @query(f"WITH {_TRUTH} SELECT q, recipe, min(rank) AS best, bool_or(rank <= 10) AS hit10 FROM t GROUP BY 1, 2")
@@ -260,9 +262,7 @@ def mmr_select(spark, d):
 def pareto_counts(spark, d):
     """Within each brand, by how many others a part is dominated in size, price and grade."""
     p = read(spark, d, "part").select("p_brand", F.col("p_partkey").alias("id"), F.col("p_size").alias("u"), F.col("p_retailprice").alias("v"), (F.col("p_partkey") % 10).alias("w"))
-    g = p.groupBy("p_brand").agg(F.collect_list(F.struct("u", "v", "w")).alias("all"))
-    beats = lambda o: (o["u"] >= F.col("u")) & (o["v"] >= F.col("v")) & (o["w"] >= F.col("w")) & ((o["u"] > F.col("u")) | (o["v"] > F.col("v")) | (o["w"] > F.col("w")))
-    return p.join(g, "p_brand").select("id", L(F.size(F.filter("all", beats))).alias("n_dominating"))
+    return dominance_counts(ship(spark) and p, "p_brand", ["u", "v", "w"]).select("id", "n_dominating")
 
 
 @query("SELECT l_suppkey, l_partkey, (rank() OVER (PARTITION BY l_suppkey ORDER BY n DESC) + (count(*) OVER (PARTITION BY l_suppkey, n) - 1) / 2.0)::DOUBLE AS rank FROM (SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem GROUP BY 1, 2)")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallywright.functions import clean
 from tallywright.operators.decide import bool_like, reasons
 from tallywright.operators.fuse import clip
+from tallywright.operators.rank import global_row_numbers
 from tallywright.registry import Registry
 from tallywright.sources.tables import EVIDENCE, evidence, find_column, read, with_optional
 
@@ -139,12 +140,12 @@ def token_any_match(spark, d):
 def explorer_filter_sort(spark, d):
     from pyspark.sql import Window
 
-    t = read(spark, d, "supplier").withColumn("original_rank", L(F.row_number().over(Window.orderBy("s_suppkey"))))
+    t = global_row_numbers(read(spark, d, "supplier"), "s_suppkey", "s_suppkey", descending=False, out="original_rank")
     t = t.join(read(spark, d, "nation"), F.col("n_nationkey") == F.col("s_nationkey")).join(read(spark, d, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
     text = F.lower(F.concat_ws(" ", "s_name", "n_name", "r_name"))
     f = t.where(text.contains("a") & (F.col("r_name") == "ASIA") & F.array_contains(F.split(F.lit("NATION_2;NATION_7;NATION_12"), ";"), F.col("n_name")))
     order = [F.coalesce("s_acctbal", F.lit(-1.0)).desc(), F.col("s_suppkey")]
-    return f.withColumn("filtered_rank", L(F.row_number().over(Window.orderBy(*order)))).where("filtered_rank <= 200").select("s_suppkey", "original_rank", "filtered_rank")
+    return f.orderBy(*order).limit(200).withColumn("filtered_rank", L(F.row_number().over(Window.orderBy(*order)))).select("s_suppkey", "original_rank", "filtered_rank")
 
 
 @query("SELECT p_partkey, concat_ws(',', CASE WHEN p_size < 10 THEN 'small' END, CASE WHEN p_retailprice < 1000 THEN 'cheap' END, CASE WHEN p_type = 'PROMO' THEN 'promo' END) AS why, round(0.5 * p_size / 50 + 0.3 * p_retailprice / 2000 + 0.2 * (CASE WHEN p_type = 'LARGE' THEN 1 ELSE 0 END), 6) AS score FROM part")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallywright.operators.decide import reasons, tier, vote
 from tallywright.operators.fuse import bayesian_or, clip, minmax, reciprocal_rank_fusion, scale_similarity
-from tallywright.operators.rank import global_ranks
+from tallywright.operators.rank import global_ranks, global_row_numbers
 from tallywright.plans.aggregates import _TRUTH, truth
 from tallywright.registry import Registry
 from tallywright.sources.tables import EVIDENCE, TRAIN_END, evidence, read
@@ -322,7 +322,7 @@ def metric_delta(spark, d):
 @query("WITH r AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS a, row_number() OVER (ORDER BY s_nationkey, s_suppkey) AS b FROM supplier), t AS (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_quantity = 50) SELECT s_suppkey, a::BIGINT AS before, CASE WHEN s_suppkey % 6 <> 0 THEN b END::BIGINT AS after, (a - CASE WHEN s_suppkey % 6 <> 0 THEN b END)::BIGINT AS moved FROM t JOIN r ON s_suppkey = l_suppkey")
 def rank_compare_methods(spark, d):
     s = read(spark, d, "supplier")
-    a = s.select("s_suppkey", L(F.row_number().over(Window.orderBy(F.desc("s_acctbal"), "s_suppkey"))).alias("before"))
-    b = s.select("s_suppkey", L(F.row_number().over(Window.orderBy("s_nationkey", "s_suppkey"))).alias("after")).where("s_suppkey % 6 <> 0")
+    a = global_row_numbers(s, "s_acctbal", "s_suppkey", out="before").select("s_suppkey", "before")
+    b = global_row_numbers(s, "s_nationkey", "s_suppkey", descending=False, out="after").select("s_suppkey", "after").where("s_suppkey % 6 <> 0")
     t = read(spark, d, "lineitem").where("l_quantity = 50").select(F.col("l_suppkey").alias("s_suppkey")).distinct()
     return t.join(a, "s_suppkey").join(b, "s_suppkey", "left").withColumn("moved", F.col("before") - F.col("after"))

@@ -2,6 +2,8 @@
 
 import datetime
 import itertools
+import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,9 +11,12 @@ from pyspark.sql import functions as F
 from tallywright.functions import clean
 from tallywright.operators.decide import bool_like, reasons, vote
 from tallywright.operators.fuse import bayesian_or, reciprocal_rank_fusion
+from tallywright.operators import pareto
 from tallywright.operators.log import with_sessions
-from tallywright.operators.rank import average_rank, band_rerank, global_ranks, largest_remainder, top_per_group
+from tallywright.operators.rank import average_rank, band_rerank, global_ranks, global_row_numbers, largest_remainder, top_per_group
 from tallywright.operators.similar import jaccard_of, pack_signs, tanimoto, word_shingles
+from tallywright.plans import ranks, scans, scores
+from tallywright.shipping import ship
 from tallywright.sources.files import read_any, read_csv, read_fasta
 from tallywright.sources.tables import find_column, read, with_optional
 
@@ -35,6 +40,38 @@ def test_ranks_over_many_values(spark):
     assert sorted(map(tuple, top.collect())) == [(998, 6, 8.0, 2, 5000, 1000), (999, 1, 3.0, 1, 5000, 1000)]
 
 
+def test_row_numbers_over_a_frequent_value(spark):
+    rows = [(i, None if i % 50 == 0 else 7 if i % 3 else i % 11) for i in range(1000)]
+    df = spark.createDataFrame(rows, "id long, v long").repartition(5)
+    for down in (True, False):
+        order = sorted(rows, key=lambda r: (r[1] is None, (-r[1] if down else r[1]) if r[1] is not None else 0, r[0]))
+        assert values(global_row_numbers(df, "v", "id", down).orderBy("rank"), "id", "v", "rank") == [(*r, i + 1) for i, r in enumerate(order)]
+    assert global_row_numbers(df.where("false"), "v", "id").count() == 0
+
+
+def test_no_task_numbers_a_table(spark):
+    """Row numbers without a partition are those of at most 200 rows."""
+    for query, n in ((ranks.derive_rank_fallback, 0), (scores.rank_compare_methods, 0), (scans.explorer_filter_sort, 1)):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert len(re.findall(r"row_number\(\) windowspecdefinition\([^,]*(?:ASC|DESC)", plan)) == n
+
+
+def test_dominance_counts_in_blocks(spark):
+    rows = [(i, None if i % 97 == 0 else "hot" if i % 3 else "small", None if i % 89 == 0 else i * 7 % 5, math.nan if i % 41 == 0 else float(i * 13 % 17), i * 31 % 4) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, g string, u long, v double, w int")
+    key = lambda r: (r[2], math.inf if math.isnan(r[3]) else r[3], r[4])
+    beats = lambda a, b: a[1] is not None and a[1] == b[1] and None not in (a[2], b[2]) and key(a) != key(b) and all(x >= y for x, y in zip(key(a), key(b)))
+    want = [(r[0], sum(beats(o, r) for o in rows), sum(beats(r, o) for o in rows)) for r in rows]
+    block = pareto.BLOCK
+    try:
+        for pareto.BLOCK in (block, 16):
+            got = pareto.dominance_counts(ship(spark) and df, "g", ["u", "v", "w"])
+            assert sorted(values(got, "id", "n_dominating", "n_dominated")) == want
+    finally:
+        pareto.BLOCK = block
+    assert "collect_list" not in ranks.pareto_counts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_grouped_average_rank(spark):
     df = spark.createDataFrame([(1, 5), (1, 5), (1, 2), (2, 9)], "g int, v int")
     assert sorted(values(df.withColumn("r", average_rank(["g"], "v")), "g", "v", "r")) == [(1, 2, 3.0), (1, 5, 1.5), (1, 5, 1.5), (2, 9, 1.0)]
