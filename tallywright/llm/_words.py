@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Space and \t \n \v \f \r.
 WHITE = np.zeros(256, bool)
@@ -73,6 +74,22 @@ def in_blocks(texts: Iterable[str | None], most: int = 1 << 20) -> Iterator[tupl
         yield first, block
 
 
+def blocks(batches: Iterable[pa.RecordBatch], most: int = 1 << 20) -> Iterator[tuple[int, pa.Array, list[str | None]]]:
+    """Runs of rows (id, text) of about `most` characters: the first row's place in its batch, the ids, the texts.
+
+    Ids stay Arrow arrays, so neither nulls nor large numbers change them, and
+    the texts of a batch, which Spark bounds by bytes, become Python's a run at a time.
+    """
+    for batch in batches:
+        ids, texts = batch.column(0), batch.column(1)
+        size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).cumsum()
+        first = 0
+        while first < batch.num_rows:
+            stop = int(np.searchsorted(size, (size[first - 1] if first else 0) + most)) + 1
+            yield first, ids.slice(first, stop - first), texts.slice(first, stop - first).to_pylist()
+            first = stop
+
+
 def give_back() -> None:
     """Return freed memory to the system at a task's end; idle workers would hold it while others need it."""
     pa.default_memory_pool().release_unused()

@@ -1,10 +1,13 @@
 """Cover tree, MinHash, toxicity, packing and the pipeline against brute force."""
 
+import json
 import zlib
 
 import numpy as np
 import public_tokenizers as P
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -205,11 +208,60 @@ def test_pack_fills_bins(seed):
     assert len(bins) <= [least + 1, least * 1.03, 50, 2][seed]
 
 
-def test_exchanges_empty_a_bin():
-    """Best fit takes three bins for 6+4, 5+3, 2 of limit 10 when placed badly; the search needs two."""
-    assert len(packing.pack(np.array([6, 5, 4, 3, 2]), 10)) == 2
-    assert len(packing.pack(np.array([7, 6, 3, 2, 2]), 10)) == 2
-    assert packing.pack(np.array([], np.int64), 10) == []
+def fewest(lengths, limit):
+    """The fewest bins, by trying every place for each length."""
+    best = len(lengths)
+
+    def place(i, fills):
+        nonlocal best
+        if len(fills) >= best:
+            return
+        if i == len(lengths):
+            best = len(fills)
+            return
+        for k in range(len(fills)):
+            if fills[k] + lengths[i] <= limit and fills[k] not in fills[:k]:
+                place(i + 1, [*fills[:k], fills[k] + lengths[i], *fills[k + 1 :]])
+        place(i + 1, [*fills, lengths[i]])
+
+    place(0, [])
+    return best
+
+
+@pytest.mark.parametrize(
+    "lengths",
+    [
+        [19, 19, 13, 13, 8, 7, 6, 6, 5, 2],
+        [19, 14, 14, 11, 10, 7, 6, 5, 4, 4, 3],
+        [19, 13, 12, 6, 5, 5, 5, 5, 4, 2, 2],
+        [13, 12, 12, 6, 6, 6, 6, 5, 4, 3, 3],
+        [19, 19, 14, 8, 8, 7, 6, 6, 6, 3, 2],
+    ],
+)
+def test_exchanges_empty_a_bin(lengths):
+    """Best fit alone takes one bin more than needed; exchanges empty it."""
+    lengths = np.array(lengths)
+    best = fewest(lengths.tolist(), 20)
+    assert len(packing.pack(lengths, 20, rounds=0)) == best + 1
+    bins = packing.pack(lengths, 20)
+    assert len(bins) == best and sorted(i for b in bins for i in b) == list(range(len(lengths)))
+
+
+def test_exchanges_on_random_lengths():
+    rng = np.random.default_rng(9)
+    more = fewer = 0
+    for _ in range(150):
+        lengths = rng.integers(1, 20, rng.integers(0, 9))
+        bins = packing.pack(lengths, 20)
+        assert sorted(i for b in bins for i in b) == list(range(len(lengths))) and all(lengths[b].sum() <= 20 for b in bins)
+        best = fewest(lengths.tolist(), 20) if len(lengths) else 0
+        assert best <= len(bins) <= len(packing.pack(lengths, 20, rounds=0))
+        more += len(bins) > best
+    assert more <= 3
+    for n in (300, 900):
+        lengths = rng.integers(1000, 1500, n)
+        fewer += len(packing.pack(lengths, 4096, rounds=0)) - len(packing.pack(lengths, 4096))
+    assert fewer > 0
 
 
 def check_packing(rows, texts):
@@ -236,6 +288,31 @@ def test_packing_query(spark):
     check_packing(queries.op9_packing(spark, SF).collect(), texts)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="aAbdeElLrRsStTvmIiİßéÉŁłŉ'’0159²½ªº.,<|>-_\x01\x1c \t\u0301ſµ", max_size=30), max_size=6))
+def test_word_ids_are_the_library_s(texts):
+    tokenizer = Tokenizer.from_file(WORD)
+    tokenizer.encode_special_tokens = True
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert packing.tokenizer(WORD).encode(texts) == want
+
+
+def test_word_ranks_agree_with_the_merges(tmp_path):
+    assert len(packing.read_ranks(WORD)) == 49406
+    with open(WORD, encoding="utf-8") as f:
+        told = json.load(f)
+    told["normalizer"] = None
+    (tmp_path / "other.json").write_text(json.dumps(told), encoding="utf-8")
+    assert packing.read_ranks(str(tmp_path / "other.json")) is None
+
+
+def test_packing_keeps_ids(spark):
+    big = 2**60 + 1
+    df = spark.createDataFrame([(big, "a b"), (None, "c"), (big, "a b"), (7, None)], "doc_id long, text string").coalesce(1)
+    got = packing.pack_pieces(packing.cut_pieces(df, WORD)).collect()
+    assert sorted((r["doc_id"] or 0, r["length"]) for r in got) == [(0, 2), (7, 1), (big, 3), (big, 3)] and len({r["offset"] for r in got}) == 4
+
+
 def test_packing_odd_texts(spark):
     texts = dict(enumerate([None, "", "İ é é <|endoftext|>", "a\x1cb \x85c　d", "x" * 30000, "tok " * 9000, "ÀB's 12 3"]))
     df = spark.createDataFrame([(k, t, 0) for k, t in texts.items()], "doc_id long, text string, length int")
