@@ -9,11 +9,13 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallywright.llm._words import blocks
 
 #: A worker remembers the ids of so many pieces of text of at most so many characters.
 CACHE, PIECE = 400_000, 40
@@ -207,18 +209,6 @@ def encoder(path: str, pattern: str) -> Encoder:
     return _encoders[path, pattern]
 
 
-def runs(texts: list, most: int = TOGETHER) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about `most` characters."""
-    first = total = 0
-    for i, t in enumerate(texts):
-        if total > most:
-            yield first, i
-            first, total = i, 0
-        total += len(t) if isinstance(t, str) else 0
-    if first < len(texts):
-        yield first, len(texts)
-
-
 def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text", decoded: bool = False) -> DataFrame:
     """docs with a column token_ids, the ids as decimals joined by single spaces, in place of the texts.
 
@@ -228,7 +218,8 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text", d
     Each match of `pattern` is encoded separately, without special tokens; a
     word that is a token is that token, others are merged from bytes in rank
     order. Null and empty texts have no ids (an empty string). Rows and other
-    columns stay as they are; columns token_ids and decoded are replaced.
+    columns stay as they are, null, repeated or large ids too; columns token_ids
+    and decoded are replaced, and an empty table gives none.
 
     The corpus is encoded where it lies: each run of about 6 million characters
     of a partition is cut into its distinct words, whose merges are replayed
@@ -236,17 +227,14 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text", d
     past which words are just encoded again. No word list is gathered or sent,
     so nothing is shuffled and no memory grows with the corpus.
     """
-    docs = docs.drop("token_ids", "decoded")
-    kept = [f for f in docs.schema.fields if f.name != text]
-    schema = T.StructType([*kept, T.StructField("token_ids", T.StringType()), *[T.StructField("decoded", T.BinaryType())] * decoded])
+    rest = [c for c in docs.columns if c not in (text, "token_ids", "decoded")]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest") if rest else F.lit(None).cast("int").alias("rest"), F.col(f"`{text}`").cast("string").alias("text"))
+    schema = T.StructType([rows.schema["rest"], T.StructField("token_ids", T.StringType()), *[T.StructField("decoded", T.BinaryType())] * decoded])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, pattern)
-        for batch in batches:
-            texts = batch.pop(text).tolist()
-            for a, b in runs(texts):
-                out = batch.iloc[a:b].assign(token_ids=e.encode([t if isinstance(t, str) else "" for t in texts[a:b]]))
-                texts[a:b] = [None] * (b - a)
-                yield out.assign(decoded=[e.decode(i) for i in out["token_ids"]]) if decoded else out
-
-    return docs.mapInPandas(run, schema)
+        for _, kept, texts in blocks(batches, TOGETHER):
+            ids = e.encode([t or "" for t in texts])
+            yield pa.RecordBatch.from_arrays([kept, pa.array(ids, pa.string()), *[pa.array([e.decode(i) for i in ids], pa.binary())] * decoded], schema.names)
+
+    return rows.mapInArrow(run, schema).select(*["rest.*"] * bool(rest), *schema.names[1:])

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tallywright.llm._words import blocks, give_back
 
 WIDTH = 64
 _SIGN = b"\x89PNG\r\n\x1a\n"
@@ -125,50 +129,55 @@ def cosine_hash(samples: np.ndarray) -> str:
 
 
 def media_column(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, n_bytes, media): every text's payload as a PNG of 64 samples a row. Null is the empty text, a row of zeros."""
+    """(key, n_bytes, media): every text's payload as a PNG of 64 samples a row.
+
+    A null or empty text is a row of zeros. Keys of any type, null or repeated,
+    pass through as they are; every row stays, other columns are left out
+    whatever their names, and an empty table gives none. A task turns about a
+    million characters into pictures at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, keys, texts in blocks(batches):
+            media = [encode_png(np.frombuffer(payload_of(t), np.uint8).reshape(-1, WIDTH)) for t in texts]
+            size = pa.array([len(t.encode()) if t else 0 for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([keys, size, pa.array(media, pa.binary())], ["key", "n_bytes", "media"])
+        give_back()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            media, size = [], []
-            for t in batch["text"]:
-                data = payload_of(t)
-                size.append(len(t.encode()) if t else 0)
-                media.append(encode_png(np.frombuffer(data, np.uint8).reshape(-1, WIDTH)))
-            yield pd.DataFrame({"key": batch["key"], "n_bytes": size, "media": media})
-
-    kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
-    return rows.mapInPandas(run, f"key {kind}, n_bytes long, media binary").withColumnRenamed("key", key)
+    schema = T.StructType([T.StructField("key", docs.schema[key].dataType), *_MEDIA.fields])
+    return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
+
+
+_MEDIA = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
+_FEATURES = T.StructType(
+    [
+        *[T.StructField(c, T.LongType() if c in ("payload_bytes", "tail_crc32", "media_bytes") else T.StringType())
+          for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")],
+    ]
+)
 
 
 def media_features(media: DataFrame, key: str) -> DataFrame:
-    """Of (key, n_bytes, media), from the stored bytes: sizes and digests of payload and picture, and feature, the cosine hash."""
-    import hashlib
+    """Of (key, n_bytes, media), from the stored bytes: sizes and digests of payload and picture, and feature, the cosine hash.
+
+    Pictures are read one after another; one that is damaged or null raises.
+    Keys pass through as they are, repeated rows stay, other columns are left
+    out, and an empty table gives none.
+    """
+
+    def features(stored: bytes) -> tuple:
+        samples = decode_png(stored)
+        data = samples.tobytes()
+        return len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-WIDTH:]), len(stored), hashlib.sha256(stored).hexdigest(), cosine_hash(samples)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for stored in batch["media"]:
-                stored = bytes(stored)
-                samples = decode_png(stored)
-                data = samples.tobytes()
-                rows.append(
-                    (
-                        len(data),
-                        hashlib.sha256(data).hexdigest(),
-                        zlib.crc32(data[-WIDTH:]),
-                        len(stored),
-                        hashlib.sha256(stored).hexdigest(),
-                        cosine_hash(samples),
-                    )
-                )
-            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            out = pd.DataFrame(rows, columns=names)
-            yield pd.concat([batch[["key", "n_bytes"]].reset_index(drop=True), out], axis=1)
-
-    kind = media.schema[key].dataType.simpleString()
-    schema = (
-        f"key {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long,"
-        " media_bytes long, media_sha256 string, feature string"
-    )
-    return media.withColumnRenamed(key, "key").mapInPandas(run, schema).withColumnRenamed("key", key)
+            if batch.num_rows:
+                rows = [features(x.as_buffer().to_pybytes()) for x in batch.column("media")]
+                yield pa.RecordBatch.from_arrays([*batch.select(["key", "n_bytes"]).columns, *[pa.array(c) for c in zip(*rows, strict=True)]], ["key", "n_bytes", *_FEATURES.names])
+        give_back()
+
+    rows = media.select(F.col(f"`{key}`").alias("key"), "n_bytes", "media")
+    schema = T.StructType([*rows.select("key", "n_bytes").schema.fields, *_FEATURES.fields])
+    return rows.mapInArrow(run, schema).withColumnRenamed("key", key)

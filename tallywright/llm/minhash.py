@@ -8,12 +8,14 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.llm._components import connected_components
 from tallywright.llm._store import discard, materialize, small_side
-from tallywright.llm._words import WHITE, give_back, in_blocks, mix, word_hashes
+from tallywright.llm._words import WHITE, blocks, give_back, in_blocks, mix, word_hashes
 
 WORDS = 5
 #: Sets link when 100 * intersection >= PERCENT * union.
@@ -30,6 +32,8 @@ COLLISION = 0.169919487159739 * 2.0**-MANTISSA
 #: Sets of at most SMALL shingles fill too few buckets: these meet in the least
 #: hashes of their sets instead, which lose no link; so do sets of up to SMALL / 0.75.
 SMALL = 12
+#: Characters of texts that are confirmed together.
+VERIFY = 4 << 20
 #: A bucket of documents is compared in blocks of so many.
 BLOCK = 512
 
@@ -93,33 +97,25 @@ def sketch(docs: DataFrame) -> DataFrame:
     the hashes by which small sets meet, null for others.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ids = batch["doc_id"]
-            for first, block in in_blocks(batch["text"].tolist()):
-                s, owner, w, n = shingle_sets(block)
-                size = np.bincount(owner, minlength=len(block))
-                regs = registers(s, owner, len(block))
-                at, end = np.cumsum(n) - n, np.cumsum(size)
-                digest = [np.frombuffer(hashlib.blake2b(w[a : a + k].tobytes(), digest_size=16).digest(), np.int64) if k else None for a, k in zip(at, n, strict=True)]
-                least = [
-                    s[e - k : e - k + k - -(-PERCENT * k // 100) + 1].view(np.int64).tolist() if 0 < k <= SMALL * 100 // PERCENT else None
-                    for k, e in zip(size.tolist(), end.tolist(), strict=True)
-                ]
-                yield pd.DataFrame(
-                    {
-                        "doc_id": ids.iloc[first : first + len(block)].to_numpy(),
-                        "d1": pd.array([None if d is None else int(d[0]) for d in digest], "Int64"),
-                        "d2": pd.array([None if d is None else int(d[1]) for d in digest], "Int64"),
-                        "n_shingles": size,
-                        "registers": [r.tobytes() for r in regs],
-                        "least": least,
-                    }
-                )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, ids, texts in blocks(batches):
+            block = [t.encode() if t else b"" for t in texts]
+            s, owner, w, n = shingle_sets(block)
+            size = np.bincount(owner, minlength=len(block))
+            regs = registers(s, owner, len(block))
+            at, end = np.cumsum(n) - n, np.cumsum(size)
+            digest = [np.frombuffer(hashlib.blake2b(w[a : a + k].tobytes(), digest_size=16).digest(), np.int64).tolist() if k else [None] * 2 for a, k in zip(at, n, strict=True)]
+            least = [
+                s[e - k : e - k + k - -(-PERCENT * k // 100) + 1].view(np.int64).tolist() if 0 < k <= SMALL * 100 // PERCENT else None
+                for k, e in zip(size.tolist(), end.tolist(), strict=True)
+            ]
+            columns = [*[pa.array([d[i] for d in digest], pa.int64()) for i in (0, 1)], pa.array(size, pa.int64())]
+            columns += [pa.array([r.tobytes() for r in regs], pa.binary()), pa.array(least, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([ids, *columns], ["doc_id", "d1", "d2", "n_shingles", "registers", "least"])
         give_back()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInPandas(run, "doc_id long, d1 long, d2 long, n_shingles long, registers binary, least array<long>")
+    return rows.mapInArrow(run, "doc_id long, d1 long, d2 long, n_shingles long, registers binary, least array<long>")
 
 
 def _band_keys(regs: np.ndarray) -> np.ndarray:
@@ -144,18 +140,21 @@ def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     give_back()
 
 
-def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Those rows (a, b, text_a, text_b) whose full sets link, as (a, b)."""
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Those rows (a, b, text_a, text_b) whose full sets link, as (a, b); a few texts at a time are in memory as sets."""
     for batch in batches:
-        texts: dict[str, int] = {}
-        a = [texts.setdefault(t or "", len(texts)) for t in batch["text_a"]]
-        b = [texts.setdefault(t or "", len(texts)) for t in batch["text_b"]]
-        sets: list[np.ndarray] = []
-        for _, block in in_blocks(list(texts)):
-            s, owner, _, _ = shingle_sets(block)
-            sets += np.split(s, np.cumsum(np.bincount(owner, minlength=len(block)))[:-1])
-        good = [_links(sets[i], sets[j]) for i, j in zip(a, b, strict=True)]
-        yield batch.loc[good, ["a", "b"]]
+        ends = sum(pc.binary_length(batch.column(c)).to_numpy(zero_copy_only=False) for c in (2, 3)).cumsum()
+        first = 0
+        while first < batch.num_rows:
+            stop = int(np.searchsorted(ends, (ends[first - 1] if first else 0) + VERIFY)) + 1
+            part = batch.slice(first, stop - first)
+            first = stop
+            texts: dict[str, int] = {}
+            a, b = ([texts.setdefault(t, len(texts)) for t in part.column(c).to_pylist()] for c in (2, 3))
+            s, owner, _, _ = shingle_sets([t.encode() for t in texts])
+            sets = np.split(s, np.cumsum(np.bincount(owner, minlength=len(texts)))[:-1])
+            good = pa.array([_links(sets[i], sets[j]) for i, j in zip(a, b, strict=True)], pa.bool_())
+            yield part.select([0, 1]).filter(good)
     give_back()
 
 
@@ -170,7 +169,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     first = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     second = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.select("a", "b").join(first, "a").join(second, "b")
-    return joined.select("a", "b", "text_a", "text_b").mapInPandas(_verify, "a long, b long")
+    return joined.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long")
 
 
 def _grouped(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[tuple[int, int]]]]:

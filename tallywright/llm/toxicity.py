@@ -7,24 +7,26 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallywright.llm._store import materialize
-from tallywright.llm._words import NOT_ALNUM, give_back, in_blocks, mix, word_hashes
+from tallywright.llm._store import discard, materialize
+from tallywright.llm._words import NOT_ALNUM, blocks, give_back, in_blocks, mix, word_hashes
 
 #: Labelled rows that the models are fitted on, of each class: those of the
 #: smallest hashes. A quarter of them sets the two numbers of the final scale.
 PER_CLASS = 6000
-#: What Kneser-Ney smoothing takes off each count.
+#: Rows of the model that the driver takes at most; a sample that gives more raises.
+MODEL_ROWS = 20_000_000
+#: What Kneser-Ney smoothing takes off a count; a count of one goes to the shared
+#: backoff whole.
 DISCOUNT = 0.75
-#: How many counts of the shared model stand against an expression's own.
-BACKOFF = 8.0
-#: Expressions seen in fewer sampled documents back off to the shared counts.
-LEAST_DOCS = 2
-#: What most word pairs of a text say counts as its language or subject; so many
-#: pairs of a prior that says nothing stand against it, and it is at most so much
+#: How many shared counts stand against a class's own ones of a word or stem, and of a pair of words.
+WORD_BACKOFF, PAIR_BACKOFF = 1.0, 8.0
+#: What most words of a text say counts as its language or subject; so many
+#: words of a prior that says nothing stand against it, and it is at most so much
 #: towards toxic. Evidence that a short or densely toxic text repeats thus stays.
 USUAL_PRIOR, USUAL_MOST = 20.0, 0.5
 
@@ -34,21 +36,32 @@ STEMS = (6, 4)
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Level(NamedTuple):
-    """Sorted hashes of expressions, their counts by class (ordinary, toxic) and shared share; the last row is the unseen one."""
+class Shares(NamedTuple):
+    """Sorted hashes, their shared probability, and what each class (ordinary, toxic) makes of it."""
 
     keys: np.ndarray
-    count: np.ndarray
     shared: np.ndarray
-    total: np.ndarray
+    by_class: np.ndarray
 
 
 class Model(NamedTuple):
-    """Words, their two stems, and pairs of words; a logistic curve at the end."""
+    """Two Kneser-Ney models over pairs of words, and a logistic curve.
+
+    P(w | v) of a class is (A * B + L * P(w)) / Z: A, the discounted share of the
+    pair among the pairs of history v, and L, what the discounts left, are counts
+    of both classes; B leans A to the class. P(w) is a product over the word's
+    first bytes, more of them, and the whole word, each again a shared share
+    (from continuation counts) leaned to the class; Z makes every history sum to
+    1. `levels` hold, for a known word, for an unknown word of a known longer
+    stem, and of a known shorter stem, the shared P(w) and the classes' factor
+    to it; `unknown` is that of all other words.
+    """
 
-    levels: tuple[Level, ...]
-    pairs: Level
-    curve: np.ndarray  # weights of features(), then the offset
+    levels: tuple[Shares, ...]
+    unknown: np.ndarray
+    pairs: Shares  # A and B
+    histories: Shares  # L and Z
+    curve: np.ndarray  # the weight of features(), then the offset
 
 
 def held_out(doc_id: Column) -> Column:
@@ -56,8 +69,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def _tokens(texts, most: int = 1 << 20) -> Iterator[tuple[int, int, list[np.ndarray], np.ndarray, np.ndarray]]:
-    """Of each run of texts: its first place, its length, and of the different word pairs of each text: words, stems and pairs, whether a word stands before, the text.
+def _tokens(texts, most: int = 1 << 20) -> Iterator[tuple[int, int, list[np.ndarray], np.ndarray]]:
+    """Of each run of texts: its first place, its length, and of the different word pairs of each text: words, stems, pairs and the words before (0 at a text's start), and the text.
 
     A pair that a text repeats counts once, so that a repeated line doesn't outvote the rest.
     """
@@ -73,26 +86,23 @@ def _tokens(texts, most: int = 1 << 20) -> Iterator[tuple[int, int, list[np.ndar
         new = np.ones(len(w), bool)
         new[1:] = (pair[order][1:] != pair[order][:-1]) | (of[order][1:] != of[order][:-1])
         at = np.sort(order[new])
-        yield first, len(block), [x[at] for x in (w, *stems, pair, before)], follows[at], of[at]
+        yield first, len(block), [x[at] for x in (w, *stems, pair, before)], of[at]
 
 
-def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of the expressions of labelled texts, summed over each run of them; level 3 are pairs, with their words."""
-    for batch in batches:
-        toxic = batch["toxic"].to_numpy(np.int64)
-        for first, _, (w, *stems, pair, before), follows, of in _tokens(batch["text"].tolist(), 4 << 20):
-            label = toxic[first + of]
-            none = np.zeros_like(w)
-            for level, gram in enumerate((w, *stems)):
-                yield _summed(level, gram, none, none, label, of)
-            yield _summed(3, pair[follows], before[follows], w[follows], label[follows], of[follows])
-    give_back()
+#: Pairs of words with the stems of the second one and their counts in ordinary and toxic texts.
+_PAIRS = T.StructType([T.StructField(c, T.LongType()) for c in ("first", "last", "long", "short", "n0", "n1")])
 
 
-def _summed(level, gram, first, last, label, of) -> pd.DataFrame:
-    frame = pd.DataFrame({"gram": gram.view(np.int64), "first": first.view(np.int64), "last": last.view(np.int64), "toxic": label, "of": of})
-    out = frame.groupby(["gram", "first", "last", "toxic"], sort=False)["of"].agg(["size", "nunique"]).reset_index()
-    return out.rename(columns={"size": "n", "nunique": "docs"}).assign(level=level)
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of labelled texts (toxic, text), counts of word pairs, summed over each run of texts."""
+    for _, labels, texts in blocks(batches, 4 << 20):
+        toxic = labels.to_numpy(zero_copy_only=False).astype(np.int64)
+        for first, _, (w, *stems, pair, before), of in _tokens(texts, 8 << 20):
+            _, at, group = np.unique(pair, return_index=True, return_inverse=True)
+            label = toxic[first + of]
+            count = [np.bincount(group[label == c], minlength=len(at)) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (*[x[at] for x in (before, w, *stems)], *count)], _PAIRS.names)
+    give_back()
 
 
 def sample_labels(labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
@@ -111,77 +121,117 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     """The models of documents (doc_id, text) and labels (doc_id, toxic); None if a class has no text to learn from.
 
     Counts are made by the executors over the whole texts of the sample, whose
-    bound is per_class; what reaches the driver are the counts of expressions in
-    at least LEAST_DOCS of its documents, and three numbers for each document
-    that sets the curve. Null labels and ids are ignored; of several labels of
-    one document the higher counts.
+    bound is per_class. A pair, word or stem of a single count passes it whole
+    to what it backs off to, where the counts include it, so only others are
+    rows of the model: these reach the driver, at most MODEL_ROWS of them, and
+    one number for each document that sets the curve. Null labels and ids are
+    ignored; of several labels of one document the higher counts.
     """
     chosen = materialize(sample_labels(labels, per_class), "sample")
     share = dict(_known(labels).groupBy("toxic").count().collect())
     texts = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    by_class = lambda c, what: F.sum(F.when(F.col("toxic") == c, F.col(what)).otherwise(0)).alias(f"{what}{c}")
-    grams = materialize(
-        texts.where("not calibrate")
-        .select("text", "toxic")
-        .mapInPandas(_grams, "gram long, first long, last long, toxic long, n long, docs long, level int")
-        .groupBy("level", "gram", "first", "last")
-        .agg(by_class(0, "n"), by_class(1, "n"), F.sum("docs").alias("docs")),
-        "grams",
-    )
-    some = lambda c: F.sum((F.col(f"n{c}") > 0).cast("long")).alias(f"kinds{c}")
-    sums = grams.groupBy("level").agg(F.sum("n0"), F.sum("n1"), some(0), some(1), F.count("*")).collect()
-    sums = {r[0]: np.array(r[1:], float) for r in sums}
-    if 0 not in sums or min(sums[0][:2]) == 0:
+    n = [F.sum("n0").alias("n0"), F.sum("n1").alias("n1")]
+    stems = [F.first("long").alias("long"), F.first("short").alias("short")]
+    pairs = materialize(texts.where("not calibrate").select("toxic", "text").mapInArrow(_grams, _PAIRS).groupBy("first", "last").agg(*n, *stems), "pairs")
+    # How many different words a word follows, in either class, is its continuation count.
+    words = materialize(pairs.groupBy("last").agg(*n, F.count("*").alias("follows"), *stems), "words")
+    total = [*n, F.sum("follows").alias("follows")]
+    root = words.agg(*total).first()
+    if not root["n0"] or not root["n1"]:
         return None
-    pairs = grams.where("level = 3")
-    before = pairs.groupBy(F.col("last").alias("gram")).agg(F.count("*").alias("before"))
-    often = grams.where(F.col("docs") >= LEAST_DOCS).select("level", "gram", "n0", "n1")
-    words = often.where("level = 0").join(before, "gram", "left").fillna(0).toPandas()
-    words = words.sort_values("gram", key=lambda x: x.to_numpy(np.int64).view(np.uint64))
-    rest = often.where("level > 0").toPandas()
-    model = _model(words, rest, sums)
-    seen = features_of(texts.where("calibrate").select("toxic", "text"), model).toPandas()
-    y = seen["toxic"].to_numpy(float)
+    long = words.groupBy("long").agg(*total, F.first("short").alias("short"))
+    tables = {
+        "words": words.where("follows > 1"),
+        "long": long.where("follows > 1"),
+        "short": words.groupBy("short").agg(*total).where("follows > 1"),
+        "pairs": pairs.where("n0 + n1 > 1"),
+        "histories": pairs.groupBy("first").agg(*n, F.max(F.col("n0") + F.col("n1")).alias("most")).where("most > 1").drop("most"),
+    }
+    rows = {k: t.count() for k, t in tables.items()}
+    if sum(rows.values()) > MODEL_ROWS:
+        raise ValueError(f"a model of {rows} rows; take a smaller per_class")
+    held = {k: {c: x.to_numpy() for c, x in zip(t.columns, t.toArrow().itercolumns(), strict=True)} for k, t in tables.items()}
+    model = _model(np.array([root[c] for c in ("n0", "n1", "follows")], float), **held)
+    seen = features_of(texts.where("calibrate").select("toxic", "text"), model).toArrow()
+    discard(pairs, words, chosen)
+    y = seen["toxic"].to_numpy().astype(float)
     size = np.array([max(1, (y == c).sum()) for c in (0, 1)])
     weight = np.array([share.get(c, 0) for c in (0, 1)])[y.astype(int)] / size[y.astype(int)]
-    return model._replace(curve=_curve(np.array(seen["features"].tolist(), float).reshape(-1, 2), y, weight))
+    return model._replace(curve=_curve(seen["feature"].to_numpy().reshape(-1, 1), y, weight))
 
 
-def _model(words: pd.DataFrame, rest: pd.DataFrame, sums: dict[int, np.ndarray]) -> Model:
-    """The model of collected counts: words with the number of different ones before them, stems and pairs, and the sums of each level."""
-    none = np.zeros((1, 2))
-    table = lambda f, a: np.vstack([f[[f"{a}0", f"{a}1"]].to_numpy(float), none])
+def _sorted(table: dict[str, np.ndarray], by: str) -> dict[str, np.ndarray]:
+    """The table in the order of a column of hashes, which are unsigned from here on."""
+    table = {c: x.view(np.uint64) if c in ("first", "last", "long", "short", "key") else x.astype(float) for c, x in table.items()}
+    order = np.argsort(table[by])
+    return {c: x[order] for c, x in table.items()}
 
-    def level(k: int, frame: pd.DataFrame, share: np.ndarray | None = None) -> Level:
-        frame = frame.sort_values("gram", key=lambda x: x.to_numpy(np.int64).view(np.uint64))
-        count, all_of = table(frame, "n"), sums.get(k, np.zeros(5))
-        if share is None:
-            share = (count.sum(axis=1) + 0.5) / (all_of[:2].sum() + 0.5 * (all_of[4] + 1))
-        return Level(frame["gram"].to_numpy(np.int64).view(np.uint64), count, share, np.maximum(all_of[:2], 1))
 
-    # A word's shared share is that of the different words which it follows, in either class.
-    follows = (np.append(words["before"].to_numpy(float), 0) + 0.5) / (sums.get(3, np.zeros(5))[4] + 0.5 * (sums[0][4] + 1))
-    levels = (level(0, words, follows), *[level(k, rest[rest["level"] == k]) for k in (1, 2)])
-    return Model(levels, level(3, rest[rest["level"] == 3]), np.array([1.0, 0.0, 0.0]))
+def _leaned(shared, n, expected, parent, parents, lean, backoff) -> tuple[np.ndarray, np.ndarray]:
+    """Each class's factor to a shared share, and what all of a parent's children come to with it, the unknown ones included.
+
+    shared is the child's share of its parent; n are its counts by class,
+    expected those of a class like all others, `backoff` of which stand beside
+    them, leaned as `lean` says.
+    """
+    factor = (n + backoff * lean) / (expected + backoff)
+    rest = 1 - np.bincount(parent, shared, parents)
+    whole = np.column_stack([np.bincount(parent, shared * factor[:, c], parents) + rest for c in (0, 1)])
+    return factor, whole
+
+
+def _model(root: np.ndarray, words: dict, long: dict, short: dict, pairs: dict, histories: dict) -> Model:
+    """The model of counts: n0 and n1 by class, and follows, of how many pairs a word or stem is the second."""
+    by_class = lambda t: np.column_stack([t["n0"], t["n1"]])
+    words, long, short = _sorted(words, "last"), _sorted(long, "long"), _sorted(short, "short")
+    pairs, histories = _sorted(pairs, "last"), _sorted(histories, "first")
+    above = {"n": root[None, :2], "follows": root[2:], "shared": np.ones(1), "factor": np.ones((1, 2))}
+    levels, unknown = [], None
+    for table, parent in ((short, np.zeros(len(short["n0"]), np.int64)), (long, _find(short["short"], long["short"])), (words, _find(long["long"], words["long"]))):
+        n = by_class(table)
+        share = (table["follows"] - DISCOUNT) / above["follows"][parent]
+        expected = above["n"][parent] * (n.sum(axis=1) / above["n"][parent].sum(axis=1))[:, None]
+        factor, whole = _leaned(share, n, expected, parent, len(above["n"]), 1.0, WORD_BACKOFF)
+        rest = 1 - np.bincount(parent, share, len(above["n"]))
+        # An unknown child has what the known ones leave; a stem's only unknown child is any word of it.
+        lost = above["shared"] * rest, above["factor"] / whole
+        if unknown is None:
+            unknown = np.concatenate([lost[0], lost[1][0]])
+        else:
+            levels.append(Shares(above["keys"], *lost))
+        above = {"n": n, "follows": table["follows"], "shared": above["shared"][parent] * share, "factor": above["factor"][parent] * factor / whole[parent]}
+        above["keys"] = table[("short", "long", "last")[len(levels)]]
+    levels.append(Shares(above["keys"], above["shared"], above["factor"]))
+    levels = tuple(levels[::-1])
+    of, n = _find(histories["first"], pairs["first"]), by_class(pairs)
+    whole_n = by_class(histories)
+    share = (n.sum(axis=1) - DISCOUNT) / whole_n.sum(axis=1)[of]
+    expected = whole_n[of] * (n.sum(axis=1) / whole_n.sum(axis=1)[of])[:, None]
+    _, lean = _word_shares(levels, unknown, (pairs["last"], pairs["long"], pairs["short"]))
+    factor, whole = _leaned(share, n, expected, of, len(whole_n), lean, PAIR_BACKOFF)
+    key = mix(pairs["first"] * _PAIR + pairs["last"])
+    order = np.argsort(key)
+    left = 1 - np.bincount(of, share, len(whole_n))
+    return Model(levels, unknown, Shares(key[order], share[order], factor[order]), Shares(histories["first"], left, whole), np.array([1.0, -1.0]))
 
 
 def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """A logistic curve through the features, by Newton's method with a slight pull to 0.
+    """A logistic curve through the features, by Newton's method with a slight pull to 0: their weights, then the offset.
 
     More evidence never lowers a score: a feature whose weight would be negative is left out.
     """
     if len(x) == 0 or len(set(y.tolist())) < 2:
-        return np.array([10.0, 0.0, -1.0])
+        return np.array([1.0] * x.shape[1] + [-1.0])
     weight = weight * len(x) / weight.sum()
     spread = np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
-    used = [0, 1]
+    used = list(range(x.shape[1]))
     while True:
         beta = _newton(np.column_stack([x[:, used] / spread[used], np.ones(len(x))]), y, weight)
         if not used or beta[:-1].min() >= 0:
             break
         del used[int(beta[:-1].argmin())]
-    out = np.zeros(3)
-    out[used], out[2] = beta[:-1] / spread[used], beta[-1]
+    out = np.zeros(x.shape[1] + 1)
+    out[used], out[-1] = beta[:-1] / spread[used], beta[-1]
     return out
 
 
@@ -207,47 +257,58 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[np.minimum(at, len(keys) - 1)] == wanted, at, len(keys))
 
 
-def _relative(level: Level, at: np.ndarray, tilt: np.ndarray | float) -> np.ndarray:
-    """Kneser-Ney likelihood of each class over the shared one.
+def _word_shares(levels: tuple[Shares, ...], unknown: np.ndarray, keys: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """The shared P(w) of words, longer and shorter stems, and each class's factor to it."""
+    shared, factor = np.full(len(keys[0]), unknown[0]), np.tile(unknown[1:], (len(keys[0]), 1))
+    todo = np.arange(len(keys[0]))
+    for level, key in zip(levels, keys, strict=True):
+        at = _find(level.keys, key[todo])
+        known = at < len(level.keys)
+        shared[todo[known]], factor[todo[known]] = level.shared[at[known]], level.by_class[at[known]]
+        todo = todo[~known]
+    return shared, factor
 
-    Counts are discounted; what is taken off, and BACKOFF counts more, go to the
-    shared share, tilted by what the next shorter expression says.
-    """
-    n, expected = level.count[at], level.shared[at][:, None] * level.total
-    return (np.maximum(n - DISCOUNT, 0) + (np.minimum(n, DISCOUNT) + BACKOFF) * tilt) / (expected + BACKOFF)
+
+def likelihoods(m: Model, words: tuple[np.ndarray, ...], before: np.ndarray) -> np.ndarray:
+    """P(w | v) in the ordinary and in the toxic model, of words (with their longer and shorter stems) and the words before them."""
+    shared, factor = _word_shares(m.levels, m.unknown, words)
+    at = _find(m.histories.keys, before)
+    left, whole = np.append(m.histories.shared, 1.0)[at], np.vstack([m.histories.by_class, np.ones((1, 2))])[at]
+    pair = _find(m.pairs.keys, mix(before * _PAIR + words[0]))
+    own, lean = np.append(m.pairs.shared, 0.0)[pair], np.vstack([m.pairs.by_class, np.ones((1, 2))])[pair]
+    return (own[:, None] * lean + (left * shared)[:, None] * factor) / whole
 
 
 def features(texts, m: Model) -> np.ndarray:
-    """Of each text, toxic less ordinary log-likelihood by number of expressions, and by its root; 0 without words."""
-    out = np.zeros((len(texts), 2))
-    for first, n, (w, long_stem, short_stem, pair, before), follows, of in _tokens(texts):
+    """Of each text, toxic less ordinary log-likelihood, both normalised by the root of the number of word pairs; 0 without words."""
+    out = np.zeros(len(texts))
+    for first, n, (w, *stems, _, before), of in _tokens(texts):
         if not len(w):
             continue
-        ratios: np.ndarray | float = 1.0
-        for level, keys in zip((*m.levels[::-1], m.pairs), (short_stem, long_stem, w, pair), strict=True):
-            ratios = _relative(level, _find(level.keys, keys), ratios)
-        ratio = np.log(ratios[:, 1]) - np.log(ratios[:, 0])
+        p = np.log(likelihoods(m, (w, *stems), before))
         words = np.bincount(of, minlength=n)
+        root = np.sqrt(np.maximum(words, 1))
+        ordinary, toxic = (np.bincount(of, p[:, c], n) / root for c in (0, 1))
         some = np.flatnonzero(words)
         first_of, n_of = (np.cumsum(words) - words)[some], words[some]
         # What most words of a text have in common is its language or its subject, as far as they are enough to tell.
+        ratio = p[:, 1] - p[:, 0]
         ranked = ratio[np.lexsort((ratio, of))]
         median = (ranked[first_of + (n_of - 1) // 2] + ranked[first_of + n_of // 2]) / 2
         usual = np.zeros(n)
         usual[some] = np.minimum(median * n_of / (n_of + USUAL_PRIOR), USUAL_MOST)
-        total, words = np.bincount(of, ratio, n) - usual * words, np.maximum(words, 1)
-        out[first : first + n] = np.column_stack([total / words, total / np.sqrt(words)])
+        out[first : first + n] = toxic - ordinary - usual * words / root
     return out
 
 
 def features_of(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column features in place of text."""
+    """docs with a column feature in place of text."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*docs.drop("text").schema.fields, T.StructField("features", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([*docs.drop("text").schema.fields, T.StructField("feature", T.DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.drop(columns="text").assign(features=list(features(batch["text"].tolist(), held.value)))
+            yield batch.drop(columns="text").assign(feature=features(batch["text"].tolist(), held.value))
 
     return docs.mapInPandas(run, schema)
 
@@ -261,7 +322,7 @@ def score_of(docs: DataFrame, model: Model | None, text: str = "text") -> Column
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            z = features(texts.tolist(), held.value) @ held.value.curve[:2] + held.value.curve[2]
+            z = features(texts.tolist(), held.value) * held.value.curve[0] + held.value.curve[1]
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -700, 700))))
         give_back()
 
@@ -278,7 +339,9 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
     score is 0 to 1, higher the likelier toxic; predicted is 1 from 0.5 on. Null
     and empty texts score what a text without evidence does. Without a model
-    every score is 0. Whole texts count, however long; every row stays.
+    every score is 0. Whole texts count, however long; every row stays, with or
+    without doc_id and repeated or not, and an empty table gives none. Other
+    columns are left out, whatever their names.
     """
     scored = docs.select("doc_id", score_of(docs, model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

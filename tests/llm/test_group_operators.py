@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from tallywright.llm import covertree, minhash, packing, queries, toxicity
 from tallywright.llm._components import connected_components
+from tallywright.llm._words import NOT_ALNUM, word_hashes
 from tests.compare import spark_rows, sql_rows
 from tests.conftest import SF
 
@@ -133,6 +134,10 @@ def test_near_duplicates_odd_rows(spark):
     got = sorted(map(tuple, minhash.near_duplicates(df).collect()), key=repr)
     assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (None, 2, None, True), (2, 2, 1, False), (3, 0, 3, True)], key=repr)
     assert minhash.near_duplicates(df.where("false")).count() == 0
+    big = 2**60 + 1
+    df = spark.createDataFrame([(None, "x y"), (big, "a b c d e"), (big + 1, "a b c d e"), (big + 2, None)], "doc_id long, text string").coalesce(1)
+    got = sorted(map(tuple, minhash.near_duplicates(df).collect()), key=repr)
+    assert got == sorted([(None, 1, None, True), (big, 1, big, True), (big + 1, 1, big, False), (big + 2, 0, big + 2, True)], key=repr)
 
 
 def test_estimates_follow_the_similarity():
@@ -175,6 +180,98 @@ def test_toxicity_odd_input(spark):
     assert [r["predicted"] for r in toxicity.score(docs, None).collect()] == [0] * 4
     model = toxicity.fit(spark.createDataFrame([(i, "bad" if i % 2 else "good") for i in range(40)], "doc_id long, text string"), spark.range(40).selectExpr("id as doc_id", "int(id % 2) as toxic"))
     assert all(0 <= r["score"] <= 1 for r in toxicity.score(docs, model).collect())
+    assert toxicity.score(docs.where("false"), model).count() == 0 and toxicity.fit(docs.where("false"), none) is None
+    clash = docs.selectExpr("doc_id", "text", "1 as score", "2 as predicted", "3 as toxic", "4 as calibrate")
+    assert sorted(map(str, toxicity.score(clash, model).collect())) == sorted(map(str, toxicity.score(docs, model).collect()))
+
+
+def plain_model(texts, labels):
+    """Both Kneser-Ney models of texts in dictionaries, words and stems as bytes: (v, w) -> P(w | v) of the ordinary and the toxic one."""
+    import re
+    from collections import Counter
+
+    stem = lambda w, k: (w[:k], len(w) >= k)
+    n = [Counter(), Counter()]
+    for t, c in zip(texts, labels):
+        w = [x.encode() for x in re.findall(r"[^\W_]+", t.lower())]
+        n[c].update(set(zip([None, *w], w)))
+    pairs = n[0] + n[1]
+    history = [Counter(), Counter(), Counter()]
+    for c in (0, 1):
+        for (v, w), k in n[c].items():
+            history[c][v] += k
+    history[2] = history[0] + history[1]
+    paths = lambda w: [("root",), ("short", stem(w, 4)), ("long", stem(w, 6)), ("word", w)]
+    follows, own = Counter(), [Counter(), Counter()]
+    for v, w in pairs:
+        for node in paths(w):
+            follows[node] += 1
+            for c in (0, 1):
+                own[c][node] += n[c][v, w]
+    parent = {b: a for _, w in pairs for a, b in zip(paths(w), paths(w)[1:])}
+    known = {x for x in parent if follows[x] > 1}
+    share = {x: (follows[x] - 0.75) / follows[parent[x]] for x in known}
+
+    def lean(x, c):
+        up, k = parent[x], own[0][x] + own[1][x]
+        return (own[c][x] + 1) / (k * own[c][up] / (own[0][up] + own[1][up]) + 1)
+
+    rest = lambda up: 1 - sum(share[x] for x in known if parent[x] == up)
+    whole = lambda up, c: rest(up) + sum(share[x] * lean(x, c) for x in known if parent[x] == up)
+
+    def word(w):
+        q, f = 1.0, [1.0, 1.0]
+        for up, x in zip(paths(w), paths(w)[1:]):
+            if x not in known:
+                return q * rest(up), [f[c] / whole(up, c) for c in (0, 1)]
+            q, f = q * share[x], [f[c] * lean(x, c) / whole(up, c) for c in (0, 1)]
+        return q, f
+
+    def probability(v, w):
+        q, f = word(w)
+        seen = [(x, k) for (h, x), k in pairs.items() if h == v and k > 1]
+        if not seen:
+            return [q * f[0], q * f[1]]
+        total = history[2][v]
+        left = 1 - sum(k - 0.75 for _, k in seen) / total
+        out = []
+        for c in (0, 1):
+            tilt = {x: (n[c][v, x] + 8 * word(x)[1][c]) / (k * history[c][v] / total + 8) for x, k in seen}
+            z = left + sum((k - 0.75) / total * tilt[x] for x, k in seen)
+            out.append((sum((k - 0.75) / total * tilt[x] for x, k in seen if x == w) + left * q * f[c]) / z)
+        return out
+
+    return probability
+
+
+def _hashed(words):
+    w, _, *stems = word_hashes([x.encode() for x in words], NOT_ALNUM, toxicity.STEMS)
+    return w, *stems
+
+
+def test_toxicity_models_against_dictionaries(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    vocabulary = ["a", "idiot", "idiotic", "idiots", "moronic", "morons", "scum", "loser", *[f"word{i}" for i in range(12)], *["thought", "through", "throne"]]
+    texts = [" ".join(rng.choice(vocabulary[8 * (i % 3 > 0) :], rng.integers(1, 9))) for i in range(120)]
+    labels = [int(i % 3 == 0) for i in range(120)]
+    monkeypatch.setattr(toxicity, "sample_labels", lambda t, per_class: t.withColumn("calibrate", F.lit(False)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int"))
+    plain = plain_model(texts, labels)
+    before = [None, "a", "idiot", "word3", "through", "unheard"]
+    asked = [(v, w) for v in before for w in [*vocabulary, "idio", "idiotx", "throttle", "new"]]
+    hash_of = lambda v: np.uint64(0) if v is None else _hashed([v])[0][0]
+    got = toxicity.likelihoods(model, _hashed([w for _, w in asked]), np.array([hash_of(v) for v, _ in asked], np.uint64))
+    want = np.array([plain(v and v.encode(), w.encode()) for v, w in asked])
+    assert np.allclose(got, want, rtol=1e-9)
+    # All known words, one unknown word of each stem and one of none: each history sums to 1 in both classes.
+    words, long, short = ([np.uint64(k) for k in level.keys] for level in model.levels)
+    stems = {int(w): (s6, s4) for w, s6, s4 in zip(*_hashed(vocabulary))}
+    short_of = {int(s6): s4 for s6, s4 in stems.values()}
+    events = [(w, *stems[int(w)]) for w in words] + [(np.uint64(1), s6, short_of[int(s6)]) for s6 in long] + [(np.uint64(1), np.uint64(2), s4) for s4 in short] + [(np.uint64(1), np.uint64(2), np.uint64(3))]
+    for v in before:
+        p = toxicity.likelihoods(model, tuple(np.array(x, np.uint64) for x in zip(*events)), np.full(len(events), hash_of(v)))
+        assert np.allclose(p.sum(axis=0), 1) and (p > 0).all()
 
 
 def test_toxicity_of_short_and_dense_texts(spark):

@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallywright.llm import bpe, chat, media, pii, queries, tokens, warc
-from tallywright.llm._store import new_path
+from tallywright.llm._store import materialize, new_path
 from tests.compare import spark_rows, sql_rows
 from tests.conftest import SF
 
@@ -147,6 +147,53 @@ def test_media_round_trip(spark):
         assert r["payload_sha256"] == hashlib.sha256(data).hexdigest() and r["media_sha256"] == hashlib.sha256(kept[r["doc_id"]]).hexdigest()
         assert len(r["feature"]) == 16
     assert media.media_features(stored.where("false"), "doc_id").count() == 0
+    big = 2**60 + 1
+    odd = spark.createDataFrame([(None, "a"), (big, "a"), (big, "a"), (7, None)], "doc_id long, text string").coalesce(1)
+    written = materialize(media.media_column(odd, "doc_id"), "media")
+    back = media.media_features(written, "doc_id").select("doc_id", "payload_sha256").collect()
+    digest = lambda raw: hashlib.sha256(raw + bytes(64 - len(raw))).hexdigest()
+    assert sorted(map(tuple, back), key=repr) == sorted([(None, digest(b"a")), (big, digest(b"a")), (big, digest(b"a")), (7, digest(b""))], key=repr)
+
+
+def test_media_query(spark):
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = queries.op4_media(spark, SF).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    for r in rows:
+        raw = texts[r["doc_id"]]
+        data = raw + bytes(-len(raw) % 64 if raw else 64)
+        stored = media.encode_png(np.frombuffer(data, np.uint8).reshape(-1, 64))
+        assert (r["n_bytes"], r["payload_bytes"], r["tail_crc32"], r["media_bytes"]) == (len(raw), len(data), zlib.crc32(data[-64:]), len(stored))
+        assert r["payload_sha256"] == hashlib.sha256(data).hexdigest() and r["media_sha256"] == hashlib.sha256(stored).hexdigest()
+        # The stored form is a picture that any reader of the format takes: filters undone by hand.
+        lines = np.frombuffer(zlib.decompress(stored[41 : 41 + int.from_bytes(stored[33:37], "big")]), np.uint8).reshape(-1, 65).astype(int)
+        above = np.zeros(64, int)
+        for y, line in enumerate(lines):
+            row = np.cumsum(line[1:]) % 256 if line[0] == 1 else (line[1:] + above * (line[0] == 2)) % 256
+            assert bytes(row.astype(np.uint8).tolist()) == data[64 * y : 64 * y + 64]
+            above = row
+        assert r["feature"] == media.cosine_hash(np.frombuffer(data, np.uint8).reshape(-1, 64))
+
+
+def test_token_count_query(spark):
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(PATH), special_tokens={})
+    n = [len(library.encode_ordinary(r["text"] or "")) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    rows = queries.op8_token_counts(spark, SF).collect()
+    assert sorted(r["n_tokens"] for r in rows) == sorted(set(n))
+    for r in rows:
+        x = r["n_tokens"]
+        assert (r["n_docs"], r["docs_le"], r["tokens_le"]) == (n.count(x), sum(v <= x for v in n), sum(v for v in n if v <= x))
+        assert (r["docs_gt"], r["tokens_gt"], r["truncated_total"]) == (sum(v > x for v in n), sum(v for v in n if v > x), sum(min(v, x) for v in n))
+        assert r["quantile"] == r["docs_le"] / len(n)
+
+
+def test_bpe_keeps_rows(spark):
+    big = 2**60 + 1
+    df = spark.createDataFrame([(None, "a b", None), (big, "a b", 1), (big, "a b", 1), (7, None, 2**60 + 3)], "doc_id long, text string, rest long").coalesce(1)
+    got = bpe.encode_texts(df, PATH, P.PATTERN).collect()
+    assert sorted([(r["doc_id"], r["rest"], r["token_ids"] != "") for r in got], key=repr) == sorted([(None, None, True), (big, 1, True), (big, 1, True), (7, 2**60 + 3, False)], key=repr)
+    assert bpe.encode_texts(df.where("false"), PATH, P.PATTERN).count() == 0
+    assert bpe.encode_texts(df.select("text"), PATH, P.PATTERN).columns == ["token_ids"]
 
 
 @pytest.mark.parametrize("filters", [[0], [1], [2], [3], [4], [0, 1, 2], [2, 2, 1, 4, 3]])
