@@ -10,16 +10,19 @@ from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
-#: Up to so many ids a semi-join or a small dimension is broadcast (8 bytes and
-#: hash-table room each: some 64 MB on an executor); above, Spark shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Up to so many rows, and so many bytes of strings in them, a semi-join's ids or
+#: a small dimension is broadcast (with hash-table room some 64 MB on an
+#: executor); above either, Spark shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set."""
+    """The cluster's checkpoint folder; a temporary one only in local mode, where none is set. On a cluster without one it raises."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    if not spark.conf.get("spark.master", "local").split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="tallywright-")
@@ -56,10 +59,12 @@ def discard(*tables: DataFrame) -> None:
 
 
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its counted rows stay within the limit.
+    """df with a broadcast hint if its counted rows and string bytes stay within the limits.
 
-    df should be a materialized table of a few fixed-width columns, so the
-    count is a footer read; beyond the limit it is returned as it is, and the
-    join shuffles.
+    df should be a materialized table of a few columns, so that the count is a
+    footer read, or a scan of its strings; beyond a limit it is returned as it
+    is, and the join shuffles.
     """
-    return F.broadcast(df) if df.count() <= limit else df
+    strings = [F.coalesce(F.octet_length(F.col(c)), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    rows, size = df.agg(F.count("*"), F.coalesce(F.sum(sum(strings)), F.lit(0)) if strings else F.lit(0)).first()
+    return F.broadcast(df) if rows <= limit and size <= BROADCAST_BYTES else df

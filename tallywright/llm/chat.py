@@ -84,37 +84,25 @@ def format_paths(paths: DataFrame) -> DataFrame:
     Null roles and texts are empty. A formatted conversation is one value, so
     it has to fit a task, as its path's turns do.
     """
-    turns = paths.groupBy("tree", "branch").agg(
-        F.array_sort(F.collect_list(F.struct("depth", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))).alias("turns")
-    )
-    turns = turns.withColumn(
-        "turns",
-        F.transform(
-            "turns",
-            lambda t: F.struct(
-                F.concat(F.lit(OPEN), _role(t["role"]), F.lit("\n")).alias("head"),
-                escape(t["text"]).alias("body"),
-                (t["role"] == ASSISTANT).alias("learn"),
-            ),
-        ),
+    rows = paths.select(
+        "tree",
+        "branch",
+        "depth",
+        F.concat(F.lit(OPEN), _role(F.coalesce("role", F.lit(""))), F.lit("\n")).alias("head"),
+        escape(F.coalesce("text", F.lit(""))).alias("body"),
+        F.coalesce(F.col("role") == ASSISTANT, F.lit(False)).alias("learn"),
     )
-    spans = "array<struct<start:bigint,end:bigint>>"
-
-    def step(acc: Column, t: Column) -> Column:
-        start = acc["at"] + F.length(t["head"])
-        end = start + F.length(t["body"])
-        span = F.array(F.struct(start.alias("start"), end.alias("end")))
-        return F.struct(
-            (end + len(CLOSE)).cast("long").alias("at"),
-            F.when(t["learn"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"),
-        )
-
-    mask = F.aggregate("turns", F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(spans).alias("spans")), step, lambda acc: acc["spans"])
+    # The places are running sums of lengths over rows, dealt as the grouping below needs them.
+    size = F.length("head") + F.length("body") + len(CLOSE)
+    before = F.sum(size).over(Window.partitionBy("tree", "branch").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1))
+    start = F.coalesce(before, F.lit(0)) + F.length("head")
+    rows = rows.withColumns({"start": start, "end": start + F.length("body")})
+    turns = rows.groupBy("tree", "branch").agg(F.array_sort(F.collect_list(F.struct("depth", "head", "body", "start", "end", "learn"))).alias("turns"))
     return turns.select(
         "tree",
         "branch",
         F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(CLOSE))), "").alias("formatted"),
-        mask.alias("loss_mask"),
+        F.transform(F.filter("turns", lambda t: t["learn"]), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"))).alias("loss_mask"),
     )
 
 
@@ -136,11 +124,12 @@ def linear_trees(rows: DataFrame) -> DataFrame:
     """Conversations (conv_id, turn, role, text) as trees in which each turn replies to the one before.
 
     Rows are ordered by turn, then role and text, nulls first; rows with equal
-    turns, and repeated rows, all stay, one after another. Rows without conv_id
-    form one conversation.
+    turns, and repeated rows, all stay, one after another. A row without conv_id
+    belongs to no other: it is a conversation of its own, whose tree's name
+    begins with "null:". Other columns are left out; an empty table gives none.
     """
     order = Window.partitionBy("tree").orderBy("turn", "role", "text")
-    rows = rows.select(F.coalesce(F.col("conv_id").cast("string"), F.lit("null")).alias("tree"), "turn", "role", "text")
+    rows = rows.select(F.coalesce(F.col("conv_id").cast("string"), F.concat(F.lit("null:"), F.monotonically_increasing_id())).alias("tree"), "turn", "role", "text")
     rows = rows.withColumn("node", F.row_number().over(order).cast("long"))
     return rows.select(
         "tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.lit(0.0).alias("score"), "role", "text"

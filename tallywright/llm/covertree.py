@@ -16,8 +16,9 @@ from tallywright.llm._store import materialize, small_side
 COSINE = 0.93
 #: Vectors of one cell that a task takes from each side; larger cells are dealt in parts.
 CELL = 4096
-#: Cells a label has at most, and pivots that are sent to all tasks at most; with more, parts are dealt by hash alone.
-PIVOTS, PIVOT_ROWS = 64, 50_000
+#: Cells a label has at most, and numbers in pivots that are sent to all tasks at
+#: most (64 MB): labels with the most vectors come first, the rest is dealt by hash.
+PIVOTS, PIVOT_NUMBERS = 1024, 8_000_000
 _LEAF = 16
 _SLACK = 1e-9
 
@@ -184,7 +185,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL) -
 
     Equal vectors of a label become one, with a weight. The vectors of a label
     are split at the top of a cover tree: each goes to the nearest of a few
-    pivots (a hash sample, one for each `cell` vectors, PIVOTS at most), whose
+    pivots (a hash sample, one for each `cell` vectors, PIVOTS a label at most), whose
     covering radii prune pairs of cells; a cell over `cell` vectors is dealt in
     parts by hash. Each remaining pair of parts is one task's work: it builds
     both cover trees and traverses them together. Links leave a task as sums and
@@ -258,17 +259,24 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL) -
 def _cells(reps: DataFrame, group: list[str], cell: int) -> DataFrame:
     """reps with cell, part, pivot (unit vector of the cell, null without one) and far, the distance to it."""
     spark = reps.sparkSession
-    sizes = reps.groupBy(*group).agg(F.count("*").alias("n"))
-    wanted = F.least(F.ceil(F.col("n") / cell), F.lit(PIVOTS))
+    sizes = reps.groupBy(*group).agg(F.count("*").alias("n")).where(F.col("n") > cell)
+    sizes = materialize(sizes.withColumn("wanted", F.least(F.ceil(F.col("n") / cell), F.lit(PIVOTS)).cast("int")), "sizes")
+    # Labels by size in powers of two, so that a few sums tell which ones' pivots fit.
+    power = F.ceil(F.log2("n")).cast("int")
+    room, least = PIVOT_NUMBERS, 64
+    for at, numbers in sizes.groupBy(power.alias("at")).agg(F.sum(F.col("wanted").cast("long") * F.col("dim"))).orderBy(F.desc("at")).collect():
+        room -= numbers
+        if room < 0:
+            break
+        least = at
+    large = small_side(sizes.where(power >= least).select(*group, "wanted"))
     order = Window.partitionBy(*group).orderBy(F.xxhash64("rep", F.lit(7)), "rep")
-    drawn = reps.select(*group, "rep", "embedding").withColumn("cell", F.row_number().over(order) - 1).where(F.col("cell") < PIVOTS)
-    pivots = materialize(drawn.join(sizes, group).where((F.col("cell") < wanted) & (wanted > 1)).select(*group, "cell", "embedding"), "pivots")
-    few = pivots.count() <= PIVOT_ROWS
+    drawn = reps.select(*group, "rep").join(large, group).withColumn("place", F.row_number().over(order)).where(F.col("place") <= PIVOTS)
+    drawn = drawn.where("place <= wanted").select("rep", (F.col("place") - 1).alias("cell"))
+    pivots = materialize(reps.select(*group, "rep", "embedding").join(F.broadcast(drawn), "rep").select(*group, "cell", "embedding"), "pivots")
     held: dict[tuple, np.ndarray] = {}
-    if few:
-        table = pivots.toPandas()
-        for key, rows in table.groupby(group):
-            held[key] = _unit(rows.sort_values("cell")["embedding"])
+    for key, rows in pivots.toPandas().groupby(group):
+        held[key] = _unit(rows.sort_values("cell")["embedding"])
     sent = spark.sparkContext.broadcast(held)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

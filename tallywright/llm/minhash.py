@@ -47,7 +47,8 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     """
     w, n = word_hashes(texts, WHITE)
     of = np.repeat(np.arange(len(texts)), n)
-    s = sum((w[j : len(w) - WORDS + 1 + j] * _ODD[j] for j in range(WORDS)), np.zeros(max(0, len(w) - WORDS + 1), np.uint64))
+    runs = max(0, len(w) - WORDS + 1)
+    s = sum((w[j : j + runs] * _ODD[j] for j in range(WORDS)), np.zeros(runs, np.uint64))
     whole = of[: len(s)] == of[WORDS - 1 :] if len(s) else np.zeros(0, bool)
     s, owner = mix(s[whole]), of[: len(s)][whole]
     start = np.cumsum(n) - n

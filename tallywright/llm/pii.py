@@ -8,6 +8,9 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Elements of an array that are walked together; see _before().
+CHUNK = 64
+
 _IN_EMAIL = "[A-Za-z0-9._%+-]"
 
 
@@ -78,28 +81,47 @@ AGAINST = "example|order|invoice|version|part no|serial"
 BASE = tuple(k.name for k in KINDS if k.base)
 
 
-def find_pii(docs: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
-    """docs with a column pii: array<struct<kind, start, end, score>>, by kind, then start.
+def _before(values: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """For each of an array's whole numbers, those before it, put together by `add`; 0 for the first.
+
+    Arrays can only grow by being copied, so they are walked in chunks of CHUNK.
+    """
+    zero = F.lit(0).cast("long")
+    grow = lambda acc, x: F.concat(acc, F.array(add(F.element_at(acc, -1), x)))
+    chunks = _chunks(values)
+    totals = F.transform(chunks, lambda c: F.aggregate(c, zero, add))
+    starts = F.aggregate(totals, F.array(zero), grow)
+    inner = F.zip_with(chunks, F.slice(starts, F.lit(1), F.size(totals)), lambda c, at: F.slice(F.aggregate(c, F.array(at), grow), F.lit(1), F.size(c)))
+    return F.flatten(inner)
+
+
+def _chunks(values: Column) -> Column:
+    """An array's elements in arrays of CHUNK."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(values) - 1, F.lit(0)), F.lit(CHUNK)), lambda at: F.slice(values, at + 1, CHUNK))
+
+
+def find_pii(docs: DataFrame, text: str = "text", least: float = 0.5, out: str = "pii") -> DataFrame:
+    """docs with a column pii (or named by `out`): array<struct<kind, start, end, score>>, by kind, then start.
 
     Offsets are code points, the end exclusive. Patterns propose spans, leftmost
     and not overlapping within a kind; checksums (Luhn, modulo 97) and digit
     counts confirm them; a word of the kind within 40 characters before or 20 after
     raises the score by 0.2, one of AGAINST before it lowers it by 0.2. Spans of the base kinds stay whatever their
     score, those of other kinds from `least` on. Null and empty texts give an
-    empty array; every row stays, repeated ones too; a column named pii is
+    empty array; every row stays, repeated ones too; a column named as `out` is
     replaced, other columns pass through. Nothing is shuffled.
 
     A kind's matches and the pieces between them come from one pattern, so the
     places are running sums of their lengths, in one pass over the text.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "pii"]).alias("row"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != out]).alias("row"))
     rows = rows.withColumn("text", F.coalesce(F.col(f"row.`{text}`").cast("string"), F.lit("")))
     rows = rows.withColumns({f"m_{k.name}": F.regexp_extract_all("text", F.lit(k.pattern), F.lit(0)) for k in KINDS})
     rows = rows.withColumns(
         {f"p_{k.name}": F.when(F.size(f"m_{k.name}") > 0, F.split("text", k.pattern, -1)) for k in KINDS}
     )
     rows = rows.withColumns({k.name: _spans(k, least) for k in KINDS})
-    return rows.select("row.*", F.concat(*[F.col(k.name) for k in KINDS]).alias("pii"))
+    return rows.select("row.*", F.concat(*[F.col(k.name) for k in KINDS]).alias(out))
 
 
 def _spans(kind: Kind, least: float) -> Column:
@@ -120,18 +142,17 @@ def _spans(kind: Kind, least: float) -> Column:
             score.alias("score"),
         )
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        span = F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), (start + x["size"]).alias("end"), x["score"].alias("score"))
-        return F.struct(
-            (start + x["size"]).alias("at"),
-            F.when(x["good"], F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"),
-        )
+    looked = F.transform(matches, look)
+    starts = _before(F.transform(looked, lambda x: x["gap"] + x["size"]), lambda a, b: a + b)
 
-    walked = F.aggregate(
-        F.transform(matches, look), F.struct(F.lit(0).cast("long").alias("at"), empty.alias("found")), step, lambda acc: acc["found"]
-    )
-    return F.when(F.size(matches) > 0, walked).otherwise(empty)
+    def span(x: Column, at: Column) -> Column:
+        start = at + x["gap"]
+        end = start + x["size"]
+        return F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), end.alias("end"), x["score"].alias("score"), x["good"].alias("good"))
+
+    found = F.filter(F.zip_with(looked, starts, span), lambda x: x["good"])
+    found = F.transform(found, lambda x: F.struct(*[x[c].alias(c) for c in ("kind", "start", "end", "score")]))
+    return F.when(F.size(matches) > 0, found).otherwise(empty)
 
 
 def told(spans: Column) -> Column:
@@ -144,21 +165,23 @@ def mask_pii(found: DataFrame, text: str = "text", pii: str = "pii") -> DataFram
 
     The column of spans is dropped. Null texts stay null.
     """
-    order = F.array_sort(F.transform(F.col(pii), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("till"), s["kind"].alias("kind"))))
+    spans = F.array_sort(F.transform(F.col(pii), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("till"), s["kind"].alias("kind"))))
     body = F.col(f"`{text}`")
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(body, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        mark = F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))
-        return F.struct(
-            F.greatest(acc["at"], -s["till"]).alias("at"),
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, mark)).otherwise(acc["out"]).alias("out"),
-        )
-
-    whole = F.aggregate(
-        order,
-        F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
-        step,
-        lambda acc: F.concat(acc["out"], F.substring(body, (acc["at"] + 1).cast("int"), F.length(body))),
-    )
+    # A span that begins before all earlier ones have ended lies in their mark.
+    done = _before(F.transform(spans, lambda s: -s["till"]), lambda a, b: F.greatest(a, b))
+    marks = F.zip_with(spans, done, lambda s, at: F.struct(at.alias("at"), s["start"].alias("start"), s["kind"].alias("kind")))
+    marks = F.filter(marks, lambda m: m["start"] >= m["at"])
+
+    def cut(text: Column, start: Column, end: Column) -> Column:
+        return F.substring(text, (start + 1).cast("int"), (end - start).cast("int"))
+
+    def masked(chunk: Column) -> Column:
+        """A chunk's marks, each behind the text before it, which is cut from the chunk's part of the whole."""
+        first = F.get(chunk, F.lit(0))["at"]
+        part = cut(body, first, F.element_at(chunk, -1)["start"])
+        piece = lambda m: F.concat(cut(part, m["at"] - first, m["start"] - first), F.lit("<"), F.upper(m["kind"]), F.lit(">"))
+        return F.array_join(F.transform(chunk, piece), "")
+
+    last = F.array_max(F.transform(spans, lambda s: -s["till"]))
+    whole = F.concat(F.array_join(F.transform(_chunks(marks), masked), ""), F.substring(body, (last + 1).cast("int"), F.length(body)))
     return found.withColumn(text, F.when(F.size(pii) > 0, whole).otherwise(body)).drop(pii)

@@ -143,17 +143,22 @@ def read_records(source: BinaryIO, payloads: bool = False) -> Iterator[dict]:
         held = member.inflate.unused_data + member.held or source.read(CHUNK)
 
 
+def _open(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder, and its path there; s3a is how Hadoop names what others call s3."""
+    return fs.FileSystem.from_uri("s3" + folder.removeprefix("s3a") if folder.startswith("s3a://") else folder)
+
+
 def write_archives(pages: DataFrame, folder: str, rotate: int = 64 << 20) -> DataFrame:
     """Write (page_id, url, html, refers_to) as archives; returns the table of their paths.
 
     Each task streams its rows into files of its own in `folder` (a URI that
-    pyarrow.fs opens) and begins another file after `rotate` bytes. Names are
+    pyarrow.fs opens, or s3a) and begins another file after `rotate` bytes. Names are
     unique to the attempt and only a successful task's names get into the
     table, so files of a failed or repeated attempt are never read.
     """
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store, base = fs.FileSystem.from_uri(folder)
+        store, base = _open(folder)
         store.create_dir(base, recursive=True)
         task = TaskContext.get()
         out, name, count, size = None, "", 0, 0
@@ -187,7 +192,7 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
     """The records of the archives in `manifest`, a task reading whole archives one after another."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store, _ = fs.FileSystem.from_uri(folder)
+        store, _ = _open(folder)
         for batch in batches:
             for path, want in zip(batch.path, batch.records, strict=True):
                 rows, seen = [], 0

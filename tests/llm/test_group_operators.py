@@ -437,3 +437,37 @@ def test_pipeline_against_plain_stages(spark):
         assert spans or masked[k]["text"] == texts[k] or "<SSN>" in masked[k]["text"] or "<IBAN>" in masked[k]["text"]
         assert masked[k]["n_chars"] == len(masked[k]["text"])
     check_packing(corpus_pipeline.run(spark, SF).collect(), {k: r["text"] for k, r in masked.items()})
+
+
+def test_vectors_in_many_cells(spark, monkeypatch):
+    """Pivots, pairs of cells and parts that only hashes deal give what comparing all pairs does."""
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(30, 8))
+    x = np.vstack([base[i % 30] + 0.15 * rng.normal(size=8) for i in range(420)])
+    labels = [0 if i % 3 else 1 + i % 4 for i in range(420)]
+    df = spark.createDataFrame([(i, [float(v) for v in r], k) for i, (r, k) in enumerate(zip(x, labels))], "vec_id long, embedding array<double>, label int")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.93) & (np.array(labels)[:, None] == np.array(labels)[None])
+    np.fill_diagonal(near, False)
+    for numbers in (8_000_000, 300, 0):
+        monkeypatch.setattr(covertree, "PIVOT_NUMBERS", numbers)
+        monkeypatch.setattr(covertree, "PIVOTS", 6)
+        got = {r["vec_id"]: r["n_links"] for r in covertree.near_vectors(df, cell=20).collect()}
+        assert got == dict(enumerate(near.sum(axis=1).tolist())), numbers
+
+
+def test_pipeline_odd_rows(spark, tmp_path):
+    """Nulls, repeated rows, clashing columns and an empty table go through all stages."""
+    big = 2**60 + 1
+    rows = [(None, "mail a@b.co now", "en", "s", 3), (big, None, None, None, None), (big + 1, "", "en", "s", 0), (7, "same text of six words here", "en", "s", 1), (7, "same text of six words here", "en", "s", 1), (8, "Same text of six words here", "en", "s", 1)]
+    docs = spark.createDataFrame([(*r, "own", 5, 1.0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, pii string, component int, score double")
+    spark.createDataFrame([(7, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for table in (docs, docs.where("false")):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            table = stage(spark, table, str(tmp_path))
+            assert table.columns == docs.columns, name
+        left = sorted(((r["doc_id"] or 0, r["text"], r["n_chars"], r["pii"]) for r in table.collect()), key=repr)
+        if left:
+            assert left == sorted([(0, "mail <EMAIL> now", 16, "own"), (big, None, None, "own"), (big + 1, "", 0, "own"), (7, rows[3][1], 27, "own"), (7, rows[3][1], 27, "own")], key=repr)
+        packed = corpus_pipeline.STAGES[-1][1](spark, table, str(tmp_path)).collect()
+        assert sorted(r["doc_id"] or 0 for r in packed) == ([0, 7, 7, big, big + 1] if left else [])

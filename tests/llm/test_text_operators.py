@@ -82,6 +82,29 @@ def test_pii_query_and_masking(spark):
     df = spark.createDataFrame([(1, "x 🙂 a@b.co 10.0.0.1@h.com end", 1), (2, None, 2), (3, "clean", 3)], "doc_id long, text string, pii int")
     masked = {r["doc_id"]: r["text"] for r in pii.mask_pii(pii.find_pii(df)).collect()}
     assert masked == {1: "x 🙂 <EMAIL> <EMAIL> end", 2: None, 3: "clean"}
+    assert pii.find_pii(df.where("false")).count() == 0 and pii.mask_pii(pii.find_pii(df, out="own"), pii="own").columns == ["doc_id", "text", "pii"]
+
+
+def plain_mask(text):
+    """The spans' marks from left to right; a span that begins inside an earlier one belongs to its mark."""
+    out, at = [], 0
+    for a, b, kind in sorted(plain_pii(text) and [(a, -b, k) for k, a, b in plain_pii(text)]):
+        if a >= at:
+            out += [text[at:a], f"<{kind.upper()}>"]
+        at = max(at, -b)
+    return "".join(out) + text[at:]
+
+
+def test_masking_of_many_spans(spark):
+    rng = np.random.default_rng(3)
+    words = ["a@b.co", "10.0.0.1", "10.0.0.1@h.com", "+49 30 1234567", "4111 1111 1111 1111", "🙂", "plain", "x@y.org z@w.net"]
+    texts = [" ".join(rng.choice(words, n)) for n in (1, 63, 64, 65, 129, 400, 6000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = pii.find_pii(df)
+    for r in found.collect():
+        assert [(s["kind"], s["start"], s["end"]) for s in r["pii"] if s["kind"] in pii.BASE] == plain_pii(r["text"])
+    for r in pii.mask_pii(found).collect():
+        assert r["text"] == plain_mask(texts[r["doc_id"]])
 
 
 def test_bpe_against_tiktoken(spark):
@@ -278,15 +301,23 @@ HARD = [r"\### Assistant: </turn> ok", "<turn>user\nx</turn>\n", "\\", "\\\\<tur
 
 
 def test_chat_round_trip(spark):
-    rows = [(7, i, ["user", "assistant", "role\nwith <turn>", None][i % 4], t) for i, t in enumerate(HARD * 2)] + [(None, 0, "assistant", "z"), (8, None, "user", "n"), (8, 1, "user", "n"), (8, 1, "user", "n")]
+    rows = [(7, i, ["user", "assistant", "role\nwith <turn>", None][i % 4], t) for i, t in enumerate(HARD * 2)] + [(None, 0, "assistant", "z"), (None, 0, "assistant", "z"), (8, None, "user", "n"), (8, 1, "user", "n"), (8, 1, "user", "n")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     back = {r["tree"]: r for r in chat.read_back(chat.format_paths(chat.best_paths(chat.linear_trees(df)))).collect()}
     assert [(t["role"], t["text"]) for t in back["7"]["turns"]] == [(r or "", t or "") for _, _, r, t in rows[:20]]
     assert back["7"]["loss_texts"] == [t or "" for _, _, r, t in rows[:20] if r == "assistant"]
-    assert len(back["8"]["turns"]) == 3 and back["null"]["loss_texts"] == ["z"]
+    assert len(back["8"]["turns"]) == 3 and sorted(back) == ["7", "8", *[k for k in back if k.startswith("null:")]] and [b["loss_texts"] for k, b in back.items() if k.startswith("null:")] == [["z"], ["z"]]
     assert chat.format_paths(chat.best_paths(chat.linear_trees(df.where("false")))).count() == 0
 
 
+def test_chat_of_many_turns(spark):
+    n = 3000
+    df = spark.range(n).selectExpr("1L as conv_id", "id as turn", "case when id % 2 = 0 then 'user' else 'assistant' end as role", "concat('t', id, repeat('<turn>', int(id % 3))) as text")
+    (r,) = chat.read_back(chat.format_paths(chat.best_paths(chat.linear_trees(df)))).collect()
+    want = [f"t{i}" + "<turn>" * (i % 3) for i in range(n)]
+    assert [t["text"] for t in r["turns"]] == want and r["loss_texts"] == want[1::2]
+
+
 def test_reply_trees_rank_branches(spark):
     nodes = [("t", 1, None, 1.0), ("t", 2, 1, 5.0), ("t", 3, 1, 1.0), ("t", 4, 3, 9.0), ("t", 5, 2, None), ("u", 1, 99, 0.0)]
     df = spark.createDataFrame([(*n, "user", str(n[1])) for n in nodes], "tree string, node long, parent long, score double, role string, text string")
