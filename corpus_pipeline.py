@@ -13,9 +13,17 @@ from tallywright.llm._store import materialize
 from tallywright.llm.queries import CONTEXT, WORD_BPE
 from tallywright.shipping import ship
 
+#: A column of spans that no documents table has.
+SPANS = "__personal_data_spans"
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity models, fitted on this stage's documents with labels, don't reject."""
+    """Documents that the toxicity models, fitted on this stage's documents with labels, don't reject.
+
+    Rows with null or empty texts have no evidence and stay, as do rows without
+    doc_id that don't score as toxic; repeated rows go or stay together. Without
+    labels of both classes, or documents, all rows stay. All columns pass through.
+    """
     ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model = toxicity.fit(docs, labels)
@@ -23,20 +31,32 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near duplicates; of rows with one id all stay or none."""
+    """The document of the smallest id of each group of near duplicates; of rows with one id all stay or none.
+
+    Rows without doc_id, and documents without words, stay. Of equal texts, the
+    smallest id's stays. All columns pass through; an empty table gives none.
+    """
     found = minhash.near_duplicates(ship(spark) and docs.select("doc_id", "text"))
     gone = materialize(found.where(~F.col("kept")).select("doc_id").distinct(), "gone")
     return docs.join(minhash.small_side(gone), "doc_id", "left_anti").select(*docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data masked and n_chars counted anew."""
-    masked = pii.mask_pii(pii.find_pii(docs))
+    """All documents, personal data masked and n_chars counted anew.
+
+    Null texts stay null, with n_chars null; every row and column stays, one
+    named pii too.
+    """
+    masked = pii.mask_pii(pii.find_pii(docs, out=SPANS), pii=SPANS)
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document lies in the sequences."""
+    """Where each piece of each document lies in the sequences.
+
+    Null and empty texts are one piece, their end id; rows without doc_id and
+    repeated rows have pieces of their own; other columns are left out.
+    """
     pieces = packing.cut_pieces(ship(spark) and docs, public_tokenizers.path(WORD_BPE), limit=CONTEXT)
     return packing.pack_pieces(pieces, CONTEXT)
 
