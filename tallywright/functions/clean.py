@@ -88,3 +88,29 @@ def normal_url(url: Column) -> Column:
 def unit_from_hash(text: Column) -> Column:
     """A number in [0, 1) from the first 12 hex digits of SHA-256."""
     return F.conv(F.substring(F.sha2(text, 256), 1, 12), 16, 10).cast("double") / float(16**12)
+
+
+#: Molar factors of the units that are known.
+MOLAR = {"m": 1.0, "mm": 1e-3, "um": 1e-6, "micromolar": 1e-6, "nm": 1e-9, "nanomolar": 1e-9, "pm": 1e-12, "picomolar": 1e-12}
+
+
+def _unit(text: Column) -> Column:
+    """Lower case without spaces, both micro signs as u."""
+    return F.replace(F.translate(F.lower(text), "\u00b5\u03bc", "uu"), F.lit(" "), F.lit(""))
+
+
+def to_molar(value: Column, unit: Column) -> Column:
+    """A positive value in molar; null for another value or an unknown unit."""
+    factor = F.element_at(F.create_map(*[F.lit(x) for pair in MOLAR.items() for x in pair]), _unit(unit))
+    return F.when((value > 0) & ~F.isnan(value) & (value < float("inf")), value * factor)
+
+
+def p_activity(value: Column, unit: Column) -> Column:
+    """-log10 of the molar value, where it lies from 0 to 15; else null."""
+    p = -F.log10(to_molar(value, unit))
+    return F.when(p.between(0, 15), p)
+
+
+def nanomolar_only(value: Column, unit: Column) -> Column:
+    """The value where the unit is nM, null for any other."""
+    return F.when(_unit(unit) == "nm", value)

@@ -2,41 +2,129 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Rows of a side that one task compares with as many of the other.
+BLOCK = 2048
+#: Up to so many rows an inverted index is broadcast; above, it shuffles.
+INDEX_ROWS = 1_000_000
+
+
+def pack_signs(vector: Column) -> Column:
+    """The signs of all components as words of 64 bits (array<bigint>), the first component in the lowest bit of the first word."""
+
+    def word(k: Column) -> Column:
+        part = F.reverse(F.slice(vector, k * 64 + 1, F.lit(64)))
+        return F.aggregate(part, F.lit(0).cast("long"), lambda s, x: F.shiftleft(s, 1).bitwiseOR(F.when(x > 0, F.lit(1)).otherwise(F.lit(0)).cast("long")))
+
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(vector) / 64).cast("int"), F.lit(1)) - 1), word)
+
 
-def pack_signs(vector: Column, bits: int = 60) -> Column:
-    """The signs of the first `bits` components as one integer, the first in the lowest bit."""
-    part = F.slice(vector, 1, bits)
-    return F.aggregate(F.reverse(part), F.lit(0).cast("long"), lambda s, x: s * 2 + F.when(x > 0, 1).otherwise(0))
+def bits_set(words: Column) -> Column:
+    return F.aggregate(words, F.lit(0), lambda s, x: s + F.bit_count(x))
 
 
 def tanimoto(a: Column, b: Column) -> Column:
-    """Common over all bits of two integers; 0 for two empty ones."""
-    return F.coalesce(F.try_divide(F.bit_count(a.bitwiseAND(b)), F.bit_count(a.bitwiseOR(b))), F.lit(0.0))
+    """Common over all bits of two sets of words; 0 for two empty ones. A missing word has no bits."""
+    word = lambda x: F.coalesce(x, F.lit(0).cast("long"))
+    both = F.zip_with(a, b, lambda x, y: word(x).bitwiseAND(word(y)))
+    some = F.zip_with(a, b, lambda x, y: word(x).bitwiseOR(word(y)))
+    return F.coalesce(F.try_divide(bits_set(both), bits_set(some)), F.lit(0.0))
 
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def tanimoto_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """tanimoto() of each row of words of a with each of b."""
+    x, y = (np.unpackbits(np.ascontiguousarray(w, np.int64).view(np.uint8), axis=1).astype(np.float32) for w in (a, b))
+    both = (x @ y.T).astype(np.float64)
+    some = x.sum(axis=1, dtype=np.float64)[:, None] + y.sum(axis=1, dtype=np.float64)[None] - both
+    return np.divide(both, some, out=np.zeros_like(both), where=some > 0)
+
+
+def cosine_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosine of each row of a with each of b in double precision; 0 with a zero vector."""
+    a, b = a.astype(np.float64), b.astype(np.float64)
+    size = np.sqrt((a * a).sum(axis=1))[:, None] * np.sqrt((b * b).sum(axis=1))[None]
+    return np.divide(a @ b.T, size, out=np.zeros((len(a), len(b))), where=size > 0)
+
+
+def search_blocks(queries: DataFrame, rows: DataFrame, measure: Callable, summarise: Callable, schema: str, block: int = BLOCK) -> DataFrame:
+    """What summarise makes of the similarities of each block of queries with each block of rows, both (id, label, vector).
+
+    All queries meet all rows: rows are dealt in blocks by a hash of the id, and
+    a copy of every block of queries goes to each of them, so a task holds two
+    blocks and their matrix, and what it returns is as small as summarise makes
+    it. summarise(query ids, query labels, ids, labels, similarities) returns
+    columns; rows come in the order of their ids, labels are doubles with NaN
+    for null, and similarities are rounded to 6 places, NaN where a row is the
+    query itself. Rows with a null id or vector, or null in a vector, are left
+    out; all vectors have one length.
+    """
+
+    def dealt(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+        df = df.where("id is not null and vector is not null").where(~F.exists("vector", lambda x: x.isNull()))
+        n = max(1, -(-df.count() // block))
+        at = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(f"{name}_block")
+        return df.groupBy(at).agg(F.collect_list(F.struct("id", "label", "vector")).alias(name)), n
+
+    def opened(part: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids = part.field("id").to_numpy(zero_copy_only=False)
+        order = np.argsort(ids)
+        vectors = part.field("vector").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        return ids[order], part.field("label").cast(pa.float64()).to_numpy(zero_copy_only=False)[order], vectors[order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for q, r in zip(batch.column("queries"), batch.column("rows"), strict=True):
+                (qi, ql, qv), (ri, rl, rv) = opened(q.values), opened(r.values)
+                s = np.round(measure(qv, rv), 6)
+                s[qi[:, None] == ri[None]] = np.nan
+                yield pa.RecordBatch.from_pydict(summarise(qi, ql, ri, rl, s))
+
+    (asked, _), (held, n) = dealt(queries, "queries"), dealt(rows, "rows")
+    asked = asked.select("queries", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("rows_block"))
+    return held.join(asked, "rows_block").select("queries", "rows").mapInArrow(run, schema)
+
+
+def nearest_of(k: int) -> Callable:
+    """For search_blocks: the k most similar rows of each query, ties to the smaller id, as (q, vec_id, similarity)."""
+
+    def summarise(qi, ql, ri, rl, s) -> dict:
+        order = np.argsort(-np.where(np.isnan(s), -np.inf, s), axis=1, kind="stable")[:, :k]
+        best = np.take_along_axis(s, order, axis=1)
+        known = ~np.isnan(best)
+        return {"q": np.repeat(qi, known.sum(axis=1)), "vec_id": ri[order][known], "similarity": best[known]}
+
+    return summarise
+
+
 def word_shingles(df: DataFrame, key: str, text: str, words: int = 5) -> DataFrame:
-    """(key, shingle): the different runs of `words` lower-case words of each text, as 64-bit hashes; shorter texts have none."""
+    """(key, shingle, size): the different runs of `words` lower-case words of each text, as 64-bit hashes, and how many it has; shorter texts have none."""
     tokens = F.filter(F.split(F.lower(F.col(text)), r"[ \t\n\r]+"), lambda w: w != "")
-    rows = df.select(key, tokens.alias("__w")).where(F.size("__w") >= words)
-    starts = F.sequence(F.lit(1), F.size("__w") - words + 1)
-    return rows.select(key, F.explode(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("__w", i, words), " "))))).alias("shingle"))
+    rows = df.select(key, F.transform(tokens, lambda w: F.xxhash64(w)).alias("__w"))
+    starts = F.when(F.size("__w") >= words, F.sequence(F.lit(1), F.size("__w") - words + 1))
+    rows = rows.select(key, F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice("__w", i, words)))).alias("__s"))
+    return rows.select(key, F.size("__s").alias("size"), F.explode("__s").alias("shingle")).select(key, "shingle", "size")
 
 
-def jaccard_of(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
-    """(a, b, jaccard, covered) of all pairs that share a shingle, by an inverted index; covered is the share of a's set.
+def jaccard_of(left: DataFrame, right: DataFrame, a: str, b: str, most: int = INDEX_ROWS) -> DataFrame:
+    """(a, b, jaccard, covered) of all pairs of word_shingles() that share one; covered is the share of a's set.
 
-    The index is joined on the shingle, so its cost is the number of shared
-    shingles; sizes are small tables.
+    left is the index. If it has no more than `most` rows it is broadcast, and
+    the right side's shingles are looked up where they lie, so only what is
+    shared moves and a frequent shingle makes no task hot; else both sides shuffle.
     """
-    sizes = lambda df, k: df.groupBy(k).agg(F.count("*").alias(f"__n_{k}"))
-    both = left.join(right, "shingle").groupBy(a, b).agg(F.count("*").alias("__both"))
-    both = both.join(sizes(left, a), a).join(sizes(right, b), b)
-    n = F.col("__both")
-    return both.select(a, b, (n / (F.col(f"__n_{a}") + F.col(f"__n_{b}") - n)).alias("jaccard"), (n / F.col(f"__n_{a}")).alias("covered"))
+    index = left.select(a, "shingle", F.col("size").alias("__a"))
+    if index.limit(most + 1).count() <= most:
+        index = F.broadcast(index)
+    both = right.withColumnRenamed("size", "__b").join(index, "shingle").groupBy(a, b, "__a", "__b").agg(F.count("*").alias("__n"))
+    n = F.col("__n")
+    return both.select(a, b, (n / (F.col("__a") + F.col("__b") - n)).alias("jaccard"), (n / F.col("__a")).alias("covered"))

@@ -19,11 +19,17 @@ _SPLIT = f"CASE WHEN day <= DATE '{TRAIN_END}' THEN 'train' WHEN day <= DATE '19
 
 def edges(spark, d):
     """(ligand, target, source, family): measurement counts by class, maximum, median, publications."""
-    p = F.col("p")
-    return evidence(spark, d).groupBy("ligand", "target", "source", "family").agg(
-        F.count("*").alias("n"), F.count_if(p >= POSITIVE).alias("n_pos"), F.count_if(p <= NEGATIVE).alias("n_neg"), F.count_if((p > NEGATIVE) & (p < POSITIVE)).alias("n_gray"),
-        F.max("p").alias("max_p"), R(F.median("p"), 8).alias("median_p"), F.countDistinct("pub").alias("n_pubs"), F.countDistinct("line").alias("n_lines"),
+    # Publications and values are counted first, each dealt by its own key, so nothing is sent once for each distinct count.
+    keys = ["ligand", "target", "source", "family"]
+    p, e = F.col("p"), evidence(spark, d).select("ligand", "target", "source", "family", "pub", "line", "p")
+    pubs = e.groupBy(*keys, "pub").agg(
+        F.count("*").alias("n"), F.count_if(p >= POSITIVE).alias("n_pos"), F.count_if(p <= NEGATIVE).alias("n_neg"), F.max("p").alias("max_p"), F.expr("bit_or(shiftleft(1L, cast(line as int)))").alias("lines"),
+    )
+    sums = pubs.groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg"), F.max("max_p").alias("max_p"), F.count("*").alias("n_pubs"), F.bit_count(F.bit_or("lines")).cast("long").alias("n_lines"),
     )
+    middle = e.groupBy(*keys, "p").agg(F.count("*").alias("c")).groupBy(*keys).agg(R(F.percentile("p", 0.5, F.col("c")), 8).alias("median_p"))
+    return sums.join(middle, keys).select(*keys, "n", "n_pos", "n_neg", (F.col("n") - F.col("n_pos") - F.col("n_neg")).alias("n_gray"), "max_p", "median_p", "n_pubs", "n_lines")
 
 
 @query(f"WITH {EVIDENCE} SELECT ligand, target, source, family, count(*) AS n, count(*) FILTER (WHERE p >= 6) AS n_pos, count(*) FILTER (WHERE p <= 5) AS n_neg, count(*) FILTER (WHERE p > 5 AND p < 6) AS n_gray, max(p) AS max_p, round(median(p), 8) AS median_p, count(DISTINCT pub) AS n_pubs, count(DISTINCT line) AS n_lines FROM e GROUP BY 1, 2, 3, 4")
@@ -83,21 +89,20 @@ def cross_source_duplicates(spark, d):
     return g.groupBy("n_sources").agg(F.count("*").alias("n_groups"), F.sum("n").alias("n_rows"))
 
 
-@query(f"WITH {EVIDENCE} SELECT ligand, target, pub, line, source, row_number() OVER (PARTITION BY ligand, target ORDER BY day, pub, line, source, p)::BIGINT AS ordinal, count(*) OVER (PARTITION BY ligand, target) AS n FROM e WHERE qty > 40 QUALIFY count(*) OVER (PARTITION BY ligand, target) > 1")
+@query(f"WITH {EVIDENCE} SELECT ligand, target, pub, line, source, row_number() OVER (PARTITION BY ligand, target ORDER BY day, pub, line, source, p)::BIGINT AS ordinal, count(*) OVER (PARTITION BY ligand, target) AS n FROM e QUALIFY count(*) OVER (PARTITION BY ligand, target) > 1")
 def duplicate_ordinal(spark, d):
     w = Window.partitionBy("ligand", "target")
-    e = evidence(spark, d).where("qty > 40").withColumn("ordinal", L(F.row_number().over(w.orderBy("day", "pub", "line", "source", "p"))))
+    e = evidence(spark, d).withColumn("ordinal", L(F.row_number().over(w.orderBy("day", "pub", "line", "source", "p"))))
     return e.withColumn("n", F.count("*").over(w)).where("n > 1").select("ligand", "target", "pub", "line", "source", "ordinal", "n")
 
 
 #: Rankings: each customer's query over parts ordered by price, truth the ones it bought.
 _TRUTH = """t AS (SELECT o_custkey AS q, l_partkey AS id, 1 + (l_partkey * 7 + o_custkey * 13) % 200 AS rank, CASE WHEN o_custkey % 3 = 0 THEN 'base' ELSE 'new' END AS recipe, l_suppkey AS target, l_returnflag AS source
-FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity > 30)"""
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"""
 
 
 def truth(spark, d):
-    li = read(spark, d, "lineitem").where("l_quantity > 30")
-    t = li.join(read(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    t = read(spark, d, "lineitem").join(read(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
     rank = 1 + (F.col("l_partkey") * 7 + F.col("o_custkey") * 13) % 200
     recipe = F.when(F.col("o_custkey") % 3 == 0, "base").otherwise("new")
     return t.select(F.col("o_custkey").alias("q"), F.col("l_partkey").alias("id"), rank.alias("rank"), recipe.alias("recipe"), F.col("l_suppkey").alias("target"), F.col("l_returnflag").alias("source"))
@@ -163,12 +168,12 @@ def disagreement_by_class(spark, d):
     return read(spark, d, "part").where(a | b).groupBy(bucket.alias("bucket"), kind.alias("class")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {EVIDENCE}, m AS (SELECT target, median(p) AS m, count(*) AS n FROM e GROUP BY 1), s AS (SELECT target, 1.4826 * median(abs(p - m)) AS s FROM e JOIN m USING (target) GROUP BY 1) SELECT target, ligand, pub, line, round((p - m) / s, 5) AS z FROM e JOIN m USING (target) JOIN s USING (target) WHERE n >= 30 AND s > 0 AND qty > 45")
+@query(f"WITH {EVIDENCE}, m AS (SELECT target, median(p) AS m, count(*) AS n FROM e GROUP BY 1), s AS (SELECT target, 1.4826 * median(abs(p - m)) AS s FROM e JOIN m USING (target) GROUP BY 1) SELECT target, ligand, pub, line, round((p - m) / s, 5) AS z FROM e JOIN m USING (target) JOIN s USING (target) WHERE n >= 30 AND s > 0")
 def robust_zscore(spark, d):
     e = evidence(spark, d)
     m = e.groupBy("target").agg(F.median("p").alias("m"), F.count("*").alias("n")).where("n >= 30")
     s = e.join(m, "target").groupBy("target", "m").agg((1.4826 * F.median(F.abs(F.col("p") - F.col("m")))).alias("s")).where("s > 0")
-    return e.where("qty > 45").join(s, "target").select("target", "ligand", "pub", "line", R((F.col("p") - F.col("m")) / F.col("s"), 5).alias("z"))
+    return e.join(s, "target").select("target", "ligand", "pub", "line", R((F.col("p") - F.col("m")) / F.col("s"), 5).alias("z"))
 
 
 @query(f"WITH {EVIDENCE} SELECT ligand, pub, line, source, round((sum(p) OVER (PARTITION BY ligand) - p) / (count(*) OVER (PARTITION BY ligand) - 1) + 1e-9, 6) AS others FROM e QUALIFY count(*) OVER (PARTITION BY ligand) > 5")
@@ -267,10 +272,17 @@ def activity_class_counts(spark, d):
     return evidence(spark, d).groupBy(F.when(p >= 6, "strong").when(p >= 5, "weak").otherwise("low").alias("class")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT count(*) AS n, sum(l_quantity)::BIGINT AS q, bit_xor(('0x' || substr(md5(l_orderkey || '|' || l_partkey || '|' || l_linenumber), 1, 15))::BIGINT) AS digest FROM lineitem")
+_CENTS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+_FIELDS = "l_orderkey, l_partkey, l_suppkey, l_linenumber, " + ", ".join(f"round({c} * 100)::BIGINT" for c in _CENTS) + ", l_returnflag, l_linestatus, strftime(l_shipdate, '%Y-%m-%d')"
+
+
+@query(f"SELECT count(*) AS n, sum(l_quantity)::BIGINT AS q, bit_xor(('0x' || substr(md5(concat_ws('|', {_FIELDS})), 1, 15))::BIGINT) AS digest FROM lineitem")
 def table_fingerprint(spark, d):
-    h = F.conv(F.substring(F.md5(F.concat_ws("|", "l_orderkey", "l_partkey", "l_linenumber")), 1, 15), 16, 10).cast("long")
-    return read(spark, d, "lineitem").agg(F.count("*").alias("n"), L(F.sum("l_quantity")).alias("q"), F.bit_xor(h).alias("digest"))
+    """Rows, a sum, and a digest over all columns, whatever the order of the rows."""
+    li = read(spark, d, "lineitem")
+    fields = [*[F.col(c) for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")], *[F.round(F.col(c) * 100).cast("long") for c in _CENTS], "l_returnflag", "l_linestatus", F.date_format("l_shipdate", "yyyy-MM-dd")]
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", *fields)), 1, 15), 16, 10).cast("long")
+    return li.agg(F.count("*").alias("n"), L(F.sum("l_quantity")).alias("q"), F.bit_xor(h).alias("digest"))
 
 
 @query(f"WITH {EVIDENCE}, a AS (SELECT target, count(DISTINCT ligand) AS x, count(DISTINCT ligand) FILTER (WHERE day <= DATE '{TRAIN_END}') AS b FROM e GROUP BY 1), z AS (SELECT CASE WHEN b < 100 THEN '0-99' WHEN b < 200 THEN '100-199' ELSE '200+' END AS band, x, b FROM a) SELECT band, count(*) AS n_targets, sum(b)::BIGINT AS today, sum(x)::BIGINT AS merged, (sum(x) - sum(b))::BIGINT AS gain FROM z GROUP BY 1")
@@ -292,3 +304,16 @@ def adequacy_check(spark, d):
     x = read(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
     share = F.max("n") / F.sum("n")
     return x.agg(F.count("*").alias("n_queries"), F.sum("n").alias("n_rows"), R(share).alias("max_share"), R(F.sum("n") * F.sum("n") / F.sum(F.col("n") * F.col("n")), 4).alias("effective"), ((F.count("*") >= 50) & (share <= 0.1)).alias("adequate"))
+
+
+@query(f"WITH {EVIDENCE} SELECT {_SPLIT} AS split, count(*) AS n, count(DISTINCT pub) AS n_pubs, sum(line)::BIGINT AS lines FROM e GROUP BY 1")
+def verified_split_write(spark, d):
+    """Rows routed to a folder of each split in one pass, verified, and read again."""
+    from uuid import uuid4
+
+    from tallywright.sources.files import scratch
+    from tallywright.sources.sinks import read_verified, write_verified
+
+    path = f"{scratch(spark)}/splits-{uuid4().hex}"
+    write_verified(evidence(spark, d).withColumn("split", split_of()), path, ["split"])
+    return read_verified(spark, path).groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("pub").alias("n_pubs"), F.sum("line").alias("lines"))

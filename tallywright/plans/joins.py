@@ -17,11 +17,11 @@ L = lambda x: (F.col(x) if isinstance(x, str) else x).cast("long")
 @query("""SELECT l_orderkey, l_linenumber::BIGINT AS line, p_name, s_name, sn.n_name AS source_nation, cn.n_name AS customer_nation, r_name
 FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey
 LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal > 0 LEFT JOIN nation sn ON sn.n_nationkey = s_nationkey
-LEFT JOIN nation cn ON cn.n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = sn.n_regionkey WHERE l_quantity > 45""")
+LEFT JOIN nation cn ON cn.n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = sn.n_regionkey""")
 def evidence_multiway_join(spark, d):
     nation = read(spark, d, "nation")
     alias = lambda name, key: nation.select(F.col("n_nationkey").alias(key), F.col("n_name").alias(name))
-    li = read(spark, d, "lineitem").where("l_quantity > 45")
+    li = read(spark, d, "lineitem")
     out = li.join(read(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(read(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
     out = out.join(read(spark, d, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
     out = out.join(read(spark, d, "customer").where("c_acctbal > 0"), F.col("c_custkey") == F.col("o_custkey"), "left")
@@ -55,14 +55,14 @@ def rank_by_evidence(spark, d):
     return _rank_target(spark, d, [F.desc("n"), F.desc("best"), "ligand"])
 
 
-@query("""WITH b AS (SELECT l_orderkey, l_linenumber::BIGINT AS line, l_partkey AS k1, 'Brand#' || (l_partkey % 30) AS k2, l_suppkey % 7 AS k3 FROM lineitem WHERE l_quantity < 3),
+@query("""WITH b AS (SELECT l_orderkey, l_linenumber::BIGINT AS line, l_partkey AS k1, 'Brand#' || (l_partkey % 30) AS k2, l_suppkey % 7 AS k3 FROM lineitem),
 x AS (SELECT p_partkey, p_name FROM part WHERE p_size > 20),
 y AS (SELECT p_brand, min(p_partkey) AS ky FROM part WHERE p_size <= 20 AND p_partkey % 10 = 0 GROUP BY 1 HAVING count(*) = 1),
 z AS (SELECT n_nationkey, min(s_suppkey) AS kz FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1)
 SELECT l_orderkey, line, coalesce(p_partkey, ky, kz) AS matched, CASE WHEN p_partkey IS NOT NULL THEN 'key' WHEN ky IS NOT NULL THEN 'unique_secondary' WHEN kz IS NOT NULL THEN 'derived' ELSE 'none' END AS method
 FROM b LEFT JOIN x ON p_partkey = k1 LEFT JOIN y ON p_brand = k2 LEFT JOIN z ON n_nationkey = k3""")
 def fallback_cascade_join(spark, d):
-    li = read(spark, d, "lineitem").where("l_quantity < 3")
+    li = read(spark, d, "lineitem")
     b = li.select("l_orderkey", L("l_linenumber").alias("line"), F.col("l_partkey").alias("k1"), F.concat(F.lit("Brand#"), F.col("l_partkey") % 30).alias("k2"), (F.col("l_suppkey") % 7).cast("int").alias("k3"))
     part = read(spark, d, "part")
     x = part.where("p_size > 20").select(F.col("p_partkey").alias("k1"), F.col("p_partkey").alias("kx"))
@@ -183,11 +183,11 @@ def universe_union(spark, d):
     return evidence(spark, d).select("target").union(more).distinct().groupBy("target").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {EVIDENCE}, k AS (SELECT ligand, target, source FROM e WHERE day <= DATE '{TRAIN_END}'), n AS (SELECT 'new:' || pub AS id, ligand, target, source, p FROM e WHERE day > DATE '{TRAIN_END}' AND qty > 40) SELECT ligand, target, source, round(max(p), 6) AS best, min(id) AS id FROM n WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.ligand = n.ligand AND k.target = n.target AND k.source = n.source) GROUP BY 1, 2, 3")
+@query(f"WITH {EVIDENCE}, k AS (SELECT ligand, target, source FROM e WHERE day <= DATE '{TRAIN_END}'), n AS (SELECT 'new:' || pub AS id, ligand, target, source, p FROM e WHERE day > DATE '{TRAIN_END}') SELECT ligand, target, source, round(max(p), 6) AS best, min(id) AS id FROM n WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.ligand = n.ligand AND k.target = n.target AND k.source = n.source) GROUP BY 1, 2, 3")
 def merge_new_evidence(spark, d):
     e, keys = evidence(spark, d), ["ligand", "target", "source"]
     known = e.where(F.col("day") <= F.lit(TRAIN_END)).select(*keys)
-    new = e.where((F.col("day") > F.lit(TRAIN_END)) & (F.col("qty") > 40)).withColumn("id", F.concat(F.lit("new:"), "pub"))
+    new = e.where(F.col("day") > F.lit(TRAIN_END)).withColumn("id", F.concat(F.lit("new:"), "pub"))
     return new.join(known, keys, "left_anti").groupBy(*keys).agg(F.round(F.max("p"), 6).alias("best"), F.min("id").alias("id"))
 
 
@@ -205,9 +205,9 @@ def vote_consensus_sets(spark, d):
     return votes.groupBy("target").agg(F.array_join(F.array_sort(F.collect_list("line")), ",").alias("agreed"))
 
 
-@query(f"WITH {EVIDENCE} SELECT ligand FROM e WHERE qty > 35 GROUP BY 1 HAVING count(DISTINCT source) = 3")
+@query(f"WITH {EVIDENCE} SELECT ligand FROM e GROUP BY 1 HAVING count(DISTINCT source) = 3")
 def sources_complete(spark, d):
-    return evidence(spark, d).where("qty > 35").groupBy("ligand").agg(F.countDistinct("source").alias("n")).where("n = 3").select("ligand")
+    return evidence(spark, d).groupBy("ligand").agg(F.countDistinct("source").alias("n")).where("n = 3").select("ligand")
 
 
 _SPLIT = f"CASE WHEN day <= DATE '{TRAIN_END}' THEN 'train' WHEN day <= DATE '1999-12-31' THEN 'dev' ELSE 'test' END"
@@ -219,11 +219,15 @@ def split_of(day="day"):
 
 @query(f"WITH {EVIDENCE}, k AS (SELECT DISTINCT {_SPLIT} AS split, kind, k FROM (SELECT day, 'pair' AS kind, ligand || ':' || target AS k FROM e UNION ALL SELECT day, 'pub', pub::VARCHAR FROM e UNION ALL SELECT day, 'ligand', ligand::VARCHAR FROM e)) SELECT a.kind, a.split AS split_a, b.split AS split_b, count(*) AS n FROM k a JOIN k b USING (kind, k) WHERE a.split < b.split GROUP BY 1, 2, 3")
 def overlap_matrix(spark, d):
-    e = evidence(spark, d).withColumn("split", split_of())
-    keys = F.array(*[F.struct(F.lit(n).alias("kind"), c.cast("string").alias("k")) for n, c in (("pair", F.concat_ws(":", "ligand", "target")), ("pub", F.col("pub")), ("ligand", F.col("ligand")))])
-    splits = e.select("split", F.explode(keys).alias("x")).groupBy("x.kind", "x.k").agg(F.array_sort(F.collect_set("split")).alias("s"))
-    pairs = splits.select("kind", F.explode("s").alias("split_a"), "s").select("kind", "split_a", F.explode("s").alias("split_b")).where("split_a < split_b")
-    return pairs.groupBy("kind", "split_a", "split_b").agg(F.count("*").alias("n"))
+    """Keys that two splits share: each key's splits as bits, keys then counted by what splits they have."""
+    names = ("dev", "test", "train")
+    s = split_of()
+    e = evidence(spark, d).select("ligand", "target", "pub", F.element_at(F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(1 << i))]), s).alias("bit"))
+    masks = lambda kind, *k: e.groupBy(*k).agg(F.bit_or("bit").alias("mask")).groupBy("mask").agg(F.count("*").alias("n")).withColumn("kind", F.lit(kind))
+    counts = masks("pair", "ligand", "target").unionByName(masks("pub", "pub")).unionByName(masks("ligand", "ligand"))
+    pairs = [F.struct(F.lit(a).alias("split_a"), F.lit(b).alias("split_b"), F.lit(1 << i | 1 << j).alias("both")) for i, a in enumerate(names) for j, b in enumerate(names) if i < j]
+    rows = counts.select("kind", "mask", "n", F.inline(F.array(*pairs))).where(F.col("mask").bitwiseAND(F.col("both")) == F.col("both"))
+    return rows.groupBy("kind", "split_a", "split_b").agg(F.sum("n").alias("n"))
 
 
 @query(f"WITH {EVIDENCE}, t AS (SELECT user_id AS ligand, list(DISTINCT event_type) AS s FROM events WHERE value > 80 GROUP BY 1), u AS (SELECT user_id AS ligand, list(DISTINCT event_type) AS s FROM events WHERE value > 40 GROUP BY 1) SELECT ligand, round(len(list_intersect(t.s, u.s)) / len(u.s), 6) AS prec, round(len(list_intersect(t.s, u.s)) / len(t.s), 6) AS recall FROM t JOIN u USING (ligand)".replace(f"WITH {EVIDENCE}, t", "WITH t"))

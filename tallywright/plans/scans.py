@@ -211,14 +211,22 @@ def date_multi_parse(spark, d):
     return read(spark, d, "orders").select("o_orderkey", day.alias("day"), F.when(day.isNotNull(), F.when(text.rlike(r"^\d{4}$"), "year").otherwise("exact")).alias("origin"))
 
 
-@query("SELECT l_orderkey, l_linenumber::BIGINT AS line, round(9 - log10(l_extendedprice), 6) AS p_activity, round(least(1.0, greatest(0.2, 1 - 0.8 * log10(greatest(l_extendedprice, 1)) / 6)), 6) AS weight FROM lineitem WHERE l_returnflag = 'A'")
+@query("SELECT l_orderkey, l_linenumber::BIGINT AS line, round(9 - log10(l_extendedprice), 6) AS p_activity, round(least(1.0, greatest(0.2, 1 - 0.8 * log10(greatest(l_extendedprice, 1)) / 6)), 6) AS weight FROM lineitem")
 def log_transform(spark, d):
     x = F.col("l_extendedprice")
-    li = read(spark, d, "lineitem").where("l_returnflag = 'A'")
+    li = read(spark, d, "lineitem")
     weight = clip(1 - 0.8 * F.log10(F.greatest(x, F.lit(1.0))) / 6, 0.2, 1.0)
     return li.select("l_orderkey", L("l_linenumber").alias("line"), F.round(9 - F.log10(x), 6).alias("p_activity"), F.round(weight, 6).alias("weight"))
 
 
+@query("""WITH x AS (SELECT l_orderkey, l_linenumber::BIGINT AS line, l_extendedprice AS v, CASE l_linenumber % 6 WHEN 0 THEN 'nM' WHEN 1 THEN ' uM' WHEN 2 THEN 'mM' WHEN 3 THEN 'micromolar' WHEN 4 THEN 'ug/ml' END AS unit FROM lineitem),
+y AS (SELECT *, -log10(v * CASE unit WHEN 'nM' THEN 1e-9 WHEN ' uM' THEN 1e-6 WHEN 'mM' THEN 1e-3 WHEN 'micromolar' THEN 1e-6 END) AS p FROM x) SELECT l_orderkey, line, CASE WHEN p BETWEEN 0 AND 15 THEN round(p, 6) END AS p_activity, CASE WHEN unit = 'nM' THEN v END AS only_nm FROM y""")
+def unit_conversion(spark, d):
+    x, k = F.col("l_extendedprice"), F.col("l_linenumber") % 6
+    unit = F.when(k == 0, "nM").when(k == 1, " uM").when(k == 2, "mM").when(k == 3, "micromolar").when(k == 4, "ug/ml")
+    return read(spark, d, "lineitem").select("l_orderkey", L("l_linenumber").alias("line"), F.round(clean.p_activity(x, unit), 6).alias("p_activity"), clean.nanomolar_only(x, unit).alias("only_nm"))
+
+
 @query("SELECT p_partkey, upper(p_brand) || '+' || upper(p_type) AS items, 2::BIGINT AS n FROM part")
 def split_clean_list(spark, d):
     text = F.concat(F.lower("p_brand"), F.lit("; NA ,"), F.col("p_type"), F.lit(" | null"))
@@ -264,9 +272,9 @@ def spreadsheet_safe_text(spark, d):
     return read(spark, d, "customer").select("c_custkey", clean.spreadsheet_safe(F.format_string("%.2f", "c_acctbal")).alias("safe"))
 
 
-@query("SELECT doc_id, i::BIGINT AS start, substr(text, (i + 1)::INT, 400) AS piece FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 300)) AS i FROM documents WHERE lang = 'de')")
+@query("SELECT doc_id, i::BIGINT AS start, substr(text, (i + 1)::INT, 400) AS piece FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 300)) AS i FROM documents WHERE text IS NOT NULL)")
 def sliding_text_windows(spark, d):
-    docs = read(spark, d, "documents", "doc_id", "text", "lang").where("lang = 'de'")
+    docs = read(spark, d, "documents", "doc_id", "text")
     starts = F.sequence(F.lit(0), F.greatest(F.length("text"), F.lit(1)) - 1, F.lit(300))
     return docs.select("doc_id", "text", F.explode(starts).alias("i")).select("doc_id", L("i").alias("start"), F.substring("text", F.col("i") + 1, F.lit(400)).alias("piece"))
 

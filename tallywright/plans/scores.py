@@ -9,6 +9,7 @@ from tallywright.operators.decide import reasons, tier, vote
 from tallywright.operators.fuse import bayesian_or, clip, minmax, reciprocal_rank_fusion, scale_similarity
 from tallywright.operators.rank import global_ranks, global_row_numbers
 from tallywright.plans.aggregates import _TRUTH, truth
+from tallywright.operators.calibrate import fit_platt, mcnemar_p
 from tallywright.registry import Registry
 from tallywright.sources.tables import EVIDENCE, TRAIN_END, evidence, read
 
@@ -49,7 +50,7 @@ def rrf_contributions(spark, d):
 
 
 #: Features of a target for the query vector of its nation: similarity of a ligand is 1 - |size - 25| / 50.
-_FEATURES = f"""WITH {EVIDENCE}, x AS (SELECT target, source, p, 1 - abs(p_size - 25) / 50 AS sim FROM e JOIN part ON p_partkey = ligand WHERE qty > 20),
+_FEATURES = f"""WITH {EVIDENCE}, x AS (SELECT target, source, p, 1 - abs(p_size - 25) / 50 AS sim FROM e JOIN part ON p_partkey = ligand),
 f AS (SELECT target, max(sim) AS any_max, coalesce(max(sim) FILTER (WHERE p > 5), 0) AS nonneg_max, coalesce(max(sim) FILTER (WHERE p >= 6), 0) AS pos_max, coalesce(max(sim) FILTER (WHERE p <= 5), 0) AS neg_max,
 coalesce((list_sort([coalesce(max(sim) FILTER (WHERE source = 'A'), 0), coalesce(max(sim) FILTER (WHERE source = 'N'), 0), coalesce(max(sim) FILTER (WHERE source = 'R'), 0)]))[2], 0) AS second_source, max(sim * (0.5 + 0.5 * least(greatest((p - 5) / 3, 0), 1))) AS quality_max, sum(CASE WHEN p >= 6 THEN sim ELSE 0 END) AS support FROM x GROUP BY 1),
 t AS (SELECT s_suppkey AS target, coalesce(round(any_max, 6), 0) AS any_max, coalesce(round(nonneg_max, 6), 0) AS nonneg_max, coalesce(round(pos_max, 6), 0) AS pos_max, coalesce(round(second_source, 6), 0) AS second_source, coalesce(round(quality_max, 6), 0) AS quality_max, coalesce(round(tanh(support / 10), 6), 0) AS support, coalesce(round(pos_max - neg_max, 6), 0) AS contrast FROM supplier LEFT JOIN f ON f.target = s_suppkey)"""
@@ -60,7 +61,7 @@ def features(spark, d):
     """Masked maxima over a target's neighbours, one aggregation; targets without evidence get 0."""
     from tallywright.operators.fuse import potency_weight
 
-    x = evidence(spark, d).where("qty > 20").join(read(spark, d, "part", "p_partkey", "p_size").withColumnRenamed("p_partkey", "ligand"), "ligand")
+    x = evidence(spark, d).join(read(spark, d, "part", "p_partkey", "p_size").withColumnRenamed("p_partkey", "ligand"), "ligand")
     p, x = F.col("p"), x.withColumn("sim", 1 - F.abs(F.col("p_size") - 25) / 50)
     most = lambda mask: F.coalesce(F.max(F.when(mask, F.col("sim"))), F.lit(0.0))
     by_source = F.array(*[most(F.col("source") == s) for s in "ANR"])
@@ -250,11 +251,19 @@ def wilcoxon_stat(spark, d):
     return r.agg(part(F.col("v") > 0).alias("w_plus"), part(F.col("v") < 0).alias("w_minus"), F.count("*").alias("n"))
 
 
-@query(f"WITH {_TRUTH}, x AS (SELECT q, bool_or(rank <= 5) AS a, bool_or(rank % 11 <= 1) AS b FROM t GROUP BY 1) SELECT count(*) FILTER (WHERE a AND NOT b) AS b_only, count(*) FILTER (WHERE b AND NOT a) AS c_only, count(*) FILTER (WHERE a AND b) AS both_hit, count(*) AS n FROM x")
+@query(f"""WITH {_TRUTH}, x AS (SELECT q, bool_or(rank <= 5) AS a, bool_or(rank % 11 <= 1) AS b FROM t GROUP BY 1), c AS (SELECT count(*) FILTER (WHERE a AND NOT b) AS b_only, count(*) FILTER (WHERE b AND NOT a) AS c_only, count(*) FILTER (WHERE a AND b) AS both_hit, count(*) AS n FROM x)
+SELECT *, round(least(1, 2 * list_sum([exp(lgamma(b_only + c_only + 1) - lgamma(k + 1) - lgamma(b_only + c_only - k + 1) - (b_only + c_only) * ln(2)) for k in range(0, least(b_only, c_only) + 1)])), 6)::DOUBLE AS p_value FROM c""")
 def mcnemar_discordant(spark, d):
     x = truth(spark, d).groupBy("q").agg(F.bool_or(F.col("rank") <= 5).alias("a"), F.bool_or(F.col("rank") % 11 <= 1).alias("b"))
     a, b = F.col("a"), F.col("b")
-    return x.agg(F.count_if(a & ~b).alias("b_only"), F.count_if(b & ~a).alias("c_only"), F.count_if(a & b).alias("both_hit"), F.count("*").alias("n"))
+    counts = x.agg(F.count_if(a & ~b).alias("b_only"), F.count_if(b & ~a).alias("c_only"), F.count_if(a & b).alias("both_hit"), F.count("*").alias("n"))
+    return counts.withColumn("p_value", R(mcnemar_p(F.col("b_only"), F.col("c_only"))))
+
+
+@query(None)
+def platt_fit(spark, d):
+    """Slope and intercept of the weighted logistic curve through the scores; iterative, so without SQL."""
+    return fit_platt(scored(spark, d).withColumn("w", 1.0 + F.col("user_id") % 3), "s", "y", "w")
 
 
 @query(_SCORED + ", w AS (SELECT *, 1 + user_id % 3 AS w, least(floor(s * 10), 9) AS bin FROM x), b AS (SELECT bin, sum(w) AS bw, abs(sum(w * s) - sum(w * y)) AS gap FROM w GROUP BY 1) SELECT round(sum(w * (s - y) * (s - y)) / sum(w), 6) AS brier, round(-sum(w * (y * ln(s) + (1 - y) * ln(1 - s))) / sum(w), 6) AS log_loss, round((SELECT sum(gap) / sum(bw) FROM b), 6) AS ece FROM w")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallywright.operators.decide import reasons, tier
 from tallywright.operators.log import latest, seconds, with_seq, with_sessions
 from tallywright.operators.rank import top_per_group
-from tallywright.operators.similar import dot, jaccard_of, pack_signs, tanimoto, word_shingles
+from tallywright.operators.similar import bits_set, cosine_matrix, jaccard_of, nearest_of, pack_signs, search_blocks, tanimoto, tanimoto_matrix, word_shingles
+from tallywright.shipping import ship
 from tallywright.plans.aggregates import _TRUTH, truth
 from tallywright.plans.joins import split_of
 from tallywright.registry import Registry
@@ -19,19 +21,20 @@ query = QUERIES.query
 L = lambda x: (F.col(x) if isinstance(x, str) else x).cast("long")
 R = lambda x, n=6: F.round(x, n)
 
-_BITS = "b AS (SELECT vec_id, label, list_sum([CASE WHEN embedding[i] > 0 THEN 1::BIGINT << (i - 1) ELSE 0 END for i in range(1, 61)])::BIGINT AS bits FROM embeddings)"
-_T = "CASE WHEN bit_count(a.bits | b.bits) = 0 THEN 0 ELSE bit_count(a.bits & b.bits)::DOUBLE / bit_count(a.bits | b.bits) END"
-#: Queries of the batch searches: a fixed number, broadcast.
-BATCH = 16
+#: All signs, 64 to a word; a word's value is unsigned here.
+_BITS = """b AS (SELECT vec_id, label, [list_sum([CASE WHEN embedding[64 * k + i] > 0 THEN 1::HUGEINT << (i - 1) ELSE 0::HUGEINT END for i in range(1, 65)])::HUGEINT for k in range(0, (len(embedding) + 63) // 64)] AS bits FROM embeddings)"""
+_COUNT = lambda op: f"list_sum([bit_count(a.bits[k] {op} b.bits[k]) for k in range(1, len(b.bits) + 1)])"
+_T = f"CASE WHEN {_COUNT('|')} = 0 THEN 0 ELSE {_COUNT('&')}::DOUBLE / {_COUNT('|')} END"
 
 
 def bits(spark, d):
     return read(spark, d, "embeddings").select("vec_id", L("label").alias("label"), pack_signs(F.col("embedding")).alias("bits"))
 
 
-@query(f"WITH {_BITS} SELECT vec_id, bits, bit_count(bits)::BIGINT AS n_set FROM b")
+@query(f"WITH {_BITS} SELECT vec_id, array_to_string([(CASE WHEN x >= 9223372036854775808 THEN x - 18446744073709551616 ELSE x END)::BIGINT::VARCHAR for x in bits], ',') AS words, list_sum([bit_count(x) for x in bits])::BIGINT AS n_set FROM b")
 def pack_bits(spark, d):
-    return bits(spark, d).select("vec_id", "bits", L(F.bit_count("bits")).alias("n_set"))
+    words = F.array_join(F.transform("bits", lambda x: x.cast("string")), ",")
+    return bits(spark, d).select("vec_id", words.alias("words"), L(bits_set(F.col("bits"))).alias("n_set"))
 
 
 @query(f"WITH {_BITS}, s AS (SELECT b.vec_id, round({_T}, 6) AS similarity FROM b, b a WHERE a.vec_id = 0 AND b.vec_id <> 0) SELECT * FROM s WHERE similarity >= 0.35 ORDER BY similarity DESC, vec_id LIMIT 25")
@@ -42,48 +45,66 @@ def tanimoto_topk(spark, d):
     return s.where("similarity >= 0.35").orderBy(F.desc("similarity"), "vec_id").limit(25)
 
 
-def _batch(spark, d, other=None):
-    b = bits(spark, d)
-    q = F.broadcast(b.where(F.col("vec_id") < BATCH).select(F.col("vec_id").alias("q"), F.col("bits").alias("qbits"), F.col("label").alias("qlabel")))
-    return b.join(q, F.col("vec_id") != F.col("q")).withColumn("similarity", R(tanimoto(F.col("bits"), F.col("qbits"))))
+#: Every twentieth vector is a query against all others, the stated query set.
+_PAIRS = f"WITH {_BITS}, s AS (SELECT a.vec_id AS q, b.vec_id, round({_T}, 6) AS similarity, a.label AS qlabel, b.label FROM b, b a WHERE a.vec_id % 20 = 0 AND b.vec_id <> a.vec_id)"
+
+
+def _searched(rows, measure, summarise, schema):
+    ship(rows.sparkSession)
+    return search_blocks(rows.where("id % 20 = 0"), rows, measure, summarise, schema)
+
 
+def _summary(qi, ql, ri, rl, s):
+    """Of each query: what it meets by label and similarity, and its nearest row."""
+    other, same, unlike = ~np.isnan(s), ql[:, None] == rl[None], ~np.isnan(ql[:, None] + rl[None]) & (ql[:, None] != rl[None])
+    near, top = s >= 0.5, np.where(other, s, -np.inf)
+    left = other & unlike & (s < 0.5)
+    most = lambda mask: [None if v == -np.inf else float(v) for v in np.where(mask, top, -np.inf).max(axis=1)]
+    return {
+        "q": qi, "n": other.sum(axis=1), "n_same": (other & same).sum(axis=1), "n_near": near.sum(axis=1), "n_left": left.sum(axis=1),
+        "nearest": most(other), "nearest_id": ri[top.argmax(axis=1)], "nearest_same": most(other & same), "nearest_left": most(left),
+    }
 
-_PAIRS = f"WITH {_BITS}, s AS (SELECT a.vec_id AS q, b.vec_id, round({_T}, 6) AS similarity, a.label AS qlabel, b.label FROM b, b a WHERE a.vec_id < {BATCH} AND b.vec_id <> a.vec_id)"
+
+def _summaries(spark, d):
+    rows = bits(spark, d).select(F.col("vec_id").alias("id"), "label", F.col("bits").alias("vector"))
+    return _searched(rows, tanimoto_matrix, _summary, "q long, n long, n_same long, n_near long, n_left long, nearest double, nearest_id long, nearest_same double, nearest_left double").where("n > 0").groupBy("q")
 
 
 @query(_PAIRS + " SELECT q, vec_id, similarity, row_number() OVER (PARTITION BY q ORDER BY similarity DESC, vec_id)::BIGINT AS rank FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY similarity DESC, vec_id) <= 10")
 def tanimoto_topk_batch(spark, d):
-    return top_per_group(_batch(spark, d), ["q"], [F.desc("similarity"), "vec_id"], 10).select("q", "vec_id", "similarity", "rank")
+    rows = bits(spark, d).select(F.col("vec_id").alias("id"), "label", F.col("bits").alias("vector"))
+    found = _searched(rows, tanimoto_matrix, nearest_of(10), "q long, vec_id long, similarity double")
+    return top_per_group(found, ["q"], [F.desc("similarity"), "vec_id"], 10).select("q", "vec_id", "similarity", "rank")
 
 
 @query(_PAIRS + " SELECT q, vec_id, similarity, CASE WHEN similarity >= 0.999 THEN 'EXACT' WHEN similarity >= 0.85 THEN 'SIMILAR' WHEN similarity >= 0.65 THEN 'ANALOG' ELSE 'NEW' END AS tier FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY similarity DESC, vec_id) = 1")
 def nearest_neighbour_tier(spark, d):
-    best = F.min(F.struct((-F.col("similarity")).alias("s"), "vec_id"))
+    best = F.min(F.struct((-F.col("nearest")).alias("s"), F.col("nearest_id").alias("vec_id")))
     s = -F.col("b.s")
-    return _batch(spark, d).groupBy("q").agg(best.alias("b")).select("q", "b.vec_id", s.alias("similarity"), tier(s, (0.999, "EXACT"), (0.85, "SIMILAR"), (0.65, "ANALOG"), below="NEW").alias("tier"))
+    return _summaries(spark, d).agg(best.alias("b")).select("q", "b.vec_id", s.alias("similarity"), tier(s, (0.999, "EXACT"), (0.85, "SIMILAR"), (0.65, "ANALOG"), below="NEW").alias("tier"))
 
 
 @query(_PAIRS + " SELECT q, max(similarity) AS nearest, max(similarity) FILTER (WHERE label = qlabel) AS same_scaffold, CASE WHEN max(similarity) >= 0.85 THEN 'boxed' WHEN max(similarity) >= 0.45 THEN 'caution' ELSE 'none' END AS warning FROM s GROUP BY 1")
 def similarity_warnings(spark, d):
-    m = F.max("similarity")
-    return _batch(spark, d).groupBy("q").agg(m.alias("nearest"), F.max(F.when(F.col("label") == F.col("qlabel"), F.col("similarity"))).alias("same_scaffold"), tier(m, (0.85, "boxed"), (0.45, "caution"), below="none").alias("warning"))
+    m = F.max("nearest")
+    return _summaries(spark, d).agg(m.alias("nearest"), F.max("nearest_same").alias("same_scaffold"), tier(m, (0.85, "boxed"), (0.45, "caution"), below="none").alias("warning"))
 
 
 @query(_PAIRS + " SELECT q, count(*) AS n_before, count(*) FILTER (WHERE label = qlabel) AS n_identity, count(*) FILTER (WHERE similarity >= 0.5) AS n_near, count(*) FILTER (WHERE label <> qlabel AND similarity < 0.5) AS n_kept, max(similarity) FILTER (WHERE label <> qlabel AND similarity < 0.5) AS best_left FROM s GROUP BY 1")
 def leave_query_out(spark, d):
-    same, near = F.col("label") == F.col("qlabel"), F.col("similarity") >= 0.5
-    return _batch(spark, d).groupBy("q").agg(F.count("*").alias("n_before"), F.count_if(same).alias("n_identity"), F.count_if(near).alias("n_near"), F.count_if(~same & ~near).alias("n_kept"), F.max(F.when(~same & ~near, F.col("similarity"))).alias("best_left"))
+    total = lambda c, name: F.sum(c).alias(name)
+    return _summaries(spark, d).agg(total("n", "n_before"), total("n_same", "n_identity"), total("n_near", "n_near"), total("n_left", "n_kept"), F.max("nearest_left").alias("best_left"))
 
 
 _COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))"
-_NEAR = f"WITH s AS (SELECT a.vec_id AS q, b.vec_id, a.label, round({_COS}, 6) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, vec_id) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY cosine DESC, vec_id) <= 5)"
+_NEAR = f"WITH s AS (SELECT a.vec_id AS q, b.vec_id, round({_COS}, 6) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, vec_id) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY cosine DESC, vec_id) <= 5)"
 
 
 def _nearest(spark, d):
-    """The five nearest vectors of the same label for every twentieth one, the stated query set."""
-    v = read(spark, d, "embeddings").withColumn("norm", F.sqrt(dot(F.col("embedding"), F.col("embedding"))))
-    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), "label", F.col("embedding").alias("qe"), F.col("norm").alias("qn"))
-    s = v.join(q, "label").where("vec_id <> q").select("q", "vec_id", "label", R(dot(F.col("embedding"), F.col("qe")) / (F.col("norm") * F.col("qn"))).alias("cosine"))
+    """The five nearest of all vectors for every twentieth one, the stated query set."""
+    rows = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), L("label").alias("label"), F.col("embedding").alias("vector"))
+    s = _searched(rows, cosine_matrix, nearest_of(5), "q long, vec_id long, similarity double").withColumnRenamed("similarity", "cosine")
     return top_per_group(s, ["q"], [F.desc("cosine"), "vec_id"], 5)
 
 
@@ -125,12 +146,30 @@ def leakage_audit(spark, d):
     return m.select("item_id", leaked.alias("leaked"), F.array_join(reasons(coverage=F.col("c").isNull(), jaccard=F.col("j").isNull()), ";").alias("missing_axes"))
 
 
-@query("WITH c AS (SELECT doc_id, array_to_string(list_sort(list_distinct(string_split(lower(source || ' ' || lang), ' '))), ' ') AS s, length(text) - length(replace(text, 'e', '')) AS e1, length(text) - length(replace(text, 'a', '')) AS a1 FROM documents) SELECT doc_id, round((least(e1, 100) + least(a1, 100)) / greatest(e1 + a1, 1), 3) AS recall, round((least(e1, 100) + least(a1, 100)) / 200, 3) AS prec FROM c")
+#: The profile that documents are held against: how often each letter occurs in all benchmark passages, a letter a feature.
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_COUNTS = "[length({0}) - length(replace({0}, c, '')) for c in string_split('" + _LETTERS + "', '')]"
+
+
+@query(f"""WITH q AS (SELECT list(x ORDER BY i) AS q FROM (SELECT i, round(avg(n[i]))::BIGINT AS x FROM (SELECT {_COUNTS.format("lower(text)")} AS n FROM benchmark), range(1, 27) AS r(i) GROUP BY 1)),
+c AS (SELECT doc_id, {_COUNTS.format("lower(text)")} AS c, q FROM documents, q), m AS (SELECT doc_id, list_sum([least(c[i], q[i]) for i in range(1, 27)]) AS shared, list_sum(c) AS nc, list_sum(q) AS nq, list_sum([(c[i] > 0 AND q[i] > 0)::INT for i in range(1, 27)]) AS both_bits, list_sum([(c[i] > 0 OR q[i] > 0)::INT for i in range(1, 27)]) AS any_bits FROM c)
+SELECT doc_id, round(shared / greatest(nq, 1), 3)::DOUBLE AS recall, round(shared / greatest(nc, 1), 3)::DOUBLE AS prec, CASE WHEN nc > 0 AND nq > 0 THEN round(both_bits / any_bits, 3) ELSE 0 END::DOUBLE AS similarity, nc > 0 AND nq > 0 AS usable FROM m""")
 def multiset_overlap(spark, d):
-    count = lambda c: F.length("text") - F.length(F.replace("text", F.lit(c), F.lit("")))
-    c = read(spark, d, "documents", "doc_id", "text").select("doc_id", count("e").alias("e"), count("a").alias("a"))
-    both = F.least("e", F.lit(100)) + F.least("a", F.lit(100))
-    return c.select("doc_id", R(both / F.greatest(F.col("e") + F.col("a"), F.lit(1)), 3).alias("recall"), R(both / 200, 3).alias("prec"))
+    """Counts of features against a profile: shared over either's number, Tanimoto of what occurs at all, and whether both have any."""
+    low = F.lower("text")
+    counts = F.array(*[F.length(low) - F.length(F.replace(low, F.lit(c), F.lit(""))) for c in _LETTERS])
+    profile = read(spark, d, "benchmark").select(counts.alias("n")).agg(F.array(*[F.round(F.avg(F.get("n", F.lit(i)))).cast("long") for i in range(26)]).alias("q"))
+    c = read(spark, d, "documents", "doc_id", "text").select("doc_id", counts.alias("c")).join(F.broadcast(profile))
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, v: s + v)
+    each = lambda f: total(F.zip_with("c", "q", f))
+    nc, nq = total(F.col("c")), total(F.col("q"))
+    usable = (nc > 0) & (nq > 0)
+    c = c.select(
+        "doc_id", each(lambda x, y: F.least(x.cast("long"), y)).alias("shared"), nc.alias("nc"), nq.alias("nq"), usable.alias("usable"),
+        each(lambda x, y: ((x > 0) & (y > 0)).cast("int")).alias("both"), each(lambda x, y: ((x > 0) | (y > 0)).cast("int")).alias("some"),
+    )
+    share = lambda x, y: R(F.col(x) / F.greatest(F.col(y), F.lit(1)), 3)
+    return c.select("doc_id", share("shared", "nq").alias("recall"), share("shared", "nc").alias("prec"), F.when(F.col("usable"), share("both", "some")).otherwise(0.0).alias("similarity"), "usable")
 
 
 @query(None)
@@ -149,14 +188,14 @@ def kmeans_assign(spark, d):
     return out.join(F.broadcast(medoid), "cluster").select("vec_id", "cluster", "distance", (F.col("vec_id") == F.col("medoid")).alias("is_medoid"))
 
 
-_COLD = f"""{EVIDENCE}, o AS (SELECT *, CASE WHEN day <= DATE '{TRAIN_END}' THEN 0 WHEN day <= DATE '1999-12-31' THEN 1 ELSE 2 END AS o, target % 7 AS cluster FROM e WHERE qty > 30),
+_COLD = f"""{EVIDENCE}, o AS (SELECT *, CASE WHEN day <= DATE '{TRAIN_END}' THEN 0 WHEN day <= DATE '1999-12-31' THEN 1 ELSE 2 END AS o, target % 7 AS cluster FROM e),
 c AS (SELECT *, min(o) OVER (PARTITION BY ligand, target) > 0 AS pair_cold, min(o) OVER (PARTITION BY pub) > 0 AS pub_cold, min(o) OVER (PARTITION BY ligand) > 0 AS ligand_cold, min(o) OVER (PARTITION BY target) > 0 AS target_cold, min(o) OVER (PARTITION BY ligand, cluster) > 1 AS cluster_cold FROM o)"""
 
 
 def _cold(spark, d):
     """Flags of keys that no earlier split has; each is the smallest split of the key's rows."""
     s = split_of()
-    o = evidence(spark, d).where("qty > 30").withColumns({"o": F.when(s == "train", 0).when(s == "dev", 1).otherwise(2), "cluster": F.col("target") % 7})
+    o = evidence(spark, d).withColumns({"o": F.when(s == "train", 0).when(s == "dev", 1).otherwise(2), "cluster": F.col("target") % 7})
     first = lambda *k: F.min("o").over(Window.partitionBy(*k))
     return o.withColumns({"pair_cold": first("ligand", "target") > 0, "pub_cold": first("pub") > 0, "ligand_cold": first("ligand") > 0, "target_cold": first("target") > 0, "cluster_cold": first("ligand", "cluster") > 1})
 
@@ -253,14 +292,20 @@ def recent_jobs(spark, d):
     return read(spark, d, "events").where(F.col("event_type").isin("error", "purchase")).orderBy(F.desc("ts"), "event_id").limit(50).select("event_id", "event_type")
 
 
-@query("""WITH q AS (SELECT c_custkey, c_nationkey, c_mktsegment FROM customer WHERE c_custkey < 200), x AS (SELECT c_custkey, s_suppkey, 1.0::DOUBLE AS w FROM q JOIN supplier ON s_suppkey = c_custkey WHERE c_custkey % 2 = 0), y AS (SELECT c_custkey, s_suppkey, round(s_acctbal / 10000, 6) AS w FROM q JOIN supplier ON s_nationkey = c_nationkey WHERE s_acctbal > 5000),
-m AS (SELECT *, 'exact' AS how FROM x UNION ALL SELECT *, 'similar' FROM y WHERE c_custkey NOT IN (SELECT c_custkey FROM x)) SELECT c_custkey, max(w) AS prior, count(*) AS n_cases, min(how) AS how, array_to_string(list_sort(list(s_suppkey)), ';') AS cases FROM m GROUP BY 1""")
+@query("""WITH x AS (SELECT c_custkey, 1.0::DOUBLE AS prior, 1::BIGINT AS n_cases, 'exact' AS how, s_suppkey::VARCHAR AS cases FROM customer JOIN supplier ON s_suppkey = c_custkey WHERE c_custkey % 2 = 0),
+s AS (SELECT s_nationkey, s_suppkey, round(s_acctbal / 10000, 6) AS w, row_number() OVER (PARTITION BY s_nationkey ORDER BY round(s_acctbal / 10000, 6) DESC, s_suppkey) AS r FROM supplier WHERE s_acctbal > 5000),
+y AS (SELECT c_custkey, n.* EXCLUDE (s_nationkey) FROM customer JOIN (SELECT s_nationkey, max(w) AS prior, count(*) AS n_cases, 'similar' AS how, string_agg(s_suppkey::VARCHAR, ';' ORDER BY r) FILTER (WHERE r <= 3) AS cases FROM s GROUP BY 1) n ON s_nationkey = c_nationkey WHERE c_custkey NOT IN (SELECT c_custkey FROM x))
+SELECT * FROM x UNION ALL SELECT * FROM y""")
 def prior_with_fallback_gate(spark, d):
-    q, s = read(spark, d, "customer").where("c_custkey < 200"), read(spark, d, "supplier")
-    x = q.where("c_custkey % 2 = 0").join(s, F.col("s_suppkey") == F.col("c_custkey")).select("c_custkey", "s_suppkey", F.lit(1.0).alias("w"), F.lit("exact").alias("how"))
-    y = q.join(s.where("s_acctbal > 5000"), F.col("s_nationkey") == F.col("c_nationkey")).select("c_custkey", "s_suppkey", R(F.col("s_acctbal") / 10000).alias("w"), F.lit("similar").alias("how"))
-    m = x.unionByName(y.join(x.select("c_custkey").distinct(), "c_custkey", "left_anti"))
-    return m.groupBy("c_custkey").agg(F.max("w").alias("prior"), F.count("*").alias("n_cases"), F.min("how").alias("how"), F.array_join(F.array_sort(F.collect_list("s_suppkey")), ";").alias("cases"))
+    """The exact case's prior, else that of the similar cases, summed up by what makes them similar before they meet any customer."""
+    q, s = read(spark, d, "customer").select("c_custkey", "c_nationkey"), read(spark, d, "supplier")
+    x = q.where("c_custkey % 2 = 0").join(s.select(F.col("s_suppkey").alias("c_custkey")), "c_custkey").select("c_custkey")
+    exact = x.select("c_custkey", F.lit(1.0).alias("prior"), F.lit(1).cast("long").alias("n_cases"), F.lit("exact").alias("how"), F.col("c_custkey").cast("string").alias("cases"))
+    s = s.where("s_acctbal > 5000").select(F.col("s_nationkey").alias("c_nationkey"), "s_suppkey", R(F.col("s_acctbal") / 10000).alias("w"))
+    best = top_per_group(s, ["c_nationkey"], [F.desc("w"), "s_suppkey"], 3, "r").groupBy("c_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "s_suppkey"))), lambda i: i["s_suppkey"].cast("string")), ";").alias("cases"))
+    s = s.groupBy("c_nationkey").agg(F.max("w").alias("prior"), F.count("*").alias("n_cases")).join(best, "c_nationkey")
+    similar = q.join(x, "c_custkey", "left_anti").join(s, "c_nationkey").select("c_custkey", "prior", "n_cases", F.lit("similar").alias("how"), "cases")
+    return exact.unionByName(similar)
 
 
 @query(f"WITH {EVIDENCE}, g AS (SELECT ligand, target, max(round(p / 7 + 1e-9, 4)) AS w FROM e GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY ligand ORDER BY w DESC, target) AS r FROM g QUALIFY row_number() OVER (PARTITION BY ligand ORDER BY w DESC, target) <= 4) SELECT ligand, string_agg(target::VARCHAR, ';' ORDER BY r) AS targets, string_agg(printf('%.4f', w), ';' ORDER BY r) AS weights, max(w) AS best FROM r GROUP BY 1")

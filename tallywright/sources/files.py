@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import tempfile
+import zipfile
+from collections.abc import Iterator
+from xml.etree import ElementTree
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,10 +17,12 @@ _own: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set."""
+    """The cluster's shared checkpoint folder; a temporary one only in local mode, where none is set. On a cluster without one it raises."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/") + "/tallywright"
+    if spark.conf.get("spark.master", "local").split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     app = spark.sparkContext.applicationId
     return _own.setdefault(app, _own.get(app) or "file://" + tempfile.mkdtemp(prefix="tallywright-"))
 
@@ -42,3 +50,79 @@ def read_any(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     if path.endswith((".tsv", ".tsv.gz")):
         return spark.read.csv(path, schema=schema, header=True, sep="\t")
     return spark.read.parquet(path)
+
+
+def read_zip_tsv(spark: SparkSession, path: str, columns: list[str], sep: str = "\t", quoting: int = csv.QUOTE_NONE) -> DataFrame:
+    """The named columns, as strings, of all delimited members of ZIP archives; one that lacks a column raises.
+
+    An archive can't be split, so one task reads it, member by member and line
+    by line; its compressed bytes, not its text, have to fit the task. Fields
+    may be of any length, empty ones are null.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        csv.field_size_limit(1 << 30)
+        for batch in batches:
+            for content in batch["content"]:
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    for member in (m for m in z.namelist() if m.endswith((".tsv", ".csv", ".txt"))):
+                        lines = csv.reader(io.TextIOWrapper(z.open(member), "utf-8", newline=""), delimiter=sep, quoting=quoting)
+                        header = next(lines, [])
+                        if missing := [c for c in columns if c not in header]:
+                            raise ValueError(f"{member} lacks {', '.join(missing)}")
+                        at, held = [header.index(c) for c in columns], []
+                        for line in lines:
+                            held.append([line[i] or None if i < len(line) else None for i in at])
+                            if len(held) == 10_000:
+                                yield pd.DataFrame(held, columns=columns)
+                                held = []
+                        yield pd.DataFrame(held, columns=columns, dtype=object)
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+    return files.mapInPandas(run, ", ".join(f"`{c}` string" for c in columns))
+
+
+_SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+
+def read_workbook(spark: SparkSession, path: str, sheet: int = 1) -> DataFrame:
+    """(row, cells) of a sheet of XLSX workbooks: its row number and its cells' text by column, null where a cell is missing.
+
+    A workbook is one task's work; rows stream, shared strings are held.
+    """
+
+    def column(reference: str) -> int:
+        n = 0
+        for c in reference:
+            if c.isdigit():
+                break
+            n = 26 * n + ord(c) - 64
+        return n - 1
+
+    def text(node: ElementTree.Element | None) -> str:
+        return "" if node is None else "".join(t.text or "" for t in node.iter(_SHEET + "t"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    shared = []
+                    if "xl/sharedStrings.xml" in z.namelist():
+                        shared = [text(e) for _, e in ElementTree.iterparse(z.open("xl/sharedStrings.xml")) if e.tag == _SHEET + "si"]
+                    rows = []
+                    for _, e in ElementTree.iterparse(z.open(f"xl/worksheets/sheet{sheet}.xml")):
+                        if e.tag != _SHEET + "row":
+                            continue
+                        cells: dict[int, str] = {}
+                        for c in e.iter(_SHEET + "c"):
+                            v = c.find(_SHEET + "v")
+                            kind, at = c.get("t"), column(c.get("r", "")) if c.get("r") else len(cells)
+                            if kind == "inlineStr":
+                                cells[at] = text(c.find(_SHEET + "is"))
+                            elif v is not None and v.text is not None:
+                                cells[at] = shared[int(v.text)] if kind == "s" else v.text
+                        rows.append((int(e.get("r", len(rows) + 1)), [cells.get(i) for i in range(max(cells, default=-1) + 1)]))
+                        e.clear()
+                    yield pd.DataFrame(rows, columns=["row", "cells"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "row long, cells array<string>")

@@ -1,10 +1,14 @@
 """Small frames for the rules that recur: ties, dates, relations, bands, votes, sessions."""
 
 import datetime
+import gzip
 import itertools
 import math
 import re
+import uuid
+import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,10 +18,12 @@ from tallywright.operators.fuse import bayesian_or, reciprocal_rank_fusion
 from tallywright.operators import pareto
 from tallywright.operators.log import with_sessions
 from tallywright.operators.rank import average_rank, band_rerank, global_ranks, global_row_numbers, largest_remainder, top_per_group
-from tallywright.operators.similar import jaccard_of, pack_signs, tanimoto, word_shingles
+from tallywright.operators.calibrate import fit_platt, mcnemar_p
+from tallywright.operators.similar import bits_set, cosine_matrix, jaccard_of, nearest_of, pack_signs, search_blocks, tanimoto, tanimoto_matrix, word_shingles
 from tallywright.plans import ranks, scans, scores
 from tallywright.shipping import ship
-from tallywright.sources.files import read_any, read_csv, read_fasta
+from tallywright.sources.files import read_any, read_csv, read_fasta, read_workbook, read_zip_tsv, scratch
+from tallywright.sources.sinks import read_verified, write_verified
 from tallywright.sources.tables import find_column, read, with_optional
 
 
@@ -162,11 +168,16 @@ def test_priors(spark):
 
 def test_bits_and_sets(spark):
     df = spark.createDataFrame([([1.0, -1.0, 2.0],)], "e array<float>")
-    assert df.select(pack_signs(F.col("e"))).first()[0] == 0b101
-    assert spark.range(1).select(tanimoto(F.lit(0b101), F.lit(0b111)), tanimoto(F.lit(0), F.lit(0))).first()[:] == (2 / 3, 0.0)
+    assert df.select(pack_signs(F.col("e"))).first()[0] == [0b101]
+    words = lambda *w: F.array(*[F.lit(v).cast("long") for v in w])
+    assert spark.range(1).select(tanimoto(words(0b101, 1), words(0b111)), tanimoto(words(0), words(0))).first()[:] == (2 / 4, 0.0)
+    wide = [1.0 if i in (0, 63, 64, 130) else -1.0 for i in range(131)]
+    got = spark.createDataFrame([(wide,), ([],)], "e array<double>").select(pack_signs(F.col("e")), bits_set(pack_signs(F.col("e")))).collect()
+    assert [tuple(r) for r in got] == [([1 - 2**63, 1, 4], 4), ([0], 0)]
     a = word_shingles(spark.createDataFrame([(1, "a b c d e f"), (2, "x"), (3, None)], "a int, t string"), "a", "t")
     b = word_shingles(spark.createDataFrame([(9, "A b c d e")], "b int, t string"), "b", "t")
     assert values(jaccard_of(a, b, "a", "b"), "a", "b", "jaccard", "covered") == [(1, 9, 0.5, 0.5)]
+    assert values(jaccard_of(a, b, "a", "b", most=0), "a", "b", "jaccard", "covered") == [(1, 9, 0.5, 0.5)]
 
 
 def test_sources(spark, tmp_path):
@@ -197,3 +208,110 @@ def test_streams_agree_with_batch(spark, tmp_path):
     q = without_repeats(stream).writeStream.format("memory").queryName("once").option("checkpointLocation", str(tmp_path / "once")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("once").count() == events.count()
+
+
+@pytest.mark.parametrize("measure", [tanimoto_matrix, cosine_matrix])
+def test_search_in_blocks(spark, measure):
+    ship(spark)
+    rng = np.random.default_rng(1)
+    v = rng.integers(-(2**62), 2**62, (70, 3)) if measure is tanimoto_matrix else rng.normal(size=(70, 3)).round(1)
+    v[5], v[6] = v[4], 0
+    kind = "long" if measure is tanimoto_matrix else "double"
+    rows = [(i, i % 3 if i % 7 else None, v[i].tolist()) for i in range(70)] + [(None, 1, v[0].tolist()), (90, 1, None), (91, 1, [None] * 3)]
+    df = spark.createDataFrame(rows, f"id long, label long, vector array<{kind}>")
+    found = search_blocks(df.where("id % 20 = 0"), df, measure, nearest_of(3), "q long, vec_id long, similarity double", block=16)
+    got = {}
+    for r in top_per_group(found, ["q"], [F.desc("similarity"), "vec_id"], 3).collect():
+        got.setdefault(r["q"], []).append((r["vec_id"], r["similarity"]))
+    s = np.round(measure(v, v), 6)
+    for q in (0, 20, 40, 60):
+        assert sorted(got[q]) == sorted(sorted(((i, s[q, i]) for i in range(70) if i != q), key=lambda x: (-x[1], x[0]))[:3])
+    assert search_blocks(df.where("false"), df, measure, nearest_of(3), "q long, vec_id long, similarity double").count() == 0
+    assert search_blocks(df, df.where("false"), measure, nearest_of(3), "q long, vec_id long, similarity double").count() == 0
+
+
+def test_platt_fit(spark):
+    rng = np.random.default_rng(5)
+    s = rng.normal(size=400)
+    y = (rng.random(400) < 1 / (1 + np.exp(-(2 * s - 1)))).astype(int)
+    w = rng.integers(1, 4, 400).astype(float)
+    df = spark.createDataFrame(list(zip(s.tolist(), y.tolist(), w.tolist())), "s double, y int, w double")
+    r = fit_platt(df, "s", "y", "w").first()
+    loss = lambda a, b: np.average(np.logaddexp(0, a * s + b) - y * (a * s + b), weights=w) + 1e-6 * a * a
+    best = loss(r["slope"], r["intercept"])
+    assert all(best <= loss(r["slope"] + i * 1e-3, r["intercept"] + j * 1e-3) for i in (-1, 0, 1) for j in (-1, 0, 1))
+    assert (r["n_rows"], r["weight_sum"]) == (400, w.sum()) and abs(r["weighted_prevalence"] - np.average(y, weights=w)) < 1e-12
+    against = fit_platt(df.withColumn("y", 1 - F.col("y")), "s", "y").first()
+    assert against["slope"] == 0 and abs(against["intercept"] - math.log(against["weighted_prevalence"] / (1 - against["weighted_prevalence"]))) < 1e-6
+    for bad in (df.where("y = 1"), df.where("false"), df.withColumn("s", F.lit(math.nan)), df.withColumn("w", F.lit(0.0)), df.withColumn("y", F.lit(None).cast("int"))):
+        with pytest.raises(ValueError):
+            fit_platt(bad, "s", "y", "w")
+
+
+def test_mcnemar_p(spark):
+    pairs = [(0, 0), (1, 0), (5, 1), (3, 12), (40, 40), (700, 600), (0, 9)]
+    got = values(spark.createDataFrame(pairs, "b long, c long").select("b", "c", mcnemar_p(F.col("b"), F.col("c"))))
+    for b, c, p in got:
+        want = min(1.0, 2 * sum(math.comb(b + c, k) for k in range(min(b, c) + 1)) / 2 ** (b + c))
+        assert abs(p - want) < 1e-9, (b, c)
+
+
+def test_units(spark):
+    rows = [(10.0, "nM"), (1.0, " \u00b5M"), (1.0, "\u03bcm"), (2.0, "M"), (0.0, "nM"), (1.0, "ug/ml"), (1.0, None), (math.nan, "nM"), (1e30, "mM")]
+    got = values(spark.createDataFrame(rows, "v double, u string").select(F.round(clean.p_activity(F.col("v"), F.col("u")), 6), clean.nanomolar_only(F.col("v"), F.col("u"))))
+    assert [p for p, _ in got] == [8.0, 6.0, 6.0, None, None, None, None, None, None]
+    assert [n for _, n in got[:4]] == [10.0, None, None, None]
+
+
+def test_verified_sink(spark):
+    path = f"{scratch(spark)}/verified-{uuid.uuid4().hex}"
+    df = spark.createDataFrame([(1, "a", 2.5), (1, "a", 2.5), (2, None, None)], "k long, s string, v double")
+    told = write_verified(df, path, ["s"], {"from": "test"})
+    assert told["rows"] == 3 and told["splits"] == [{"s": None, "rows": 1}, {"s": "a", "rows": 2}]
+    assert sorted(values(read_verified(spark, path)), key=repr) == sorted(values(df), key=repr)
+    with pytest.raises(ValueError):
+        write_verified(df, path)
+    df.limit(1).drop("s").write.mode("append").parquet(path + "/s=a")
+    with pytest.raises(ValueError, match="manifest"):
+        read_verified(spark, path)
+
+
+def test_zip_and_workbook(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("x.tsv", "id\tother\ttext\n1\t-\t" + "y" * 200_000 + "\n2\t-\t\n3\n")
+        z.writestr("note.md", "ignored")
+    rows = values(read_zip_tsv(spark, str(tmp_path / "a.zip"), ["text", "id"]))
+    assert sorted(rows, key=lambda r: r[1]) == [("y" * 200_000, "1"), (None, "2"), (None, "3")]
+    with pytest.raises(Exception, match="lacks nope"):
+        read_zip_tsv(spark, str(tmp_path / "a.zip"), ["nope"]).count()
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>name</t></si><si><r><t>two </t></r><r><t>runs</t></r></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c></row><row r="3"><c r="B3"><v>4.5</v></c><c r="AA3" t="inlineStr"><is><t>far</t></is></c></row></sheetData></worksheet>')
+    got = values(read_workbook(spark, str(tmp_path / "b.xlsx")))
+    assert got == [(1, ["name", None, "two runs"]), (3, [None, "4.5", *[None] * 24, "far"])]
+
+
+def test_gzip_ids_are_read_as_a_stream(spark, tmp_path):
+    (tmp_path / "cid.tsv.gz").write_bytes(gzip.compress(b"".join(b"%d\tC%d\n" % (i, i) for i in range(1000))))
+    df = spark.read.csv(str(tmp_path / "cid.tsv.gz"), schema="id long, s string", sep="\t")
+    assert values(df.join(F.broadcast(spark.createDataFrame([(7,), (5000,)], "id long")), "id", "left_semi")) == [(7, "C7")]
+
+
+def test_cluster_assignment(spark):
+    """Each row's cluster is the nearest of the clusters' centres, and each cluster has its closest row as medoid."""
+    from tallywright.plans import similarity
+
+    rows = {r["vec_id"]: r for r in similarity.kmeans_assign(spark, "/root/testdata/sf0.001").collect()}
+    x = {r["vec_id"]: np.array(r["embedding"], float) for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()}
+    assert rows.keys() == x.keys()
+    names = sorted({r["cluster"] for r in rows.values()})
+    members = {c: [k for k in rows if rows[k]["cluster"] == c] for c in names}
+    # Lloyd's rounds end at centres that are the means of what they hold.
+    centre = np.array([np.mean([x[k] for k in members[c]], axis=0) for c in names])
+    for k, r in rows.items():
+        gaps = np.linalg.norm(centre - x[k], axis=1)
+        assert abs(r["distance"] - gaps[names.index(r["cluster"])]) < 0.05 and r["distance"] <= gaps.min() + 0.05
+    for c in names:
+        closest = min(members[c], key=lambda k: (rows[k]["distance"], k))
+        assert [k for k in members[c] if rows[k]["is_medoid"]] == [closest]
