@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tallywright.operators.evidence import edge_table
 from tallywright.plans.joins import split_of
 from tallywright.registry import Registry
 from tallywright.sources.tables import EVIDENCE, NEGATIVE, POSITIVE, TIE, TRAIN_END, evidence, read
@@ -19,17 +20,7 @@ _SPLIT = f"CASE WHEN day <= DATE '{TRAIN_END}' THEN 'train' WHEN day <= DATE '19
 
 def edges(spark, d):
     """(ligand, target, source, family): measurement counts by class, maximum, median, publications."""
-    # Publications and values are counted first, each dealt by its own key, so nothing is sent once for each distinct count.
-    keys = ["ligand", "target", "source", "family"]
-    p, e = F.col("p"), evidence(spark, d).select("ligand", "target", "source", "family", "pub", "line", "p")
-    pubs = e.groupBy(*keys, "pub").agg(
-        F.count("*").alias("n"), F.count_if(p >= POSITIVE).alias("n_pos"), F.count_if(p <= NEGATIVE).alias("n_neg"), F.max("p").alias("max_p"), F.expr("bit_or(shiftleft(1L, cast(line as int)))").alias("lines"),
-    )
-    sums = pubs.groupBy(*keys).agg(
-        F.sum("n").alias("n"), F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg"), F.max("max_p").alias("max_p"), F.count("*").alias("n_pubs"), F.bit_count(F.bit_or("lines")).cast("long").alias("n_lines"),
-    )
-    middle = e.groupBy(*keys, "p").agg(F.count("*").alias("c")).groupBy(*keys).agg(R(F.percentile("p", 0.5, F.col("c")), 8).alias("median_p"))
-    return sums.join(middle, keys).select(*keys, "n", "n_pos", "n_neg", (F.col("n") - F.col("n_pos") - F.col("n_neg")).alias("n_gray"), "max_p", "median_p", "n_pubs", "n_lines")
+    return edge_table(evidence(spark, d), ["ligand", "target", "source", "family"], "p", "pub", "line", POSITIVE, NEGATIVE).withColumn("median_p", R("median_p", 8))
 
 
 @query(f"WITH {EVIDENCE} SELECT ligand, target, source, family, count(*) AS n, count(*) FILTER (WHERE p >= 6) AS n_pos, count(*) FILTER (WHERE p <= 5) AS n_neg, count(*) FILTER (WHERE p > 5 AND p < 6) AS n_gray, max(p) AS max_p, round(median(p), 8) AS median_p, count(DISTINCT pub) AS n_pubs, count(DISTINCT line) AS n_lines FROM e GROUP BY 1, 2, 3, 4")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tallywright.operators.rank import first_per_group, top_per_group
+from tallywright.operators.rank import first_per_group, global_row_numbers, top_per_group
 from tallywright.registry import Registry
 from tallywright.sources.tables import EVIDENCE, TRAIN_END, evidence, read
 
@@ -193,7 +193,9 @@ def merge_new_evidence(spark, d):
 
 @query(f"WITH {_EDGES}, r AS (SELECT ligand, row_number() OVER (ORDER BY best DESC, ligand) AS a, row_number() OVER (ORDER BY n DESC, ligand) AS b FROM g WHERE target = 3), c AS (SELECT count(*) AS c FROM r) SELECT ligand, CASE WHEN a <= 20 AND b <= 20 THEN 'both' WHEN a <= 20 THEN 'potency_only' ELSE 'evidence_only' END AS bucket, a > c / 2 OR b > c / 2 AS far FROM r, c WHERE a <= 20 OR b <= 20")
 def rank_disagreement(spark, d):
-    g = _pairs(spark, d).where("target = 3").withColumns({"a": F.row_number().over(Window.orderBy(F.desc("best"), "ligand")), "b": F.row_number().over(Window.orderBy(F.desc("n"), "ligand")), "c": F.count("*").over(Window.partitionBy())})
+    g = _pairs(spark, d).where("target = 3")
+    size = F.broadcast(g.agg(F.count("*").alias("c")))
+    g = global_row_numbers(global_row_numbers(g, "best", "ligand", out="a"), "n", "ligand", out="b").join(size)
     a, b = F.col("a") <= 20, F.col("b") <= 20
     half = F.col("c") / 2
     return g.where(a | b).select("ligand", F.when(a & b, "both").when(a, "potency_only").otherwise("evidence_only").alias("bucket"), ((F.col("a") > half) | (F.col("b") > half)).alias("far"))

@@ -8,6 +8,7 @@ from tallywright.functions import clean
 from tallywright.operators.decide import bool_like, reasons
 from tallywright.operators.fuse import clip
 from tallywright.operators.rank import global_row_numbers
+from tallywright.operators.evidence import policy_rows, reject_counts
 from tallywright.registry import Registry
 from tallywright.sources.tables import EVIDENCE, evidence, find_column, read, with_optional
 
@@ -81,6 +82,12 @@ _POLICY = {
     "valued": ("p is not null", "p IS NOT NULL"),
     "dated": ("day >= date '1996-01-01'", "day >= DATE '1996-01-01'"),
 }
+
+
+def _predicates():
+    return {k: F.expr(x) for k, (x, _) in _POLICY.items()}
+
+
 #: Which predicates each policy asks for.
 POLICIES = {"legacy": ("valued",), "high_confidence": ("certain", "exact", "valued", "binding"), "claim_grade": tuple(_POLICY)}
 
@@ -88,14 +95,13 @@ POLICIES = {"legacy": ("valued",), "high_confidence": ("certain", "exact", "valu
 @query(f"WITH {EVIDENCE} SELECT policy, count(*) AS n, round(avg(p), 6) AS mean_p FROM (" + " UNION ALL ".join(
     f"SELECT '{k}' AS policy, p FROM e WHERE " + " AND ".join(f"({_POLICY[x][1]})" for x in v) for k, v in POLICIES.items()) + ") GROUP BY 1")
 def quality_policy_filter(spark, d):
-    passed = [F.when(F.expr(" and ".join(f"({_POLICY[x][0]})" for x in v)), F.lit(k)) for k, v in POLICIES.items()]
-    rows = evidence(spark, d).select("p", F.explode(F.array_compact(F.array(*passed))).alias("policy"))
+    rows = policy_rows(evidence(spark, d), _predicates(), POLICIES)
     return rows.groupBy("policy").agg(F.count("*").alias("n"), F.round(F.avg("p"), 6).alias("mean_p"))
 
 
 @query(f"WITH {EVIDENCE} SELECT count(*) AS n_rows, " + ", ".join(f"sum(CASE WHEN NOT ({s}) THEN 1 ELSE 0 END)::BIGINT AS n_not_{k}" for k, (_, s) in _POLICY.items()) + " FROM e")
 def quality_reject_counts(spark, d):
-    return evidence(spark, d).agg(F.count("*").alias("n_rows"), *[F.count_if(~F.expr(x)).alias(f"n_not_{k}") for k, (x, _) in _POLICY.items()])
+    return reject_counts(evidence(spark, d), _predicates())
 
 
 @query(f"WITH {EVIDENCE} SELECT count(*) FILTER (WHERE x <= DATE '1998-12-31') AS n_kept, count(*) FILTER (WHERE x > DATE '1998-12-31') AS n_late, count(*) FILTER (WHERE x IS NULL) AS n_undated FROM (SELECT coalesce(CASE WHEN family = 'F' THEN day END, CASE WHEN source <> 'N' THEN make_date(year(day)::INT, 12, 31) END) AS x FROM e)")

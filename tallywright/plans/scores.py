@@ -9,6 +9,8 @@ from tallywright.operators.decide import reasons, tier, vote
 from tallywright.operators.fuse import bayesian_or, clip, minmax, reciprocal_rank_fusion, scale_similarity
 from tallywright.operators.rank import global_ranks, global_row_numbers
 from tallywright.plans.aggregates import _TRUTH, truth
+from tallywright.operators.evidence import BASELINE_RECIPE, FEATURES, RECIPES, recipe_score
+from tallywright.operators.evidence import retrieval_features as retrieval
 from tallywright.operators.calibrate import fit_platt, mcnemar_p
 from tallywright.registry import Registry
 from tallywright.sources.tables import EVIDENCE, TRAIN_END, evidence, read
@@ -49,28 +51,27 @@ def rrf_contributions(spark, d):
     return f.select("target", F.array_join(F.transform("ranks", lambda x: F.concat_ws(":", x["source"], x["rank"].cast("string"))), ",").alias("ranks"), "n_sources")
 
 
-#: Features of a target for the query vector of its nation: similarity of a ligand is 1 - |size - 25| / 50.
-_FEATURES = f"""WITH {EVIDENCE}, x AS (SELECT target, source, p, 1 - abs(p_size - 25) / 50 AS sim FROM e JOIN part ON p_partkey = ligand),
-f AS (SELECT target, max(sim) AS any_max, coalesce(max(sim) FILTER (WHERE p > 5), 0) AS nonneg_max, coalesce(max(sim) FILTER (WHERE p >= 6), 0) AS pos_max, coalesce(max(sim) FILTER (WHERE p <= 5), 0) AS neg_max,
-coalesce((list_sort([coalesce(max(sim) FILTER (WHERE source = 'A'), 0), coalesce(max(sim) FILTER (WHERE source = 'N'), 0), coalesce(max(sim) FILTER (WHERE source = 'R'), 0)]))[2], 0) AS second_source, max(sim * (0.5 + 0.5 * least(greatest((p - 5) / 3, 0), 1))) AS quality_max, sum(CASE WHEN p >= 6 THEN sim ELSE 0 END) AS support FROM x GROUP BY 1),
-t AS (SELECT s_suppkey AS target, coalesce(round(any_max, 6), 0) AS any_max, coalesce(round(nonneg_max, 6), 0) AS nonneg_max, coalesce(round(pos_max, 6), 0) AS pos_max, coalesce(round(second_source, 6), 0) AS second_source, coalesce(round(quality_max, 6), 0) AS quality_max, coalesce(round(tanh(support / 10), 6), 0) AS support, coalesce(round(pos_max - neg_max, 6), 0) AS contrast FROM supplier LEFT JOIN f ON f.target = s_suppkey)"""
-_NAMES = ("any_max", "nonneg_max", "pos_max", "second_source", "quality_max", "support", "contrast")
+#: Edges of targets and ligands; a ligand's similarity to the query is 1 - |size - 25| / 50.
+_SIDE = lambda mask, x="sim": f"coalesce(max({x}) FILTER (WHERE {mask}), 0)"
+_NEGATIVE_ONLY = "n_pos = 0 AND n_neg > 0"
+_FEATURES = f"""WITH {EVIDENCE}, g AS (SELECT target, ligand, max(p) AS max_p, count(*) FILTER (WHERE p >= 6) AS n_pos, count(*) FILTER (WHERE p <= 5) AS n_neg, max(p) FILTER (WHERE source = 'A') AS best_a, max(p) FILTER (WHERE source = 'N') AS best_n, max(p) FILTER (WHERE source = 'R') AS best_r FROM e GROUP BY 1, 2),
+x AS (SELECT g.*, 1 - abs(p_size - 25) / 50 AS sim, 0.78 + 0.17 * greatest(least((max_p - 6) / 3, 1), 0) + 0.05 * greatest(least(ln(1 + n_pos) / ln(5), 1), 0) AS q FROM g JOIN part ON p_partkey = ligand),
+f AS (SELECT target, {_SIDE('best_a >= 5')} AS baseline, {_SIDE('true')} AS max_any, {_SIDE(f'NOT ({_NEGATIVE_ONLY})')} AS max_nonneg, {_SIDE('max_p >= 5')} AS max5, {_SIDE('n_pos > 0')} AS max6, {_SIDE('n_pos > 0', 'sim * q')} AS quality,
+list_sort([{_SIDE('best_a >= 6')}, {_SIDE('best_n >= 6')}, {_SIDE('best_r >= 6')}])[2] AS consensus, tanh(coalesce(sum(sim ** 4 * ln(1 + n_pos)) FILTER (WHERE n_pos > 0 AND sim >= 0.3), 0) / 4) AS support, greatest({_SIDE(_NEGATIVE_ONLY)} - {_SIDE('n_pos > 0')}, 0) AS contrast FROM x GROUP BY 1),
+t AS (SELECT s_suppkey AS target, {', '.join(f'coalesce(round({n}, 6), 0)::DOUBLE AS {n}' for n in FEATURES)} FROM supplier LEFT JOIN f ON f.target = s_suppkey)"""
+_BEST = {f"best_{s.lower()}": s for s in "ANR"}
 
 
 def features(spark, d):
-    """Masked maxima over a target's neighbours, one aggregation; targets without evidence get 0."""
-    from tallywright.operators.fuse import potency_weight
-
-    x = evidence(spark, d).join(read(spark, d, "part", "p_partkey", "p_size").withColumnRenamed("p_partkey", "ligand"), "ligand")
-    p, x = F.col("p"), x.withColumn("sim", 1 - F.abs(F.col("p_size") - 25) / 50)
-    most = lambda mask: F.coalesce(F.max(F.when(mask, F.col("sim"))), F.lit(0.0))
-    by_source = F.array(*[most(F.col("source") == s) for s in "ANR"])
-    f = x.groupBy(F.col("target").alias("s_suppkey")).agg(
-        F.max("sim").alias("any_max"), most(p > 5).alias("nonneg_max"), most(p >= 6).alias("pos_max"), F.get(F.sort_array(by_source), F.lit(1)).alias("second_source"),
-        F.max(F.col("sim") * potency_weight(p)).alias("quality_max"), F.tanh(F.sum(F.when(p >= 6, F.col("sim")).otherwise(0.0)) / 10).alias("support"), (most(p >= 6) - most(p <= 5)).alias("contrast"),
-    )
+    """Masked maxima over a target's edges; targets without evidence get 0."""
+    p = F.col("p")
+    edges = evidence(spark, d).groupBy("target", "ligand").agg(
+        F.max("p").alias("max_p"), F.count_if(p >= 6).alias("n_pos"), F.count_if(p <= 5).alias("n_neg"), *[F.max(F.when(F.col("source") == s, p)).alias(c) for c, s in _BEST.items()]
+    )
+    edges = edges.join(read(spark, d, "part", "p_partkey", "p_size").withColumnRenamed("p_partkey", "ligand"), "ligand").withColumn("sim", 1 - F.abs(F.col("p_size") - 25) / 50)
+    f = retrieval(edges, "target", "sim", tuple(_BEST)).withColumnRenamed("target", "s_suppkey")
     t = read(spark, d, "supplier", "s_suppkey").join(f, "s_suppkey", "left")
-    return t.select(F.col("s_suppkey").alias("target"), *[F.coalesce(R(n), F.lit(0.0)).alias(n) for n in _NAMES])
+    return t.select(F.col("s_suppkey").alias("target"), *[F.coalesce(R(n), F.lit(0.0)).alias(n) for n in FEATURES])
 
 
 @query(_FEATURES + " SELECT * FROM t")
@@ -78,14 +79,13 @@ def retrieval_features(spark, d):
     return features(spark, d)
 
 
-#: Recipes: named weights of the features.
-RECIPES = {"nearest": {"any_max": 1.0}, "balanced": {"nonneg_max": 0.6, "second_source": 0.2, "support": 0.2}, "contrastive": {"pos_max": 0.5, "contrast": 0.5, "quality_max": 0.25}}
-_SUMS = {r: " + ".join(f"{w} * {n}" for n, w in ws.items()) for r, ws in RECIPES.items()}
+_ALL_RECIPES = {BASELINE_RECIPE: {"baseline": 1.0}} | RECIPES
+_SUMS = {r: " + ".join(f"{-w if n == 'contrast' else w} * {n}" for n, w in ws.items()) for r, ws in _ALL_RECIPES.items()}
 
 
-@query(_FEATURES + " " + " UNION ALL ".join(f"SELECT target, '{r}' AS recipe, round(greatest({s}, 0), 5) AS score FROM t" for r, s in _SUMS.items()))
+@query(_FEATURES + " " + " UNION ALL ".join(f"SELECT target, '{r}' AS recipe, round(greatest({s}, 0), 5)::DOUBLE AS score FROM t" for r, s in _SUMS.items()))
 def recipe_scores(spark, d):
-    parts = F.array(*[F.struct(F.lit(r).alias("recipe"), R(F.greatest(F.expr(s), F.lit(0)).cast("double"), 5).alias("score")) for r, s in _SUMS.items()])
+    parts = F.array(*[F.struct(F.lit(r).alias("recipe"), R(recipe_score(w), 5).alias("score")) for r, w in _ALL_RECIPES.items()])
     return features(spark, d).select("target", F.inline(parts))
 
 

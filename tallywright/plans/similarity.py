@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallywright.operators.decide import reasons, tier
+from tallywright.operators.evidence import with_earliest
 from tallywright.operators.log import latest, seconds, with_seq, with_sessions
 from tallywright.operators.rank import top_per_group
 from tallywright.operators.similar import bits_set, cosine_matrix, jaccard_of, nearest_of, pack_signs, search_blocks, tanimoto, tanimoto_matrix, word_shingles
@@ -196,8 +197,9 @@ def _cold(spark, d):
     """Flags of keys that no earlier split has; each is the smallest split of the key's rows."""
     s = split_of()
     o = evidence(spark, d).withColumns({"o": F.when(s == "train", 0).when(s == "dev", 1).otherwise(2), "cluster": F.col("target") % 7})
-    first = lambda *k: F.min("o").over(Window.partitionBy(*k))
-    return o.withColumns({"pair_cold": first("ligand", "target") > 0, "pub_cold": first("pub") > 0, "ligand_cold": first("ligand") > 0, "target_cold": first("target") > 0, "cluster_cold": first("ligand", "cluster") > 1})
+    keys = {"pair": ["ligand", "target"], "pub": ["pub"], "ligand": ["ligand"], "target": ["target"], "cluster": ["ligand", "cluster"]}
+    o = with_earliest(o, "o", **{f"{k}_cold": v for k, v in keys.items()})
+    return o.withColumns({f"{k}_cold": F.col(f"{k}_cold") > (1 if k == "cluster" else 0) for k in keys})
 
 
 _FLAGS = ("pair_cold", "pub_cold", "ligand_cold", "target_cold", "cluster_cold")
