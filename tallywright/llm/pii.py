@@ -61,6 +61,11 @@ def mod97(m: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(moved)), F.lit(0), add) == 1
 
 
+def _mixed(m: Column) -> Column:
+    """Letters and digits both, as keys and tokens have and words don't."""
+    return m.rlike("[A-Za-z]") & m.rlike("[0-9]")
+
+
 #: In the order of the result. The base kinds' patterns find what the plain ones
 #: in the comments find, in linear time: a match can only begin where the last one
 #: ended (\G) or where a run of its first class begins, and possessive repeats
@@ -76,30 +81,32 @@ KINDS = (
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", _phone_digits, 0.6, "phone|call|tel|fax|mobile", True),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", mod97, 0.9, "iban|account|bank", False),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", None, 0.4, r"\bssn\b|social security|tax id", False),
+    # A run of 20 characters or more counts only beside a word that says what it is.
+    Kind("secret", r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+", _mixed, 0.4, "token|secret|passw|api.?key|access.?key|credential|bearer", False),
 )
 AGAINST = "example|order|invoice|version|part no|serial"
 BASE = tuple(k.name for k in KINDS if k.base)
 
 
-def _before(values: Column, add: Callable[[Column, Column], Column]) -> Column:
-    """For each of an array's whole numbers, those before it, put together by `add`; 0 for the first.
+def _chunks(values: Column) -> Column:
+    """An array's elements in arrays of CHUNK; none of an empty or null one."""
+    starts = F.when(F.size(values) > 0, F.sequence(F.lit(0), F.size(values) - 1, F.lit(CHUNK))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda at: F.slice(values, at + 1, CHUNK))
+
+
+def _before(chunks: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """For each whole number of chunks, those before it, put together by `add`; 0 for the first.
 
-    Arrays can only grow by being copied, so they are walked in chunks of CHUNK.
+    Arrays can only grow by being copied, so they grow in chunks of CHUNK.
     """
     zero = F.lit(0).cast("long")
     grow = lambda acc, x: F.concat(acc, F.array(add(F.element_at(acc, -1), x)))
-    chunks = _chunks(values)
     totals = F.transform(chunks, lambda c: F.aggregate(c, zero, add))
     starts = F.aggregate(totals, F.array(zero), grow)
-    inner = F.zip_with(chunks, F.slice(starts, F.lit(1), F.size(totals)), lambda c, at: F.slice(F.aggregate(c, F.array(at), grow), F.lit(1), F.size(c)))
+    inner = F.zip_with(chunks, F.slice(starts, F.lit(1), F.size(chunks)), lambda c, at: F.slice(F.aggregate(c, F.array(at), grow), F.lit(1), F.size(c)))
     return F.flatten(inner)
 
 
-def _chunks(values: Column) -> Column:
-    """An array's elements in arrays of CHUNK."""
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(values) - 1, F.lit(0)), F.lit(CHUNK)), lambda at: F.slice(values, at + 1, CHUNK))
-
-
 def find_pii(docs: DataFrame, text: str = "text", least: float = 0.5, out: str = "pii") -> DataFrame:
     """docs with a column pii (or named by `out`): array<struct<kind, start, end, score>>, by kind, then start.
 
@@ -120,13 +127,16 @@ def find_pii(docs: DataFrame, text: str = "text", least: float = 0.5, out: str =
     rows = rows.withColumns(
         {f"p_{k.name}": F.when(F.size(f"m_{k.name}") > 0, F.split("text", k.pattern, -1)) for k in KINDS}
     )
-    rows = rows.withColumns({k.name: _spans(k, least) for k in KINDS})
+    # Each step is a column of its own, so that what later steps use twice is made once.
+    rows = rows.withColumns({f"l_{k.name}": _looked(k, least) for k in KINDS})
+    rows = rows.withColumns({f"c_{k.name}": _chunks(F.transform(f"l_{k.name}", lambda x: x["gap"] + x["size"])) for k in KINDS})
+    rows = rows.withColumns({k.name: _spans(k) for k in KINDS})
     return rows.select("row.*", F.concat(*[F.col(k.name) for k in KINDS]).alias(out))
 
 
-def _spans(kind: Kind, least: float) -> Column:
+def _looked(kind: Kind, least: float) -> Column:
+    """Of each match the distance to the one before, its length, whether it counts, and its score."""
     matches, pieces = F.col(f"m_{kind.name}"), F.col(f"p_{kind.name}")
-    empty = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,score:double>>")
 
     def look(m: Column, i: Column) -> Column:
         before, after = F.get(pieces, i), F.get(pieces, i + 1)
@@ -142,17 +152,21 @@ def _spans(kind: Kind, least: float) -> Column:
             score.alias("score"),
         )
 
-    looked = F.transform(matches, look)
-    starts = _before(F.transform(looked, lambda x: x["gap"] + x["size"]), lambda a, b: a + b)
+    return F.when(F.size(matches) > 0, F.transform(matches, look))
+
+
+def _spans(kind: Kind) -> Column:
+    empty = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,score:double>>")
+    looked = F.col(f"l_{kind.name}")
 
     def span(x: Column, at: Column) -> Column:
         start = at + x["gap"]
         end = start + x["size"]
         return F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), end.alias("end"), x["score"].alias("score"), x["good"].alias("good"))
 
-    found = F.filter(F.zip_with(looked, starts, span), lambda x: x["good"])
+    found = F.filter(F.zip_with(looked, _before(F.col(f"c_{kind.name}"), lambda a, b: a + b), span), lambda x: x["good"])
     found = F.transform(found, lambda x: F.struct(*[x[c].alias(c) for c in ("kind", "start", "end", "score")]))
-    return F.when(F.size(matches) > 0, found).otherwise(empty)
+    return F.when(looked.isNotNull(), found).otherwise(empty)
 
 
 def told(spans: Column) -> Column:
@@ -166,11 +180,14 @@ def mask_pii(found: DataFrame, text: str = "text", pii: str = "pii") -> DataFram
     The column of spans is dropped. Null texts stay null.
     """
     spans = F.array_sort(F.transform(F.col(pii), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("till"), s["kind"].alias("kind"))))
-    body = F.col(f"`{text}`")
+    columns = [c for c in found.columns if c != pii]
+    rows = found.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.when(F.size(pii) > 0, spans).alias("spans"))
+    body = F.col(f"row.`{text}`")
+    rows = rows.withColumn("ends", _chunks(F.transform("spans", lambda s: -s["till"])))
     # A span that begins before all earlier ones have ended lies in their mark.
-    done = _before(F.transform(spans, lambda s: -s["till"]), lambda a, b: F.greatest(a, b))
-    marks = F.zip_with(spans, done, lambda s, at: F.struct(at.alias("at"), s["start"].alias("start"), s["kind"].alias("kind")))
-    marks = F.filter(marks, lambda m: m["start"] >= m["at"])
+    done = _before(F.col("ends"), lambda a, b: F.greatest(a, b))
+    marks = F.zip_with("spans", done, lambda s, at: F.struct(at.alias("at"), s["start"].alias("start"), s["kind"].alias("kind")))
+    rows = rows.withColumn("marks", F.filter(marks, lambda m: m["start"] >= m["at"]))
 
     def cut(text: Column, start: Column, end: Column) -> Column:
         return F.substring(text, (start + 1).cast("int"), (end - start).cast("int"))
@@ -182,6 +199,7 @@ def mask_pii(found: DataFrame, text: str = "text", pii: str = "pii") -> DataFram
         piece = lambda m: F.concat(cut(part, m["at"] - first, m["start"] - first), F.lit("<"), F.upper(m["kind"]), F.lit(">"))
         return F.array_join(F.transform(chunk, piece), "")
 
-    last = F.array_max(F.transform(spans, lambda s: -s["till"]))
-    whole = F.concat(F.array_join(F.transform(_chunks(marks), masked), ""), F.substring(body, (last + 1).cast("int"), F.length(body)))
-    return found.withColumn(text, F.when(F.size(pii) > 0, whole).otherwise(body)).drop(pii)
+    last = F.array_max(F.transform("spans", lambda s: -s["till"]))
+    whole = F.concat(F.array_join(F.transform(_chunks(F.col("marks")), masked), ""), F.substring(body, (last + 1).cast("int"), F.length(body)))
+    whole = F.when(F.col("spans").isNotNull(), whole).otherwise(body)
+    return rows.select(*[whole.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in columns])

@@ -46,6 +46,7 @@ def plain_pii(text):
 PII = [
     *ODD, "a@b.c_d@e.f x@y.z.", "1.2.3.4.5.6.7.8 001.02.3.255 1.2.3.256", "4111 1111-1111 1111 and 4111111111111112", "+1 (555) 010-9999 +49.30.1234567 +1 2",
     "🙂 ip 10.0.0.1, mail me.too+x@ex-ample.co.uk!", "12.34.56.78@host.org 5500-0000-0000-0004", "DE89 3704 0044 0532 0130 00 DE89370400440532013001", "ssn 123-45-6789, order 123-45-6780",
+    'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" then', "API-key: abcDEF123_ghi456-JKL789", "commit 04dbebab91ab85687d33eeaaf9ac699e1188f962", "token abcdefghijklmnopqrstuvwxyz",
     "+" * 5000 + "1" * 5000, "a." * 5000 + "@b" + ".c" * 5000, "1 " * 8000, "9" * 40000, "@" * 3000, "x" * 60000,
 ]
 
@@ -60,6 +61,7 @@ def test_pii_against_re(spark):
     by_text = {r["text"]: [s["kind"] for s in r["pii"] if s["kind"] not in pii.BASE] for r in rows}
     assert by_text["DE89 3704 0044 0532 0130 00 DE89370400440532013001"] == ["iban"]
     assert by_text["ssn 123-45-6789, order 123-45-6780"] == ["ssn"]
+    assert [by_text[t] for t in PII if "04dbe" in (t or "") or "bcDEF" in (t or "") or "bcdefghijklmno" in (t or "")] == [["secret"], ["secret"], [], []]
 
 
 @settings(max_examples=3, deadline=None)
