@@ -16,9 +16,9 @@ from tallywright.llm._store import materialize, small_side
 COSINE = 0.93
 #: Vectors of one cell that a task takes from each side; larger cells are dealt in parts.
 CELL = 4096
-#: Cells a label has at most, and numbers in pivots that are sent to all tasks at
+#: Cells a label has at most (Spark cuts ranks up to 1,000 before it sorts), and numbers in pivots that are sent to all tasks at
 #: most (64 MB): labels with the most vectors come first, the rest is dealt by hash.
-PIVOTS, PIVOT_NUMBERS = 1024, 8_000_000
+PIVOTS, PIVOT_NUMBERS = 1000, 8_000_000
 _LEAF = 16
 _SLACK = 1e-9
 
