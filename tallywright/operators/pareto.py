@@ -1,8 +1,9 @@
-"""How many points dominate each point, and how many it dominates."""
+"""How many points dominate each point, how many it dominates, and the fronts that peeling gives."""
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 from operator import and_
@@ -47,6 +48,25 @@ def dominance_counts(df: DataFrame, by: str, objectives: list[str]) -> DataFrame
     return df.join(found, point, "left").select(*df.columns, zero("n_dominating"), zero("n_dominated"))
 
 
+def pareto_fronts(df: DataFrame, by: str, objectives: list[str], fronts: int, scratch: str) -> DataFrame:
+    """df with front: 1 for rows of a group that no other dominates, 2 for those left undominated without them, and so on up to `fronts`; null beyond and for rows with nulls.
+
+    Only different points are peeled; each round counts domination among those
+    that are left, and what remains is written as Parquet below the folder
+    `scratch`, so that no round repeats the ones before it.
+    """
+    spark, point = df.sparkSession, [by, *objectives]
+    left = df.select(*point).where(reduce(and_, [F.col(c).isNotNull() for c in point])).distinct()
+    peeled = []
+    for front in range(1, fronts + 1):
+        path = f"{scratch.rstrip('/')}/fronts-{uuid.uuid4().hex}"
+        dominance_counts(left, by, objectives).withColumn("__top", F.col("n_dominating") == 0).write.parquet(path)
+        counted = spark.read.parquet(path)
+        peeled.append(counted.where("__top").select(*point, F.lit(front).alias("front")))
+        left = counted.where("not __top").select(*point)
+    return df.join(reduce(DataFrame.unionByName, peeled), point, "left").select(*df.columns, "front")
+
+
 def _compared(pair: pd.DataFrame, point: list[str], objectives: list[str]) -> pd.DataFrame:
     """Counts of the points of one pair of blocks, or of one block with itself."""
     # Places in the sorted values: not a number is the highest and equals itself, as in SQL.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tallywright.operators.pareto import dominance_counts
+from tallywright.operators.pareto import dominance_counts, pareto_fronts
 from tallywright.operators.rank import (
     average_rank, band_rerank, first_per_group, global_ranks, global_row_numbers, largest_remainder, stable_hash, top_per_group,
 )
@@ -13,6 +13,7 @@ from tallywright.plans.aggregates import _TRUTH, truth
 from tallywright.plans.joins import split_of
 from tallywright.registry import Registry
 from tallywright.shipping import ship
+from tallywright.sources.files import scratch
 from tallywright.sources.tables import EVIDENCE, TRAIN_END, evidence, read
 
 QUERIES = Registry()
@@ -258,11 +259,30 @@ def mmr_select(spark, d):
     return g.select("p_brand", F.posexplode(chosen).alias("pos", "c")).select("p_brand", "c.id", L(F.col("pos") + 1).alias("step"))
 
 
-@query("SELECT a.p_partkey AS id, count(b.p_partkey) AS n_dominating FROM part a LEFT JOIN part b ON a.p_brand = b.p_brand AND b.p_size >= a.p_size AND b.p_retailprice >= a.p_retailprice AND b.p_partkey % 10 >= a.p_partkey % 10 AND (b.p_size > a.p_size OR b.p_retailprice > a.p_retailprice OR b.p_partkey % 10 > a.p_partkey % 10) GROUP BY 1")
+_OBJECTIVES = ("p_size", "p_retailprice", "grade", "length", "number")
+_POINTS = "p AS (SELECT p_partkey AS id, p_brand, p_size, p_retailprice, p_partkey % 10 AS grade, length(p_type) AS length, -(p_partkey % 7) AS number FROM part)"
+_BEATS = lambda x, y: f"{x}.p_brand = {y}.p_brand AND " + " AND ".join(f"{x}.{o} >= {y}.{o}" for o in _OBJECTIVES) + " AND (" + " OR ".join(f"{x}.{o} > {y}.{o}" for o in _OBJECTIVES) + ")"
+
+
+def _points(spark, d):
+    ship(spark)
+    k = F.col("p_partkey")
+    return read(spark, d, "part").select("p_brand", k.alias("id"), "p_size", "p_retailprice", (k % 10).alias("grade"), F.length("p_type").alias("length"), (-(k % 7)).alias("number"))
+
+
+@query(f"WITH {_POINTS}, a AS (SELECT y.id, count(x.id) AS n FROM p y LEFT JOIN p x ON {_BEATS('x', 'y')} GROUP BY 1), b AS (SELECT x.id, count(y.id) AS n FROM p x LEFT JOIN p y ON {_BEATS('x', 'y')} GROUP BY 1) SELECT id, a.n AS n_dominating, b.n AS n_dominated FROM a JOIN b USING (id)")
 def pareto_counts(spark, d):
-    """Within each brand, by how many others a part is dominated in size, price and grade."""
-    p = read(spark, d, "part").select("p_brand", F.col("p_partkey").alias("id"), F.col("p_size").alias("u"), F.col("p_retailprice").alias("v"), (F.col("p_partkey") % 10).alias("w"))
-    return dominance_counts(ship(spark) and p, "p_brand", ["u", "v", "w"]).select("id", "n_dominating")
+    """Within each brand, by how many others a part is dominated in five objectives, and how many it dominates."""
+    return dominance_counts(_points(spark, d), "p_brand", list(_OBJECTIVES)).select("id", "n_dominating", "n_dominated")
+
+
+@query(f"""WITH {_POINTS}, f1 AS (SELECT id FROM p WHERE NOT EXISTS (SELECT 1 FROM p x WHERE {_BEATS('x', 'p')})),
+p2 AS (SELECT * FROM p WHERE id NOT IN (SELECT id FROM f1)), f2 AS (SELECT id FROM p2 WHERE NOT EXISTS (SELECT 1 FROM p2 x WHERE {_BEATS('x', 'p2')})),
+p3 AS (SELECT * FROM p2 WHERE id NOT IN (SELECT id FROM f2)), f3 AS (SELECT id FROM p3 WHERE NOT EXISTS (SELECT 1 FROM p3 x WHERE {_BEATS('x', 'p3')}))
+SELECT id, CASE WHEN id IN (SELECT id FROM f1) THEN 1 WHEN id IN (SELECT id FROM f2) THEN 2 WHEN id IN (SELECT id FROM f3) THEN 3 END AS front FROM p""")
+def pareto_peeled(spark, d):
+    """The first three fronts of each brand's parts."""
+    return pareto_fronts(_points(spark, d), "p_brand", list(_OBJECTIVES), 3, scratch(spark)).select("id", "front")
 
 
 @query("SELECT l_suppkey, l_partkey, (rank() OVER (PARTITION BY l_suppkey ORDER BY n DESC) + (count(*) OVER (PARTITION BY l_suppkey, n) - 1) / 2.0)::DOUBLE AS rank FROM (SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem GROUP BY 1, 2)")

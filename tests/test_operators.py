@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallywright.functions import clean
+from tallywright.operators.evidence import edge_table, policy_rows, reject_counts, with_earliest
 from tallywright.operators.decide import bool_like, reasons, vote
 from tallywright.operators.fuse import bayesian_or, reciprocal_rank_fusion
 from tallywright.operators import pareto
@@ -315,3 +316,35 @@ def test_cluster_assignment(spark):
     for c in names:
         closest = min(members[c], key=lambda k: (rows[k]["distance"], k))
         assert [k for k in members[c] if rows[k]["is_medoid"]] == [closest]
+
+
+def test_evidence_edges(spark):
+    rows = [("a", 1, 5.0, 1), ("a", 1, 6.0, 2), ("a", 2, 5.5, 1), ("a", None, None, 3), ("b", 9, 7.0, 4), (None, 1, 4.0, 1)]
+    df = spark.createDataFrame(rows, "k string, doc long, v double, line long")
+    got = {r["k"]: tuple(r)[1:] for r in edge_table(df, ["k"], "v", "doc", "line", 6.0, 5.0).collect()}
+    assert got == {"a": (4, 1, 1, 1, 6.0, 5.5, 2, 3), "b": (1, 1, 0, 0, 7.0, 7.0, 1, 1), None: (1, 0, 1, 0, 4.0, 4.0, 1, 1)}
+    assert edge_table(df.where("false"), ["k"], "v", "doc", "line", 6.0, 5.0).count() == 0
+
+
+def test_earliest_and_policies(spark):
+    df = spark.createDataFrame([("a", 1, 2), ("a", 2, 0), (None, 1, 1), (None, 3, 0)], "x string, y long, o int")
+    got = sorted(values(with_earliest(df, "o", by_x=["x"], by_y=["y"]), "x", "y", "o", "by_x", "by_y"), key=repr)
+    assert got == sorted([("a", 1, 2, 0, 1), ("a", 2, 0, 0, 0), (None, 1, 1, 0, 1), (None, 3, 0, 0, 0)], key=repr)
+    holds = {"named": F.col("x").isNotNull(), "late": F.col("o") > 0, "a": F.col("x") == "a"}
+    assert tuple(reject_counts(df, holds).first()) == (4, 2, 2, 2)
+    rows = values(policy_rows(df, holds, {"all": (), "strict": ("named", "late"), "a": ("a",)}), "policy", "y")
+    assert sorted(rows) == [("a", 1), ("a", 2), ("all", 1), ("all", 1), ("all", 2), ("all", 3), ("strict", 1)]
+
+
+def test_fronts(spark):
+    ship(spark)
+    rng = np.random.default_rng(3)
+    rows = [(i, "g" if i % 5 else "h", int(rng.integers(0, 6)), None if i == 7 else float(rng.integers(0, 6))) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, g string, u long, v double")
+    got = {r["id"]: r["front"] for r in pareto.pareto_fronts(df, "g", ["u", "v"], 2, scratch(spark)).collect()}
+    left, want = [r for r in rows if r[3] is not None], dict.fromkeys(range(120))
+    for front in (1, 2):
+        top = [r for r in left if not any(o[1] == r[1] and o[2] >= r[2] and o[3] >= r[3] and o[2:] != r[2:] for o in left)]
+        want |= {r[0]: front for r in top}
+        left = [r for r in left if r not in top]
+    assert got == want
