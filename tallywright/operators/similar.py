@@ -112,7 +112,9 @@ def word_shingles(df: DataFrame, key: str, text: str, words: int = 5) -> DataFra
     rows = df.select(key, F.transform(tokens, lambda w: F.xxhash64(w)).alias("__w"))
     starts = F.when(F.size("__w") >= words, F.sequence(F.lit(1), F.size("__w") - words + 1))
     rows = rows.select(key, F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice("__w", i, words)))).alias("__s"))
-    return rows.select(key, F.size("__s").alias("size"), F.explode("__s").alias("shingle")).select(key, "shingle", "size")
+    # An outer explode: for an inner one Spark infers a filter on the array, which would make all of it a second time.
+    rows = rows.select(key, F.size("__s").alias("size"), F.explode_outer("__s").alias("shingle"))
+    return rows.where("shingle is not null").select(key, "shingle", "size")
 
 
 def jaccard_of(left: DataFrame, right: DataFrame, a: str, b: str, most: int = INDEX_ROWS) -> DataFrame:
