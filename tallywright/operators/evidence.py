@@ -30,14 +30,15 @@ def edge_table(rows: DataFrame, keys: list[str], value: str, document: str, line
     return joined.select(*keys, "n", "n_pos", "n_neg", (F.col("known") - F.col("n_pos") - F.col("n_neg")).alias("n_gray"), "max_p", "median_p", "n_pubs", "n_lines")
 
 
-def with_earliest(rows: DataFrame, order: str, **keys: list[str]) -> DataFrame:
-    """rows with a column for each name: the smallest `order` of any row with the same key; null keys are keys like others.
+def with_earliest(rows: DataFrame, order: str, wanted: Column | None = None, **keys: list[str]) -> DataFrame:
+    """rows, or those `wanted` of them, with a column for each name: the smallest `order` of any row with the same key; null keys are keys like others.
 
     Each is a sum by key with map-side combining, joined back; adaptive
     execution splits the side of the rows where a key is hot.
     """
+    every, rows = rows, rows if wanted is None else rows.where(wanted)
     for name, by in keys.items():
-        first = rows.groupBy(*[F.col(k).alias(f"__{k}") for k in by]).agg(F.min(order).alias(name))
+        first = every.groupBy(*[F.col(k).alias(f"__{k}") for k in by]).agg(F.min(order).alias(name))
         rows = rows.join(first, reduce(Column.__and__, [rows[k].eqNullSafe(first[f"__{k}"]) for k in by])).drop(*[f"__{k}" for k in by])
     return rows
 

@@ -194,11 +194,11 @@ c AS (SELECT *, min(o) OVER (PARTITION BY ligand, target) > 0 AS pair_cold, min(
 
 
 def _cold(spark, d):
-    """Flags of keys that no earlier split has; each is the smallest split of the key's rows."""
+    """Of the last split's rows, flags of keys that no earlier split has; each comes from the smallest split of all rows of the key."""
     s = split_of()
     o = evidence(spark, d).withColumns({"o": F.when(s == "train", 0).when(s == "dev", 1).otherwise(2), "cluster": F.col("target") % 7})
     keys = {"pair": ["ligand", "target"], "pub": ["pub"], "ligand": ["ligand"], "target": ["target"], "cluster": ["ligand", "cluster"]}
-    o = with_earliest(o, "o", **{f"{k}_cold": v for k, v in keys.items()})
+    o = with_earliest(o, "o", F.col("o") == 2, **{f"{k}_cold": v for k, v in keys.items()})
     return o.withColumns({f"{k}_cold": F.col(f"{k}_cold") > (1 if k == "cluster" else 0) for k in keys})
 
 
