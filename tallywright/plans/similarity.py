@@ -327,9 +327,9 @@ def scope_verdict(spark, d):
     return read(spark, d, "supplier").select("s_suppkey", verdict.alias("verdict"), F.array_join(F.concat(out, warn), ";").alias("why"))
 
 
-@query("WITH c AS (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_quantity = 50 AND l_returnflag = 'N' AND l_linenumber = 1 AND l_partkey % 3 = 0) SELECT s_suppkey, n_name, CASE WHEN s_nationkey % 5 = 0 THEN 'structure' WHEN s_acctbal > 8000 THEN 'assay' ELSE 'literature' END AS work, s_acctbal AS score FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey WHERE s_acctbal > 2000 AND s_suppkey NOT IN (SELECT l_suppkey FROM c) AND n_name LIKE 'NATION_%'")
+@query("WITH c AS (SELECT l_suppkey FROM lineitem GROUP BY 1 HAVING 2 * sum(l_quantity) >= 51 * count(*)) SELECT s_suppkey, n_name, CASE WHEN s_nationkey % 5 = 0 THEN 'structure' WHEN s_acctbal > 8000 THEN 'assay' ELSE 'literature' END AS work, s_acctbal AS score FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey WHERE s_acctbal > 2000 AND s_suppkey NOT IN (SELECT l_suppkey FROM c) AND n_name LIKE 'NATION_%'")
 def gap_worklist(spark, d):
-    li = read(spark, d, "lineitem").where("l_quantity = 50 and l_returnflag = 'N' and l_linenumber = 1 and l_partkey % 3 = 0")
+    li = read(spark, d, "lineitem").groupBy("l_suppkey").agg(F.sum("l_quantity").alias("q"), F.count("*").alias("n")).where("2 * q >= 51 * n")
     s = read(spark, d, "supplier").where("s_acctbal > 2000").join(li.select(F.col("l_suppkey").alias("s_suppkey")), "s_suppkey", "left_anti")
     s = s.join(F.broadcast(read(spark, d, "nation")), F.col("n_nationkey") == F.col("s_nationkey"), "left").where(F.col("n_name").startswith("NATION_"))
     work = F.when(F.col("s_nationkey") % 5 == 0, "structure").when(F.col("s_acctbal") > 8000, "assay").otherwise("literature")
@@ -346,10 +346,10 @@ def overlay_annotations(spark, d):
     return out.select("rank", "s_suppkey", "n_name", status.alias("status"), F.when(F.col("s_suppkey") % 4 != 0, R("best", 2)).alias("score"))
 
 
-@query("""WITH a AS (SELECT o_custkey % 50 AS i, l_suppkey AS c, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity > 44 GROUP BY 1, 2), b AS (SELECT s_suppkey % 50 AS i, s_suppkey AS c, true AS curated FROM supplier WHERE s_acctbal > 5000), u AS (SELECT i, c FROM a UNION SELECT i, c FROM b)
+@query("""WITH a AS (SELECT o_custkey % 50 AS i, l_suppkey AS c, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2), b AS (SELECT s_suppkey % 50 AS i, s_suppkey AS c, true AS curated FROM supplier WHERE s_acctbal > 5000), u AS (SELECT i, c FROM a UNION SELECT i, c FROM b)
 SELECT u.i, u.c, coalesce(n, 0) AS n, coalesce(curated, false) AS curated, s_acctbal < 0 AS unsafe, CASE WHEN s_acctbal < 0 THEN 'exclude' WHEN coalesce(curated, false) AND coalesce(n, 0) > 0 THEN 'experiment_priority' WHEN coalesce(n, 0) > 1 OR curated THEN 'needs_evidence' ELSE 'unsupported' END AS decision FROM u LEFT JOIN a ON a.i = u.i AND a.c = u.c LEFT JOIN b ON b.i = u.i AND b.c = u.c JOIN supplier ON s_suppkey = u.c""")
 def decision_matrix(spark, d):
-    li = read(spark, d, "lineitem").where("l_quantity > 44").join(read(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    li = read(spark, d, "lineitem").join(read(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
     a = li.groupBy((F.col("o_custkey") % 50).alias("i"), F.col("l_suppkey").alias("c")).agg(F.count("*").alias("n"))
     s = read(spark, d, "supplier").withColumnRenamed("s_suppkey", "c")
     b = s.where("s_acctbal > 5000").select((F.col("c") % 50).alias("i"), "c", F.lit(True).alias("curated"))
