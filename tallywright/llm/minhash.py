@@ -267,6 +267,15 @@ def _links(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(x) + len(y) - both)
 
 
+def _blocks(members: DataFrame) -> DataFrame:
+    """(key, main, main_blocks, blocks) of members (key, comp): each bucket's largest component, its blocks, and those of all others."""
+    sizes = members.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("n"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    largest = F.col("m.n")
+    return sizes.select("key", F.col("m.comp").alias("main"), blocks(largest).alias("main_blocks"), blocks(F.col("n") - largest).alias("blocks"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of documents (doc_id, text).
 
@@ -283,7 +292,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     hashes). Each member of a bucket is first confirmed against the bucket's
     center, the document that meets the most others, which joins most copies; after that only pairs of
     different components in a bucket are left. Sketches compare these in blocks of
-    BLOCK documents, and what may link is confirmed on its full sets where it
+    BLOCK documents, where the blocks of a bucket's largest component meet those
+    of the others and not each other, and what may link is confirmed on its full sets where it
     lies, so that a task emits the links that join components and no pairs. No
     pair across components is left out.
     """
@@ -309,13 +319,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = materialize(members.select("key", "id", F.coalesce("component", "id").alias("comp")), "members")
     open_keys = materialize(
         members.groupBy("key")
-        .agg(F.count("*").alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+        .agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"))
         .where("c0 < c1")
-        .select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")),
+        .select("key"),
         "open",
     )
-    left = members.join(small_side(open_keys), "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sizes = materialize(_blocks(members.join(small_side(open_keys), "key")), "blocks")
+    left = members.join(small_side(sizes), "key")
+    # Blocks of the largest component are numbered from -1 down, the others from 0 up.
+    main = F.col("comp") == F.col("main")
+    at = F.xxhash64("id")
+    left = left.withColumn("own", F.when(main, -1 - F.pmod(at, F.col("main_blocks"))).otherwise(F.pmod(at, F.col("blocks"))).cast("int"))
+    left = left.withColumn("other", F.explode(F.sequence(F.when(main, 0).otherwise(-F.col("main_blocks")), F.col("blocks") - 1)))
     left = left.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "comp")
     group = ["key", "lo", "hi"]
     left = left.join(reps.select("id", "registers"), "id").repartition(*group).sortWithinPartitions(*group)
