@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a side that one task compares with as many of the other.
-BLOCK = 2048
 #: Up to so many rows an inverted index is broadcast; above, it shuffles.
 INDEX_ROWS = 1_000_000
 
@@ -56,56 +51,6 @@ def cosine_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.divide(a @ b.T, size, out=np.zeros((len(a), len(b))), where=size > 0)
 
 
-def search_blocks(queries: DataFrame, rows: DataFrame, measure: Callable, summarise: Callable, schema: str, block: int = BLOCK) -> DataFrame:
-    """What summarise makes of the similarities of each block of queries with each block of rows, both (id, label, vector).
-
-    All queries meet all rows: rows are dealt in blocks by a hash of the id, and
-    a copy of every block of queries goes to each of them, so a task holds two
-    blocks and their matrix, and what it returns is as small as summarise makes
-    it. summarise(query ids, query labels, ids, labels, similarities) returns
-    columns; rows come in the order of their ids, labels are doubles with NaN
-    for null, and similarities are rounded to 6 places, NaN where a row is the
-    query itself. Rows with a null id or vector, or null in a vector, are left
-    out; all vectors have one length.
-    """
-
-    def dealt(df: DataFrame, name: str) -> tuple[DataFrame, int]:
-        df = df.where("id is not null and vector is not null").where(~F.exists("vector", lambda x: x.isNull()))
-        n = max(1, -(-df.count() // block))
-        at = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(f"{name}_block")
-        return df.groupBy(at).agg(F.collect_list(F.struct("id", "label", "vector")).alias(name)), n
-
-    def opened(part: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ids = part.field("id").to_numpy(zero_copy_only=False)
-        order = np.argsort(ids)
-        vectors = part.field("vector").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-        return ids[order], part.field("label").cast(pa.float64()).to_numpy(zero_copy_only=False)[order], vectors[order]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for q, r in zip(batch.column("queries"), batch.column("rows"), strict=True):
-                (qi, ql, qv), (ri, rl, rv) = opened(q.values), opened(r.values)
-                s = np.round(measure(qv, rv), 6)
-                s[qi[:, None] == ri[None]] = np.nan
-                yield pa.RecordBatch.from_pydict(summarise(qi, ql, ri, rl, s))
-
-    (asked, _), (held, n) = dealt(queries, "queries"), dealt(rows, "rows")
-    asked = asked.select("queries", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("rows_block"))
-    return held.join(asked, "rows_block").select("queries", "rows").mapInArrow(run, schema)
-
-
-def nearest_of(k: int) -> Callable:
-    """For search_blocks: the k most similar rows of each query, ties to the smaller id, as (q, vec_id, similarity)."""
-
-    def summarise(qi, ql, ri, rl, s) -> dict:
-        order = np.argsort(-np.where(np.isnan(s), -np.inf, s), axis=1, kind="stable")[:, :k]
-        best = np.take_along_axis(s, order, axis=1)
-        known = ~np.isnan(best)
-        return {"q": np.repeat(qi, known.sum(axis=1)), "vec_id": ri[order][known], "similarity": best[known]}
-
-    return summarise
-
-
 def word_shingles(df: DataFrame, key: str, text: str, words: int = 5) -> DataFrame:
     """(key, shingle, size): the different runs of `words` lower-case words of each text, as 64-bit hashes, and how many it has; shorter texts have none."""
     tokens = F.filter(F.split(F.lower(F.col(text)), r"[ \t\n\r]+"), lambda w: w != "")

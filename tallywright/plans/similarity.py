@@ -6,11 +6,12 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tallywright.operators import search
 from tallywright.operators.decide import reasons, tier
 from tallywright.operators.evidence import with_earliest
 from tallywright.operators.log import latest, seconds, with_seq, with_sessions
 from tallywright.operators.rank import top_per_group
-from tallywright.operators.similar import bits_set, cosine_matrix, jaccard_of, nearest_of, pack_signs, search_blocks, tanimoto, tanimoto_matrix, word_shingles
+from tallywright.operators.similar import bits_set, jaccard_of, pack_signs, tanimoto, word_shingles
 from tallywright.shipping import ship
 from tallywright.plans.aggregates import _TRUTH, truth
 from tallywright.plans.joins import split_of
@@ -50,52 +51,57 @@ def tanimoto_topk(spark, d):
 _PAIRS = f"WITH {_BITS}, s AS (SELECT a.vec_id AS q, b.vec_id, round({_T}, 6) AS similarity, a.label AS qlabel, b.label FROM b, b a WHERE a.vec_id % 20 = 0 AND b.vec_id <> a.vec_id)"
 
 
-def _searched(rows, measure, summarise, schema):
-    ship(rows.sparkSession)
-    return search_blocks(rows.where("id % 20 = 0"), rows, measure, summarise, schema)
+def _rows(spark, d):
+    ship(spark)
+    return bits(spark, d).select(F.col("vec_id").alias("id"), "label", F.col("bits").alias("vector"))
 
 
-def _summary(qi, ql, ri, rl, s):
-    """Of each query: what it meets by label and similarity, and its nearest row."""
-    other, same, unlike = ~np.isnan(s), ql[:, None] == rl[None], ~np.isnan(ql[:, None] + rl[None]) & (ql[:, None] != rl[None])
-    near, top = s >= 0.5, np.where(other, s, -np.inf)
-    left = other & unlike & (s < 0.5)
-    most = lambda mask: [None if v == -np.inf else float(v) for v in np.where(mask, top, -np.inf).max(axis=1)]
-    return {
-        "q": qi, "n": other.sum(axis=1), "n_same": (other & same).sum(axis=1), "n_near": near.sum(axis=1), "n_left": left.sum(axis=1),
-        "nearest": most(other), "nearest_id": ri[top.argmax(axis=1)], "nearest_same": most(other & same), "nearest_left": most(left),
-    }
+def _asked(rows):
+    return rows.where("id % 20 = 0")
 
 
-def _summaries(spark, d):
-    rows = bits(spark, d).select(F.col("vec_id").alias("id"), "label", F.col("bits").alias("vector"))
-    return _searched(rows, tanimoto_matrix, _summary, "q long, n long, n_same long, n_near long, n_left long, nearest double, nearest_id long, nearest_same double, nearest_left double").where("n > 0").groupBy("q")
+_SAME = lambda ql, rl, s: ql == rl
+_LEFT = lambda ql, rl, s: ~np.isnan(ql + rl) & (ql != rl) & (s < 0.5)
 
 
 @query(_PAIRS + " SELECT q, vec_id, similarity, row_number() OVER (PARTITION BY q ORDER BY similarity DESC, vec_id)::BIGINT AS rank FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY similarity DESC, vec_id) <= 10")
 def tanimoto_topk_batch(spark, d):
-    rows = bits(spark, d).select(F.col("vec_id").alias("id"), "label", F.col("bits").alias("vector"))
-    found = _searched(rows, tanimoto_matrix, nearest_of(10), "q long, vec_id long, similarity double")
-    return top_per_group(found, ["q"], [F.desc("similarity"), "vec_id"], 10).select("q", "vec_id", "similarity", "rank")
+    rows = _rows(spark, d)
+    return search.nearest(search.build(rows, search.TANIMOTO), _asked(rows), 10).select("q", "vec_id", "similarity", "rank")
 
 
 @query(_PAIRS + " SELECT q, vec_id, similarity, CASE WHEN similarity >= 0.999 THEN 'EXACT' WHEN similarity >= 0.85 THEN 'SIMILAR' WHEN similarity >= 0.65 THEN 'ANALOG' ELSE 'NEW' END AS tier FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY similarity DESC, vec_id) = 1")
 def nearest_neighbour_tier(spark, d):
-    best = F.min(F.struct((-F.col("nearest")).alias("s"), F.col("nearest_id").alias("vec_id")))
-    s = -F.col("b.s")
-    return _summaries(spark, d).agg(best.alias("b")).select("q", "b.vec_id", s.alias("similarity"), tier(s, (0.999, "EXACT"), (0.85, "SIMILAR"), (0.65, "ANALOG"), below="NEW").alias("tier"))
+    rows = _rows(spark, d)
+    best = search.nearest(search.build(rows, search.TANIMOTO), _asked(rows), 1)
+    return best.select("q", "vec_id", "similarity", tier(F.col("similarity"), (0.999, "EXACT"), (0.85, "SIMILAR"), (0.65, "ANALOG"), below="NEW").alias("tier"))
 
 
 @query(_PAIRS + " SELECT q, max(similarity) AS nearest, max(similarity) FILTER (WHERE label = qlabel) AS same_scaffold, CASE WHEN max(similarity) >= 0.85 THEN 'boxed' WHEN max(similarity) >= 0.45 THEN 'caution' ELSE 'none' END AS warning FROM s GROUP BY 1")
 def similarity_warnings(spark, d):
-    m = F.max("nearest")
-    return _summaries(spark, d).agg(m.alias("nearest"), F.max("nearest_same").alias("same_scaffold"), tier(m, (0.85, "boxed"), (0.45, "caution"), below="none").alias("warning"))
+    rows = _rows(spark, d)
+    index = search.build(rows, search.TANIMOTO)
+    best = search.nearest(index, _asked(rows), 1).select("q", F.col("similarity").alias("nearest"))
+    same = search.nearest(index, _asked(rows), 1, _SAME).select("q", F.col("similarity").alias("same_scaffold"))
+    return best.join(same, "q", "left").withColumn("warning", tier(F.col("nearest"), (0.85, "boxed"), (0.45, "caution"), below="none"))
 
 
 @query(_PAIRS + " SELECT q, count(*) AS n_before, count(*) FILTER (WHERE label = qlabel) AS n_identity, count(*) FILTER (WHERE similarity >= 0.5) AS n_near, count(*) FILTER (WHERE label <> qlabel AND similarity < 0.5) AS n_kept, max(similarity) FILTER (WHERE label <> qlabel AND similarity < 0.5) AS best_left FROM s GROUP BY 1")
 def leave_query_out(spark, d):
-    total = lambda c, name: F.sum(c).alias(name)
-    return _summaries(spark, d).agg(total("n", "n_before"), total("n_same", "n_identity"), total("n_near", "n_near"), total("n_left", "n_kept"), F.max("nearest_left").alias("best_left"))
+    """What is left of the library for each query without its own key and what is near it; labels and totals are counted, not compared."""
+    rows = _rows(spark, d)
+    index = search.build(rows, search.TANIMOTO)
+    near = search.count_within(index, _asked(rows), 0.5)
+    left = search.nearest(index, _asked(rows), 1, _LEFT).select("q", F.col("similarity").alias("best_left"))
+    every = rows.agg(F.count("*").alias("total"), F.count("label").alias("known"))
+    same = rows.where("label is not null").groupBy("label").agg(F.count("*").alias("same"))
+    q = _asked(rows).select(F.col("id").alias("q"), "label").join(same, "label", "left").join(F.broadcast(every)).join(near, "q", "left").join(left, "q", "left")
+    own = F.col("label").isNotNull()
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return q.where("total > 1").select(
+        "q", (F.col("total") - 1).alias("n_before"), zero(F.when(own, F.col("same") - 1)).alias("n_identity"), zero("n").alias("n_near"),
+        zero(F.when(own, F.col("known") - F.col("same") - F.coalesce("n_unlike", F.lit(0)))).alias("n_kept"), "best_left",
+    )
 
 
 _COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))"
@@ -104,9 +110,8 @@ _NEAR = f"WITH s AS (SELECT a.vec_id AS q, b.vec_id, round({_COS}, 6) AS cosine
 
 def _nearest(spark, d):
     """The five nearest of all vectors for every twentieth one, the stated query set."""
-    rows = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), L("label").alias("label"), F.col("embedding").alias("vector"))
-    s = _searched(rows, cosine_matrix, nearest_of(5), "q long, vec_id long, similarity double").withColumnRenamed("similarity", "cosine")
-    return top_per_group(s, ["q"], [F.desc("cosine"), "vec_id"], 5)
+    rows = read(ship(spark), d, "embeddings").select(F.col("vec_id").alias("id"), L("label").alias("label"), F.col("embedding").alias("vector"))
+    return search.nearest(search.build(rows, search.COSINE), _asked(rows), 5).withColumnRenamed("similarity", "cosine")
 
 
 @query(_NEAR + " SELECT q, vec_id, cosine, rank::BIGINT AS rank FROM k")

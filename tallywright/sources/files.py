@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -27,6 +28,23 @@ def scratch(spark: SparkSession) -> str:
     return _own.setdefault(app, _own.get(app) or "file://" + tempfile.mkdtemp(prefix="tallywright-"))
 
 
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """df written as a Parquet table in the shared folder and read back, which cuts the lineage and survives lost executors."""
+    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Delete tables of keep() that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_kept_at", None):
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def read_csv(spark: SparkSession, path: str, schema: str, header: list[str] | None = None, sep: str = ",") -> DataFrame:
     """Delimited text with a header, of a fixed schema; malformed rows raise, and so does a header other than the given one."""
     if header is not None:

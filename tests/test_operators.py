@@ -20,7 +20,7 @@ from tallywright.operators import pareto
 from tallywright.operators.log import with_sessions
 from tallywright.operators.rank import average_rank, band_rerank, global_ranks, global_row_numbers, largest_remainder, top_per_group
 from tallywright.operators.calibrate import fit_platt, mcnemar_p
-from tallywright.operators.similar import bits_set, cosine_matrix, jaccard_of, nearest_of, pack_signs, search_blocks, tanimoto, tanimoto_matrix, word_shingles
+from tallywright.operators.similar import bits_set, cosine_matrix, jaccard_of, pack_signs, tanimoto, tanimoto_matrix, word_shingles
 from tallywright.plans import ranks, scans, scores
 from tallywright.shipping import ship
 from tallywright.sources.files import read_any, read_csv, read_fasta, read_workbook, read_zip_tsv, scratch
@@ -211,26 +211,6 @@ def test_streams_agree_with_batch(spark, tmp_path):
     assert spark.table("once").count() == events.count()
 
 
-@pytest.mark.parametrize("measure", [tanimoto_matrix, cosine_matrix])
-def test_search_in_blocks(spark, measure):
-    ship(spark)
-    rng = np.random.default_rng(1)
-    v = rng.integers(-(2**62), 2**62, (70, 3)) if measure is tanimoto_matrix else rng.normal(size=(70, 3)).round(1)
-    v[5], v[6] = v[4], 0
-    kind = "long" if measure is tanimoto_matrix else "double"
-    rows = [(i, i % 3 if i % 7 else None, v[i].tolist()) for i in range(70)] + [(None, 1, v[0].tolist()), (90, 1, None), (91, 1, [None] * 3)]
-    df = spark.createDataFrame(rows, f"id long, label long, vector array<{kind}>")
-    found = search_blocks(df.where("id % 20 = 0"), df, measure, nearest_of(3), "q long, vec_id long, similarity double", block=16)
-    got = {}
-    for r in top_per_group(found, ["q"], [F.desc("similarity"), "vec_id"], 3).collect():
-        got.setdefault(r["q"], []).append((r["vec_id"], r["similarity"]))
-    s = np.round(measure(v, v), 6)
-    for q in (0, 20, 40, 60):
-        assert sorted(got[q]) == sorted(sorted(((i, s[q, i]) for i in range(70) if i != q), key=lambda x: (-x[1], x[0]))[:3])
-    assert search_blocks(df.where("false"), df, measure, nearest_of(3), "q long, vec_id long, similarity double").count() == 0
-    assert search_blocks(df, df.where("false"), measure, nearest_of(3), "q long, vec_id long, similarity double").count() == 0
-
-
 def test_platt_fit(spark):
     rng = np.random.default_rng(5)
     s = rng.normal(size=400)
