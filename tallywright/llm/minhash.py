@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tallywright.llm._components import connected_components
 from tallywright.llm._store import discard, materialize, small_side
-from tallywright.llm._words import WHITE, blocks, give_back, in_blocks, mix, word_hashes
+from tallywright.llm._words import WHITE, blocks, give_back, mix, word_hashes
 
 WORDS = 5
 #: Sets link when 100 * intersection >= PERCENT * union.
@@ -34,8 +34,12 @@ COLLISION = 0.169919487159739 * 2.0**-MANTISSA
 SMALL = 12
 #: Characters of texts that are confirmed together.
 VERIFY = 4 << 20
-#: A bucket of documents is compared in blocks of so many.
-BLOCK = 512
+#: A bucket of documents is compared in blocks of so many, or of sets of so many shingles together.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+#: A bucket that takes more pairs of blocks, and has more documents outside its largest component, is told apart by its documents' rarest shingles instead.
+MOST_BLOCKS, MOST_OTHERS = 4, 64
+#: Shingles that so many documents of such buckets have are ordered by their number, at most so many of them; all others come before, by their hash.
+FREQUENT, FREQUENT_ROWS = 8, 1_000_000
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
@@ -165,7 +169,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     Only the texts of documents in pairs are moved, once for each pair.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "star_ids")
     texts = texts.join(small_side(ids), "id", "left_semi")
     first = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     second = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
@@ -193,27 +197,49 @@ def _grouped(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, li
 def _candidates(rows: pd.DataFrame, a: int, b: int, regs: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Of a group, rows and those others of different components that they may link with.
 
-    A pair meets in every band that it shares; only the first one counts.
+    A pair meets in every band that it shares, or in every shingle that both have
+    among their rarest; only the first one counts.
     """
-    comp, own = rows["comp"].to_numpy()[a:b], rows["own"].to_numpy()[a:b]
+    comp, own, size = rows["comp"].to_numpy()[a:b], rows["own"].to_numpy()[a:b], rows["n"].to_numpy()[a:b]
     inside = rows["lo"].iat[a] == rows["hi"].iat[a]
-    names, size = np.unique(comp, return_counts=True)
-    main = comp == names[size.argmax()]
-    part = regs[a:b]
-    mine = np.flatnonzero(_band_keys(part[:1])[0].view(np.int64) == rows["key"].iat[a])
+    names, counts = np.unique(comp, return_counts=True)
+    main = comp == names[counts.argmax()]
+    part, key = regs[a:b], rows["key"].iat[a]
+    rare = [_unpacked(x) for x in rows["rare"].iloc[a:b]]
+    mine = np.flatnonzero(_band_keys(part[:1])[0].view(np.int64) == key) if rare[0] is None else []
+    order = np.lexsort((rows["id"].to_numpy()[a:b], size)).argsort()
     # Every pair across components has a row outside the largest one.
     for i in np.flatnonzero(~main):
         other = (comp != comp[i]) & (main | (np.arange(b - a) > i)) & (inside | (own != own[i]))
+        other &= 100 * np.minimum(size, size[i]) >= PERCENT * np.maximum(size, size[i])
         at = np.flatnonzero(other)
         if len(at):
             at = at[may_link(part[i], part[at])]
         if len(at) and len(mine):
             same = (part[i] == part[at]).reshape(len(at), BANDS, ROWS).all(axis=2) & (part[i] != EMPTY).reshape(BANDS, ROWS).any(axis=1)
             at = at[same.argmax(axis=1) == mine[0]]
+        elif len(at) and rare[i] is not None:
+            at = np.array([j for j in at.tolist() if _first_met(rare, *((i, j) if order[i] < order[j] else (j, i))) == key], np.int64)
         if len(at):
             yield a + int(i), a + at
 
 
+def _unpacked(rare: bytes | None) -> tuple[np.ndarray, np.ndarray] | None:
+    """A document's keys as the smaller set of a pair, and as the larger one."""
+    if rare is None:
+        return None
+    x = np.frombuffer(rare, np.int64)
+    return x[1 : 1 + x[0]], x[1 + x[0] :]
+
+
+def _first_met(rare: list, small: int, large: int) -> int | None:
+    """The least key in which a pair meets."""
+    if rare[small] is None or rare[large] is None:
+        return None
+    both = np.intersect1d(rare[small][0], rare[large][1], assume_unique=True)
+    return int(both[0]) if len(both) else None
+
+
 def _involved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The rows of each group that have a candidate."""
     for rows, groups in _grouped(batches):
@@ -222,19 +248,15 @@ def _involved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for a, b in groups:
             for i, at in _candidates(rows, a, b, regs):
                 some[i] = some[at] = True
-        yield rows.loc[some, ["key", "lo", "hi", "own", "id", "comp"]]
+        yield rows.loc[some]
     give_back()
 
 
 def _joining(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of the involved rows with texts, links that join components: each candidate pair whose sets link, unless it is joined already."""
+    """Of the involved rows with sets, links that join components: each candidate pair whose sets link, unless it is joined already."""
     for rows, groups in _grouped(batches):
-        sets: list[np.ndarray] = []
-        regs = np.zeros((len(rows), BUCKETS), np.uint16)
-        for first, block in in_blocks(rows["text"].tolist()):
-            s, owner, _, _ = shingle_sets(block)
-            regs[first : first + len(block)] = registers(s, owner, len(block))
-            sets += np.split(s, np.cumsum(np.bincount(owner, minlength=len(block)))[:-1])
+        sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
+        regs = np.frombuffer(b"".join(rows["registers"]), np.uint16).reshape(-1, BUCKETS)
         ids, comp = rows["id"].tolist(), rows["comp"].tolist()
         out = []
         for a, b in groups:
@@ -268,12 +290,120 @@ def _links(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def _blocks(members: DataFrame) -> DataFrame:
-    """(key, main, main_blocks, blocks) of members (key, comp): each bucket's largest component, its blocks, and those of all others."""
-    sizes = members.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    sizes = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("n"))
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    largest = F.col("m.n")
-    return sizes.select("key", F.col("m.comp").alias("main"), blocks(largest).alias("main_blocks"), blocks(F.col("n") - largest).alias("blocks"))
+    """(key, main, by_role, quiet_blocks, blocks, others) of members (key, comp, n, leads): in how many blocks each bucket is dealt.
+
+    A bucket's quiet documents don't meet each other: those of its largest
+    component, or, where that leaves fewer pairs, those that don't lead any.
+    """
+    each = members.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("n").alias("size"), F.count_if("leads").alias("leading"), F.coalesce(F.sum(F.when(F.col("leads"), F.col("n"))), F.lit(0)).alias("leading_size"))
+    each = each.groupBy("key").agg(F.max(F.struct("n", "comp", "size")).alias("m"), *[F.sum(c).alias(c) for c in ("n", "size", "leading", "leading_size")])
+    by_role = F.col("leading") < F.col("n") - F.col("m.n")
+    loud, loud_size = F.when(by_role, F.col("leading")).otherwise(F.col("n") - F.col("m.n")), F.when(by_role, F.col("leading_size")).otherwise(F.col("size") - F.col("m.size"))
+    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_SHINGLES)).cast("int")
+    return each.select("key", F.col("m.comp").alias("main"), by_role.alias("by_role"), blocks(F.col("n") - loud, F.col("size") - loud_size).alias("quiet_blocks"), blocks(loud, loud_size).alias("blocks"), loud.alias("others"))
+
+
+def _dealt(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Members in pairs of blocks (key, lo, hi): quiet ones, in blocks from -1 down, meet the others, from 0 up, and not each other."""
+    rows = members.join(small_side(sizes), "key")
+    quiet = F.when(F.col("by_role"), ~F.col("leads")).otherwise(F.col("comp") == F.col("main"))
+    at = F.xxhash64("id")
+    rows = rows.withColumn("own", F.when(quiet, -1 - F.pmod(at, F.col("quiet_blocks"))).otherwise(F.pmod(at, F.col("blocks"))).cast("int"))
+    # Blocks from 0 up meet all, negative ones only those.
+    rows = rows.where("blocks > 0").withColumn("other", F.explode(F.sequence(F.when(quiet, 0).otherwise(-F.col("quiet_blocks")), F.col("blocks") - 1)))
+    return rows.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "comp", "n", "registers", "rare")
+
+
+def shingles_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, shingles): the sorted shingle hashes of the documents whose ids are in ids, equal ones once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, at, texts in blocks(batches):
+            s, owner, _, _ = shingle_sets([t.encode() if t else b"" for t in texts])
+            sets = np.split(s, np.cumsum(np.bincount(owner, minlength=len(texts)))[:-1])
+            mark = [int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True) for x in sets]
+            yield pa.RecordBatch.from_arrays([at, pa.array(mark, pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "mark", "shingles"])
+        give_back()
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(small_side(ids), "id", "left_semi")
+    return texts.mapInArrow(run, "id long, mark long, shingles binary").dropDuplicates(["id", "mark"]).select("id", "shingles")
+
+
+def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that FREQUENT sets or more have, and in how many; where these are over FREQUENT_ROWS, the most frequent of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s, n = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(n)], ["shingle", "n"])
+
+    counts = materialize(sets.select("shingles").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT), "frequent")
+    least = [FREQUENT << k for k in range(40)]
+    have = counts.agg(*[F.count_if(F.col("n") >= n) for n in least]).first()
+    cut = next(n for n, k in zip(least, have, strict=True) if k <= FREQUENT_ROWS)
+    got = counts.where(F.col("n") >= cut).orderBy("shingle").toArrow()
+    discard(counts)
+    return got.column("shingle").to_numpy(), got.column("n").to_numpy()
+
+
+def _rarest(sets: DataFrame, members: DataFrame) -> DataFrame:
+    """(key, id, comp, n, registers, leads, rare) of members (id, comp, n, registers): the shingles by which documents of sets (id, shingles) can meet one of another component that they link with.
+
+    Two sets that link share a shingle that is among the first n - ceil(2 t / (1 + t) n) + 1
+    of the smaller, which leads there, and among the first n - ceil(t n) + 1 of
+    the larger, whatever the order, if it is one for all (t the similarity, n a set's size). It runs from rare to frequent, so
+    passages that many have in common come last and bring nobody together; shingles
+    of one component alone, or where nobody leads, are dropped. rare has all keys of a document, those where
+    it leads first.
+    """
+    frequent = sets.sparkSession.sparkContext.broadcast(_frequent(sets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, times = frequent.value
+        for batch in batches:
+            keys, owner, leads = [], [], []
+            for i, x in enumerate(batch.column(1).to_pylist()):
+                s = np.frombuffer(x, np.int64)
+                at = np.minimum(np.searchsorted(known, s), max(len(known) - 1, 0))
+                n = np.where(known[at] == s, times[at], 0) if len(known) else np.zeros(len(s), np.int64)
+                first = len(s) - -(-PERCENT * len(s) // 100) + 1
+                keys.append(s[np.lexsort((s, n))[:first]])
+                owner.append(np.full(len(keys[-1]), i))
+                leads.append(np.arange(len(keys[-1])) <= len(s) - -(-2 * PERCENT * len(s) // (100 + PERCENT)))
+            if keys:
+                columns = [batch.column(0).take(pa.array(np.concatenate(owner))), pa.array(np.concatenate(keys)), pa.array(np.concatenate(leads))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "key", "leads"])
+        give_back()
+
+    comps = members.select("id", "comp").distinct()
+    keys = materialize(sets.select("id", "shingles").mapInArrow(run, "id long, key long, leads boolean"), "rare_keys")
+    ends = keys.join(small_side(materialize(comps, "comps")), "id").groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.bool_or("leads").alias("leads"))
+    open_keys = materialize(ends.where("c0 < c1 and leads").select("key"), "rare_open")
+    met = materialize(keys.join(small_side(open_keys), "key", "left_semi").groupBy("id", "key").agg(F.bool_or("leads").alias("leads")), "rare_met")
+    packed = met.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("key", "leads"))).alias("keys"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rare = []
+            for k in batch.column(1).to_pylist():
+                leading = [x["key"] for x in k if x["leads"]]
+                rare.append(np.array([len(leading), *leading, *(x["key"] for x in k)], np.int64).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rare, pa.binary()), batch.column(1)], ["id", "rare", "keys"])
+
+    each = packed.mapInArrow(pack, "id long, rare binary, keys array<struct<key:long,leads:boolean>>").join(members, "id")
+    out = materialize(each.select(F.inline("keys"), "id", "comp", "n", "registers", "rare"), "rare_members")
+    discard(keys, open_keys, met)
+    return out
+
+
+def _shared_ids(real: DataFrame, reps: DataFrame) -> DataFrame:
+    """(a, b): representatives that stand for different texts under one doc_id."""
+    digest = F.struct("d1", "d2")
+    several = real.groupBy("doc_id").agg(F.min(digest).alias("x"), F.max(digest).alias("y")).where("x <> y").select("doc_id")
+    several = materialize(several, "several")
+    owned = real.join(small_side(several), "doc_id").select("doc_id", "d1", "d2").distinct().join(reps.select("d1", "d2", "id"), ["d1", "d2"]).select("doc_id", "id").distinct()
+    root = owned.groupBy("doc_id").agg(F.min("id").alias("b"))
+    return owned.join(root, "doc_id").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -284,18 +414,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     all. Documents link when their sets' similarity is at least PERCENT / 100;
     component_id is the smallest doc_id reachable and kept marks it. Documents
     without words (null, empty or blank) link with nothing. Rows with one doc_id
-    are one document, and rows without an id are kept and link with nothing;
-    every row is returned. Other columns are ignored.
+    are one document: if their texts differ, these are linked, each row has the
+    n_shingles of its own text, and other documents link by any of the texts. Rows
+    without an id are kept and link with nothing; every row is returned. Texts of any
+    length are read whole. Other columns are ignored.
 
     Equal word sequences collapse to one representative first. Sketches meet in
     buckets, one for each band (sets too small for bands meet in their least
     hashes). Each member of a bucket is first confirmed against the bucket's
-    center, the document that meets the most others, which joins most copies; after that only pairs of
-    different components in a bucket are left. Sketches compare these in blocks of
-    BLOCK documents, where the blocks of a bucket's largest component meet those
-    of the others and not each other, and what may link is confirmed on its full sets where it
-    lies, so that a task emits the links that join components and no pairs. No
-    pair across components is left out.
+    center, the document that meets the most others, which joins most copies;
+    after that only pairs of different components in a bucket are left. Sketches
+    compare these in blocks of BLOCK documents, where the blocks of a bucket's
+    largest component meet those of the others and not each other. A bucket of
+    over MOST_BLOCKS pairs of blocks holds documents that are alike without linking, by
+    a passage that many have: its documents meet in their rarest shingles
+    instead, of which documents that link share one, so what brings them together
+    is what sets them apart from others. What may link is confirmed on its full sets,
+    which are made once and moved to where its candidates are, so that a task emits the
+    links that join components and no pairs. No pair across components is left out.
     """
     sig = materialize(sketch(docs), "sketches")
     real = sig.where("doc_id is not null and d1 is not null")
@@ -305,41 +441,49 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     keys = materialize(reps.select("id", "n_shingles", "registers", "least").mapInPandas(_keys, "key long, id long"), "keys")
     shared = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    members = materialize(keys.join(small_side(shared), "key"), "members")
+    met = materialize(keys.join(small_side(shared), "key"), "members")
     discard(keys, shared)
     # What most others resemble meets them in the most buckets, and becomes the center of its buckets.
-    central = members.groupBy("id").agg(F.sum("n").alias("weight"))
-    center = members.join(central, "id").groupBy("key").agg(F.max_by(F.struct("id", "weight"), F.struct("weight", -F.col("id"))).alias("c"))
-    star = members.join(center.select("key", F.col("c.id").alias("center"), "c.weight"), "key").where("id <> center")
+    central = met.groupBy("id").agg(F.sum("n").alias("weight"))
+    center = met.join(central, "id").groupBy("key").agg(F.max_by(F.struct("id", "weight"), F.struct("weight", -F.col("id"))).alias("c"))
+    star = met.join(center.select("key", F.col("c.id").alias("center"), "c.weight"), "key").where("id <> center")
     star = star.groupBy("id", "center").agg(F.count("*").alias("n"), F.max("weight").alias("weight"))
     star = star.groupBy(F.col("id").alias("a")).agg(F.max_by("center", F.struct("n", "weight", -F.col("center"))).alias("b"))
-    links = materialize(verified(materialize(star, "stars"), docs), "links")
+    star = materialize(star, "stars")
+    links = materialize(verified(star, docs).unionByName(_shared_ids(real, reps)), "links")
+    discard(star)
     joined = materialize(connected_components(links), "joined")
-    members = members.select("key", "id").join(small_side(joined.withColumnRenamed("node", "id")), "id", "left")
+    members = met.select("key", "id").join(small_side(joined.withColumnRenamed("node", "id")), "id", "left")
     members = materialize(members.select("key", "id", F.coalesce("component", "id").alias("comp")), "members")
-    open_keys = materialize(
-        members.groupBy("key")
-        .agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-        .where("c0 < c1")
-        .select("key"),
-        "open",
-    )
-    sizes = materialize(_blocks(members.join(small_side(open_keys), "key")), "blocks")
-    left = members.join(small_side(sizes), "key")
-    # Blocks of the largest component are numbered from -1 down, the others from 0 up.
-    main = F.col("comp") == F.col("main")
-    at = F.xxhash64("id")
-    left = left.withColumn("own", F.when(main, -1 - F.pmod(at, F.col("main_blocks"))).otherwise(F.pmod(at, F.col("blocks"))).cast("int"))
-    left = left.withColumn("other", F.explode(F.sequence(F.when(main, 0).otherwise(-F.col("main_blocks")), F.col("blocks") - 1)))
-    left = left.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "comp")
+    discard(met, joined)
+    open_keys = members.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
+    open_keys = materialize(open_keys, "open")
+    own = reps.select("id", F.col("n_shingles").alias("n"), "registers")
+    left = materialize(members.join(small_side(open_keys), "key").join(own.drop("registers"), "id").withColumn("leads", F.lit(True)), "left")
+    discard(members, open_keys)
+    sizes = materialize(_blocks(left), "blocks")
+    work = (F.col("quiet_blocks") + F.col("blocks")).cast("long") * F.col("blocks")
+    many = (work > MOST_BLOCKS) & (F.col("others") > MOST_OTHERS)
+    near = left.join(small_side(sizes.where(~many).select("key")), "key", "left_semi").join(own.drop("n"), "id")
+    dealt = _dealt(near.withColumn("rare", F.lit(None).cast("binary")), sizes.where(~many))
+    alike = materialize(left.join(small_side(sizes.where(many).select("key")), "key", "left_semi").select("id", "comp").distinct(), "alike")
+    held: list[DataFrame] = []
+    if not alike.isEmpty():
+        sets = materialize(shingles_of(docs, alike.select("id")), "alike_sets")
+        rare = _rarest(sets, alike.join(own, "id"))
+        lots = materialize(_blocks(rare), "rare_blocks")
+        dealt = dealt.unionByName(_dealt(rare, lots))
+        held = [sets, rare, lots]
     group = ["key", "lo", "hi"]
-    left = left.join(reps.select("id", "registers"), "id").repartition(*group).sortWithinPartitions(*group)
-    involved = materialize(left.mapInPandas(_involved, "key long, lo int, hi int, own int, id long, comp long"), "involved")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(small_side(materialize(involved.select("id").distinct(), "ids")), "id", "left_semi")
-    left = involved.join(texts, "id").select(*group, "own", "id", "comp", "text").repartition(*group).sortWithinPartitions(*group)
-    found = connected_components(links.unionByName(left.mapInPandas(_joining, "a long, b long")))
+    schema = "key long, lo int, hi int, own int, id long, comp long, n long, registers binary, rare binary"
+    involved = materialize(dealt.repartition(*group).sortWithinPartitions(*group).mapInPandas(_involved, schema), "involved")
+    ids = materialize(involved.select("id").distinct(), "ids")
+    found = involved.join(shingles_of(docs, ids), "id").select(*involved.columns, "shingles").repartition(*group).sortWithinPartitions(*group)
+    found = materialize(links.unionByName(found.mapInPandas(_joining, "a long, b long")), "all_links")
+    discard(left, sizes, alike, involved, ids, links, *held)
+    component = connected_components(found)
+    discard(found)
     rows = sig.select("doc_id", "d1", "d2", "n_shingles").join(reps.select("d1", "d2", "id"), ["d1", "d2"], "left")
-    rows = rows.join(found.withColumnRenamed("node", "id"), "id", "left")
+    rows = rows.join(component.withColumnRenamed("node", "id"), "id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id", "doc_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

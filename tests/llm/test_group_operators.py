@@ -100,7 +100,7 @@ def plain_groups(rows):
     return {k: (len(sets[k]), find[k]) for k in sets}
 
 
-def test_near_duplicates_of_every_size(spark):
+def test_near_duplicates_of_every_size(spark, monkeypatch):
     rng = np.random.default_rng(11)
     vocabulary = [f"w{i}" for i in range(3000)]
     rows = [(0, None), (1, ""), (2, " \n\t"), (3, "One two"), (4, "one\vTWO"), (5, "one two three four five"), (6, "ONE two\tthree  four five"), (7, "é É"), (8, "é É")]
@@ -122,11 +122,47 @@ def test_near_duplicates_of_every_size(spark):
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, key string")
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(df).collect()}
     assert got == want
-    small, minhash.BLOCK = minhash.BLOCK, 8
-    try:
-        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(df).collect()} == want
-    finally:
-        minhash.BLOCK = small
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(df).collect()} == want
+    # All buckets through the rarest shingles.
+    monkeypatch.setattr(minhash, "MOST_BLOCKS", 0)
+    monkeypatch.setattr(minhash, "MOST_OTHERS", 0)
+    monkeypatch.setattr(minhash, "FREQUENT", 2)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(df).collect()} == want
+
+
+def test_documents_alike_without_linking_are_not_compared(spark, monkeypatch):
+    """A template of 76 shingles and 13 to 25 of one's own: similarities of 0.60 to 0.745, with a few copies among them."""
+    rng = np.random.default_rng(8)
+    n = 20_000
+    template = " ".join(f"t{i}" for i in range(80))
+    own = rng.integers(13, 26, n)
+    own[own == 13] = 14
+    rows = [(i, template + " " + " ".join(f"u{i}x{j}" for j in range(own[i]))) for i in range(n)]
+    rows += [(n + i, rows[i * 100][1] + " more words") for i in range(30)]
+    compared = []
+
+    def counted(members, sizes, made=minhash._dealt):
+        out = made(members, sizes)
+        groups = out.groupBy("key", "lo", "hi").agg(F.count_if(F.col("own") == F.col("lo")).alias("a"), F.count_if(F.col("own") != F.col("lo")).alias("b"))
+        inside, across = F.col("a") * (F.col("a") - 1) / 2, F.col("a") * F.col("b")
+        compared.append(groups.agg(F.coalesce(F.sum(F.when(F.col("lo") == F.col("hi"), inside).otherwise(across)), F.lit(0.0))).first()[0])
+        return out
+
+    monkeypatch.setattr(minhash, "_dealt", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    found = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df).collect()}
+    assert found == {i: i if i < n else (i - n) * 100 for i in range(n + 30)}
+    # All pairs of a band's bucket would be over 10 million, for each of 40 bands.
+    assert sum(compared) < 20 * n, compared
+
+
+def test_one_id_with_different_texts(spark):
+    one, two, other = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    rows = [(1, one), (5, one), (5, two), (6, two), (7, other), (7, two + " x"), (8, other), (9, "z " + other), (3, "p q"), (3, "r s"), (2, "r s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(df).collect()}
+    assert got == {(i, 1, i == 1) for i in (1, 5, 6, 7, 8, 9)} | {(3, 2, False), (2, 2, True)}
 
 
 def test_near_duplicates_odd_rows(spark):
