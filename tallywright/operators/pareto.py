@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import math
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import and_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallywright.sources.files import forget, keep
+
 #: About how many different points of a group are compared with as many others at once.
 BLOCK = 2048
 #: Rows of a block that are compared in one step.
@@ -48,29 +49,112 @@ def dominance_counts(df: DataFrame, by: str, objectives: list[str]) -> DataFrame
     return df.join(found, point, "left").select(*df.columns, zero("n_dominating"), zero("n_dominated"))
 
 
-def pareto_fronts(df: DataFrame, by: str, objectives: list[str], fronts: int, scratch: str) -> DataFrame:
-    """df with front: 1 for rows of a group that no other dominates, 2 for those left undominated without them, and so on up to `fronts`; null beyond and for rows with nulls.
+def pareto_fronts(df: DataFrame, by: str, objectives: list[str]) -> DataFrame:
+    """df with front: 1 for rows of a group that no other dominates, 2 for those left undominated without them, and so on; null for rows with nulls alone.
 
-    Only different points are peeled; each round counts domination among those
-    that are left, and what remains is written as Parquet below the folder
-    `scratch`, so that no round repeats the ones before it.
+    A point's front is one more than the highest front of what dominates it.
+    Only different points count. Those of a group are dealt in blocks, whose
+    own fronts are one pass; a group of one block is done by that. In others a
+    point's front within its block is a lower bound, and those with the lowest bounds
+    settle the next fronts: as many as one task can hold settle all their
+    fronts at once; where the lowest bound alone has more, it is cut to the skylines of its
+    blocks, and these are held against each other. What is left, with its bounds, is
+    written to the shared folder after each step, and only that is read by the next; there is no
+    bound on fronts.
     """
     spark, point = df.sparkSession, [by, *objectives]
-    left = df.select(*point).where(reduce(and_, [F.col(c).isNotNull() for c in point])).distinct()
-    peeled = []
-    for front in range(1, fronts + 1):
-        path = f"{scratch.rstrip('/')}/fronts-{uuid.uuid4().hex}"
-        dominance_counts(left, by, objectives).withColumn("__top", F.col("n_dominating") == 0).write.parquet(path)
-        counted = spark.read.parquet(path)
-        peeled.append(counted.where("__top").select(*point, F.lit(front).alias("front")))
-        left = counted.where("not __top").select(*point)
-    return df.join(reduce(DataFrame.unionByName, peeled), point, "left").select(*df.columns, "front")
+    known = reduce(and_, [F.col(c).isNotNull() for c in point])
+    points = df.select(*point).where(known).distinct()
+    names = [f"{x.name}" for x in points.schema]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema)
+    nan = {f.name: F.coalesce(f.name, F.lit(math.nan).cast(f.dataType)) for f in points.schema if f.dataType.typeName() in ("double", "float")}
+    back = lambda t: t.withColumns(nan) if nan else t  # noqa: E731  pandas gives back what is not a number as null
+
+    def settle(block: pd.DataFrame) -> pd.DataFrame:
+        return block[names].assign(__bound=_bounds(block, objectives))
+
+    def dealt(t: DataFrame, seed: int) -> DataFrame:
+        sizes = t.groupBy(by).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("__blocks"))
+        return t.join(sizes, by).withColumn("__at", F.pmod(F.xxhash64(F.lit(seed), *objectives), F.col("__blocks")).cast("int"))
+
+    first = dealt(points, 0).withColumn("__bound", F.lit(1))
+    sizes = first.select(by, "__blocks").distinct()
+    left = back(first.groupBy(by, "__at").applyInPandas(settle, schema + ", __bound int"))
+    left = keep(left.join(sizes, by).select(*names, "__bound", (F.col("__blocks") == 1).alias("__done")), "fronts")
+    settled, step = [left.where("__done").select(*names, F.col("__bound").alias("front"))], 1
+    left = keep(left.where("not __done").drop("__done"), "fronts")
+    while not left.isEmpty():
+        # How far the bounds of what one task can hold reach, and the lowest bound where that alone has more.
+        upward = Window.partitionBy(by).orderBy("__bound")
+        reach = left.groupBy(by, "__bound").agg(F.count("*").alias("n")).withColumn("n", F.sum("n").over(upward))
+        reach = keep(reach.groupBy(by).agg(F.min("__bound").alias("__low"), F.max(F.when(F.col("n") <= BLOCK, F.col("__bound"))).alias("__top")), "reach")
+        rows = left.join(reach, by)
+        few = rows.where("__bound <= __top").groupBy(by)
+        few = back(few.applyInPandas(settle, schema + ", __bound int")).join(reach, by).withColumn("__done", F.col("__bound") <= F.col("__top"))
+        many = keep(rows.where("__top is null and __bound = __low").select(*names, "__bound"), "lowest")
+        parts = [few.select(*names, "__bound", "__done"), rows.where("__bound > coalesce(__top, __low)").select(*names, "__bound", F.lit(False).alias("__done"))]
+        if not many.isEmpty():
+            own = back(dealt(many, step).groupBy(by, "__at").applyInPandas(settle, schema + ", __bound int"))
+            # The skyline of a block keeps the bound; what a block's own points dominate has a higher one.
+            low = reach.select(by, "__low")
+            own = keep(own.join(low, by), "skylines")
+            top = own.where("__bound = __low").select(*names)
+            beaten = keep(_beaten(dealt(top, step), by, objectives, schema, back), "beaten")
+            key = lambda t: t.select(*names, F.lit(True).alias("__beaten"))
+            top = top.join(low, by).join(key(beaten), names, "left")
+            parts.append(top.select(*names, (F.col("__low") + F.coalesce("__beaten", F.lit(False)).cast("int")).alias("__bound"), F.col("__beaten").isNull().alias("__done")))
+            parts.append(own.where("__bound > __low").select(*names, "__bound", F.lit(False).alias("__done")))
+        after = keep(reduce(DataFrame.unionByName, parts), "fronts")
+        settled.append(after.where("__done").select(*names, F.col("__bound").alias("front")))
+        rest = keep(after.where("not __done").drop("__done"), "fronts")
+        forget(left, reach, many)
+        left, step = rest, step + 1
+    forget(left)
+    found = reduce(DataFrame.unionByName, settled)
+    return df.join(found, point, "left").select(*df.columns, "front")
+
+
+def _beaten(dealt: DataFrame, by: str, objectives: list[str], schema: str, back: Callable) -> DataFrame:
+    """The points that another dominates, by pairs of blocks and within blocks."""
+    other = F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))
+    pairs = dealt.withColumn("__other", other).withColumns({"__i": F.least("__at", "__other"), "__j": F.greatest("__at", "__other")})
+    names = [by, *objectives]
+
+    def compare(pair: pd.DataFrame) -> pd.DataFrame:
+        x, at = _places(pair, objectives), pair["__at"].to_numpy()
+        left, right = np.flatnonzero(at == pair["__i"].to_numpy()), np.flatnonzero(at == pair["__j"].to_numpy())
+        lost = np.zeros(len(x), bool)
+        for rows in _steps(left):
+            a, b = x[rows][:, None], x[right][None]
+            lost[rows] |= ((b >= a).all(axis=2) & (b > a).any(axis=2)).any(axis=1)
+            lost[right] |= ((a >= b).all(axis=2) & (a > b).any(axis=2)).any(axis=0)
+        return pair.loc[lost, names]
+
+    return back(pairs.groupBy(by, "__i", "__j").applyInPandas(compare, schema)).distinct()
+
+
+def _places(points: pd.DataFrame, objectives: list[str]) -> np.ndarray:
+    """Places in the sorted values: not a number is the highest and equals itself, as in SQL."""
+    return np.column_stack([np.unique(points[c].to_numpy(), return_inverse=True)[1] for c in objectives])
+
+
+def _bounds(points: pd.DataFrame, objectives: list[str]) -> np.ndarray:
+    """Of each point the larger of its bound and one more than the most that points which dominate it have."""
+    x, bound = _places(points, objectives), points["__bound"].to_numpy(np.int32).copy()
+    # What dominates a point comes before it in the order of the sums.
+    order = np.argsort(-x.sum(axis=1), kind="stable")
+    x, out = x[order], bound[order]
+    for i in range(1, len(x)):
+        above = out[:i][(x[:i] >= x[i]).all(axis=1) & (x[:i] > x[i]).any(axis=1)]
+        if len(above):
+            out[i] = max(out[i], above.max() + 1)
+    bound[order] = out
+    return bound
 
 
 def _compared(pair: pd.DataFrame, point: list[str], objectives: list[str]) -> pd.DataFrame:
     """Counts of the points of one pair of blocks, or of one block with itself."""
-    # Places in the sorted values: not a number is the highest and equals itself, as in SQL.
-    x = np.column_stack([np.unique(pair[c].to_numpy(), return_inverse=True)[1] for c in objectives])
+    x = _places(pair, objectives)
     n, at = pair["__n"].to_numpy(np.int64), pair["__at"].to_numpy()
     left, right = np.flatnonzero(at == pair["__i"].to_numpy()), np.flatnonzero(at == pair["__j"].to_numpy())
     above, below = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)

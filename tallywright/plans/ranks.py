@@ -13,7 +13,6 @@ from tallywright.plans.aggregates import _TRUTH, truth
 from tallywright.plans.joins import split_of
 from tallywright.registry import Registry
 from tallywright.shipping import ship
-from tallywright.sources.files import scratch
 from tallywright.sources.tables import EVIDENCE, TRAIN_END, evidence, read
 
 QUERIES = Registry()
@@ -276,13 +275,12 @@ def pareto_counts(spark, d):
     return dominance_counts(_points(spark, d), "p_brand", list(_OBJECTIVES)).select("id", "n_dominating", "n_dominated")
 
 
-@query(f"""WITH {_POINTS}, f1 AS (SELECT id FROM p WHERE NOT EXISTS (SELECT 1 FROM p x WHERE {_BEATS('x', 'p')})),
-p2 AS (SELECT * FROM p WHERE id NOT IN (SELECT id FROM f1)), f2 AS (SELECT id FROM p2 WHERE NOT EXISTS (SELECT 1 FROM p2 x WHERE {_BEATS('x', 'p2')})),
-p3 AS (SELECT * FROM p2 WHERE id NOT IN (SELECT id FROM f2)), f3 AS (SELECT id FROM p3 WHERE NOT EXISTS (SELECT 1 FROM p3 x WHERE {_BEATS('x', 'p3')}))
-SELECT id, CASE WHEN id IN (SELECT id FROM f1) THEN 1 WHEN id IN (SELECT id FROM f2) THEN 2 WHEN id IN (SELECT id FROM f3) THEN 3 END AS front FROM p""")
+@query(f"""WITH RECURSIVE {_POINTS}, d AS (SELECT x.id AS above, p.id FROM p x JOIN p ON {_BEATS('x', 'p')}),
+f AS (SELECT id, 1 AS k FROM p UNION SELECT d.id, f.k + 1 FROM f JOIN d ON d.above = f.id)
+SELECT id, max(k)::INT AS front FROM f GROUP BY id""")
 def pareto_peeled(spark, d):
-    """The first three fronts of each brand's parts."""
-    return pareto_fronts(_points(spark, d), "p_brand", list(_OBJECTIVES), 3, scratch(spark)).select("id", "front")
+    """The front of each part within its brand, down to the last."""
+    return pareto_fronts(_points(spark, d), "p_brand", list(_OBJECTIVES)).select("id", "front")
 
 
 @query("SELECT l_suppkey, l_partkey, (rank() OVER (PARTITION BY l_suppkey ORDER BY n DESC) + (count(*) OVER (PARTITION BY l_suppkey, n) - 1) / 2.0)::DOUBLE AS rank FROM (SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem GROUP BY 1, 2)")

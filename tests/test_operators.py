@@ -316,15 +316,35 @@ def test_earliest_and_policies(spark):
     assert sorted(rows) == [("a", 1), ("a", 2), ("all", 1), ("all", 1), ("all", 2), ("all", 3), ("strict", 1)]
 
 
-def test_fronts(spark):
+def plain_fronts(rows):
+    """Peeling, over rows (id, group, objectives...), not a number the highest."""
+    high = lambda r: tuple(math.inf if isinstance(x, float) and math.isnan(x) else x for x in r[2:])
+    left, out, front = [r for r in rows if None not in r[1:]], dict.fromkeys(r[0] for r in rows), 0
+    while left:
+        front += 1
+        top = [r for r in left if not any(o[1] == r[1] and high(o) != high(r) and all(x >= y for x, y in zip(high(o), high(r))) for o in left)]
+        out |= {r[0]: front for r in top}
+        left = [r for r in left if out[r[0]] is None]
+    return out
+
+
+@pytest.mark.parametrize("block", [pareto.BLOCK, 40, 7])
+def test_fronts(spark, monkeypatch, block):
+    """Groups of one block, of windows that a task holds, and of a lowest bound beyond any."""
     ship(spark)
+    monkeypatch.setattr(pareto, "BLOCK", block)
     rng = np.random.default_rng(3)
-    rows = [(i, "g" if i % 5 else "h", int(rng.integers(0, 6)), None if i == 7 else float(rng.integers(0, 6))) for i in range(120)]
-    df = spark.createDataFrame(rows, "id long, g string, u long, v double")
-    got = {r["id"]: r["front"] for r in pareto.pareto_fronts(df, "g", ["u", "v"], 2, scratch(spark)).collect()}
-    left, want = [r for r in rows if r[3] is not None], dict.fromkeys(range(120))
-    for front in (1, 2):
-        top = [r for r in left if not any(o[1] == r[1] and o[2] >= r[2] and o[3] >= r[3] and o[2:] != r[2:] for o in left)]
-        want |= {r[0]: front for r in top}
-        left = [r for r in left if r not in top]
-    assert got == want
+    pick = lambda n: int(rng.integers(0, n))
+    rows = [(i, "g" if i % 5 else "h", pick(6), None if i == 7 else math.nan if i == 9 else float(pick(6)), pick(4)) for i in range(150)]
+    rows += [(200 + i, None if i == 3 else "chain", i, float(i), 1) for i in range(25)] + [(300 + i, "flat", i, float(-i), 1) for i in range(30)]
+    df = spark.createDataFrame(rows, "id long, g string, u long, v double, w int").repartition(3)
+    assert {r["id"]: r["front"] for r in pareto.pareto_fronts(df, "g", ["u", "v", "w"]).collect()} == plain_fronts(rows)
+    assert pareto.pareto_fronts(df.where("false"), "g", ["u", "v", "w"]).count() == 0
+
+
+def test_all_fronts_of_five_objectives(spark):
+    names = ["p_size", "p_retailprice", "grade", "length", "number"]
+    rows = [tuple(r) for r in ranks._points(spark, "/root/testdata/sf0.001").select("id", "p_brand", *names).collect()]
+    got = {r["id"]: r["front"] for r in ranks.pareto_peeled(spark, "/root/testdata/sf0.001").collect()}
+    assert got == plain_fronts(rows)
+
