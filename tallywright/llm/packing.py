@@ -301,17 +301,16 @@ class _Bins:
         raise AssertionError("a bin's bits don't agree with its items")
 
 
-def pack(lengths: np.ndarray, limit: int, rounds: int = 20) -> list[list[int]]:
+def pack(lengths: np.ndarray, limit: int, search: bool = True) -> list[list[int]]:
     """Bins of items so that no bin is over `limit`, in as few bins as the search finds.
 
-    Best fit, longest first; then, while there are more bins than the sum of
+    Best fit, longest first; then, with `search`, while there are more bins than the sum of
     lengths needs, every underfull bin is worked on, the emptiest first: an item
     moves to the tightest other bin with room, or is exchanged for one shorter
     item, or for two, of a bin at least as full, whichever fills most of that
     bin's room; all underfull bins are looked at. Each step raises the sum of
-    squared fills; a bin that is empty is gone. The search ends when a round
-    over all underfull bins changes nothing, and after `rounds` rounds at the
-    latest: what is packed by then is whole and valid, just not improved further.
+    squared fills, so the search ends; a bin that is empty is gone. It goes on until a round
+    over all underfull bins changes nothing, or no fewer bins could hold the items.
     """
     sizes = lengths.tolist()
     bins = _Bins(limit, sizes)
@@ -320,7 +319,7 @@ def pack(lengths: np.ndarray, limit: int, rounds: int = 20) -> list[list[int]]:
         bins.change(b if b >= 0 else bins.new(), into=[i])
     least = -(-sum(sizes) // limit)
     count = len(bins.items)
-    for _ in range(rounds):
+    while search:
         under = sorted((b for b, x in enumerate(bins.items) if x and bins.room[b]), key=lambda b: (-bins.room[b], b))
         changed, stuck = False, set()
         for source in under:

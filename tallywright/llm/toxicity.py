@@ -18,13 +18,16 @@ from tallywright.llm._words import NOT_ALNUM, blocks, give_back, in_blocks, mix,
 #: Labelled rows that the models are fitted on, of each class: those of the
 #: smallest hashes. A quarter of them sets the two numbers of the final scale.
 PER_CLASS = 6000
-#: Rows of the model that the driver takes at most; a sample that gives more raises.
-MODEL_ROWS = 20_000_000
+#: Rows of the model that the driver takes at most. Where the sample gives more, what
+#: has the least evidence goes to the backoff whole, as single counts always do.
+MODEL_ROWS = 8_000_000
 #: What Kneser-Ney smoothing takes off a count; a count of one goes to the shared
 #: backoff whole.
 DISCOUNT = 0.75
-#: How many shared counts stand against a class's own ones of a word or stem, and of a pair of words.
-WORD_BACKOFF, PAIR_BACKOFF = 1.0, 8.0
+#: How many shared counts stand against a class's own ones of a word or stem, and of a
+#: pair of words: of the powers of 2 from 1/4 to 4 and from 1 to 32, those of the least
+#: log-loss, both classes of one weight, on the quarter of the labels learned from that sets the scale (sf0.1).
+WORD_BACKOFF, PAIR_BACKOFF = 1.0, 4.0
 #: What most words of a text say counts as its language or subject; so many
 #: words of a prior that says nothing stand against it, and it is at most so much
 #: towards toxic. Evidence that a short or densely toxic text repeats thus stays.
@@ -123,8 +126,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     Counts are made by the executors over the whole texts of the sample, whose
     bound is per_class. A pair, word or stem of a single count passes it whole
     to what it backs off to, where the counts include it, so only others are
-    rows of the model: these reach the driver, at most MODEL_ROWS of them, and
-    one number for each document that sets the curve. Null labels and ids are
+    rows of the model: these reach the driver, and one number for each document
+    that sets the curve. If there are over MODEL_ROWS of them, the count that
+    passes whole is doubled until there aren't; every history still sums to 1. Null labels and ids are
     ignored; of several labels of one document the higher counts.
     """
     chosen = materialize(sample_labels(labels, per_class), "sample")
@@ -138,18 +142,20 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     total = [*n, F.sum("follows").alias("follows")]
     root = words.agg(*total).first()
     if not root["n0"] or not root["n1"]:
+        discard(pairs, words, chosen)
         return None
     long = words.groupBy("long").agg(*total, F.first("short").alias("short"))
     tables = {
-        "words": words.where("follows > 1"),
-        "long": long.where("follows > 1"),
-        "short": words.groupBy("short").agg(*total).where("follows > 1"),
-        "pairs": pairs.where("n0 + n1 > 1"),
-        "histories": pairs.groupBy("first").agg(*n, F.max(F.col("n0") + F.col("n1")).alias("most")).where("most > 1").drop("most"),
+        "words": words.withColumn("evidence", F.col("follows")),
+        "long": long.withColumn("evidence", F.col("follows")),
+        "short": words.groupBy("short").agg(*total).withColumn("evidence", F.col("follows")),
+        "pairs": pairs.withColumn("evidence", F.col("n0") + F.col("n1")),
+        "histories": pairs.groupBy("first").agg(*n, F.max(F.col("n0") + F.col("n1")).alias("evidence")),
     }
-    rows = {k: t.count() for k, t in tables.items()}
-    if sum(rows.values()) > MODEL_ROWS:
-        raise ValueError(f"a model of {rows} rows; take a smaller per_class")
+    passed = [1 << k for k in range(40)]
+    rows = [t.agg(*[F.count_if(F.col("evidence") > k) for k in passed]).first() for t in tables.values()]
+    least = next(k for k, sizes in zip(passed, zip(*rows, strict=True), strict=True) if sum(sizes) <= MODEL_ROWS)
+    tables = {k: t.where(F.col("evidence") > least).drop("evidence") for k, t in tables.items()}
     held = {k: {c: x.to_numpy() for c, x in zip(t.columns, t.toArrow().itercolumns(), strict=True)} for k, t in tables.items()}
     model = _model(np.array([root[c] for c in ("n0", "n1", "follows")], float), **held)
     seen = features_of(texts.where("calibrate").select("toxic", "text"), model).toArrow()

@@ -272,7 +272,8 @@ def plain_model(texts, labels):
         left = 1 - sum(k - 0.75 for _, k in seen) / total
         out = []
         for c in (0, 1):
-            tilt = {x: (n[c][v, x] + 8 * word(x)[1][c]) / (k * history[c][v] / total + 8) for x, k in seen}
+            against = toxicity.PAIR_BACKOFF
+            tilt = {x: (n[c][v, x] + against * word(x)[1][c]) / (k * history[c][v] / total + against) for x, k in seen}
             z = left + sum((k - 0.75) / total * tilt[x] for x, k in seen)
             out.append((sum((k - 0.75) / total * tilt[x] for x, k in seen if x == w) + left * q * f[c]) / z)
         return out
@@ -375,7 +376,7 @@ def test_exchanges_empty_a_bin(lengths):
     """Best fit alone takes one bin more than needed; exchanges empty it."""
     lengths = np.array(lengths)
     best = fewest(lengths.tolist(), 20)
-    assert len(packing.pack(lengths, 20, rounds=0)) == best + 1
+    assert len(packing.pack(lengths, 20, search=False)) == best + 1
     bins = packing.pack(lengths, 20)
     assert len(bins) == best and sorted(i for b in bins for i in b) == list(range(len(lengths)))
 
@@ -388,12 +389,12 @@ def test_exchanges_on_random_lengths():
         bins = packing.pack(lengths, 20)
         assert sorted(i for b in bins for i in b) == list(range(len(lengths))) and all(lengths[b].sum() <= 20 for b in bins)
         best = fewest(lengths.tolist(), 20) if len(lengths) else 0
-        assert best <= len(bins) <= len(packing.pack(lengths, 20, rounds=0))
+        assert best <= len(bins) <= len(packing.pack(lengths, 20, search=False))
         more += len(bins) > best
     assert more <= 3
     for n in (300, 900):
         lengths = rng.integers(1000, 1500, n)
-        fewer += len(packing.pack(lengths, 4096, rounds=0)) - len(packing.pack(lengths, 4096))
+        fewer += len(packing.pack(lengths, 4096, search=False)) - len(packing.pack(lengths, 4096))
     assert fewer > 0
 
 
@@ -475,6 +476,38 @@ def test_pipeline_against_plain_stages(spark):
     check_packing(corpus_pipeline.run(spark, SF).collect(), {k: r["text"] for k, r in masked.items()})
 
 
+def test_pipeline_loses_no_text(spark, tmp_path):
+    """Texts under one id, and a very long text with a near copy, through every stage."""
+    one, two = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    long = " ".join(f"word{i % 5000}x{i % 7}" for i in range(150_000))
+    rows = [(1, one), (5, one), (5, two), (6, two), (7, two), (10, long + " mail a@b.co"), (11, long), (12, long + " more")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    table = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        table = stage(spark, table, str(tmp_path))
+    left = sorted((r["doc_id"], r["text"]) for r in table.collect())
+    assert left == [(1, one), (5, one), (5, two), (6, two), (10, long + " mail <EMAIL>")]
+    packed = corpus_pipeline.STAGES[-1][1](spark, table, str(tmp_path)).collect()
+    ids = len(Tokenizer.from_file(WORD).encode(left[-1][1], add_special_tokens=False).ids) + 1
+    assert sum(r["length"] for r in packed if r["doc_id"] == 10) == ids > 100 * 4096
+
+
+def test_models_beyond_the_bound_pass_the_least_evidence_on(spark, monkeypatch):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    whole = toxicity.fit(docs, labels)
+    monkeypatch.setattr(toxicity, "MODEL_ROWS", 1200)
+    few = toxicity.fit(docs, labels)
+    rows = lambda m: sum(len(x.keys) for x in (*m.levels, m.pairs, m.histories))
+    assert rows(few) <= 1200 < rows(whole)
+    known = few.levels[0].keys
+    total = few.unknown[0] + sum(x.shared.sum() for x in few.levels)
+    assert abs(total - 1) < 1e-9 and len(known)
+    for c in (0, 1):
+        assert abs(few.unknown[0] * few.unknown[1 + c] + sum((x.shared * x.by_class[:, c]).sum() for x in few.levels) - 1) < 1e-9
+    assert all(0 <= r["score"] <= 1 for r in toxicity.score(docs, few).collect())
+
+
 def test_vectors_in_many_cells(spark, monkeypatch):
     """Pivots, pairs of cells and parts that only hashes deal give what comparing all pairs does."""
     rng = np.random.default_rng(2)
