@@ -21,7 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity models, fitted on this stage's documents with labels, don't reject.
 
     Rows with null or empty texts have no evidence and stay, as do rows without
-    doc_id that don't score as toxic; repeated rows go or stay together. Without
+    doc_id that don't score as toxic; repeated rows go or stay together, and equal texts
+    (ties) have equal scores. Texts of any length are scored whole. Without
     labels of both classes, or documents, all rows stay. All columns pass through.
     """
     ship(spark)
@@ -34,9 +35,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """The document of the smallest id of each group of near duplicates; of rows with one id all stay or none.
 
     Rows without doc_id, and documents without words, stay. Of equal texts, the
-    smallest id's stays. All columns pass through; an empty table gives none.
+    smallest id's stays. Rows whose doc_id has different texts can't be told apart by
+    it: all of them stay, and nothing goes for their sake, so no text is lost. Texts of any length are
+    compared whole. All columns pass through; an empty table gives none.
     """
-    found = minhash.near_duplicates(ship(spark) and docs.select("doc_id", "text"))
+    rows = ship(spark) and docs.select("doc_id", "text")
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    several = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min(text).alias("a"), F.max(text).alias("b")).where("a <> b")
+    several = minhash.small_side(materialize(several.select("doc_id"), "several"))
+    found = minhash.near_duplicates(rows.join(several, "doc_id", "left_anti"))
     gone = materialize(found.where(~F.col("kept")).select("doc_id").distinct(), "gone")
     return docs.join(minhash.small_side(gone), "doc_id", "left_anti").select(*docs.columns)
 
@@ -45,7 +52,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """All documents, personal data masked and n_chars counted anew.
 
     Null texts stay null, with n_chars null; every row and column stays, one
-    named pii too.
+    named pii too; repeated rows are masked alike, and texts of any length whole.
     """
     masked = pii.mask_pii(pii.find_pii(docs, out=SPANS), pii=SPANS)
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
@@ -55,7 +62,8 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Where each piece of each document lies in the sequences.
 
     Null and empty texts are one piece, their end id; rows without doc_id and
-    repeated rows have pieces of their own; other columns are left out.
+    repeated rows have pieces of their own; texts of any length are cut, none is
+    shortened; ties in length go by doc_id and piece; other columns are left out.
     """
     pieces = packing.cut_pieces(ship(spark) and docs, public_tokenizers.path(WORD_BPE), limit=CONTEXT)
     return packing.pack_pieces(pieces, CONTEXT)
