@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,6 +65,94 @@ def global_row_numbers(df: DataFrame, value: str, key: str, descending: bool = T
     return rows.withColumn(out, number.cast("long")).drop("rank_min", "__known", "__part", "__v", "__p", "__before")
 
 
+def same_key(left: DataFrame, right: DataFrame, by: list[str]) -> Column:
+    """left's columns `by` equal right's, which have two underscores in front; null equals null."""
+    return reduce(Column.__and__, [left[c].eqNullSafe(right[f"__{c}"]) for c in by])
+
+
+def ranked_values(df: DataFrame, by: list[str], value: str, descending: bool = True) -> DataFrame:
+    """(__by..., __v, __n, rank_min, rank_dense, n_values): each group's different values that aren't null, how many rows have each, and their ranks from 1.
+
+    Rows are counted by value first. A group's values are ranked within ranges
+    cut at its approximate quantiles, whose totals, RANGES rows a group, give each
+    range its offset, so no task ranks a group, however many rows it has.
+    """
+    keys = [f"__{c}" for c in by]
+    n = df.where(F.col(value).isNotNull()).groupBy(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    cuts = n.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.percentile_approx("__v", [i / RANGES for i in range(1, RANGES)], 1000).alias("__cuts"))
+    n = n.join(cuts, same_key(n, cuts, keys)).select(*keys, "__v", "__n", F.size(F.filter("__cuts", lambda c: c < F.col("__v"))).alias("__r"))
+    down = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
+    inside = Window.partitionBy(*keys, "__r").orderBy(down("__v"))
+    n = n.withColumns({"__sum": F.sum("__n").over(inside), "__k": F.row_number().over(inside)})
+    ranges = n.groupBy(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__r").alias("____r")).agg(F.sum("__n").alias("__rn"), F.count("*").alias("__rk"))
+    group = [f"__{k}" for k in keys]
+    outside = Window.partitionBy(*group).orderBy(down("____r")).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c: F.coalesce(F.sum(c).over(outside), F.lit(0))
+    ranges = ranges.withColumns({"__n0": before("__rn"), "__k0": before("__rk"), "n_values": F.sum("__rn").over(Window.partitionBy(*group))})
+    first = (F.col("__n0") + F.col("__sum") - F.col("__n") + 1).cast("long")
+    return n.join(ranges, same_key(n, ranges, [*keys, "__r"])).select(*keys, "__v", "__n", first.alias("rank_min"), (F.col("__k0") + F.col("__k")).cast("long").alias("rank_dense"), "n_values")
+
+
+def grouped_ranks(df: DataFrame, by: list[str], value: str, descending: bool = True) -> DataFrame:
+    """df with rank_min, rank_avg, rank_dense (from 1) of value within its group, and n_values, its values that aren't null; null for null values, whose rows don't count.
+
+    No task ranks a group (ranked_values); groups with a null key are groups like others.
+    """
+    n = ranked_values(df, by, value, descending)
+    rows = df.join(n, same_key(df, n, by) & (df[value] == n["__v"]), "left")
+    average = (F.col("rank_min") + (F.col("__n") - 1) / 2.0).cast("double")
+    return rows.select(*[df[c] for c in df.columns], "rank_min", average.alias("rank_avg"), "rank_dense", "n_values")
+
+
+def grouped_row_numbers(df: DataFrame, by: list[str], value: str, key: str, descending: bool = True, out: str = "rank") -> DataFrame:
+    """df with its row numbers within groups by value, then key; rows of a null value are left out.
+
+    What stands before a value comes from grouped_ranks(); rows of one value are numbered
+    in ranges of the key, so neither a hot group nor a frequent value meets in one task.
+    """
+    cuts = df.agg(F.percentile_approx(key, [i / RANGES for i in range(1, RANGES)], 1000).alias("__cuts"))
+    rows = grouped_ranks(df, by, value, descending).where("rank_min is not null").join(F.broadcast(cuts))
+    rows = rows.withColumn("__part", F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col(key))), F.lit(-1)))
+    parts = rows.groupBy(*[F.col(c).alias(f"__{c}") for c in [*by, value, "__part"]]).agg(F.count("*").alias("__m"))
+    before = Window.partitionBy(*[f"__{c}" for c in [*by, value]]).orderBy("____part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("__before", F.coalesce(F.sum("__m").over(before), F.lit(0)))
+    joined = rows.join(parts, same_key(rows, parts, [*by, value, "__part"]))
+    inside = F.row_number().over(Window.partitionBy(*by, value, "__part").orderBy(key))
+    return joined.withColumn(out, (F.col("rank_min") - 1 + F.col("__before") + inside).cast("long")).select(*df.columns, out)
+
+
+def hashed_row_numbers(df: DataFrame, by: list[str], digest: Column, key: str, out: str = "rank", n: str = "n") -> DataFrame:
+    """df with its row numbers within groups in the order of a digest in hexadecimal digits, then key, and the groups' rows n.
+
+    A digest's first two digits deal a group in 256 ranges of about one size,
+    which are numbered apart and joined by their counts.
+    """
+    rows = df.withColumn("__digest", digest).withColumn("__b", F.substring("__digest", 1, 2))
+    parts = rows.groupBy(*[F.col(c).alias(f"__{c}") for c in [*by, "__b"]]).agg(F.count("*").alias("__m"))
+    group = Window.partitionBy(*[f"__{c}" for c in by])
+    before = group.orderBy("____b").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumns({"__before": F.coalesce(F.sum("__m").over(before), F.lit(0)), n: F.sum("__m").over(group)})
+    inside = F.row_number().over(Window.partitionBy(*by, "__b").orderBy("__digest", key))
+    rows = rows.join(parts, same_key(rows, parts, [*by, "__b"]))
+    return rows.withColumn(out, (F.col("__before") + inside).cast("long")).select(*df.columns, out, n)
+
+
+def exact_percentile(df: DataFrame, by: list[str], value: str, p: float = 0.5, out: str = "percentile") -> DataFrame:
+    """(by..., out, n): the percentile of each group's values, between neighbours in proportion, and how many aren't null; groups without any are left out.
+
+    The two values that it lies between are those whose ranks hold the place
+    (ranked_values), so no task has all values of a group.
+    """
+    n = ranked_values(df, by, value, descending=False)
+    place = (F.col("n_values") - 1) * F.lit(float(p))
+    # From 0: the rows of a value have the places from rank_min - 1 on.
+    holds = lambda k: (k >= F.col("rank_min") - 1) & (k < F.col("rank_min") - 1 + F.col("__n"))
+    low, high = F.floor(place), F.ceil(place)
+    near = n.where(holds(low) | holds(high)).groupBy(*[F.col(f"__{c}").alias(c) for c in by])
+    near = near.agg(F.min("__v").alias("__low"), F.max("__v").alias("__high"), F.max(place - low).alias("__part"), F.max("n_values").alias("n"))
+    return near.select(*by, (F.col("__low") + F.col("__part") * (F.col("__high") - F.col("__low"))).alias(out), "n")
+
+
 def average_rank(by: list[str], value: str, descending: bool = True) -> Column:
     """Average rank of value among the rows of equal `by`."""
     order = F.col(value).desc() if descending else F.col(value).asc()

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallywright.operators.evidence import edge_table
+from tallywright.operators.rank import exact_percentile
 from tallywright.plans.joins import split_of
 from tallywright.registry import Registry
 from tallywright.sources.tables import EVIDENCE, NEGATIVE, POSITIVE, TIE, TRAIN_END, evidence, read
@@ -162,24 +163,25 @@ def disagreement_by_class(spark, d):
 @query(f"WITH {EVIDENCE}, m AS (SELECT target, median(p) AS m, count(*) AS n FROM e GROUP BY 1), s AS (SELECT target, 1.4826 * median(abs(p - m)) AS s FROM e JOIN m USING (target) GROUP BY 1) SELECT target, ligand, pub, line, round((p - m) / s, 5) AS z FROM e JOIN m USING (target) JOIN s USING (target) WHERE n >= 30 AND s > 0")
 def robust_zscore(spark, d):
     e = evidence(spark, d)
-    m = e.groupBy("target").agg(F.median("p").alias("m"), F.count("*").alias("n")).where("n >= 30")
-    s = e.join(m, "target").groupBy("target", "m").agg((1.4826 * F.median(F.abs(F.col("p") - F.col("m")))).alias("s")).where("s > 0")
-    return e.join(s, "target").select("target", "ligand", "pub", "line", R((F.col("p") - F.col("m")) / F.col("s"), 5).alias("z"))
+    m = exact_percentile(e, ["target"], "p", 0.5, "m").where("n >= 30").drop("n")
+    far = e.join(m, "target").select("target", F.abs(F.col("p") - F.col("m")).alias("far"))
+    s = exact_percentile(far, ["target"], "far", 0.5, "mad").select("target", (1.4826 * F.col("mad")).alias("s")).where("s > 0")
+    return e.join(m, "target").join(s, "target").select("target", "ligand", "pub", "line", R((F.col("p") - F.col("m")) / F.col("s"), 5).alias("z"))
 
 
 @query(f"WITH {EVIDENCE} SELECT ligand, pub, line, source, round((sum(p) OVER (PARTITION BY ligand) - p) / (count(*) OVER (PARTITION BY ligand) - 1) + 1e-9, 6) AS others FROM e QUALIFY count(*) OVER (PARTITION BY ligand) > 5")
 def leave_one_out_background(spark, d):
-    g = Window.partitionBy("ligand")
-    e = evidence(spark, d).withColumns({"s": F.sum("p").over(g), "n": F.count("*").over(g)}).where("n > 5")
+    e = evidence(spark, d)
+    e = e.join(e.groupBy("ligand").agg(F.sum("p").alias("s"), F.count("*").alias("n")).where("n > 5"), "ligand")
     return e.select("ligand", "pub", "line", "source", R((F.col("s") - F.col("p")) / (F.col("n") - 1) + TIE).alias("others"))
 
 
-@query("SELECT user_id, CASE WHEN bool_or(event_type = 'error') AND bool_or(event_type = 'purchase') AND bool_or(event_type = 'signup') THEN 'conflict' WHEN bool_or(event_type = 'error') AND bool_or(event_type = 'purchase') THEN 'mixed' WHEN bool_or(event_type = 'error') THEN 'opposes' WHEN bool_or(event_type = 'purchase') THEN 'supports' ELSE 'unknown' END AS direction FROM events WHERE value > 60 GROUP BY 1")
+@query("SELECT user_id, CASE WHEN bool_or(event_type = 'error') AND bool_or(event_type = 'purchase') AND bool_or(event_type = 'signup') THEN 'conflict' WHEN bool_or(event_type = 'error') AND bool_or(event_type = 'purchase') THEN 'mixed' WHEN bool_or(event_type = 'error') THEN 'opposes' WHEN bool_or(event_type = 'purchase') THEN 'supports' ELSE 'unknown' END AS direction FROM events GROUP BY 1")
 def direction_vote(spark, d):
     seen = lambda t: F.bool_or(F.col("event_type") == t)
     no, yes = seen("error"), seen("purchase")
     vote = F.when(no & yes & seen("signup"), "conflict").when(no & yes, "mixed").when(no, "opposes").when(yes, "supports").otherwise("unknown")
-    return read(spark, d, "events").where("value > 60").groupBy("user_id").agg(vote.alias("direction"))
+    return read(spark, d, "events").groupBy("user_id").agg(vote.alias("direction"))
 
 
 @query("WITH x AS (SELECT p_partkey, p_brand, p_size > 25 AS large, p_retailprice > 1500 AS dear, p_type = 'PROMO' AS promo FROM part) SELECT name, count(*) FILTER (WHERE v) AS n_rows, count(DISTINCT CASE WHEN v THEN p_brand END) AS n_brands FROM (SELECT p_brand, 'large' AS name, large AS v FROM x UNION ALL SELECT p_brand, 'dear', dear FROM x UNION ALL SELECT p_brand, 'promo', promo FROM x) GROUP BY 1")
@@ -226,7 +228,7 @@ def label_conflicts(spark, d):
 
 @query(f"WITH {EVIDENCE} SELECT family, source, round(median(p), 6) AS median_p, count(*) AS n FROM e GROUP BY 1, 2")
 def agg_activity_strata(spark, d):
-    return evidence(spark, d).groupBy("family", "source").agg(R(F.median("p")).alias("median_p"), F.count("*").alias("n"))
+    return exact_percentile(evidence(spark, d), ["family", "source"], "p", 0.5, "median_p").select("family", "source", R("median_p").alias("median_p"), "n")
 
 
 @query(f"WITH {EVIDENCE} SELECT ligand, count(*) AS n FROM e WHERE p >= 6 GROUP BY 1 HAVING count(*) <= 12")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tallywright.operators.rank import first_per_group, global_row_numbers, top_per_group
+from tallywright.operators.rank import exact_percentile, first_per_group, global_row_numbers, top_per_group
 from tallywright.registry import Registry
 from tallywright.sources.tables import EVIDENCE, TRAIN_END, evidence, read
 
@@ -57,7 +57,7 @@ def rank_by_evidence(spark, d):
 
 @query("""WITH b AS (SELECT l_orderkey, l_linenumber::BIGINT AS line, l_partkey AS k1, 'Brand#' || (l_partkey % 30) AS k2, l_suppkey % 7 AS k3 FROM lineitem),
 x AS (SELECT p_partkey, p_name FROM part WHERE p_size > 20),
-y AS (SELECT p_brand, min(p_partkey) AS ky FROM part WHERE p_size <= 20 AND p_partkey % 10 = 0 GROUP BY 1 HAVING count(*) = 1),
+y AS (SELECT p_brand, min(p_partkey) AS ky FROM part WHERE p_size = 1 GROUP BY 1 HAVING count(*) = 1),
 z AS (SELECT n_nationkey, min(s_suppkey) AS kz FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1)
 SELECT l_orderkey, line, coalesce(p_partkey, ky, kz) AS matched, CASE WHEN p_partkey IS NOT NULL THEN 'key' WHEN ky IS NOT NULL THEN 'unique_secondary' WHEN kz IS NOT NULL THEN 'derived' ELSE 'none' END AS method
 FROM b LEFT JOIN x ON p_partkey = k1 LEFT JOIN y ON p_brand = k2 LEFT JOIN z ON n_nationkey = k3""")
@@ -66,18 +66,18 @@ def fallback_cascade_join(spark, d):
     b = li.select("l_orderkey", L("l_linenumber").alias("line"), F.col("l_partkey").alias("k1"), F.concat(F.lit("Brand#"), F.col("l_partkey") % 30).alias("k2"), (F.col("l_suppkey") % 7).cast("int").alias("k3"))
     part = read(spark, d, "part")
     x = part.where("p_size > 20").select(F.col("p_partkey").alias("k1"), F.col("p_partkey").alias("kx"))
-    y = part.where("p_size <= 20 and p_partkey % 10 = 0").groupBy(F.col("p_brand").alias("k2")).agg(F.min("p_partkey").alias("ky"), F.count("*").alias("c")).where("c = 1").drop("c")
+    y = part.where("p_size = 1").groupBy(F.col("p_brand").alias("k2")).agg(F.min("p_partkey").alias("ky"), F.count("*").alias("c")).where("c = 1").drop("c")
     z = read(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("k3")).agg(F.min("s_suppkey").alias("kz"))
     method = F.when(F.col("kx").isNotNull(), "key").when(F.col("ky").isNotNull(), "unique_secondary").when(F.col("kz").isNotNull(), "derived").otherwise("none")
     return b.join(x, "k1", "left").join(y, "k2", "left").join(z, "k3", "left").select("l_orderkey", "line", F.coalesce("kx", "ky", "kz").alias("matched"), method.alias("method"))
 
 
-@query("""WITH q AS (SELECT c_custkey, 'Supplier#' || lpad((c_custkey % 40)::VARCHAR, 9, '0') AS name FROM customer), s AS (SELECT s_name, s_suppkey FROM supplier WHERE s_suppkey % 3 = 0),
+@query("""WITH q AS (SELECT c_custkey, 'Supplier#' || lpad((c_custkey % 40)::VARCHAR, 9, '0') AS name FROM customer), s AS (SELECT s_name, s_suppkey FROM supplier WHERE s_acctbal > 2000),
 p AS (SELECT substr(s_name, 1, 17) AS prefix, min(s_suppkey) AS k FROM s GROUP BY 1)
 SELECT c_custkey, coalesce(s_suppkey, k) AS matched, CASE WHEN s_suppkey IS NOT NULL THEN 'exact' WHEN k IS NOT NULL THEN 'prefix' END AS method FROM q LEFT JOIN s ON s_name = name LEFT JOIN p ON prefix = substr(name, 1, 17)""")
 def exact_then_prefix_join(spark, d):
     q = read(spark, d, "customer").select("c_custkey", F.concat(F.lit("Supplier#"), F.lpad((F.col("c_custkey") % 40).cast("string"), 9, "0")).alias("name"))
-    s = read(spark, d, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("exact"))
+    s = read(spark, d, "supplier").where("s_acctbal > 2000").select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("exact"))
     p = s.groupBy(F.substring("name", 1, 17).alias("prefix")).agg(F.min("exact").alias("k"))
     out = q.join(s, "name", "left").withColumn("prefix", F.substring("name", 1, 17)).join(p, "prefix", "left")
     return out.select("c_custkey", F.coalesce("exact", "k").alias("matched"), F.when(F.col("exact").isNotNull(), "exact").when(F.col("k").isNotNull(), "prefix").alias("method"))
@@ -106,10 +106,10 @@ def seen_before_cutoff_flags(spark, d):
     return late.groupBy(F.coalesce("a", F.lit(False)).alias("ligand_seen"), F.coalesce("b", F.lit(False)).alias("target_seen")).agg(F.count("*").alias("n"))
 
 
-@query("WITH a AS (SELECT p_name AS alias, p_partkey AS id FROM part), x AS (SELECT alias FROM a GROUP BY 1 HAVING count(DISTINCT id) > 1 AND min(id) % 2 = 0) SELECT a.alias, count(*) AS n FROM a LEFT JOIN x ON x.alias = a.alias WHERE x.alias IS NULL GROUP BY 1")
+@query("WITH a AS (SELECT concat_ws(' ', p_name, p_brand, p_size) AS alias, p_partkey AS id FROM part), x AS (SELECT alias FROM a GROUP BY 1 HAVING count(DISTINCT id) > 1) SELECT a.alias, count(*) AS n FROM a LEFT JOIN x ON x.alias = a.alias WHERE x.alias IS NULL GROUP BY 1")
 def ambiguous_alias_anti_join(spark, d):
-    a = read(spark, d, "part").select(F.col("p_name").alias("alias"), F.col("p_partkey").alias("id"))
-    x = a.groupBy("alias").agg(F.countDistinct("id").alias("n"), F.min("id").alias("m")).where("n > 1 and m % 2 = 0").select("alias")
+    a = read(spark, d, "part").select(F.concat_ws(" ", "p_name", "p_brand", "p_size").alias("alias"), F.col("p_partkey").alias("id"))
+    x = a.groupBy("alias").agg(F.countDistinct("id").alias("n")).where("n > 1").select("alias")
     return a.join(x, "alias", "left_anti").groupBy("alias").agg(F.count("*").alias("n"))
 
 
@@ -131,7 +131,7 @@ def self_join_parent(spark, d):
 
 @query(f"WITH {EVIDENCE}, m AS (SELECT target, family, source, median(p) AS m FROM e GROUP BY 1, 2, 3) SELECT a.target, round(min(a.m - b.m), 6) AS worst_delta, count(*) AS n FROM m a JOIN m b ON a.family = b.family AND a.source = b.source AND b.target = a.target % 5 WHERE a.target >= 5 GROUP BY 1")
 def strata_delta_join(spark, d):
-    m = evidence(spark, d).groupBy("target", "family", "source").agg(F.median("p").alias("m"))
+    m = exact_percentile(evidence(spark, d), ["target", "family", "source"], "p", 0.5, "m").drop("n")
     parent = m.where("target < 5").select(F.col("target").alias("parent"), "family", "source", F.col("m").alias("pm"))
     a = m.where("target >= 5").withColumn("parent", F.col("target") % 5).join(parent, ["parent", "family", "source"])
     return a.groupBy("target").agg(F.round(F.min(F.col("m") - F.col("pm")), 6).alias("worst_delta"), F.count("*").alias("n"))
@@ -167,10 +167,10 @@ def topn_per_group(spark, d):
     return top_per_group(_pairs(spark, d), ["target"], [F.desc("best"), "ligand"], 5).select("target", "ligand", "best", "n", "rank")
 
 
-@query(f"WITH {EVIDENCE}, a AS (SELECT target, count(*) AS n_rows, count(DISTINCT ligand) AS n_ligands, count(DISTINCT source) AS n_sources, count(DISTINCT coalesce(CASE WHEN family = 'F' THEN 'o' || pub END, 'l' || line)) AS n_pubs FROM e WHERE target % 7 <> 0 GROUP BY 1) SELECT s_suppkey, coalesce(n_rows, 0) AS n_rows, coalesce(n_ligands, 0) AS n_ligands, coalesce(n_sources, 0) AS n_sources, coalesce(n_pubs, 0) AS n_pubs, n_rows IS NOT NULL AS resolved FROM supplier LEFT JOIN a ON target = s_suppkey")
+@query(f"WITH {EVIDENCE}, a AS (SELECT target, count(*) AS n_rows, count(DISTINCT ligand) AS n_ligands, count(DISTINCT source) AS n_sources, count(DISTINCT coalesce(CASE WHEN family = 'F' THEN 'o' || pub END, 'l' || line)) AS n_pubs FROM e WHERE day <= DATE '1995-01-20' GROUP BY 1) SELECT s_suppkey, coalesce(n_rows, 0) AS n_rows, coalesce(n_ligands, 0) AS n_ligands, coalesce(n_sources, 0) AS n_sources, coalesce(n_pubs, 0) AS n_pubs, n_rows IS NOT NULL AS resolved FROM supplier LEFT JOIN a ON target = s_suppkey")
 def coverage_report(spark, d):
     pub = F.coalesce(F.when(F.col("family") == "F", F.concat(F.lit("o"), "pub")), F.concat(F.lit("l"), "line"))
-    a = evidence(spark, d).where("target % 7 <> 0").groupBy(F.col("target").alias("s_suppkey")).agg(
+    a = evidence(spark, d).where(F.col("day") <= F.lit("1995-01-20")).groupBy(F.col("target").alias("s_suppkey")).agg(
         F.count("*").alias("n_rows"), F.countDistinct("ligand").alias("n_ligands"), F.countDistinct("source").alias("n_sources"), F.countDistinct(pub).alias("n_pubs")
     )
     out = read(spark, d, "supplier", "s_suppkey").join(a, "s_suppkey", "left").withColumn("resolved", F.col("n_rows").isNotNull())

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tallywright.operators.evidence import with_earliest
 from tallywright.operators.pareto import dominance_counts, pareto_fronts
 from tallywright.operators.rank import (
-    average_rank, band_rerank, first_per_group, global_ranks, global_row_numbers, largest_remainder, stable_hash, top_per_group,
+    band_rerank, first_per_group, global_ranks, global_row_numbers, grouped_ranks, hashed_row_numbers, largest_remainder, stable_hash, top_per_group,
 )
 from tallywright.plans.aggregates import _TRUTH, truth
 from tallywright.plans.joins import split_of
@@ -69,16 +70,16 @@ def dense_rank_normalize(spark, d):
 @query("WITH n AS (SELECT least(count(*), greatest(50, round_even(count(*) * 0.025, 0)))::BIGINT AS n FROM part) SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT (SELECT n FROM n)")
 def top_pct_floor(spark, d):
     p = read(spark, d, "part", "p_partkey", "p_retailprice")
-    n = p.agg(F.least(F.count("*"), F.greatest(F.lit(50), F.bround(F.count("*") * 0.025).cast("long"))).alias("n")).first()["n"]
-    return p.orderBy(F.desc("p_retailprice"), "p_partkey").limit(n)
+    n = p.agg(F.greatest(F.lit(50), F.bround(F.count("*") * 0.025).cast("long")).alias("n"))
+    ranked = global_row_numbers(p, "p_retailprice", "p_partkey")
+    return ranked.join(F.broadcast(n), F.col("rank") <= F.col("n")).select("p_partkey", "p_retailprice")
 
 
 @query(f"WITH {EVIDENCE}, s AS (SELECT source, target, max(p) AS v, count(*) AS n FROM e GROUP BY 1, 2), u AS (SELECT source, target, v FROM s WHERE source <> 'N' UNION ALL SELECT 'count', target, sum(n) FROM s GROUP BY 2) SELECT source, target, round(1 - (rank() OVER (PARTITION BY source ORDER BY v DESC) - 1) / greatest(count(*) OVER (PARTITION BY source) - 1, 1), 6) AS score FROM u")
 def union_ranked_sources(spark, d):
     s = evidence(spark, d).groupBy("source", "target").agg(F.max("p").alias("v"), F.count("*").alias("n"))
     u = s.where("source <> 'N'").select("source", "target", "v").unionByName(s.groupBy("target").agg(F.sum("n").cast("double").alias("v")).withColumn("source", F.lit("count")))
-    w = Window.partitionBy("source")
-    return u.select("source", "target", R(1 - (F.rank().over(w.orderBy(F.desc("v"))) - 1) / F.greatest(F.count("*").over(w) - 1, F.lit(1))).alias("score"))
+    return grouped_ranks(u, ["source"], "v").select("source", "target", R(1 - (F.col("rank_min") - 1) / F.greatest(F.col("n_values") - 1, F.lit(1))).alias("score"))
 
 
 @query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1")
@@ -99,7 +100,7 @@ _ORD = f"CASE WHEN day <= DATE '{TRAIN_END}' THEN 0 WHEN day <= DATE '1999-12-31
 def first_observation_filter(spark, d):
     s = split_of()
     o = evidence(spark, d).withColumn("split_order", L(F.when(s == "train", 0).when(s == "dev", 1).otherwise(2)))
-    o = o.withColumns({"a": F.min("split_order").over(Window.partitionBy("ligand", "target")), "b": F.min("split_order").over(Window.partitionBy("pub"))})
+    o = with_earliest(o, "split_order", a=["ligand", "target"], b=["pub"])
     return o.where("split_order = a and split_order = b").select("ligand", "target", "pub", "line", "source", "split_order")
 
 
@@ -151,9 +152,9 @@ def terminal_run_trim(spark, d):
     return g.withColumns({"trim_start": F.when(F.col("lead_run") >= 3, F.col("lead_run")).otherwise(F.lit(0)), "trim_end": F.when((F.col("trail_run") >= 3) & (F.col("lead_run") < F.col("n")), F.col("trail_run")).otherwise(F.lit(0))})
 
 
-@query("SELECT conv_id, turn, turn - lag(turn) OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS gap FROM conversations WHERE turn % 3 <> 1")
+@query("SELECT conv_id, turn, turn - lag(turn) OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS gap FROM conversations WHERE role = 'assistant'")
 def sequence_gap_lag(spark, d):
-    c = read(spark, d, "conversations").where("turn % 3 <> 1")
+    c = read(spark, d, "conversations").where("role = 'assistant'")
     return c.select("conv_id", "turn", (F.col("turn") - F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")) - 1).alias("gap"))
 
 
@@ -175,22 +176,22 @@ def largest_remainder_alloc(spark, d):
 def stratified_hash_sample(spark, d):
     p = read(spark, d, "part", "p_partkey", "p_type")
     alloc = largest_remainder(p.groupBy("p_type").agg(F.count("*").alias("size")), "p_type", "size", 100)
-    order = Window.partitionBy("p_type").orderBy(stable_hash(F.lit("s2"), F.col("p_partkey")), "p_partkey")
-    x = p.withColumn("r", F.row_number().over(order)).join(F.broadcast(alloc), "p_type").where("r <= n_taken")
+    # No stratum is given more than all of them together.
+    first = top_per_group(p, ["p_type"], [stable_hash(F.lit("s2"), F.col("p_partkey")), "p_partkey"], 100, "r")
+    x = first.join(alloc, "p_type").where("r <= n_taken")
     return x.select("p_partkey", "p_type", R(F.col("size") / F.col("n_taken")).alias("weight"))
 
 
 @query("SELECT p_partkey, CASE WHEN (row_number() OVER (PARTITION BY p_brand ORDER BY sha256('s3' || chr(0) || p_partkey), p_partkey) - 1) % 2 = 0 THEN 'fit' ELSE 'eval' END AS part FROM part")
 def hash_alternate_split(spark, d):
-    order = Window.partitionBy("p_brand").orderBy(stable_hash(F.lit("s3"), F.col("p_partkey")), "p_partkey")
-    return read(spark, d, "part").select("p_partkey", F.when((F.row_number().over(order) - 1) % 2 == 0, "fit").otherwise("eval").alias("part"))
+    p = hashed_row_numbers(read(spark, d, "part", "p_partkey", "p_brand"), ["p_brand"], stable_hash(F.lit("s3"), F.col("p_partkey")), "p_partkey")
+    return p.select("p_partkey", F.when((F.col("rank") - 1) % 2 == 0, "fit").otherwise("eval").alias("part"))
 
 
 @query("WITH x AS (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY sha256('s4' || chr(0) || p_partkey), p_partkey) AS r, count(*) OVER (PARTITION BY p_brand) AS n FROM part) SELECT p_partkey, p_brand FROM x WHERE n >= 2 AND r <= greatest(1, least(floor(n * 0.2), n - 1))")
 def hash_holdout_strata(spark, d):
-    w = Window.partitionBy("p_brand")
-    x = read(spark, d, "part", "p_partkey", "p_brand").withColumns({"r": F.row_number().over(w.orderBy(stable_hash(F.lit("s4"), F.col("p_partkey")), "p_partkey")), "n": F.count("*").over(w)})
-    return x.where((F.col("n") >= 2) & (F.col("r") <= F.greatest(F.lit(1), F.least(F.floor(F.col("n") * 0.2), F.col("n") - 1)))).select("p_partkey", "p_brand")
+    x = hashed_row_numbers(read(spark, d, "part", "p_partkey", "p_brand"), ["p_brand"], stable_hash(F.lit("s4"), F.col("p_partkey")), "p_partkey")
+    return x.where((F.col("n") >= 2) & (F.col("rank") <= F.greatest(F.lit(1), F.least(F.floor(F.col("n") * 0.2), F.col("n") - 1)))).select("p_partkey", "p_brand")
 
 
 @query("SELECT s_suppkey, n_name, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey)::BIGINT AS rank FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey ORDER BY s_acctbal DESC, s_suppkey LIMIT 20")
@@ -233,8 +234,6 @@ def quota_basket(spark, d):
     return a.unionByName(b).unionByName(c)
 
 
-
-
 @query("""WITH RECURSIVE c AS (SELECT p_brand, p_partkey AS id, p_size AS x, round(p_retailprice / 2000, 6) AS s FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) <= 12),
 g AS (SELECT p_brand, list({'id': id, 'x': x, 's': s} ORDER BY id) AS items FROM c GROUP BY 1),
 m AS (SELECT p_brand, items, 1 AS k, [list_sort([{'v': -i.s, 'id': i.id, 'x': i.x} for i in items])[1]] AS chosen FROM g
@@ -286,7 +285,7 @@ def pareto_peeled(spark, d):
 @query("SELECT l_suppkey, l_partkey, (rank() OVER (PARTITION BY l_suppkey ORDER BY n DESC) + (count(*) OVER (PARTITION BY l_suppkey, n) - 1) / 2.0)::DOUBLE AS rank FROM (SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem GROUP BY 1, 2)")
 def grouped_avg_rank(spark, d):
     n = read(spark, d, "lineitem", "l_suppkey", "l_partkey").groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("n"))
-    return n.select("l_suppkey", "l_partkey", average_rank(["l_suppkey"], "n").cast("double").alias("rank"))
+    return grouped_ranks(n, ["l_suppkey"], "n").select("l_suppkey", "l_partkey", F.col("rank_avg").alias("rank"))
 
 
 for _name in ("first_per_group", "band_rerank"):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallywright.operators.decide import reasons, tier, vote
 from tallywright.operators.fuse import bayesian_or, clip, minmax, reciprocal_rank_fusion, scale_similarity
-from tallywright.operators.rank import global_ranks, global_row_numbers
+from tallywright.operators.rank import global_ranks, global_row_numbers, grouped_row_numbers
 from tallywright.plans.aggregates import _TRUTH, truth
 from tallywright.operators.evidence import BASELINE_RECIPE, FEATURES, RECIPES, recipe_score
 from tallywright.operators.evidence import retrieval_features as retrieval
@@ -20,14 +20,14 @@ query = QUERIES.query
 L = lambda x: (F.col(x) if isinstance(x, str) else x).cast("long")
 R = lambda x, n=6: F.round(x, n)
 
-_RANKED = f"""WITH {EVIDENCE}, s AS (SELECT source, target, avg(p) AS v FROM e GROUP BY 1, 2), r AS (SELECT source, target, row_number() OVER (PARTITION BY source ORDER BY round(v, 9) DESC, target) AS rank FROM s WHERE NOT (source = 'R' AND target % 3 = 0)),
+_RANKED = f"""WITH {EVIDENCE}, s AS (SELECT source, target, avg(p) AS v, count(*) FILTER (WHERE p >= 6.5) AS n FROM e GROUP BY 1, 2), r AS (SELECT source, target, row_number() OVER (PARTITION BY source ORDER BY round(v, 9) DESC, target) AS rank FROM s WHERE n >= 10),
 f AS (SELECT target, sum(CASE source WHEN 'A' THEN {{0}} WHEN 'N' THEN {{1}} ELSE {{2}} END / (60 + rank)) AS rrf, count(*) AS n_sources, string_agg(source || ':' || rank, ',' ORDER BY source) AS ranks FROM r GROUP BY 1)"""
 
 
 def _ranked(spark, d):
-    s = evidence(spark, d).groupBy("source", "target").agg(F.round(F.avg("p"), 9).alias("v"))
-    s = s.where(~((F.col("source") == "R") & (F.col("target") % 3 == 0)))
-    return s.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("v"), "target")))
+    """Each source's targets with ten strong records or more, by their mean; what a source lacks, the others may have."""
+    s = evidence(spark, d).groupBy("source", "target").agg(F.round(F.avg("p"), 9).alias("v"), F.count_if(F.col("p") >= 6.5).alias("n")).where("n >= 10")
+    return grouped_row_numbers(s, ["source"], "v", "target")
 
 
 @query(_RANKED.format("1.0", "1.0", "1.0") + " SELECT target, round(rrf, 9) AS rrf FROM f")
@@ -204,11 +204,11 @@ def decision_lattice(spark, d):
     return x.select("user_id", decision.alias("decision"), F.array_join(reasons(no_support=none, opposed=against, few_records=few, low_potency=low), ";").alias("why"))
 
 
-@query(f"WITH {EVIDENCE}, a AS (SELECT DISTINCT ligand, true AS kl FROM e WHERE day <= DATE '1996-01-01'), b AS (SELECT DISTINCT target, true AS kt FROM e WHERE day <= DATE '{TRAIN_END}' AND target % 9 <> 0) SELECT CASE WHEN kl AND kt THEN 'in_domain' WHEN kl THEN 'target_cold' WHEN kt THEN 'ligand_cold' ELSE 'dual_cold' END AS route, count(*) AS n, count(*) FILTER (WHERE NOT coalesce(kl AND kt, false) AND p < 6) AS n_abstain FROM e LEFT JOIN a USING (ligand) LEFT JOIN b USING (target) WHERE day > DATE '1999-12-31' GROUP BY 1")
+@query(f"WITH {EVIDENCE}, a AS (SELECT DISTINCT ligand, true AS kl FROM e WHERE day <= DATE '1996-01-01'), b AS (SELECT DISTINCT target, true AS kt FROM e WHERE day <= DATE '1995-01-20') SELECT CASE WHEN kl AND kt THEN 'in_domain' WHEN kl THEN 'target_cold' WHEN kt THEN 'ligand_cold' ELSE 'dual_cold' END AS route, count(*) AS n, count(*) FILTER (WHERE NOT coalesce(kl AND kt, false) AND p < 6) AS n_abstain FROM e LEFT JOIN a USING (ligand) LEFT JOIN b USING (target) WHERE day > DATE '1999-12-31' GROUP BY 1")
 def ood_route(spark, d):
     e = evidence(spark, d)
     a = e.where(F.col("day") <= F.lit("1996-01-01")).select("ligand").distinct().withColumn("kl", F.lit(True))
-    b = e.where((F.col("day") <= F.lit(TRAIN_END)) & (F.col("target") % 9 != 0)).select("target").distinct().withColumn("kt", F.lit(True))
+    b = e.where(F.col("day") <= F.lit("1995-01-20")).select("target").distinct().withColumn("kt", F.lit(True))
     x = e.where(F.col("day") > F.lit("1999-12-31")).join(a, "ligand", "left").join(b, "target", "left")
     kl, kt = F.coalesce("kl", F.lit(False)), F.coalesce("kt", F.lit(False))
     route = F.when(kl & kt, "in_domain").when(kl, "target_cold").when(kt, "ligand_cold").otherwise("dual_cold")
@@ -328,10 +328,10 @@ def metric_delta(spark, d):
     return u.select("metric", R(delta).alias("delta"), R(F.when(F.col("metric") == "mean_rank", -delta).otherwise(delta)).alias("improvement"))
 
 
-@query("WITH r AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS a, row_number() OVER (ORDER BY s_nationkey, s_suppkey) AS b FROM supplier), t AS (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_quantity = 50) SELECT s_suppkey, a::BIGINT AS before, CASE WHEN s_suppkey % 6 <> 0 THEN b END::BIGINT AS after, (a - CASE WHEN s_suppkey % 6 <> 0 THEN b END)::BIGINT AS moved FROM t JOIN r ON s_suppkey = l_suppkey")
+@query("WITH r AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS a, row_number() OVER (ORDER BY s_nationkey, s_suppkey) AS b, s_acctbal FROM supplier), t AS (SELECT DISTINCT l_suppkey FROM lineitem) SELECT s_suppkey, a::BIGINT AS before, CASE WHEN s_acctbal > 1000 THEN b END::BIGINT AS after, (a - CASE WHEN s_acctbal > 1000 THEN b END)::BIGINT AS moved FROM t JOIN r ON s_suppkey = l_suppkey")
 def rank_compare_methods(spark, d):
     s = read(spark, d, "supplier")
     a = global_row_numbers(s, "s_acctbal", "s_suppkey", out="before").select("s_suppkey", "before")
-    b = global_row_numbers(s, "s_nationkey", "s_suppkey", descending=False, out="after").select("s_suppkey", "after").where("s_suppkey % 6 <> 0")
-    t = read(spark, d, "lineitem").where("l_quantity = 50").select(F.col("l_suppkey").alias("s_suppkey")).distinct()
+    b = global_row_numbers(s, "s_nationkey", "s_suppkey", descending=False, out="after").where("s_acctbal > 1000").select("s_suppkey", "after")
+    t = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("s_suppkey")).distinct()
     return t.join(a, "s_suppkey").join(b, "s_suppkey", "left").withColumn("moved", F.col("before") - F.col("after"))

@@ -225,9 +225,9 @@ def cold_views(spark, d):
     return c.agg(*[p.alias(f"v{i}") for i, p in enumerate(parts)]).select(F.inline(F.array(*[f"v{i}" for i in range(len(parts))])))
 
 
-@query(f"WITH {_COLD} SELECT ligand, target, pub, line FROM c WHERE o = 2 AND pair_cold AND pub_cold AND cluster_cold AND target % 10 <> 0")
+@query(f"WITH {_COLD} SELECT ligand, target, pub, line FROM c WHERE o = 2 AND pair_cold AND pub_cold AND cluster_cold")
 def cluster_cold_view(spark, d):
-    return _cold(spark, d).where("o = 2 and pair_cold and pub_cold and cluster_cold and target % 10 <> 0").select("ligand", "target", "pub", "line")
+    return _cold(spark, d).where("o = 2 and pair_cold and pub_cold and cluster_cold").select("ligand", "target", "pub", "line")
 
 
 @query(f"WITH {EVIDENCE}, d AS (SELECT DISTINCT target FROM e WHERE day <= DATE '1995-01-20'), s AS (SELECT s_suppkey, s_nationkey, s_suppkey IN (SELECT target FROM d) AS donor FROM supplier), k AS (SELECT s_nationkey, bool_or(donor) AS has FROM s GROUP BY 1) SELECT s_suppkey, CASE WHEN donor THEN 'donor' WHEN has THEN 'reachable' ELSE 'none' END AS reach FROM s JOIN k USING (s_nationkey)")
@@ -299,14 +299,14 @@ def recent_jobs(spark, d):
     return read(spark, d, "events").where(F.col("event_type").isin("error", "purchase")).orderBy(F.desc("ts"), "event_id").limit(50).select("event_id", "event_type")
 
 
-@query("""WITH x AS (SELECT c_custkey, 1.0::DOUBLE AS prior, 1::BIGINT AS n_cases, 'exact' AS how, s_suppkey::VARCHAR AS cases FROM customer JOIN supplier ON s_suppkey = c_custkey WHERE c_custkey % 2 = 0),
+@query("""WITH x AS (SELECT c_custkey, 1.0::DOUBLE AS prior, 1::BIGINT AS n_cases, 'exact' AS how, s_suppkey::VARCHAR AS cases FROM customer JOIN supplier ON s_suppkey = c_custkey),
 s AS (SELECT s_nationkey, s_suppkey, round(s_acctbal / 10000, 6) AS w, row_number() OVER (PARTITION BY s_nationkey ORDER BY round(s_acctbal / 10000, 6) DESC, s_suppkey) AS r FROM supplier WHERE s_acctbal > 5000),
 y AS (SELECT c_custkey, n.* EXCLUDE (s_nationkey) FROM customer JOIN (SELECT s_nationkey, max(w) AS prior, count(*) AS n_cases, 'similar' AS how, string_agg(s_suppkey::VARCHAR, ';' ORDER BY r) FILTER (WHERE r <= 3) AS cases FROM s GROUP BY 1) n ON s_nationkey = c_nationkey WHERE c_custkey NOT IN (SELECT c_custkey FROM x))
 SELECT * FROM x UNION ALL SELECT * FROM y""")
 def prior_with_fallback_gate(spark, d):
     """The exact case's prior, else that of the similar cases, summed up by what makes them similar before they meet any customer."""
     q, s = read(spark, d, "customer").select("c_custkey", "c_nationkey"), read(spark, d, "supplier")
-    x = q.where("c_custkey % 2 = 0").join(s.select(F.col("s_suppkey").alias("c_custkey")), "c_custkey").select("c_custkey")
+    x = q.join(s.select(F.col("s_suppkey").alias("c_custkey")), "c_custkey").select("c_custkey")
     exact = x.select("c_custkey", F.lit(1.0).alias("prior"), F.lit(1).cast("long").alias("n_cases"), F.lit("exact").alias("how"), F.col("c_custkey").cast("string").alias("cases"))
     s = s.where("s_acctbal > 5000").select(F.col("s_nationkey").alias("c_nationkey"), "s_suppkey", R(F.col("s_acctbal") / 10000).alias("w"))
     best = top_per_group(s, ["c_nationkey"], [F.desc("w"), "s_suppkey"], 3, "r").groupBy("c_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "s_suppkey"))), lambda i: i["s_suppkey"].cast("string")), ";").alias("cases"))
