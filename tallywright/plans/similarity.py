@@ -12,7 +12,9 @@ from tallywright.operators.evidence import with_earliest
 from tallywright.operators.log import latest, seconds, with_seq, with_sessions
 from tallywright.operators.rank import top_per_group
 from tallywright.operators.similar import bits_set, jaccard_of, pack_signs, tanimoto, word_shingles
+from tallywright.operators.setjoin import shingle_arrays, similar_sets
 from tallywright.shipping import ship
+from tallywright.sources.files import keep
 from tallywright.plans.aggregates import _TRUTH, truth
 from tallywright.plans.joins import split_of
 from tallywright.registry import Registry
@@ -152,6 +154,47 @@ def leakage_audit(spark, d):
     return m.select("item_id", leaked.alias("leaked"), F.array_join(reasons(coverage=F.col("c").isNull(), jaccard=F.col("j").isNull()), ";").alias("missing_axes"))
 
 
+_JOINED = """w AS (SELECT doc_id AS id, list_filter(string_split_regex(lower(text), '[ \\t\\n\\r]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)), n AS (SELECT id, count(*) AS n FROM s GROUP BY 1),
+j AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM s x JOIN s y ON x.s = y.s AND x.id < y.id GROUP BY 1, 2),
+r AS (SELECT a, b, c / (x.n + y.n - c) AS jaccard FROM j JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 10 * c >= 6 * (x.n + y.n - c))"""
+
+
+@query(f"WITH {_SHINGLES} SELECT item_id, doc_id, jaccard, covered FROM r WHERE jaccard >= 0.3")
+def leak_pairs(spark, d):
+    """Passages and documents of similarity 0.3 or more, by what is rare in them."""
+    items, docs = read(spark, d, "benchmark", "item_id", "text"), read(spark, d, "documents", "doc_id", "text")
+    r = similar_sets(keep(shingle_arrays(items, "item_id", "text"), "items"), keep(shingle_arrays(docs, "doc_id", "text"), "sets"), 0.3, "item_id", "doc_id")
+    return r.select("item_id", "doc_id", R("jaccard").alias("jaccard"), R("covered").alias("covered"))
+
+
+@query(f"WITH {_JOINED} SELECT b AS doc_id, round(max(jaccard), 6) AS nearest, count(*) AS n_earlier, min(a) AS first_seen FROM r GROUP BY 1")
+def earlier_alike(spark, d):
+    """Of each document that has any, the earlier ones (of smaller ids) of similarity 0.6 or more.
+
+    Documents of one set are compared once: a set stands under its smallest id, and
+    counts are carried over to its copies.
+    """
+    docs = read(spark, d, "documents", "doc_id", "text")
+    sets = keep(shingle_arrays(docs, "doc_id", "text").withColumn("set_id", F.xxhash64(F.array_sort("tokens"))), "sets")
+    distinct = keep(sets.groupBy("set_id").agg(F.first("tokens").alias("tokens")), "distinct_sets")
+    pairs = similar_sets(distinct.select(F.col("set_id").alias("a"), "tokens"), None, 0.6, "a", "b").select("a", "b", "jaccard")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "jaccard"))
+    both = keep(both.unionByName(distinct.select(F.col("set_id").alias("a"), F.col("set_id").alias("b"), F.lit(1.0).alias("jaccard"))), "alike")
+    members = sets.select(F.col("set_id").alias("b"), "doc_id")
+    asked = members.join(both, "b").select("doc_id", F.col("a").alias("b"), "jaccard", F.lit(1).alias("asks"))
+    events = asked.unionByName(members.select("doc_id", "b", F.lit(None).cast("double").alias("jaccard"), F.lit(0).alias("asks")))
+    # How many of a set's documents come before an id: counted in ranges of ids, however many the set has.
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / 64 for i in range(1, 64)], 1000).alias("cuts"))
+    events = keep(events.join(F.broadcast(cuts)).withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("doc_id")))).drop("cuts"), "events")
+    before = Window.partitionBy("b").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = events.groupBy("b", "range").agg(F.sum(1 - F.col("asks")).alias("k"), F.min(F.when(F.col("asks") == 0, F.col("doc_id"))).alias("first"))
+    ranges = ranges.select("b", "range", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("k"), F.min("first").over(Window.partitionBy("b")).alias("first"))
+    inside = F.sum(1 - F.col("asks")).over(Window.partitionBy("b", "range").orderBy("doc_id", F.desc("asks")).rowsBetween(Window.unboundedPreceding, -1))
+    counted = events.withColumn("n", F.coalesce(inside, F.lit(0))).where("asks = 1").join(ranges, ["b", "range"]).withColumn("n", F.col("n") + F.col("k")).where("n > 0")
+    return counted.groupBy("doc_id").agg(R(F.max("jaccard")).alias("nearest"), F.sum("n").alias("n_earlier"), F.min("first").alias("first_seen"))
+
+
 #: The profile that documents are held against: how often each letter occurs in all benchmark passages, a letter a feature.
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _COUNTS = "[length({0}) - length(replace({0}, c, '')) for c in string_split('" + _LETTERS + "', '')]"
