@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallywright.operators import search
+from tallywright.operators.align import identity_over_alignment, word_sequence
 from tallywright.operators.decide import reasons, tier
 from tallywright.operators.evidence import with_earliest
 from tallywright.operators.log import latest, seconds, with_seq, with_sessions
@@ -154,6 +155,16 @@ def leakage_audit(spark, d):
     return m.select("item_id", leaked.alias("leaked"), F.array_join(reasons(coverage=F.col("c").isNull(), jaccard=F.col("j").isNull()), ";").alias("missing_axes"))
 
 
+@query(None)
+def passage_identity(spark, d):
+    """Passages aligned with the documents that hold three in ten of their runs of five words; no SQL twin."""
+    items, docs = read(ship(spark), d, "benchmark", "item_id", "text"), read(spark, d, "documents", "doc_id", "text")
+    near = jaccard_of(word_shingles(items, "item_id", "text"), word_shingles(docs, "doc_id", "text"), "item_id", "doc_id").where("covered >= 0.3")
+    pairs = near.join(items.select("item_id", word_sequence(F.col("text")).alias("a")), "item_id").join(docs.select("doc_id", word_sequence(F.col("text")).alias("b")), "doc_id")
+    found = identity_over_alignment(pairs.select("item_id", "doc_id", "a", "b"), "a", "b")
+    return found.withColumns({"identity": R("identity"), "coverage": R("coverage")})
+
+
 _JOINED = """w AS (SELECT doc_id AS id, list_filter(string_split_regex(lower(text), '[ \\t\\n\\r]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT DISTINCT id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)), n AS (SELECT id, count(*) AS n FROM s GROUP BY 1),
 j AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM s x JOIN s y ON x.s = y.s AND x.id < y.id GROUP BY 1, 2),
