@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -98,9 +97,9 @@ _PAIRS = T.StructType([T.StructField(c, T.LongType()) for c in ("first", "last",
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of labelled texts (toxic, text), counts of word pairs, summed over each run of texts."""
-    for _, labels, texts in blocks(batches, 4 << 20):
+    for _, labels, texts in blocks(batches, 2 << 20):
         toxic = labels.to_numpy(zero_copy_only=False).astype(np.int64)
-        for first, _, (w, *stems, pair, before), of in _tokens(texts, 8 << 20):
+        for first, _, (w, *stems, pair, before), of in _tokens(texts, 4 << 20):
             _, at, group = np.unique(pair, return_index=True, return_inverse=True)
             label = toxic[first + of]
             count = [np.bincount(group[label == c], minlength=len(at)) for c in (0, 1)]
@@ -307,16 +306,25 @@ def features(texts, m: Model) -> np.ndarray:
     return out
 
 
+def _features(texts: pa.Array, m: Model) -> np.ndarray:
+    """features() of an Arrow array, a run of texts at a time."""
+    both = pa.RecordBatch.from_arrays([texts, texts], ["at", "text"])
+    return np.concatenate([np.zeros(0), *(features(run, m) for _, _, run in blocks([both]))])
+
+
 def features_of(docs: DataFrame, model: Model) -> DataFrame:
     """docs with a column feature in place of text."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*docs.drop("text").schema.fields, T.StructField("feature", T.DoubleType())])
+    rest = docs.drop("text")
+    schema = T.StructType([*rest.schema.fields, T.StructField("feature", T.DoubleType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.drop(columns="text").assign(feature=features(batch["text"].tolist(), held.value))
+            *kept, texts = batch.columns
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(_features(texts, held.value))], schema.names)
+        give_back()
 
-    return docs.mapInPandas(run, schema)
+    return docs.select(*rest.columns, "text").mapInArrow(run, schema)
 
 
 def score_of(docs: DataFrame, model: Model | None, text: str = "text") -> Column:
@@ -325,11 +333,11 @@ def score_of(docs: DataFrame, model: Model | None, text: str = "text") -> Column
         return F.lit(0.0)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            z = features(texts.tolist(), held.value) * held.value.curve[0] + held.value.curve[1]
-            yield pd.Series(1 / (1 + np.exp(-np.clip(z, -700, 700))))
+            z = _features(texts, held.value) * held.value.curve[0] + held.value.curve[1]
+            yield pa.array(1 / (1 + np.exp(-np.clip(z, -700, 700))))
         give_back()
 
     return score(F.col(f"`{text}`").cast("string"))
