@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tallywright.operators.merge import merge_ordered, read_ordered
 from tallywright.operators.rank import exact_percentile, first_per_group, global_row_numbers, top_per_group
 from tallywright.registry import Registry
 from tallywright.sources.tables import EVIDENCE, TRAIN_END, evidence, read
@@ -137,6 +138,13 @@ def strata_delta_join(spark, d):
     return a.groupBy("target").agg(F.round(F.min(F.col("m") - F.col("pm")), 6).alias("worst_delta"), F.count("*").alias("n"))
 
 
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+def ordered_merge(spark, d):
+    """Customers of the orders, by merging their ids with the customers as they stand in the file, in order or not at all."""
+    ids = read(spark, d, "orders", "o_custkey").withColumnRenamed("o_custkey", "c_custkey")
+    return merge_ordered(ids, read_ordered(spark, f"{d}/customer.parquet"), "c_custkey").select("c_custkey", "c_name")
+
+
 _TIER = "CASE WHEN name = 'red' THEN 0 WHEN name LIKE 'red%' THEN 1 WHEN name LIKE '%re%' THEN 2 END"
 
 

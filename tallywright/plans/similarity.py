@@ -10,8 +10,10 @@ from tallywright.operators import search
 from tallywright.operators.align import identity_over_alignment, word_sequence
 from tallywright.operators.decide import reasons, tier
 from tallywright.operators.evidence import with_earliest
+from tallywright.operators.diverse import diverse
 from tallywright.operators.log import latest, seconds, with_seq, with_sessions
 from tallywright.operators.rank import top_per_group
+from tallywright.operators.rigid import align_frames, cluster_frames
 from tallywright.operators.similar import bits_set, jaccard_of, pack_signs, tanimoto, word_shingles
 from tallywright.operators.setjoin import shingle_arrays, similar_sets
 from tallywright.shipping import ship
@@ -248,6 +250,28 @@ def kmeans_assign(spark, d):
     return out.join(F.broadcast(medoid), "cluster").select("vec_id", "cluster", "distance", (F.col("vec_id") == F.col("medoid")).alias("is_medoid"))
 
 
+@query(None)
+def rigid_clusters(spark, d):
+    """The embeddings read as sixteen points of four dimensions, moved onto the first, and ten clusters of them with their medoids; no SQL twin."""
+    frames = align_frames(read(spark, d, "embeddings"), "vec_id", "embedding", 4)
+    return cluster_frames(frames, "vec_id", "embedding", 10, starts=4).join(frames.select("vec_id", R("residual").alias("residual")), "vec_id")
+
+
+_MMR_BITS = _BITS.replace("b AS (SELECT vec_id, label, [", "b AS (SELECT vec_id, label, round(embedding[1]::DOUBLE, 6) AS s, [")
+_MMR_T = "coalesce(bit_count(i.b & j.b)::DOUBLE / nullif(bit_count(i.b | j.b), 0), 0)"
+
+
+@query(f"""WITH RECURSIVE {_MMR_BITS},
+g AS (SELECT label, list({{'id': vec_id, 'b': bits[1], 's': s}} ORDER BY vec_id) AS items FROM b WHERE label IS NOT NULL GROUP BY 1),
+m AS (SELECT label, items, 1 AS k, [list_sort([{{'v': -i.s, 'id': i.id, 'b': i.b}} for i in items])[1]] AS chosen FROM g
+UNION ALL SELECT label, items, k + 1, chosen || [list_sort([{{'v': -round(i.s - 0.6 * list_max([{_MMR_T} for j in chosen]), 9), 'id': i.id, 'b': i.b}} for i in items if NOT list_contains([j.id for j in chosen], i.id)])[1]] FROM m WHERE k < 5 AND k < len(items))
+SELECT label, id, step FROM (SELECT label, unnest([j.id for j in chosen]) AS id, unnest(range(1, len(chosen) + 1))::BIGINT AS step FROM m QUALIFY k = max(k) OVER (PARTITION BY label))""")
+def mmr_fingerprints(spark, d):
+    """Of each label five vectors, by the first component less 0.6 of the largest similarity to those chosen before."""
+    rows = read(spark, d, "embeddings").select("vec_id", L("label").alias("label"), R(F.col("embedding")[0].cast("double")).alias("score"), pack_signs(F.col("embedding")).alias("vector"))
+    return diverse(rows.withColumnRenamed("vec_id", "id"), "label", 5).select("label", "id", "step")
+
+
 _COLD = f"""{EVIDENCE}, o AS (SELECT *, CASE WHEN day <= DATE '{TRAIN_END}' THEN 0 WHEN day <= DATE '1999-12-31' THEN 1 ELSE 2 END AS o, target % 7 AS cluster FROM e),
 c AS (SELECT *, min(o) OVER (PARTITION BY ligand, target) > 0 AS pair_cold, min(o) OVER (PARTITION BY pub) > 0 AS pub_cold, min(o) OVER (PARTITION BY ligand) > 0 AS ligand_cold, min(o) OVER (PARTITION BY target) > 0 AS target_cold, min(o) OVER (PARTITION BY ligand, cluster) > 1 AS cluster_cold FROM o)"""
 
