@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.functions import clean
@@ -17,6 +20,38 @@ query = QUERIES.query
 L = lambda x: (F.col(x) if isinstance(x, str) else x).cast("long")
 
 
+@query("SELECT l_orderkey, l_linenumber::BIGINT AS line, l_returnflag AS flag, strftime(l_shipdate, '%Y-%m-%d') AS day FROM lineitem")
+def zip_members(spark, d):
+    """Lines written as members of ZIP archives and read back, a task for each member."""
+    from uuid import uuid4
+
+    from tallywright.sources.archives import register
+    from tallywright.sources.files import scratch
+
+    path = f"{scratch(register(spark))}/zipped-{uuid4().hex}"
+    li = read(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("flag"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"), F.col("l_partkey").alias("part"))
+    li.write.format("zipped_text").option("path", path).option("rows", 100_000).mode("append").save()
+    back = spark.read.format("zipped_text").option("path", path).option("columns", "l_orderkey,line,flag,day").load()
+    return back.select(F.col("l_orderkey").cast("long"), F.col("line").cast("long"), "flag", "day")
+
+
+@query("SELECT CASE WHEN l_quantity >= 5 AND l_discount <= 0.08 THEN 'accepted' ELSE 'rejected' END AS output, count(*) AS n, sum(l_orderkey)::BIGINT AS keys, count(DISTINCT l_partkey) AS n_ligands FROM lineitem GROUP BY 1")
+def two_sinks(spark, d):
+    """Accepted and rejected records written by one pass that commits both."""
+    from uuid import uuid4
+
+    from tallywright.sources.archives import outputs_of, register
+    from tallywright.sources.files import scratch
+
+    path = f"{scratch(register(spark))}/sinks-{uuid4().hex}"
+    output = F.when((F.col("l_quantity") >= 5) & (F.col("l_discount") <= 0.08), "accepted").otherwise("rejected")
+    li = read(spark, d, "lineitem").select("l_orderkey", "l_partkey", output.alias("output"))
+    li.write.format("split_parquet").option("path", path).option("by", "output").option("outputs", "accepted,rejected").mode("append").save()
+    found = [spark.read.parquet(f"{path}/{name}").withColumn("output", F.lit(name)) for name, n in outputs_of(path).items() if n]
+    rows = reduce(DataFrame.unionByName, found) if found else li.where("false")
+    return rows.groupBy("output").agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("keys"), F.countDistinct("l_partkey").alias("n_ligands"))
+
+
 @query("SELECT l_orderkey, l_partkey, round(l_extendedprice, 2) AS price FROM lineitem")
 def scan_parquet_projection(spark, d):
     li = read(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_extendedprice")
