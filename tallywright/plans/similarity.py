@@ -16,6 +16,7 @@ from tallywright.operators.rank import top_per_group
 from tallywright.operators.rigid import align_frames, cluster_frames
 from tallywright.operators.similar import bits_set, jaccard_of, pack_signs, tanimoto, word_shingles
 from tallywright.operators.setjoin import shingle_arrays, similar_sets
+from tallywright.operators.trees import core_retention, tag_runs
 from tallywright.shipping import ship
 from tallywright.sources.files import keep
 from tallywright.plans.aggregates import _TRUTH, truth
@@ -257,6 +258,27 @@ def rigid_clusters(spark, d):
     return cluster_frames(frames, "vec_id", "embedding", 10, starts=4).join(frames.select("vec_id", R("residual").alias("residual")), "vec_id")
 
 
+@query(None)
+def page_retention(spark, d):
+    """What of each page's tree of elements is left in the page that it resembles most; no SQL twin.
+
+    Pages of one set of tag runs are alike to every other page in the same way:
+    they are compared once, under their smallest id, and each other's nearest.
+    """
+    pages = read(ship(spark), d, "pages", "page_id", "html")
+    runs = keep(pages.select("page_id", tag_runs(F.col("html")).alias("tokens")).withColumn("kind", F.xxhash64(F.array_sort("tokens"))), "runs")
+    kinds = keep(runs.groupBy("kind").agg(F.min("page_id").alias("page"), F.count("*").alias("n"), F.first("tokens").alias("tokens")), "kinds")
+    near = similar_sets(kinds.select(F.col("page").alias("a"), "tokens"), None, 0.6, "a", "b").select("a", "b", "jaccard")
+    near = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "jaccard"))
+    best = near.groupBy("a").agg(F.max_by("b", F.struct("jaccard", -F.col("b"))).alias("b"))
+    # A copy's nearest is the first of its kind, the first one's a page of another kind.
+    first = runs.join(kinds.select("kind", "page"), "kind")
+    copies = first.where("page_id <> page").select("page_id", F.col("page").alias("other"))
+    pairs = copies.unionByName(first.where("page_id = page").join(best, F.col("page") == F.col("a")).select("page_id", F.col("b").alias("other")))
+    html = lambda key, out: pages.select(F.col("page_id").alias(key), F.col("html").alias(out))
+    return core_retention(pairs.join(html("page_id", "x"), "page_id").join(html("other", "y"), "other").select("page_id", "other", "x", "y"), "x", "y")
+
+
 _MMR_BITS = _BITS.replace("b AS (SELECT vec_id, label, [", "b AS (SELECT vec_id, label, round(embedding[1]::DOUBLE, 6) AS s, [")
 _MMR_T = "coalesce(bit_count(i.b & j.b)::DOUBLE / nullif(bit_count(i.b | j.b), 0), 0)"
 
