@@ -11,7 +11,7 @@ from tallywright.operators.rank import global_ranks, global_row_numbers, grouped
 from tallywright.plans.aggregates import _TRUTH, truth
 from tallywright.operators.evidence import BASELINE_RECIPE, FEATURES, RECIPES, recipe_score
 from tallywright.operators.evidence import retrieval_features as retrieval
-from tallywright.operators.calibrate import fit_platt, mcnemar_p
+from tallywright.operators.calibrate import fit_platt, mcnemar_p, strict_improvement, wilcoxon
 from tallywright.registry import Registry
 from tallywright.sources.tables import EVIDENCE, TRAIN_END, evidence, read
 
@@ -279,13 +279,34 @@ def sigmoid_apply(spark, d):
     return scored(spark, d).select("event_id", R(1 / (1 + F.exp(-clip(F.col("s") * 8 - 2, -35, 35)))).alias("p"))
 
 
-@query(f"WITH {_TRUTH}, m AS (SELECT recipe, avg((rank <= 10)::INT) AS t10, avg((rank <= 30)::INT) AS t30, avg(1.0 / rank) AS mrr FROM t GROUP BY 1), g AS (SELECT n.t10 - b.t10 AS a, n.t30 - b.t30 AS b, n.mrr - b.mrr AS c FROM m n, m b WHERE n.recipe = 'new' AND b.recipe = 'base') SELECT round(a + b + c, 6) AS score, a > 1e-12 AND b > 1e-12 AND c > 1e-12 AS improved, concat_ws(';', CASE WHEN a <= 1e-12 THEN 'top10' END, CASE WHEN b <= 1e-12 THEN 'top30' END, CASE WHEN c <= 1e-12 THEN 'mrr' END) AS failures FROM g")
+_FIVE = ("top10", "top30", "mrr", "brier", "log_loss")
+
+
+@query(f"""WITH {_TRUTH}, m AS (SELECT recipe, avg((rank <= 10)::INT) AS t10, avg((rank <= 30)::INT) AS t30, avg(1.0 / rank) AS mrr FROM t GROUP BY 1),
+{_SCORED.removeprefix("WITH ")}, y AS (SELECT *, least(0.999, greatest(0.001, 1 / (1 + exp(-(8 * s - 2))))) AS c FROM x),
+k AS (SELECT avg((s - y) * (s - y)) - avg((c - y) * (c - y)) AS brier, avg(y * ln(c) + (1 - y) * ln(1 - c)) - avg(y * ln(s) + (1 - y) * ln(1 - s)) AS log_loss FROM y),
+g AS (SELECT n.t10 - b.t10 AS top10, n.t30 - b.t30 AS top30, n.mrr - b.mrr AS mrr, brier, log_loss FROM m n, m b, k WHERE n.recipe = 'new' AND b.recipe = 'base')
+SELECT round({" + ".join(_FIVE)}, 6) AS score, {" AND ".join(f"{m} > 1e-12" for m in _FIVE)} AS improved, concat_ws(';', {", ".join(f"CASE WHEN {m} <= 1e-12 THEN '{m}' END" for m in _FIVE)}) AS failures FROM g""")
 def improvement_gate(spark, d):
+    """Whether the new recipe and the calibrated scores gain in all of five metrics."""
     r = F.col("rank")
-    gain = lambda x: F.avg(F.when(F.col("recipe") == "new", x)) - F.avg(F.when(F.col("recipe") == "base", x))
-    g = truth(spark, d).agg(gain((r <= 10).cast("int")).alias("top10"), gain((r <= 30).cast("int")).alias("top30"), gain(1 / r).alias("mrr"))
-    why = reasons(**{n: F.col(n) <= 1e-12 for n in ("top10", "top30", "mrr")})
-    return g.select(R(F.col("top10") + F.col("top30") + F.col("mrr")).alias("score"), (F.size(why) == 0).alias("improved"), F.array_join(why, ";").alias("failures"))
+    of = lambda recipe, x: F.avg(F.when(F.col("recipe") == recipe, x))
+    ranking = {"top10": (r <= 10).cast("int"), "top30": (r <= 30).cast("int"), "mrr": 1 / r}
+    g = truth(spark, d).agg(*[of(recipe, x).alias(f"{recipe}_{m}") for m, x in ranking.items() for recipe in ("base", "new")])
+    s, y = F.col("s"), F.col("y")
+    c = F.least(F.lit(0.999), F.greatest(F.lit(0.001), 1 / (1 + F.exp(-(8 * s - 2)))))
+    metrics = [m.alias(f"{name}_{k}") for name, x in (("base", s), ("new", c)) for k, m in (("brier", F.avg((x - y) * (x - y))), ("log_loss", -F.avg(y * F.ln(x) + (1 - y) * F.ln(1 - x))))]
+    both = g.join(F.broadcast(scored(spark, d).agg(*metrics)))
+    found = strict_improvement(both, ["top10", "top30", "mrr"], ["brier", "log_loss"])
+    return found.select(R("score").alias("score"), "improved", F.array_join("failures", ";").alias("failures"))
+
+
+@query(None)
+def wilcoxon_test(spark, d):
+    """The signed-rank test of each user's events of even and odd ids, with its p-value; no SQL twin."""
+    half = lambda k: F.avg(F.when(F.col("event_id") % 2 == k, F.col("value")))
+    x = read(spark, d, "events").groupBy("user_id").agg(R(half(0)).alias("a"), R(half(1)).alias("b")).where("a is not null and b is not null")
+    return wilcoxon(x, "a", "b").withColumns({"z": R("z"), "p_value": R("p_value", 9)})
 
 
 @query("SELECT l_suppkey, round(ln((count(*) FILTER (WHERE l_returnflag = 'R') + 0.5) / (count(*) FILTER (WHERE l_returnflag <> 'R') + 0.5)), 6) AS logit FROM lineitem GROUP BY 1")

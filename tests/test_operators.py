@@ -19,7 +19,7 @@ from tallywright.operators.fuse import bayesian_or, reciprocal_rank_fusion
 from tallywright.operators import pareto
 from tallywright.operators.log import with_sessions
 from tallywright.operators.rank import average_rank, band_rerank, global_ranks, global_row_numbers, largest_remainder, top_per_group
-from tallywright.operators.calibrate import fit_platt, mcnemar_p
+from tallywright.operators.calibrate import fit_platt, mcnemar_p, strict_improvement, wilcoxon
 from tallywright.operators.similar import bits_set, cosine_matrix, jaccard_of, pack_signs, tanimoto, tanimoto_matrix, word_shingles
 from tallywright.plans import ranks, scans, scores
 from tallywright.shipping import ship
@@ -229,6 +229,52 @@ def test_platt_fit(spark):
             fit_platt(bad, "s", "y", "w")
 
 
+def test_wilcoxon_p(spark):
+    rng = np.random.default_rng(2)
+    for n, shift in ((0, 0), (3, 1), (40, 0), (200, 3)):
+        a, b = rng.integers(0, 9, n) + shift, rng.integers(0, 9, n)
+        d = [int(x) for x in a - b if x]
+        size = sorted(abs(x) for x in d)
+        rank = {v: (size.index(v) + 1 + size.index(v) + size.count(v)) / 2 for v in set(size)}
+        plus, minus = (sum(rank[abs(x)] for x in d if x * sign > 0) for sign in (1, -1))
+        got = wilcoxon(spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, b)], "a double, b double"), "a", "b").first()
+        assert (got["n"], got["w_plus"], got["w_minus"], got["reliable"]) == (len(d), plus, minus, len(d) >= 20)
+        if d:
+            z = max(0, abs(min(plus, minus) - len(d) * (len(d) + 1) / 4) - 0.5) / math.sqrt(sum(rank[abs(x)] ** 2 for x in d) / 4)
+            assert got["p_value"] == pytest.approx(math.erfc(z / math.sqrt(2)), rel=1e-12)
+        else:
+            assert got["p_value"] is None and got["statistic"] is None
+    with pytest.raises(Exception, match="finite"):
+        wilcoxon(spark.createDataFrame([(1.0, float("nan"))], "a double, b double"), "a", "b").collect()
+
+
+def test_strict_improvement(spark):
+    row = dict(base_x=0.5, new_x=0.6, base_y=0.3, new_y=0.2)
+    ask = lambda **k: tuple(strict_improvement(spark.createDataFrame([{**row, **k}], "base_x double, new_x double, base_y double, new_y double"), ["x"], ["y"]).first())
+    assert ask() == (pytest.approx(0.2), True, [])
+    assert ask(new_y=0.3)[1:] == (False, ["y"]) and ask(new_x=0.1, new_y=0.4)[1:] == (False, ["x", "y"])
+    assert ask(new_x=None) == (None, False, ["x"])
+
+
+def test_mcnemar_of_many_pairs(spark):
+    """The bounded sum agrees with the whole one where both can be made, and with the normal curve far beyond."""
+    from tallywright.operators import calibrate
+
+    pairs = [(6000, 6100), (5500, 7000), (9000, 9000), (5200, 5300)]
+    df = spark.createDataFrame(pairs, "b long, c long")
+    most = calibrate.EXACT_TERMS
+    few = [r[0] for r in df.select(mcnemar_p(F.col("b"), F.col("c"))).collect()]
+    try:
+        calibrate.EXACT_TERMS = 10**6
+        whole = [r[0] for r in df.select(mcnemar_p(F.col("b"), F.col("c"))).collect()]
+    finally:
+        calibrate.EXACT_TERMS = most
+    assert few == pytest.approx(whole, rel=1e-9)
+    b, c = 500_000_000, 500_040_000
+    got = spark.createDataFrame([(b, c)], "b long, c long").select(mcnemar_p(F.col("b"), F.col("c"))).first()[0]
+    assert got == pytest.approx(math.erfc((c - b - 1) / math.sqrt(b + c) / math.sqrt(2)), rel=1e-3)
+
+
 def test_mcnemar_p(spark):
     pairs = [(0, 0), (1, 0), (5, 1), (3, 12), (40, 40), (700, 600), (0, 9)]
     got = values(spark.createDataFrame(pairs, "b long, c long").select("b", "c", mcnemar_p(F.col("b"), F.col("c"))))
