@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
+from tallywright.sources.files import scratch
 
 #: Up to so many rows, and so many bytes of strings in them, a semi-join's ids or
 #: a small dimension is broadcast (with hash-table room some 64 MB on an
@@ -16,21 +15,9 @@ _own: dict[str, str] = {}
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only in local mode, where none is set. On a cluster without one it raises."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    if not spark.conf.get("spark.master", "local").split("[")[0] == "local":
-        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="tallywright-")
-    return _own[app]
-
-
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tallywright/{name}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder (scratch)."""
+    return f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -15,6 +15,7 @@ _lengths: dict[tuple[str, str], tuple] = {}
 
 
 def _counter(path: str, pattern: str) -> tuple:
+    """This worker's encoder of a rank file and pattern, and the lengths of the pieces that it has met, at most CACHE of them."""
     if (path, pattern) not in _lengths:
         _lengths.clear()
         e = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
@@ -23,6 +24,7 @@ def _counter(path: str, pattern: str) -> tuple:
 
 
 def encoded_length(text: str, path: str, pattern: str) -> int:
+    """How many ids a text has; it is cut at spaces where no match reaches across, so a text of any length is encoded by pieces."""
     e, known = _counter(path, pattern)
     total = 0
     for i, x in enumerate(pieces(text)):
@@ -36,7 +38,12 @@ def encoded_length(text: str, path: str, pattern: str) -> int:
 
 
 def token_counts(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """(n_tokens) of each row of docs; null and empty texts have 0."""
+    """(n_tokens) of each row of docs; null and empty texts have 0.
+
+    Repeated rows count each, equal texts alike; texts of any length are
+    counted whole; an empty table gives no rows. Other columns are left out, one named
+    n_tokens too.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -159,6 +159,57 @@ def test_token_counts(spark):
     assert tokens.length_histogram(tokens.token_counts(df.where("false"), PATH, P.PATTERN)).count() == 0
 
 
+def test_token_counts_of_clashing_repeated_and_long_rows(spark):
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(PATH), special_tokens={})
+    long = "word " * 60_000 + "x" * 3_000
+    rows = [("a b", -1, 5), ("a b", -1, 5), (None, 3, 5), ("", 3, 5), (long, 9, 5)]
+    df = spark.createDataFrame(rows, "text string, n_tokens long, n_docs long")
+    got = tokens.token_counts(df, PATH, P.PATTERN)
+    assert got.columns == ["n_tokens"]
+    want = sorted(len(library.encode_ordinary(t or "")) for t, *_ in rows)
+    assert sorted(r["n_tokens"] for r in got.collect()) == want
+    assert {r["n_tokens"]: r["n_docs"] for r in tokens.length_histogram(got).collect()} == {n: want.count(n) for n in want}
+    assert tokens.token_counts(df.where("false"), PATH, P.PATTERN).count() == 0
+    assert [tuple(r) for r in tokens.truncated_at(tokens.length_histogram(got.where("false")), [5]).collect()] == [(5, 0, 0, 0, 0)]
+
+
+def plain_hash(data):
+    """The cosine hash by its definition: areas averaged number by number, each frequency a double sum."""
+    import math
+    from fractions import Fraction
+
+    def shrunk(x, size):
+        out = []
+        for k in range(size):
+            a, b = Fraction(k * len(x), size), Fraction((k + 1) * len(x), size)
+            total = [Fraction(0)] * len(x[0])
+            for i in range(int(a), min(len(x), math.ceil(b))):
+                share = min(b, i + 1) - max(a, i)
+                total = [t + share * v for t, v in zip(total, x[i])]
+            out.append([t / (b - a) for t in total])
+        return out
+
+    rows = [list(data[i : i + 64]) for i in range(0, len(data), 64)]
+    small = shrunk(rows, 32)
+    small = [list(map(float, r)) for r in zip(*shrunk([list(c) for c in zip(*small)], 32))]
+    scale = lambda k: math.sqrt((1 if k == 0 else 2) / 32)
+    wave = lambda k, i: math.cos(math.pi * (2 * i + 1) * k / 64)
+    low = [[round(scale(u) * scale(v) * math.fsum(wave(u, i) * wave(v, j) * small[i][j] for i in range(32) for j in range(32)), 6) for v in range(8)] for u in range(8)]
+    flat = [x for r in low for x in r]
+    rest = sorted(flat[1:])
+    return f"{sum((x > rest[31]) << (63 - k) for k, x in enumerate(flat)):016x}"
+
+
+def test_media_hash_by_definition(spark):
+    # Not periodic ones: frequencies that are equal but for rounding have no order.
+    texts = ["", "a", "hello world " * 20, "".join(chr(0xE0 + i * i * 13 % 31) for i in range(700)), "".join(chr(33 + i * i * 7 % 90) for i in range(3_000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["feature"] for r in media.media_features(media.media_column(df, "doc_id"), "doc_id").collect()}
+    for i, t in enumerate(texts):
+        raw = t.encode()
+        assert got[i] == plain_hash(raw + bytes(-len(raw) % 64 if raw else 64)), t[:20]
+
+
 def test_media_round_trip(spark):
     df = spark.createDataFrame([(i, t, "m") for i, t in enumerate(ODD)], "doc_id long, text string, media string")
     stored = media.media_column(df, "doc_id")
