@@ -87,7 +87,7 @@ def exact_then_prefix_join(spark, d):
 @query("SELECT DISTINCT o_custkey, n_name FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey")
 def id_mapping_join(spark, d):
     ids = read(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey")).distinct()
-    return read(spark, d, "orders", "o_custkey").distinct().join(ids, "o_custkey").join(F.broadcast(read(spark, d, "nation")), "n_nationkey").select("o_custkey", "n_name")
+    return read(spark, d, "orders", "o_custkey").distinct().join(ids, "o_custkey").join(read(spark, d, "nation"), "n_nationkey").select("o_custkey", "n_name")
 
 
 @query("SELECT s_suppkey, s_name, n_name AS name, s_acctbal FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey")
@@ -95,7 +95,7 @@ def annotate_left_join(spark, d):
     left = read(spark, d, "supplier").withColumn("name", F.lit("old")).withColumnRenamed("s_nationkey", "key")
     right = read(spark, d, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"))
     overlap = [c for c in right.columns if c in left.columns and c != "key"]
-    return left.drop(*overlap).join(F.broadcast(right), "key", "left").select("s_suppkey", "s_name", "name", "s_acctbal")
+    return left.drop(*overlap).join(right, "key", "left").select("s_suppkey", "s_name", "name", "s_acctbal")
 
 
 @query(f"WITH {EVIDENCE}, b AS (SELECT DISTINCT ligand, true AS seen FROM e WHERE day <= DATE '{TRAIN_END}'), t AS (SELECT DISTINCT target, true AS known FROM e WHERE day <= DATE '{TRAIN_END}') SELECT coalesce(seen, false) AS ligand_seen, coalesce(known, false) AS target_seen, count(*) AS n FROM e LEFT JOIN b USING (ligand) LEFT JOIN t USING (target) WHERE day > DATE '{TRAIN_END}' GROUP BY 1, 2")
@@ -270,7 +270,7 @@ def resolve_cascade_fanout(spark, d):
     q = q.select(F.col("s_suppkey").alias("id"), F.when(k == 0, F.col("n_name")).when(k == 1, F.col("r_name")).when(k == 2, F.concat(F.lit("n"), "s_nationkey")).otherwise("unknown").alias("label"))
     by = lambda c, reason: n.select(c.alias("label"), L("n_nationkey").alias("resolved"), F.lit(reason).alias("reason"))
     lexicon = by(F.col("n_name"), "name").unionByName(by(F.col("r_name"), "region")).unionByName(by(F.concat(F.lit("n"), "n_nationkey"), "code"))
-    return q.join(F.broadcast(lexicon), "label", "left").select("id", "resolved", F.coalesce("reason", F.lit("unresolved")).alias("reason"))
+    return q.join(lexicon, "label", "left").select("id", "resolved", F.coalesce("reason", F.lit("unresolved")).alias("reason"))
 
 
 @query("SELECT count(*) AS n_selected, count(p_partkey) AS n_matched, count(*) - count(p_partkey) AS n_missing, array_to_string((list_sort(list(k) FILTER (WHERE p_partkey IS NULL)))[1:5], ',') AS sample FROM (SELECT DISTINCT l_partkey + 40 AS k FROM lineitem) LEFT JOIN part ON p_partkey = k")

@@ -198,7 +198,7 @@ def hash_holdout_strata(spark, d):
 def select_top_fixed(spark, d):
     top = read(spark, d, "supplier").orderBy(F.desc("s_acctbal"), "s_suppkey").limit(20)
     top = top.withColumn("rank", L(F.row_number().over(Window.orderBy(F.desc("s_acctbal"), "s_suppkey"))))
-    return top.join(F.broadcast(read(spark, d, "nation")), F.col("n_nationkey") == F.col("s_nationkey"), "left").select("s_suppkey", "n_name", "rank")
+    return top.join(read(spark, d, "nation"), F.col("n_nationkey") == F.col("s_nationkey"), "left").select("s_suppkey", "n_name", "rank")
 
 
 _BAND = """WITH f AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS rank, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_size END AS a, (p_partkey * 37 % 101) AS b FROM part QUALIFY row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) <= 80),

@@ -298,7 +298,7 @@ def str_to_map_parse(spark, d):
 
 @query("SELECT n_regionkey::BIGINT AS region, round(least(greatest(max(abs(s_acctbal - 4500)) + 10, 100), 5000), 2) AS extent FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY 1")
 def clip_extent(spark, d):
-    s = read(spark, d, "supplier").join(F.broadcast(read(spark, d, "nation")), F.col("n_nationkey") == F.col("s_nationkey"))
+    s = read(spark, d, "supplier").join(read(spark, d, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
     return s.groupBy(L("n_regionkey").alias("region")).agg(F.round(clip(F.max(F.abs(F.col("s_acctbal") - 4500)) + 10, 100.0, 5000.0), 2).alias("extent"))
 
 
@@ -324,4 +324,4 @@ def sliding_text_windows(spark, d):
 def udf_on_distinct(spark, d):
     orders = read(spark, d, "orders", "o_orderpriority")
     known = orders.distinct().withColumn("standard", clean.compatible_text(F.col("o_orderpriority")))
-    return orders.groupBy("o_orderpriority").agg(F.count("*").alias("n")).join(F.broadcast(known), "o_orderpriority").select("o_orderpriority", "standard", "n")
+    return orders.groupBy("o_orderpriority").agg(F.count("*").alias("n")).join(known, "o_orderpriority").select("o_orderpriority", "standard", "n")

@@ -342,7 +342,7 @@ def cluster_reachability(spark, d):
 def cluster_leakage(spark, d):
     e = evidence(spark, d).withColumn("c", F.col("target") % 13)
     t = e.where(F.col("day") <= F.lit("1995-01-15")).select("c").distinct().withColumn("leak", F.lit(True))
-    x = e.where(F.col("day") > F.lit(TRAIN_END)).join(F.broadcast(t), "c", "left").groupBy(split_of().alias("split"))
+    x = e.where(F.col("day") > F.lit(TRAIN_END)).join(t, "c", "left").groupBy(split_of().alias("split"))
     return x.agg(F.count("*").alias("n"), F.count("leak").alias("n_leak"), R(F.count("leak") / F.count("*")).alias("rate"))
 
 
@@ -361,7 +361,7 @@ def edge_merge_sets(spark, d):
 
 @query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS seq FROM events")
 def event_seq(spark, d):
-    return with_seq(read(spark, d, "events", "user_id", "event_id", "ts"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "seq")
+    return with_seq(read(spark, d, "events", "user_id", "event_id", "ts"), "user_id", "ts", ["event_id"]).select("user_id", "event_id", "seq")
 
 
 @query("SELECT event_id, user_id FROM events WHERE event_type = 'signup' ORDER BY value DESC, ts, event_id LIMIT 1")
@@ -436,7 +436,7 @@ def scope_verdict(spark, d):
 def gap_worklist(spark, d):
     li = read(spark, d, "lineitem").groupBy("l_suppkey").agg(F.sum("l_quantity").alias("q"), F.count("*").alias("n")).where("2 * q >= 51 * n")
     s = read(spark, d, "supplier").where("s_acctbal > 2000").join(li.select(F.col("l_suppkey").alias("s_suppkey")), "s_suppkey", "left_anti")
-    s = s.join(F.broadcast(read(spark, d, "nation")), F.col("n_nationkey") == F.col("s_nationkey"), "left").where(F.col("n_name").startswith("NATION_"))
+    s = s.join(read(spark, d, "nation"), F.col("n_nationkey") == F.col("s_nationkey"), "left").where(F.col("n_name").startswith("NATION_"))
     work = F.when(F.col("s_nationkey") % 5 == 0, "structure").when(F.col("s_acctbal") > 8000, "assay").otherwise("literature")
     return s.select("s_suppkey", "n_name", work.alias("work"), F.col("s_acctbal").alias("score"))
 
@@ -447,7 +447,7 @@ def overlay_annotations(spark, d):
     r = r.withColumn("rank", L(F.row_number().over(Window.orderBy(F.desc("s_acctbal"), "s_suppkey"))))
     x = read(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.max("l_extendedprice").alias("best"))
     status = F.when(F.col("s_suppkey") % 4 == 0, "no_structure").when(F.col("best").isNull(), "not_scored").otherwise("scored")
-    out = r.join(x, "s_suppkey", "left").join(F.broadcast(read(spark, d, "nation")), F.col("n_nationkey") == F.col("s_nationkey"), "left")
+    out = r.join(x, "s_suppkey", "left").join(read(spark, d, "nation"), F.col("n_nationkey") == F.col("s_nationkey"), "left")
     return out.select("rank", "s_suppkey", "n_name", status.alias("status"), F.when(F.col("s_suppkey") % 4 != 0, R("best", 2)).alias("score"))
 
 
