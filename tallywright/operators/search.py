@@ -260,3 +260,15 @@ def count_within(index: Index, queries: DataFrame, threshold: float, block: int
     state = _valid(queries).select("id", "label", "vector", F.lit(0).alias("done"), F.lit(None).cast("double").alias("least"))
     visits = _visits(index, state, np.iinfo(np.int64).max, threshold)
     return _compared(index, keep(visits, "visits"), summarise, schema, block).groupBy("q").agg(F.sum("n").alias("n"), F.sum("n_unlike").alias("n_unlike")).where("n > 0")
+
+
+def nearest_forms(index: Index, forms: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """(q, vec_id, similarity, rank): of queries in several forms (id, form, label, vector) the k rows of the highest similarity to any form, ties to the smaller id, itself left out.
+
+    A row among the first k of the query is among the first k of the form that
+    it is nearest to, so each form is searched alone and the maxima are merged.
+    """
+    named = keep(forms.select(F.xxhash64("id", "form").alias("__form"), F.col("id").alias("__q"), "label", "vector").where("__q is not null"), "forms")
+    found = nearest(index, named.select(F.col("__form").alias("id"), "label", "vector"), k + 1, block=block).select(F.col("q").alias("__form"), "vec_id", "similarity")
+    best = found.join(named.select("__form", "__q").distinct(), "__form").where("vec_id <> __q").groupBy(F.col("__q").alias("q"), "vec_id").agg(F.max("similarity").alias("similarity"))
+    return top_per_group(best, ["q"], [F.desc("similarity"), "vec_id"], k)

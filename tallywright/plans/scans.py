@@ -35,6 +35,20 @@ def zip_members(spark, d):
     return back.select(F.col("l_orderkey").cast("long"), F.col("line").cast("long"), "flag", "day")
 
 
+@query("SELECT l_suppkey AS target, array_to_string(list_sort(list(DISTINCT l_linenumber)), ';') AS sites, count(DISTINCT l_linenumber) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1")
+def xml_reports(spark, d):
+    """Reports of targets written as XML files and parsed again; a target that two reports have is an error."""
+    from uuid import uuid4
+
+    from tallywright.sources.files import read_reports, scratch
+
+    path = f"{scratch(spark)}/reports-{uuid4().hex}"
+    li = read(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_suppkey").alias("_target")).agg(F.collect_set("l_linenumber").alias("site"))
+    li.write.format("xml").option("rootTag", "reports").option("rowTag", "report").save(path)
+    r = read_reports(spark, path, "report", "_target", "site")
+    return r.select(F.col("key").cast("long").alias("target"), F.array_join(F.array_sort("values"), ";").alias("sites"), F.size("values").cast("long").alias("n"))
+
+
 @query("SELECT CASE WHEN l_quantity >= 5 AND l_discount <= 0.08 THEN 'accepted' ELSE 'rejected' END AS output, count(*) AS n, sum(l_orderkey)::BIGINT AS keys, count(DISTINCT l_partkey) AS n_ligands FROM lineitem GROUP BY 1")
 def two_sinks(spark, d):
     """Accepted and rejected records written by one pass that commits both."""

@@ -110,6 +110,18 @@ def leave_query_out(spark, d):
     )
 
 
+_FORMS = _BITS.replace("b AS (SELECT vec_id, label, [", "f AS (SELECT vec_id, label, t, [").replace("embedding[64 * k + i] > 0 ", "embedding[64 * k + i] - t::DOUBLE > 0 ").replace("FROM embeddings)", "FROM embeddings, (VALUES (0.0), (0.05)) AS v(t))")
+
+
+@query(f"WITH {_BITS}, {_FORMS}, s AS (SELECT a.vec_id AS q, b.vec_id, max(round({_T}, 6)) AS similarity FROM b, f a WHERE a.vec_id % 20 = 0 AND b.vec_id <> a.vec_id GROUP BY 1, 2) SELECT q, vec_id, similarity, CASE WHEN similarity >= 0.85 THEN 'boxed' WHEN similarity >= 0.45 THEN 'caution' ELSE 'none' END AS warning, row_number() OVER (PARTITION BY q ORDER BY similarity DESC, vec_id)::BIGINT AS rank FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY similarity DESC, vec_id) <= 3")
+def similarity_forms(spark, d):
+    """The three nearest to any of a query's two forms, with and without its weak components, and their warnings."""
+    v = read(ship(spark), d, "embeddings").where("vec_id % 20 = 0")
+    form = lambda t: v.select(F.col("vec_id").alias("id"), F.lit(str(t)).alias("form"), L("label").alias("label"), pack_signs(F.transform("embedding", lambda x: x.cast("double") - t)).alias("vector"))
+    found = search.nearest_forms(search.build(_rows(spark, d), search.TANIMOTO), form(0.0).unionByName(form(0.05)), 3)
+    return found.withColumn("warning", tier(F.col("similarity"), (0.85, "boxed"), (0.45, "caution"), below="none"))
+
+
 _COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))"
 _NEAR = f"WITH s AS (SELECT a.vec_id AS q, b.vec_id, round({_COS}, 6) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, vec_id) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY cosine DESC, vec_id) <= 5)"
 

@@ -144,3 +144,21 @@ def read_workbook(spark: SparkSession, path: str, sheet: int = 1) -> DataFrame:
                     yield pd.DataFrame(rows, columns=["row", "cells"])
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "row long, cells array<string>")
+
+
+def read_reports(spark: SparkSession, path: str, row_tag: str, key: str, value: str) -> DataFrame:
+    """(key, values) of XML files: each element row_tag's attribute or child `key`, and the different whole numbers of its children `value`, sorted.
+
+    Reports without a value are left out. A report without a key, a value that is no
+    whole number, one that a report has twice, and a key that two reports have, in whatever files, are errors when
+    the rows are read.
+    """
+    rows = spark.read.format("xml").option("rowTag", row_tag).schema(f"`{key}` string, `{value}` array<string>").load(path)
+    fail = lambda text: F.raise_error(F.concat(F.lit(text), F.coalesce(F.col("key"), F.lit("null"))))
+    rows = rows.select(F.trim(F.col(f"`{key}`")).alias("key"), F.coalesce(F.col(f"`{value}`"), F.array().cast("array<string>")).alias("told"))
+    rows = rows.withColumn("values", F.array_sort(F.array_distinct(F.transform("told", lambda x: x.try_cast("bigint")))))
+    bad = F.when(F.col("key").isNull() | (F.col("key") == ""), fail("a report has no key: ")).when(F.exists("told", lambda x: x.try_cast("bigint").isNull()), fail("not a whole number in report ")).when(F.size("values") < F.size("told"), fail("a value is repeated in report "))
+    checked = rows.select("key", F.when(bad.isNotNull(), F.array().cast("array<bigint>")).otherwise(F.col("values")).alias("values"))
+    once = checked.groupBy("key").agg(F.first("values").alias("values"), F.count("*").alias("n"))
+    repeated = F.when(F.col("n") > 1, fail("more than one report has the key "))
+    return once.select("key", F.when(repeated.isNotNull(), F.array().cast("array<bigint>")).otherwise(F.col("values")).alias("values")).where(F.size("values") > 0)

@@ -23,7 +23,7 @@ from tallywright.operators.calibrate import fit_platt, mcnemar_p, strict_improve
 from tallywright.operators.similar import bits_set, cosine_matrix, jaccard_of, pack_signs, tanimoto, tanimoto_matrix, word_shingles
 from tallywright.plans import ranks, scans, scores
 from tallywright.shipping import ship
-from tallywright.sources.files import read_any, read_csv, read_fasta, read_workbook, read_zip_tsv, scratch
+from tallywright.sources.files import read_any, read_csv, read_fasta, read_reports, read_workbook, read_zip_tsv, scratch
 from tallywright.sources.sinks import read_verified, write_verified
 from tallywright.sources.tables import find_column, read, with_optional
 
@@ -229,6 +229,21 @@ def test_platt_fit(spark):
             fit_platt(bad, "s", "y", "w")
 
 
+def test_reports_from_xml(spark, tmp_path):
+    def load(*texts):
+        folder = tmp_path / uuid.uuid4().hex
+        folder.mkdir()
+        for i, text in enumerate(texts):
+            (folder / f"{i}.xml").write_text(f"<reports>{text}</reports>")
+        return sorted(map(tuple, read_reports(spark, str(folder), "report", "_target", "site").collect()))
+
+    report = lambda key, *sites: f"<report target='{key}'>" + "".join(f"<site>{s}</site>" for s in sites) + "</report>"
+    assert load(report("a", 3, 1) + report("empty"), report("b", 10)) == [("a", [1, 3]), ("b", [10])]
+    for texts, why in (((report("a", 1), report("a", 2)), "more than one report"), ((report("a", 1, 1),), "repeated"), ((report("a", "x"),), "whole number"), (("<report><site>1</site></report>",), "no key")):
+        with pytest.raises(Exception, match=why):
+            load(*texts)
+
+
 def test_wilcoxon_p(spark):
     rng = np.random.default_rng(2)
     for n, shift in ((0, 0), (3, 1), (40, 0), (200, 3)):

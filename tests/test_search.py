@@ -78,6 +78,22 @@ def test_search_of_little(spark):
     assert search.nearest(index, one.where("false"), 3).count() == 0
 
 
+def test_queries_of_several_forms(spark):
+    ship(spark)
+    rng = np.random.default_rng(12)
+    v = rng.integers(0, 2**14, (300, 1))
+    index = search.build(frame(spark, list(range(300)), [0.0] * 300, v, "bigint"), search.TANIMOTO, block=32)
+    forms = {q: [v[q], v[q] ^ rng.integers(0, 2**14, 1)] for q in (3, 50, 120)}
+    rows = [(q, f, 0, x.tolist()) for q, fs in forms.items() for f, x in enumerate(fs)] + [(None, 0, 0, [1])]
+    got = {}
+    for r in search.nearest_forms(index, spark.createDataFrame(rows, "id long, form int, label long, vector array<bigint>"), 3, block=32).collect():
+        got.setdefault(r["q"], []).append((r["rank"], r["vec_id"], r["similarity"]))
+    for q, fs in forms.items():
+        s = np.round(search.TANIMOTO.similarity(np.array(fs), v), 6).max(axis=0)
+        want = sorted(((i, s[i]) for i in range(300) if i != q), key=lambda x: (-x[1], x[0]))[:3]
+        assert [x[1:] for x in sorted(got[q])] == want
+
+
 def test_bounds_hold(spark):
     ship(spark)
     rng = np.random.default_rng(11)
