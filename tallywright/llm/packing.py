@@ -145,12 +145,16 @@ class WordTokenizer:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian unsigned 32-bit."""
         cut = [_SPACE.split(x) if _ODD.search(x) else (x.lower() if _EVEN_TEXT(x) else x).split() for x in texts]
-        words = {w for one in cut for w in one}
-        self.known.update(self._encoded(list(words.difference(self.known))))
-        known = self.known
-        out = [b"".join([known[w] for w in one]) for one in cut]
-        if len(known) > CACHE or max(map(len, words), default=0) > WORD:
-            self.known = {w: known[w] for w in (words if len(known) > CACHE else known) if len(w) <= WORD}
+        words = set().union(*cut)
+        known, new = self.known, list(words.difference(self.known))
+        known.update(self._encoded(new))
+        out = [b"".join(map(known.__getitem__, one)) for one in cut]
+        if len(known) > CACHE:
+            self.known = {w: known[w] for w in words if len(w) <= WORD}
+        else:
+            for w in new:
+                if len(w) > WORD:
+                    del known[w]
         return out
 
 
