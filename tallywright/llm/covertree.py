@@ -206,23 +206,22 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL) -
         "vectors",
     )
     parts = materialize(_cells(reps, group, cell), "cells")
-    spots = materialize(parts.groupBy(*group, "cell", "part").agg(F.max("far").alias("far"), F.first("pivot").alias("pivot")), "spots")
-    one, two = spots.alias("one"), spots.alias("two")
+    # At most PIVOTS cells a label meet each other here; parts of cells come in once their cells may link.
+    cells = parts.groupBy(*group, "cell").agg(F.max("far").alias("far"), F.first("pivot").alias("pivot"), (F.max("part") + 1).alias("parts"))
+    cells = materialize(cells, "cell_sizes")
+    one, two = cells.alias("one"), cells.alias("two")
     dot = F.aggregate(F.zip_with("one.pivot", "two.pivot", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     apart = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot))
     reach = math.sqrt(2 - 2 * cosine)
-    spot = lambda t: F.struct(f"{t}.cell", f"{t}.part")
-    todo = one.join(two, [F.col(f"one.{g}") == F.col(f"two.{g}") for g in group]).where(spot("one") <= spot("two"))
-    todo = todo.where(F.col("one.pivot").isNull() | (F.col("one.cell") == F.col("two.cell")) | (apart <= F.col("one.far") + F.col("two.far") + reach + _SLACK))
-    todo = todo.select(
-        *[F.col(f"one.{g}").alias(g) for g in group],
-        F.xxhash64("one.label", "one.dim", "one.cell", "one.part", "two.cell", "two.part").alias("task"),
-        F.explode(
-            F.when(spot("one") == spot("two"), F.array(F.struct(F.col("one.cell"), F.col("one.part"), F.lit(0).alias("side")))).otherwise(
-                F.array(F.struct(F.col("one.cell"), F.col("one.part"), F.lit(0).alias("side")), F.struct(F.col("two.cell"), F.col("two.part"), F.lit(1).alias("side")))
-            )
-        ).alias("at"),
-    ).select(*group, "task", "at.*")
+    met = one.join(two, [F.col(f"one.{g}") == F.col(f"two.{g}") for g in group]).where("one.cell <= two.cell")
+    met = met.where((F.col("one.cell") == F.col("two.cell")) | (apart <= F.col("one.far") + F.col("two.far") + reach + _SLACK))
+    met = met.select(*[F.col(f"one.{g}").alias(g) for g in group], F.col("one.cell").alias("c1"), F.col("two.cell").alias("c2"), "one.parts", F.col("two.parts").alias("others"))
+    met = met.withColumn("p1", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("p2", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    met = met.where("c1 < c2 or p1 <= p2")
+    side = lambda c, p, k: F.struct(F.col(c).alias("cell"), F.col(p).alias("part"), F.lit(k).alias("side"))
+    alone = (F.col("c1") == F.col("c2")) & (F.col("p1") == F.col("p2"))
+    sides = F.when(alone, F.array(side("c1", "p1", 0))).otherwise(F.array(side("c1", "p1", 0), side("c2", "p2", 1)))
+    todo = met.select(*group, F.xxhash64(*group, "c1", "p1", "c2", "p2").alias("task"), F.explode(sides).alias("at")).select(*group, "task", "at.*")
     todo = materialize(todo, "tasks")
     work = parts.select(*group, "cell", "part", "rep", "weight", "embedding").join(small_side(todo), [*group, "cell", "part"])
 
