@@ -123,19 +123,30 @@ class WordTokenizer:
             self.ends = np.zeros(max(ranks.values()) + 1, bool)
             self.ends[[i for t, i in ranks.items() if len(t) > 1 and t.endswith(_END.encode())]] = True
 
-    def _encoded(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of words that aren't known yet."""
-        even = [w for w in words if _EVEN(w)] if self.engine else []
-        parts_of = [_parts(w.lower()) for w in even]
-        parts, of_part = list({p for x in parts_of for p in x}), {}
+    def _merged(self, parts: list[str]) -> list[bytes]:
+        """The ids of each part, all of them merged in one call for thousands."""
+        out: list[bytes] = []
         for k in range(0, len(parts), 8 * AT_ONCE):
             run = parts[k : k + 8 * AT_ONCE]
-            ids = np.asarray(self.engine.encode_ordinary("".join([p + _END for p in run])), "<u4")
-            data, at = ids.tobytes(), 0
-            for p, stop in zip(run, (4 * np.flatnonzero(self.ends[ids]) + 4).tolist(), strict=True):
-                of_part[p] = data[at:stop]
-                at = stop
-        out = {w: of_part[x[0]] if len(x) == 1 else b"".join([of_part[p] for p in x]) for w, x in zip(even, parts_of, strict=True)}
+            ids = np.asarray(self.engine.encode_ordinary(_END.join(run) + _END), "<u4")
+            data, stops = ids.tobytes(), (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            out += [data[at:stop] for at, stop in zip([0, *stops], stops)]
+        if len(out) != len(parts):
+            raise AssertionError("ids don't end where words do")
+        return out
+
+    def _encoded(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words that aren't known yet."""
+        even = list(filter(_EVEN, words)) if self.engine else []
+        # Most are letters alone, which the pattern leaves whole.
+        plain = [w for w in even if w.isalpha()]
+        out = dict(zip(plain, self._merged([w.lower() for w in plain]), strict=True))
+        if len(plain) < len(even):
+            mixed = [w for w in even if not w.isalpha()]
+            parts_of = [_parts(w.lower()) for w in mixed]
+            parts = list(set().union(*parts_of))
+            of_part = dict(zip(parts, self._merged(parts), strict=True))
+            out.update((w, b"".join(map(of_part.__getitem__, x))) for w, x in zip(mixed, parts_of, strict=True))
         rest = [w for w in words if w not in out] if len(out) < len(words) else []
         for k in range(0, len(rest), AT_ONCE):
             run = rest[k : k + AT_ONCE]
