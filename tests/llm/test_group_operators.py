@@ -479,7 +479,7 @@ def test_pipeline_against_plain_stages(spark):
 def test_pipeline_loses_no_text(spark, tmp_path):
     """Texts under one id, and a very long text with a near copy, through every stage."""
     one, two = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
-    long = " ".join(f"word{i % 5000}x{i % 7}" for i in range(150_000))
+    long = " ".join(f"word{i % 5000}x{i % 7}" for i in range(40_000))
     rows = [(1, one), (5, one), (5, two), (6, two), (7, two), (10, long + " mail a@b.co"), (11, long), (12, long + " more")]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
@@ -490,7 +490,7 @@ def test_pipeline_loses_no_text(spark, tmp_path):
     assert left == [(1, one), (5, one), (5, two), (6, two), (10, long + " mail <EMAIL>")]
     packed = corpus_pipeline.STAGES[-1][1](spark, table, str(tmp_path)).collect()
     ids = len(Tokenizer.from_file(WORD).encode(left[-1][1], add_special_tokens=False).ids) + 1
-    assert sum(r["length"] for r in packed if r["doc_id"] == 10) == ids > 100 * 4096
+    assert sum(r["length"] for r in packed if r["doc_id"] == 10) == ids > 20 * 4096
 
 
 def test_models_beyond_the_bound_pass_the_least_evidence_on(spark, monkeypatch):
