@@ -41,6 +41,12 @@ def test_gaps_that_end_in_a_half(spark):
     assert all(got[g] == pytest.approx(want - 1, abs=1e-12) for g, (_, want) in enumerate(lists))
 
 
+@pytest.mark.parametrize("name", ["rrf_fusion", "rrf_weighted"])
+def test_fusion_keeps_every_target(spark, name):
+    targets = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_suppkey").distinct().count()
+    assert suite.queries()[name](spark, SF).count() == targets
+
+
 def test_two_decimals_by_the_binary_value(spark):
     values = [0.125, 2.675, 1.005, -0.001, -0.0, 1e23, float("nan"), float("-inf"), None]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
