@@ -59,3 +59,8 @@ def test_odd_balances_as_safe_text(spark, tmp_path):
     df.write.parquet(str(tmp_path / "customer.parquet"))
     got = {r["c_custkey"]: r["safe"] for r in suite.queries()["spreadsheet_safe_text"](spark, str(tmp_path)).collect()}
     assert got == {1: None, 2: f"{7056.355:.2f}", 3: "-0.00", 4: "'-0.00", 5: "'-3.00"}
+
+
+def test_fallback_lists_every_case(spark):
+    rows = suite.queries()["prior_with_fallback_gate"](spark, SF).collect()
+    assert all(len(r["cases"].split(";")) == r["n_cases"] for r in rows)
