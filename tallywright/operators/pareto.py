@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
@@ -18,6 +19,10 @@ from tallywright.sources.files import forget, keep
 BLOCK = 2048
 #: Rows of a block that are compared in one step.
 STEP = 256
+#: Cells that the values of all objectives but one may span for a sweep.
+CELLS = 1 << 17
+#: About how many different points of a group one task sweeps, and in how many ranges at most a group is cut.
+SWEEP, RANGES = 1 << 18, 256
 
 
 def dominance_counts(df: DataFrame, by: str, objectives: list[str]) -> DataFrame:
@@ -27,10 +32,16 @@ def dominance_counts(df: DataFrame, by: str, objectives: list[str]) -> DataFrame
     blocks by their hashes; each pair of blocks is compared once, as a group of
     its own, and gives counts to both sides. Rows with a null in the group or in
     an objective neither dominate nor are dominated.
+
+    Where all objectives but one have few values together (CELLS), a sweep down
+    that one takes the place of pairs: points are added up in a grid of the others' values
+    as they pass, so the work grows with the points and not with their pairs.
     """
     point = [by, *objectives]
     known = reduce(and_, [F.col(c).isNotNull() for c in point])
     points = df.where(known).groupBy(*point).agg(F.count("*").alias("__n"))
+    if grid := Grid.of(points, objectives):
+        return _joined(df, _swept_counts(keep(points, "points"), by, grid), point, ("n_dominating", "n_dominated"))
     blocks = points.groupBy(by).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("__blocks"))
     dealt = points.join(blocks, by).withColumn("__at", F.pmod(F.xxhash64(*objectives), F.col("__blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))
@@ -45,8 +56,152 @@ def dominance_counts(df: DataFrame, by: str, objectives: list[str]) -> DataFrame
     nan = {f.name: F.coalesce(f.name, F.lit(math.nan).cast(f.dataType)) for f in points.select(*point).schema if f.dataType.typeName() in ("double", "float")}
     found = found.withColumns(nan) if nan else found
     found = found.groupBy(*point).agg(F.sum("__above").alias("n_dominating"), F.sum("__below").alias("n_dominated"))
+    return _joined(df, found, point, ("n_dominating", "n_dominated"))
+
+
+def _joined(df: DataFrame, found: DataFrame, point: list[str], counts: tuple[str, ...]) -> DataFrame:
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return df.join(found, point, "left").select(*df.columns, zero("n_dominating"), zero("n_dominated"))
+    return df.join(found, point, "left").select(*df.columns, *map(zero, counts))
+
+
+@dataclass
+class Grid:
+    """One objective to sweep down, and the others' values in order, whose combinations are the cells."""
+
+    sweep: str
+    values: dict[str, np.ndarray]
+
+    @staticmethod
+    def of(points: DataFrame, objectives: list[str]) -> Grid | None:
+        """None without points, or if the objective with the most values leaves the others more than CELLS combinations."""
+        n = points.agg(*[F.approx_count_distinct(c).alias(c) for c in objectives]).first().asDict()
+        sweep = max(objectives, key=lambda c: n[c])
+        others = [c for c in objectives if c != sweep]
+        if not n[sweep] or not others or math.prod(n[c] for c in others) > CELLS:
+            return None
+        sets = points.agg(F.lit(0), *[F.collect_set(c).alias(c) for c in others]).first()
+        return Grid(sweep, {c: np.unique(np.array(sets[c])) for c in others})
+
+    @property
+    def shape(self) -> tuple[int, ...]:
+        return tuple(len(v) for v in self.values.values())
+
+    def places(self, rows: pd.DataFrame) -> np.ndarray:
+        """Each row's place in the values of each objective but the swept one."""
+        return np.array([np.searchsorted(v, rows[c].to_numpy()) for c, v in self.values.items()], np.int64).reshape(len(self.values), len(rows))
+
+    def order(self, rows: pd.DataFrame, x: np.ndarray) -> np.ndarray:
+        """From the highest of the swept objective down, then by the sums of the others' places, so whatever dominates a point comes before it."""
+        s = np.unique(rows[self.sweep].to_numpy(), return_inverse=True)[1]
+        return np.lexsort((-x.sum(axis=0), -s))
+
+    def dealt(self, points: DataFrame, by: str) -> DataFrame:
+        """points with __range: ranges of the swept objective, 0 the highest, of about SWEEP points; equal values are in one."""
+        cuts = points.groupBy(by).agg(F.percentile_approx(self.sweep, [i / RANGES for i in range(1, RANGES)], 1000).alias("__cuts"), F.ceil(F.count("*") / SWEEP).alias("__ranges"))
+        at = F.size(F.filter("__cuts", lambda c: c >= F.col(self.sweep)))
+        place = F.when(F.col("__ranges") > 1, F.floor((F.size("__cuts") - at) * F.least("__ranges", F.lit(RANGES)) / RANGES)).otherwise(0)
+        # Quantiles count from the lowest; ranges from the highest.
+        return points.join(cuts, by).withColumn("__range", (F.least("__ranges", F.lit(RANGES)) - 1 - place).cast("int")).drop("__cuts", "__ranges")
+
+
+def _not_null(points: DataFrame, names: list[str]) -> dict:
+    """Points have no nulls; pandas gives back what is not a number as one."""
+    return {f.name: F.coalesce(f.name, F.lit(math.nan).cast(f.dataType)) for f in points.select(*names).schema if f.dataType.typeName() in ("double", "float")}
+
+
+def _runs(n: int) -> Iterator[slice]:
+    for i in range(0, n, STEP):
+        yield slice(i, i + STEP)
+
+
+def _pairs_within(x: np.ndarray) -> np.ndarray:
+    """Of a run in the order of the sweep, whether the column's point dominates the row's."""
+    return np.tril((x[:, None, :] >= x[:, :, None]).all(axis=0), -1)
+
+
+def _accumulated(cells: np.ndarray, add: np.ufunc) -> np.ndarray:
+    for axis in range(cells.ndim):
+        cells = add.accumulate(cells, axis=axis)
+    return cells
+
+
+def _counted(x: np.ndarray, n: np.ndarray, shape: tuple[int, ...], before: np.ndarray) -> np.ndarray:
+    """Of each point, in the order of a sweep, the rows that passed before it, those of `before` too, in places as high or higher."""
+    size = math.prod(shape)
+    cell = np.ravel_multi_index(tuple(k - 1 - v for k, v in zip(shape, x, strict=True)), shape) if shape else np.zeros(len(n), np.int64)
+    seen, out = _accumulated(before.reshape(shape), np.add).ravel(), np.zeros(len(n), np.int64)
+    for run in _runs(len(n)):
+        out[run] = seen[cell[run]] + _pairs_within(x[:, run]) @ n[run]
+        passed = np.bincount(cell[run], n[run], size).astype(np.int64).reshape(shape)
+        seen = seen + _accumulated(passed, np.add).ravel()
+    return out
+
+
+def _swept_counts(points: DataFrame, by: str, grid: Grid) -> DataFrame:
+    others = list(grid.values)
+    names = [by, grid.sweep, *others]
+    rows = keep(grid.dealt(points, by), "swept")
+    # Of each range the rows of a cell in the ranges above and below it; groups of one range have none.
+    cells = keep(rows.groupBy(by, "__range", *others).agg(F.sum("__n").alias("__n")), "cells")
+    ranges = cells.select(by, "__range").distinct()
+    dense = cells.select(by, *others).distinct().join(ranges, by).join(cells, [by, "__range", *others], "left").fillna(0, ["__n"])
+    cell = Window.partitionBy(by, *others)
+    above = F.coalesce(F.sum("__n").over(cell.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    outside = dense.withColumns({"__above": above, "__below": F.sum("__n").over(cell) - above - F.col("__n")}).where("__above + __below > 0")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema), "n_dominating long, n_dominated long"])
+
+    def sweep(part: pd.DataFrame, outside: pd.DataFrame) -> pd.DataFrame:
+        x, shape = grid.places(part), grid.shape
+        order, far = grid.order(part, x), grid.places(outside)
+        n = part["__n"].to_numpy(np.int64)
+        top = np.array(shape, np.int64)[:, None] - 1
+        found = {}
+        for out, place, at, there, held in (("n_dominating", order, x, far, "__above"), ("n_dominated", order[::-1], top - x, top - far, "__below")):
+            before = np.zeros(shape, np.int64)
+            np.add.at(before, tuple(top - there), outside[held].to_numpy(np.int64))
+            counts = np.zeros(len(part), np.int64)
+            counts[place] = _counted(at[:, place], n[place], shape, before)
+            found[out] = counts
+        return part[names].assign(**found)
+
+    found = rows.groupBy(by, "__range").cogroup(outside.groupBy(by, "__range")).applyInPandas(sweep, schema)
+    return found.withColumns(nan) if (nan := _not_null(points, names)) else found
+
+
+def _swept_fronts(points: DataFrame, by: str, grid: Grid) -> DataFrame:
+    """The fronts of points, range after range from the highest; from one to the next goes the highest front of each cell."""
+    others = list(grid.values)
+    names = [by, grid.sweep, *others]
+    rows = keep(grid.dealt(points, by).sortWithinPartitions("__range"), "swept")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema), "front int"])
+
+    def sweep(part: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if part.empty:
+            return part.reindex(columns=names).assign(front=np.zeros(0, np.int32))
+        x, shape = grid.places(part), grid.shape
+        order, top = grid.order(part, x), np.array(shape, np.int64)[:, None] - 1
+        x, best = x[:, order], np.zeros(shape, np.int32)
+        np.maximum.at(best, tuple(top - grid.places(held)), held["front"].to_numpy(np.int32))
+        best = _accumulated(best, np.maximum).ravel()
+        cell = np.ravel_multi_index(tuple(top - x), shape) if shape else np.zeros(len(part), np.int64)
+        fronts = np.zeros(len(part), np.int32)
+        for run in _runs(len(part)):
+            above, out = _pairs_within(x[:, run]), best[cell[run]] + 1
+            for i in range(1, len(out)):
+                out[i] = max(out[i], (out[:i] * above[i, :i]).max() + 1)
+            passed = np.zeros(len(best), np.int32)
+            np.maximum.at(passed, cell[run], out)
+            best = np.maximum(best, _accumulated(passed.reshape(shape), np.maximum).ravel())
+            fronts[order[run]] = out
+        return part[names].assign(front=fronts)
+
+    nan = _not_null(points, names)
+    held, settled = points.where("false").select(by, *others, F.lit(0).alias("front")), []
+    for step in range(rows.agg(F.max("__range")).first()[0] + 1):
+        part = rows.where(F.col("__range") == step).groupBy(by).cogroup(held.groupBy(by)).applyInPandas(sweep, schema)
+        settled.append(keep(part.withColumns(nan) if nan else part, "fronts"))
+        held = keep(held.unionByName(settled[-1].select(by, *others, "front")).groupBy(by, *others).agg(F.max("front").alias("front")), "held")
+    return reduce(DataFrame.unionByName, settled)
 
 
 def pareto_fronts(df: DataFrame, by: str, objectives: list[str]) -> DataFrame:
@@ -60,11 +215,14 @@ def pareto_fronts(df: DataFrame, by: str, objectives: list[str]) -> DataFrame:
     fronts at once; where the lowest bound alone has more, it is cut to the skylines of its
     blocks, and these are held against each other. What is left, with its bounds, is
     written to the shared folder after each step, and only that is read by the next; there is no
-    bound on fronts.
+    bound on fronts. Where all objectives but one have few values together (CELLS), one sweep down
+    that one gives all fronts, as in dominance_counts.
     """
     spark, point = df.sparkSession, [by, *objectives]
     known = reduce(and_, [F.col(c).isNotNull() for c in point])
     points = df.select(*point).where(known).distinct()
+    if grid := Grid.of(points, objectives):
+        return df.join(_swept_fronts(keep(points, "points"), by, grid), point, "left").select(*df.columns, "front")
     names = [f"{x.name}" for x in points.schema]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema)
     nan = {f.name: F.coalesce(f.name, F.lit(math.nan).cast(f.dataType)) for f in points.schema if f.dataType.typeName() in ("double", "float")}
