@@ -67,3 +67,25 @@ def test_frequent_elements_bring_nobody_together(spark):
     assert met.agg(F.max("n")).first()[0] <= 2
     got = {(r["a"], r["b"]) for r in similar_sets(df, None, 0.75, "a", "b").collect()}
     assert got == {(i, 5000 + i) for i in range(20)}
+
+
+@pytest.mark.parametrize("threshold", [0.1, 0.3, 0.6, 0.75, 1.0])
+@pytest.mark.parametrize("few", [1, 3])
+def test_elements_that_are_counted_lose_no_pair(spark, monkeypatch, threshold, few):
+    monkeypatch.setattr(setjoin, "FEW", few)
+    held = sets(3, 150, words=120)
+    # Lopsided pairs, and sets that share nothing but what is frequent.
+    held |= {1000 + i: set(range(i)) for i in range(1, 26)} | {2000 + i: set(range(12)) | {5000 + i} for i in range(6)}
+    got = similar_sets(frame(spark, held, "x"), None, threshold, "x", "y").collect()
+    assert {(r["x"], r["y"]): (round(r["jaccard"], 9), round(r["covered"], 9)) for r in got} == plain(held, held, threshold)
+    assert len(got) == len({(r["x"], r["y"]) for r in got})
+
+
+def test_a_table_with_itself_moves_half_of_its_elements(spark):
+    """2,000 sets of 100 elements of their own: each element was moved twice, some 24 bytes."""
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, [int(x) for x in rng.integers(-(2**63), 2**63 - 1, 100)]) for i in range(2000)], "a long, tokens array<long>")
+    moved = lambda: sum(e.totalShuffleWrite() for e in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().statusStore().executorList(True)))
+    before = moved()
+    assert similar_sets(df, None, 0.6, "a", "b").count() == 0
+    assert moved() - before < 12 * 2000 * 100
