@@ -3,8 +3,10 @@
 from itertools import permutations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tallywright import suite
+from tallywright.operators import trees
 from tallywright.operators.trees import core_retention, element_tree, retention, tree_of
 from tests.conftest import SF
 
@@ -71,3 +73,15 @@ def test_pages(spark):
     for r in rows[:10]:
         a, b = (tree_of(*element_tree(pages[r[c]])) for c in ("page_id", "other"))
         assert (r["grade"], r["matched"], r["exact"]) == retention(a, b, 20_000)
+
+
+def test_pages_are_parsed_once_and_equal_trees_searched_once(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html")
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "<p x a=1><B><b/></p><x-y:z></ul>")], pages.schema)
+    for r in trees.trees_of(pages.unionByName(odd), "page_id", "html").join(pages.unionByName(odd), "page_id").collect():
+        assert trees.read_tree(r["tree"]) == tree_of(*element_tree(r["html"]))
+    # Tags are found once a page, not once for each run of them.
+    plan = pages.select(trees.tag_runs(F.col("html")).alias("runs"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    shown = suite.queries()["page_retention"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "html" not in shown
