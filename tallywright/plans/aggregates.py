@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallywright.operators.evidence import edge_table
-from tallywright.operators.rank import exact_percentile
+from tallywright.operators.rank import exact_percentile, median_and_deviation
 from tallywright.plans.joins import split_of
 from tallywright.registry import Registry
+from tallywright.sources.files import keep, small_side
 from tallywright.sources.tables import EVIDENCE, NEGATIVE, POSITIVE, TIE, TRAIN_END, evidence, read
 
 QUERIES = Registry()
@@ -163,10 +164,9 @@ def disagreement_by_class(spark, d):
 @query(f"WITH {EVIDENCE}, m AS (SELECT target, median(p) AS m, count(*) AS n FROM e GROUP BY 1), s AS (SELECT target, 1.4826 * median(abs(p - m)) AS s FROM e JOIN m USING (target) GROUP BY 1) SELECT target, ligand, pub, line, round((p - m) / s, 5) AS z FROM e JOIN m USING (target) JOIN s USING (target) WHERE n >= 30 AND s > 0")
 def robust_zscore(spark, d):
     e = evidence(spark, d)
-    m = exact_percentile(e, ["target"], "p", 0.5, "m").where("n >= 30").drop("n")
-    far = e.join(m, "target").select("target", F.abs(F.col("p") - F.col("m")).alias("far"))
-    s = exact_percentile(far, ["target"], "far", 0.5, "mad").select("target", (1.4826 * F.col("mad")).alias("s")).where("s > 0")
-    return e.join(m, "target").join(s, "target").select("target", "ligand", "pub", "line", R((F.col("p") - F.col("m")) / F.col("s"), 5).alias("z"))
+    m = median_and_deviation(e, ["target"], "p").where("n >= 30").select("target", "m", (1.4826 * F.col("mad")).alias("s"))
+    m = small_side(keep(m.where("s > 0"), "backgrounds"))
+    return e.join(m, "target").select("target", "ligand", "pub", "line", R((F.col("p") - F.col("m")) / F.col("s"), 5).alias("z"))
 
 
 @query(f"WITH {EVIDENCE} SELECT ligand, pub, line, source, round((sum(p) OVER (PARTITION BY ligand) - p) / (count(*) OVER (PARTITION BY ligand) - 1) + 1e-9, 6) AS others FROM e QUALIFY count(*) OVER (PARTITION BY ligand) > 5")

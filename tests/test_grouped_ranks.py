@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallywright import suite
+from tallywright.operators import rank
 from tallywright.operators.rank import exact_percentile, grouped_ranks, grouped_row_numbers, hashed_row_numbers, stable_hash
 from tests.conftest import SF
 
@@ -82,3 +83,22 @@ def test_no_task_ranks_a_group(spark, name):
         # A window is over a range of a group, or over what one sum a range of a group has left.
         sums = spec.startswith("__r#") or "__part#" in spec or not keys and "(" not in spec and " ASC" not in spec and " DESC" not in spec
         assert sums or name == "stratified_hash_sample" or any(re.match(r"_{2,}", k) for k in keys), (spec, keys)
+
+
+@pytest.mark.parametrize("gathered", [0, 50, 100_000])
+def test_median_and_deviation(spark, monkeypatch, gathered):
+    monkeypatch.setattr(rank, "GATHERED", gathered)
+    rows = [*rows_of(), (2000, "one", 0, 3.0), (2001, "none", 0, None), (2002, "two", 0, 1.0), (2003, "two", 0, 4.0)]
+    df = spark.createDataFrame(rows, "id long, g string, h int, v double").repartition(5)
+    got = {r["g"]: (r["m"], r["mad"], r["n"]) for r in rank.median_and_deviation(df, ["g"], "v").collect()}
+    assert set(got) == {r[1] for r in rows} - {"none"}
+    for g, (m, mad, n) in got.items():
+        x = [r[3] for r in rows if r[1] == g and r[3] is not None]
+        assert m == pytest.approx(statistics.median(x)) and mad == pytest.approx(statistics.median(abs(y - m) for y in x))
+        assert n == sum(r[1] == g for r in rows)
+
+
+def test_backgrounds_are_moved_once(spark):
+    """Nothing but the final join is left: medians of small groups take one shuffle, where two rankings in ranges took a dozen."""
+    plan = suite.queries()["robust_zscore"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan
