@@ -1,5 +1,6 @@
 """The largest common part of trees against trying everything, and what a budget does."""
 
+import re
 from itertools import permutations
 
 import numpy as np
@@ -85,3 +86,38 @@ def test_pages_are_parsed_once_and_equal_trees_searched_once(spark):
     assert plan.count("regexp_extract_all") == 1
     shown = suite.queries()["page_retention"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "html" not in shown
+
+
+def test_pages_lose_no_link(spark, tmp_path):
+    """Classes in a chain of links, short pages, pages without tags and one alone, against all pairs."""
+    html = lambda tags, text: "".join(f"<{t}>{text}" for t in tags)
+    rng = np.random.default_rng(15)
+    base = [f"t{i}" for i in rng.permutation(30)]
+    made = [base, base[:24], base[:19], base[:12], base[6:], [f"x{i}" for i in range(9)], ["p", "b"], ["i"], ["p", "b", "i"], []]
+    pages = [(int(k), f"u{k}", html(made[i % 5] if i < 14 else made[i % 10], str(k))) for i, k in enumerate(rng.permutation(40))] + [(90, "u", None), (91, "u", html(["q"] * 5, ""))]
+    path = str(tmp_path / "sf")
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
+
+    def runs(text):
+        tags = re.findall("<([a-z][a-z0-9]*)", text or "")
+        return {tuple(tags[i : i + 4]) for i in range(max(len(tags) - 3, min(len(tags), 1)))}
+
+    sets = {k: runs(text) for k, _, text in pages}
+    links = {(a, b) for a in sets for b in sets if a != b and (sets[a] == sets[b] or 10 * len(sets[a] & sets[b]) >= 6 * len(sets[a] | sets[b]))}
+    rows = suite.queries()["page_retention"](spark, path).collect()
+    of = {r["page_id"]: r["class_id"] for r in rows}
+    assert of == {a: min(b for b in sets if sets[b] == sets[a]) for a in sets}
+    assert {(r["page_id"], r["n_links"]) for r in rows} == {(a, sum(x == a for x, _ in links)) for a in sets}
+    # Links between pages, from the rows alone: within a class, and as between the first pages of classes.
+    pairs = {(r["page_id"], r["other"]) for r in rows if r["other"] is not None}
+    assert len(pairs) + sum(r["other"] is None for r in rows) == len(rows) and pairs <= links
+    assert {(a, b) for a in of for b in of if a != b and (of[a] == of[b] or (of[a], of[b]) in pairs)} == links
+    assert {a for a, _ in pairs} == {a for a, _ in links} and [r["page_id"] for r in rows if r["other"] is None] == [91]
+    text = {k: text for k, _, text in pages}
+    for r in rows:
+        if r["other"] is None:
+            assert (r["n_links"], r["jaccard"], r["grade"], r["matched"]) == (0, None, None, None)
+            continue
+        x, y = sets[r["page_id"]], sets[r["other"]]
+        assert r["jaccard"] == (round(len(x & y) / len(x | y), 6) if x else 1)
+        assert (r["grade"], r["matched"], r["exact"]) == retention(*(tree_of(*element_tree(text[r[c]])) for c in ("page_id", "other")), 20_000)
