@@ -64,3 +64,17 @@ def test_odd_balances_as_safe_text(spark, tmp_path):
 def test_fallback_lists_every_case(spark):
     rows = suite.queries()["prior_with_fallback_gate"](spark, SF).collect()
     assert all(len(r["cases"].split(";")) == r["n_cases"] for r in rows)
+
+
+def test_every_query_has_its_warning(spark, tmp_path):
+    """Queries without a vector, or with nothing but such rows beside them, as in the SQL."""
+    warned = lambda rows, at: sorted(map(tuple, _warned(spark, rows, str(tmp_path / at)).collect()))
+    v = [1.0, -1.0, 1.0, 1.0]
+    assert warned([(0, v, 1), (20, None, 1), (21, v, 1), (40, v, 2), (41, None, 3)], "some") == [(0, 1.0, 1.0, "boxed"), (20, None, None, "none"), (40, 1.0, None, "boxed")]
+    assert warned([(0, v, 1), (7, None, 1)], "beside") == [(0, None, None, "none")]
+    assert warned([(0, None, 1), (None, v, 1)], "alone") == []
+
+
+def _warned(spark, rows, path):
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
+    return suite.queries()["similarity_warnings"](spark, path).select("q", "nearest", "same_scaffold", "warning")
