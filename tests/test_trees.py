@@ -121,3 +121,14 @@ def test_pages_lose_no_link(spark, tmp_path):
         x, y = sets[r["page_id"]], sets[r["other"]]
         assert r["jaccard"] == (round(len(x & y) / len(x | y), 6) if x else 1)
         assert (r["grade"], r["matched"], r["exact"]) == retention(*(tree_of(*element_tree(text[r[c]])) for c in ("page_id", "other")), 20_000)
+
+
+def test_searches_are_dealt_by_their_number(spark, tmp_path):
+    """24 classes that are all linked have 552 pairs of trees, whose few bytes went to one task."""
+    tags = lambda k: [f"x{k}" if i == 7 else f"t{i}" for i in range(40)]
+    pages = [(k, "u", "".join(f"<{t}>" for t in tags(k))) for k in range(24)]
+    path = str(tmp_path / "sf")
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
+    rows = suite.queries()["page_retention"](spark, path)
+    assert "RepartitionByExpression [sx" in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert rows.count() == 24 * 23
